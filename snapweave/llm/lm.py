@@ -18,6 +18,7 @@ result, and without training texts every symbol is equally likely. Other columns
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import cut, id_remainder
-from .tokens import runs, tokenizer_path
+from .tokens import runs
 
 SYMBOLS, CLASSES, DIM = 1024, 32, 16
 MEMBERS = SYMBOLS // CLASSES
@@ -41,30 +42,50 @@ STEPS, BATCH, RATE = 1200, 192, 0.01
 HEAVY, HEAVY_BYTES = 100_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
 IDS = 50257
+#: Stands for the end of a text; words, in which special strings count as ordinary text, never have this id.
+END_ID = IDS - 1
+#: Words whose ids a task keeps.
+CACHED = 100_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def encode_words(library, words: list[bytes]) -> list[list[int]]:
-    return [e.ids for e in library.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def word_encoder(path: str):
+    """A function from words to the ids of each with a blank before it, as bytes of unsigned 16-bit integers."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda words: [array("H", encode(" " + w.decode("utf-8", "replace"))).tobytes() for w in words]
 
 
 class Model:
     """symbol and extra by id: its symbol, and the log probability of the id among those that share it."""
 
     def __init__(self, counts: np.ndarray, ends: int):
+        counts = counts[:END_ID]
         order = np.argsort(-counts, kind="stable")
-        self.symbol = np.zeros(IDS, np.uint16)
+        self.symbol = np.full(IDS, END_SYMBOL, np.uint16)
         own = SYMBOLS - SHARED - 1
         self.symbol[order[:own]] = np.arange(1, own + 1)
         rest = order[own:]
         self.symbol[rest] = own + 1 + np.arange(len(rest)) * SHARED // len(rest)
         smooth = counts + 0.5
-        total = np.bincount(self.symbol, weights=smooth, minlength=SYMBOLS)
+        total = np.bincount(self.symbol[:END_ID], weights=smooth, minlength=SYMBOLS)
         total[END_SYMBOL] = ends + 0.5
-        self.extra = np.log(smooth / total[self.symbol]).astype(np.float32)
+        self.extra = np.append(np.log(smooth / total[self.symbol[:END_ID]]), 0.0)
         self.extra[order[:own]] = 0
         self.unigram = total / total.sum()
 
@@ -132,7 +153,7 @@ class Model:
         first = offset[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
         return x[first[:, None] + np.arange(WIDTH)], y[first[:, None] + lead + np.arange(STRIDE)], doc
 
-    def score(self, docs: list[np.ndarray], chunk: int = 1024) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
         """The natural log probability of each document's symbols; each symbol counts in one window.
 
         The same sums as attend() and heads(), arranged for speed: values carry a column of ones, so that one product gives
@@ -223,13 +244,11 @@ class Model:
 
 def train(texts: list[bytes | None], path: str) -> Model:
     """A model of the texts, each of which ends with an end symbol."""
-    from tokenizers import Tokenizer
-
     docs = [words_of(t) for t in texts]
     vocabulary = list(dict.fromkeys(w for d in docs for w in d))
-    ids = dict(zip(vocabulary, encode_words(Tokenizer.from_file(path), vocabulary), strict=True))
-    flat = [np.array([i for w in d for i in ids[w]], np.int64) for d in docs]
-    model = Model(np.bincount(np.concatenate([np.zeros(0, np.int64), *flat]), minlength=IDS)[:IDS], len(docs))
+    ids = dict(zip(vocabulary, word_encoder(path)(vocabulary), strict=True))
+    flat = [np.frombuffer(b"".join(map(ids.__getitem__, d)), np.uint16) for d in docs]
+    model = Model(np.bincount(np.concatenate([np.zeros(0, np.uint16), *flat]), minlength=IDS), len(docs))
     symbols = [np.append(model.symbol[d], END_SYMBOL).astype(np.int32) for d in flat]
     every = np.concatenate([np.zeros(0, np.int64), *symbols]).astype(np.int64)
     before = np.concatenate(([END_SYMBOL], every))[:-1]  # each document ends, and so the next one starts, with the end symbol
@@ -250,7 +269,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, texts in runs(batch, 0):
                 seen.update(b" ".join(filter(None, texts)).lower().split())
-                if len(seen) > 400_000:
+                if len(seen) > 250_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
@@ -271,9 +290,52 @@ def heavy_words(counts: DataFrame, most: int = HEAVY) -> tuple[dict[bytes, int],
     return {bytes(r[0]): r[1] for r in rows}, least
 
 
+class Scorer:
+    """Scores runs of texts in one task. often: counts and ids of frequent words; scale: the denominator of the unigram."""
+
+    def __init__(self, model: Model, often: dict[bytes, int], ids: dict[bytes, bytes], n_docs: int, scale: float, path: str):
+        self.model, self.often, self.n_docs, self.scale = model, often, n_docs, scale
+        self.encode = word_encoder(path)
+        self.ids: dict[bytes | None, bytes] = dict(ids)
+        self.given = ids
+
+    def run(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+        """n_tokens, known, base and score of each text, without its rare words; how many different ones it has; these, and their counts."""
+        flat: list[bytes | None] = []
+        size = []
+        for t in texts:
+            words = (t or b"").lower().split()
+            flat += words
+            flat.append(None)  # the end
+            size.append(len(words) + 1)
+        size = np.array(size)
+        words = list(dict.fromkeys(flat))
+        number = dict(zip(words, range(len(words)), strict=True))
+        ids = self.ids
+        if len(ids) > len(self.given) + CACHED:
+            ids = self.ids = dict(self.given)
+        ids[None] = np.array([END_ID], np.uint16).tobytes()
+        new = [w for w in words if w not in ids]
+        ids.update(zip(new, self.encode(new), strict=True))
+        at = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+        starts = np.cumsum(size) - size
+        coded = np.frombuffer(b"".join(map(ids.__getitem__, flat)), np.uint16)
+        ends = np.flatnonzero(coded == END_ID) + 1
+        pieces = self.model.symbol[coded].astype(np.int32)
+        score = self.model.score(np.split(pieces, ends[:-1])) + np.add.reduceat(self.model.extra[coded], np.concatenate(([0], ends[:-1])))
+        often = self.often.get
+        count = np.array([often(w, -1) for w in words], np.float64)
+        count[number[None]] = self.n_docs
+        base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / self.scale), 0.0)
+        spot = np.flatnonzero((count < 0)[at])
+        pair, times = np.unique((np.searchsorted(starts, spot, "right") - 1) * len(words) + at[spot], return_counts=True)
+        rare = list(map(words.__getitem__, (pair % len(words)).tolist()))
+        return size, np.add.reduceat((count > 0)[at].astype(np.int64), starts), np.add.reduceat(base[at], starts), score / math.log(10), np.bincount(pair // len(words), minlength=len(texts)), rare, times
+
+
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
-    spark, path = docs.sparkSession, path or tokenizer_path()
+    spark, path = docs.sparkSession, path or vocabulary_path()
     held = id_remainder(F.col("doc_id"), 10) == 0
     training = docs.filter(~held)
     counts = cut(word_counts(training), "words")
@@ -285,64 +347,25 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     sample = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 30)) < share).select(F.col("text").cast("binary"))
     model = train([r[0] and bytes(r[0]) for r in sample.toLocalIterator()], path)
     often, _ = heavy_words(counts)
-    sent = spark.sparkContext.broadcast((often, model))
+    sent = spark.sparkContext.broadcast((often, dict(zip(often, word_encoder(path)(list(often)), strict=True)), model))
     schema = docs.select("doc_id").schema
     schema = schema.add("held_out", "boolean").add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer")))
-    end_base = math.log10((n_docs + 0.1) / scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        often, model = sent.value
-        library = Tokenizer.from_file(path)
+        often, ids, model = sent.value
+        scorer = Scorer(model, often, ids, n_docs, scale, path)
         row = TaskContext.get().partitionId() << 40
-        symbols: dict[bytes | None, bytes] = {}
-        extra: dict[bytes | None, float] = {}
         for batch in batches:
-            n_tokens, known, base, score, rare_n, rare_words, rare_counts = ([] for _ in range(7))
-            for _, texts in runs(batch, 2, 1 << 19):
-                lists = [(t or b"").lower().split() for t in texts]
-                flat: list[bytes | None] = []
-                for x in lists:
-                    flat += x
-                    flat.append(None)  # the end
-                size = np.array([len(x) + 1 for x in lists])
-                number = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-                words = list(number)
-                if len(symbols) > 300_000:
-                    symbols.clear()
-                    extra.clear()
-                new = [w for w in words if w is not None and w not in symbols]
-                for w, ids in zip(new, encode_words(library, new), strict=True):
-                    own = np.array(ids, np.int64)
-                    symbols[w] = model.symbol[own].tobytes()
-                    extra[w] = float(model.extra[own].sum())
-                symbols[None], extra[None] = b"\0\0", 0.0
-                at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-                starts = np.cumsum(size) - size
-                total_of = lambda x: np.add.reduceat(x[at], starts)
-                count = np.array([n_docs if w is None else often.get(w, -1) for w in words], np.float64)
-                part = np.array([len(symbols[w]) // 2 for w in words])
-                coded = np.frombuffer(b"".join(map(symbols.__getitem__, flat)), np.uint16).astype(np.int32)
-                got = model.score(np.split(coded, np.cumsum(total_of(part))[:-1]))
-                n_tokens.append(size)
-                known.append(total_of((count > 0).astype(np.int64)))
-                base.append(total_of(np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / scale), 0.0)))
-                score.append((got + total_of(np.array([extra[w] for w in words]))) / math.log(10))
-                spot = np.flatnonzero(count[at] < 0)
-                pair, times = np.unique(np.searchsorted(starts, spot, "right") * len(words) + at[spot], return_counts=True)
-                rare_n.append(np.bincount(pair // len(words) - 1, minlength=len(lists)))
-                rare_words += map(words.__getitem__, (pair % len(words)).tolist())
-                rare_counts.append(times)
-            join = lambda x, kind: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), kind)
-            own = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), join(rare_counts, pa.int32())], names=["word", "n"])
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *rare_n]).cumsum(), pa.int32()), own)
-            rid = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), rid, join(n_tokens, pa.int64()), join(known, pa.int64()), join(base, pa.float64()), join(score, pa.float64()), rare],
-                names=["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare"],
-            )
+            for start, texts in runs(batch, 2, 1 << 21):
+                n_tokens, known, base, score, rare_n, words, counts = scorer.run(texts)
+                own = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int32())], names=["word", "n"])
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], rare_n]).cumsum(), pa.int32()), own)
+                rid = pa.array(range(row, row + len(texts)), pa.int64())
+                row += len(texts)
+                given = [batch.column(k).slice(start, len(texts)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [*given, rid, pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare], names=["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare"]
+                )
 
     scored = cut(docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts, "word", "left")

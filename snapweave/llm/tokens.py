@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ ROWS = 64
 BLOCK = 8 << 20
 #: Bytes of text that a partition of the writer should hold.
 PART_BYTES = 24 << 20
-CACHED = 400_000
+#: Pieces whose ids a task keeps.
+CACHED = 200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,6 +40,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def library_of(path: str, plain: bool):
+    """The tokenizer. Tasks already run in parallel, so its own threads are switched off."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = plain
+    return library
+
+
+def encode_pieces(library, pieces: list[str], lead: str) -> Iterator[bytes]:
+    """The ids of lead + piece for each piece."""
+    for i in range(0, len(pieces), 5000):
+        for e in library.encode_batch_fast([lead + x for x in pieces[i : i + 5000]], add_special_tokens=False):
+            yield array("H", e.ids).tobytes()
+
+
 class Encoder:
     """Ids (as bytes of little-endian unsigned 16-bit integers) of whole texts, equal to the library's.
 
@@ -46,21 +67,11 @@ class Encoder:
     """
 
     def __init__(self, path: str, plain: bool = False):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = plain
-        self.first: dict[str, bytes] = {}
+        self.library = library_of(path, plain)
         self.later: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.library.encode_batch_fast([lead + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u2").tobytes()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.later) + len(self.first) > CACHED:
-            self.first.clear()
+        if len(self.later) > CACHED:
             self.later.clear()
         split = [(t or "").split(" ") for t in texts]
         fresh: dict[str, None] = {}
@@ -68,13 +79,15 @@ class Encoder:
             fresh.update(dict.fromkeys(x for x in p[1:] if x not in self.later))
         odd = {x for x in fresh if not x or x[0].isspace() or x[-1].isspace()}
         whole = [i for i, p in enumerate(split) if not p[0] or p[0][-1].isspace() or p[0][0].isspace() or odd and not odd.isdisjoint(p[1:])]
-        self._learn(self.later, [x for x in fresh if x not in odd], " ")
-        self._learn(self.first, [p[0] for p in split], "")
+        new = [x for x in fresh if x not in odd]
+        self.later.update(zip(new, encode_pieces(self.library, new, " "), strict=True))
         out = [b""] * len(texts)
         skip = set(whole)
+        begin = dict.fromkeys(p[0] for i, p in enumerate(split) if i not in skip)
+        first = dict(zip(begin, encode_pieces(self.library, list(begin), ""), strict=True))
         for i, p in enumerate(split):
             if i not in skip:
-                out[i] = b"".join([self.first[p[0]], *map(self.later.__getitem__, p[1:])])
+                out[i] = b"".join([first[p[0]], *map(self.later.__getitem__, p[1:])])
         for i, e in zip(whole, self.library.encode_batch_fast([texts[i] or "" for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u2").tobytes()
         return out
