@@ -39,7 +39,7 @@ SHARED = 32
 WIDTH, STRIDE = 32, 16
 TRAIN_DOCS = 2500
 STEPS, BATCH, RATE = 1200, 192, 0.01
-HEAVY, HEAVY_BYTES = 100_000, 64
+HEAVY, HEAVY_BYTES = 200_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
 IDS = 50257
 #: Stands for the end of a text; words, in which special strings count as ordinary text, never have this id.
@@ -269,7 +269,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, texts in runs(batch, 0):
                 seen.update(b" ".join(filter(None, texts)).lower().split())
-                if len(seen) > 250_000:
+                if len(seen) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
