@@ -4,9 +4,9 @@ The model reads the lower-cased words of a text, each encoded with a leading bla
 SYMBOLS symbols: the frequent ids have one each, the others share one by frequency and are told apart by smoothed counts. The
 next symbol's distribution is a class of 32 and then a member of it; the logits of both add a direct path from the current
 symbol (smoothed bigram log probabilities of the training sample) and a learned map of the attention output. Attention has one
-head, learned tables of queries, keys and values by symbol, and a learned bias by distance. Windows of WIDTH symbols overlap
-by half; each scores the symbols of its second half, so that every one is scored once, with at least WIDTH / 2 before it
-(as far as the text has them).
+head, learned tables of queries, keys and values by symbol, and a learned bias by distance. Windows of WIDTH symbols start
+every STRIDE, so they overlap; each scores its last STRIDE symbols, so that every one is scored once, with at least
+WIDTH - STRIDE before it (as far as the text has them).
 
 Weights are fitted on about TRAIN_DOCS documents that are not held out, chosen by a hash of doc_id; word counts cover all of
 them. Words that occur often (at most HEAVY of them) are sent to every task, the rest are joined by word.
@@ -21,6 +21,7 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,10 @@ SYMBOLS, CLASSES, DIM = 1024, 32, 16
 MEMBERS = SYMBOLS // CLASSES
 #: Of the symbols, those that several ids share.
 SHARED = 32
-WIDTH, STRIDE = 32, 16
+WIDTH, STRIDE = 24, 16
 TRAIN_DOCS = 2500
 STEPS, BATCH, RATE = 1200, 192, 0.01
-HEAVY, HEAVY_BYTES = 200_000, 64
+HEAVY, HEAVY_BYTES = 100_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
 IDS = 50257
 #: Stands for the end of a text; words, in which special strings count as ordinary text, never have this id.
@@ -105,7 +106,7 @@ class Model:
         self.r = (-0.1 * np.arange(WIDTH)).astype(np.float32)  # by distance
 
     def bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """By query (of the second half) and key: the bias of their distance, and whether the key is not ahead."""
+        """By query (of the last STRIDE) and key: the bias of their distance, and whether the key is not ahead."""
         far = (WIDTH - STRIDE + np.arange(STRIDE))[:, None] - np.arange(WIDTH)[None]
         seen = far >= 0
         return np.where(seen, self.r[np.maximum(far, 0)], np.float32(-1e9)).astype(np.float32), np.where(seen, far, -1)
@@ -164,7 +165,9 @@ class Model:
         ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
         ones[PAD] = 0
         q = self.q * np.float32(1 / math.sqrt(DIM))
-        bias, flat_b2 = self.bias()[0], self.b2.reshape(-1, MEMBERS)
+        bias = self.bias()[0]
+        by_class = np.ascontiguousarray(self.b2.transpose(1, 0, 2)).reshape(-1, MEMBERS)
+        one = np.ones(MEMBERS, np.float32)
         for i in range(0, len(xs), chunk):
             x, y = xs[i : i + chunk], ys[i : i + chunk].reshape(-1)
             a = np.matmul(q[x[:, -STRIDE:]], self.k[x].transpose(0, 2, 1))
@@ -181,7 +184,7 @@ class Model:
             h = h[:, :DIM] / h[:, DIM:]
             l1 = h @ self.u1
             l1 += self.b1[before]
-            l2 = flat_b2[before * CLASSES + c]
+            l2 = by_class[c * (SYMBOLS + 1) + before]
             for k in range(CLASSES):
                 if edges[k] < edges[k + 1]:
                     l2[edges[k] : edges[k + 1]] += h[edges[k] : edges[k + 1]] @ self.u2[k].T
@@ -189,8 +192,8 @@ class Model:
             got = l1[at, c] + l2[at, member]
             np.exp(l1, out=l1)
             np.exp(l2, out=l2)
-            got -= np.log(l1.sum(axis=1))
-            got -= np.log(l2.sum(axis=1))
+            got -= np.log(l1 @ one)
+            got -= np.log(l2 @ one)
             out += np.bincount(doc[i + real // STRIDE], weights=got, minlength=len(docs))
         return out
 
@@ -294,7 +297,7 @@ class Scorer:
     """Scores runs of texts in one task. often: counts and ids of frequent words; scale: the denominator of the unigram."""
 
     def __init__(self, model: Model, often: dict[bytes, int], ids: dict[bytes, bytes], n_docs: int, scale: float, path: str):
-        self.model, self.often, self.n_docs, self.scale = model, often, n_docs, scale
+        self.model, self.often, self.scale = model, {**often, None: n_docs}, scale
         self.encode = word_encoder(path)
         self.ids: dict[bytes | None, bytes] = dict(ids)
         self.given = ids
@@ -309,28 +312,25 @@ class Scorer:
             flat.append(None)  # the end
             size.append(len(words) + 1)
         size = np.array(size)
-        words = list(dict.fromkeys(flat))
-        number = dict(zip(words, range(len(words)), strict=True))
         ids = self.ids
         if len(ids) > len(self.given) + CACHED:
             ids = self.ids = dict(self.given)
         ids[None] = np.array([END_ID], np.uint16).tobytes()
-        new = [w for w in words if w not in ids]
+        new = list(set(flat).difference(ids))
         ids.update(zip(new, self.encode(new), strict=True))
-        at = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
         starts = np.cumsum(size) - size
         coded = np.frombuffer(b"".join(map(ids.__getitem__, flat)), np.uint16)
         ends = np.flatnonzero(coded == END_ID) + 1
         pieces = self.model.symbol[coded].astype(np.int32)
         score = self.model.score(np.split(pieces, ends[:-1])) + np.add.reduceat(self.model.extra[coded], np.concatenate(([0], ends[:-1])))
-        often = self.often.get
-        count = np.array([often(w, -1) for w in words], np.float64)
-        count[number[None]] = self.n_docs
+        count = np.fromiter(map(self.often.get, flat, repeat(-1)), np.float64, len(flat))
         base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / self.scale), 0.0)
-        spot = np.flatnonzero((count < 0)[at])
-        pair, times = np.unique((np.searchsorted(starts, spot, "right") - 1) * len(words) + at[spot], return_counts=True)
-        rare = list(map(words.__getitem__, (pair % len(words)).tolist()))
-        return size, np.add.reduceat((count > 0)[at].astype(np.int64), starts), np.add.reduceat(base[at], starts), score / math.log(10), np.bincount(pair // len(words), minlength=len(texts)), rare, times
+        spot = np.flatnonzero(count < 0)
+        owner = (np.searchsorted(starts, spot, "right") - 1).tolist()
+        pairs = Counter(zip(owner, map(flat.__getitem__, spot.tolist()), strict=True))  # in order of the texts
+        rare_n = np.bincount(np.fromiter((k for k, _ in pairs), np.int64, len(pairs)), minlength=len(texts))
+        known = np.add.reduceat((count > 0).astype(np.int64), starts)
+        return size, known, np.add.reduceat(base, starts), score / math.log(10), rare_n, [w for _, w in pairs], list(pairs.values())
 
 
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
