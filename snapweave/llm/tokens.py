@@ -31,7 +31,7 @@ BLOCK = 8 << 20
 #: Bytes of text that a partition of the writer should hold.
 PART_BYTES = 24 << 20
 #: Pieces whose ids a task keeps.
-CACHED = 200_000
+CACHED = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,6 +40,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks that may end a piece after its letters.
+TAILS = ".,;:!?%#&*$|"
+
+
 def library_of(path: str, plain: bool):
     """The tokenizer. Tasks already run in parallel, so its own threads are switched off."""
     import os
@@ -52,11 +56,51 @@ def library_of(path: str, plain: bool):
     return library
 
 
-def encode_pieces(library, pieces: list[str], lead: str) -> Iterator[bytes]:
-    """The ids of lead + piece for each piece."""
-    for i in range(0, len(pieces), 5000):
-        for e in library.encode_batch_fast([lead + x for x in pieces[i : i + 5000]], add_special_tokens=False):
-            yield array("H", e.ids).tobytes()
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones their own, the others those from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class PieceEncoder:
+    """The ids of pieces without white space at their edges.
+
+    Letters alone are one unit of the library's pre-tokenizer, and so are the marks of TAILS after them (an apostrophe might
+    not be). So letters go straight to the library's BPE model, as byte letters; everything else goes through the library.
+    """
+
+    def __init__(self, library):
+        self.library, self.model = library, library.model.tokenize
+        self.table = byte_letters()
+        self.blank = self.table[32]
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def full(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, pieces: list[str], lead: str) -> list[bytes]:
+        out, odd = [], []
+        start, table, model, tails = lead and self.blank, self.table, self.model, self.tails
+        for p in pieces:
+            stem = p.rstrip(TAILS)
+            if not stem.isalpha():
+                odd.append(len(out))
+                out.append(b"")
+                continue
+            letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)
+            tail = p[len(stem) :]
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                    tails[""] = b""
+                tails[tail] = self.full([tail])[0]
+            out.append(array("H", [t.id for t in model(start + letters)]).tobytes() + tails[tail])
+        for i in range(0, len(odd), 5000):
+            some = odd[i : i + 5000]
+            for k, ids in zip(some, self.full([lead + pieces[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
 
 
 class Encoder:
@@ -68,6 +112,7 @@ class Encoder:
 
     def __init__(self, path: str, plain: bool = False):
         self.library = library_of(path, plain)
+        self.pieces = PieceEncoder(self.library)
         self.later: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -80,11 +125,11 @@ class Encoder:
         odd = {x for x in fresh if not x or x[0].isspace() or x[-1].isspace()}
         whole = [i for i, p in enumerate(split) if not p[0] or p[0][-1].isspace() or p[0][0].isspace() or odd and not odd.isdisjoint(p[1:])]
         new = [x for x in fresh if x not in odd]
-        self.later.update(zip(new, encode_pieces(self.library, new, " "), strict=True))
+        self.later.update(zip(new, self.pieces.encode(new, " "), strict=True))
         out = [b""] * len(texts)
         skip = set(whole)
         begin = dict.fromkeys(p[0] for i, p in enumerate(split) if i not in skip)
-        first = dict(zip(begin, encode_pieces(self.library, list(begin), ""), strict=True))
+        first = dict(zip(begin, self.pieces.encode(list(begin), ""), strict=True))
         for i, p in enumerate(split):
             if i not in skip:
                 out[i] = b"".join([first[p[0]], *map(self.later.__getitem__, p[1:])])
