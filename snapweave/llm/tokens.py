@@ -64,7 +64,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """The ids of pieces without white space at their edges.
+    """The ids of pieces; None for those that are empty or have white space at an edge.
 
     Letters alone are one unit of the library's pre-tokenizer, and so are the marks of TAILS after them (an apostrophe might
     not be). So letters go straight to the library's BPE model, as byte letters; everything else goes through the library.
@@ -79,14 +79,16 @@ class PieceEncoder:
     def full(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, pieces: list[str], lead: str) -> list[bytes]:
-        out, odd = [], []
+    def encode(self, pieces: list[str], lead: str) -> list[bytes | None]:
+        out: list[bytes | None] = []
+        odd = []
         start, table, model, tails = lead and self.blank, self.table, self.model, self.tails
         for p in pieces:
             stem = p.rstrip(TAILS)
             if not stem.isalpha():
-                odd.append(len(out))
-                out.append(b"")
+                if p and not p[0].isspace() and not p[-1].isspace():
+                    odd.append(len(out))
+                out.append(None)
                 continue
             letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(table)
             tail = p[len(stem) :]
@@ -119,22 +121,25 @@ class Encoder:
         if len(self.later) > CACHED:
             self.later.clear()
         split = [(t or "").split(" ") for t in texts]
-        fresh: dict[str, None] = {}
-        for p in split:
-            fresh.update(dict.fromkeys(x for x in p[1:] if x not in self.later))
-        odd = {x for x in fresh if not x or x[0].isspace() or x[-1].isspace()}
-        whole = [i for i, p in enumerate(split) if not p[0] or p[0][-1].isspace() or p[0][0].isspace() or odd and not odd.isdisjoint(p[1:])]
-        new = [x for x in fresh if x not in odd]
-        self.later.update(zip(new, self.pieces.encode(new, " "), strict=True))
+        fresh = set().union(*split).difference(self.later)
+        new = list(fresh)
+        ids = self.pieces.encode(new, " ")
+        self.later.update(zip(new, ids, strict=True))
+        odd = {x for x, e in zip(new, ids, strict=True) if e is None}
+        whole = [i for i, p in enumerate(split) if odd and not odd.isdisjoint(p)]
         out = [b""] * len(texts)
         skip = set(whole)
         begin = dict.fromkeys(p[0] for i, p in enumerate(split) if i not in skip)
         first = dict(zip(begin, self.pieces.encode(list(begin), ""), strict=True))
         for i, p in enumerate(split):
             if i not in skip:
-                out[i] = b"".join([first[p[0]], *map(self.later.__getitem__, p[1:])])
-        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] or "" for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u2").tobytes()
+                ids = list(map(self.later.__getitem__, p))
+                ids[0] = first[p[0]]
+                out[i] = b"".join(ids)
+        for i, e in zip(whole, self.pieces.full([texts[i] or "" for i in whole]), strict=True):
+            out[i] = e
+        for x in odd:
+            del self.later[x]
         return out
 
 
