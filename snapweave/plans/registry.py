@@ -1,6 +1,551 @@
-"""Every registered query and its SQL twin."""
+"""Every registered query over the library's operators, and its SQL twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import paths
+from ..operators import chunks, drift, history, manifest, slots, storage
+from ..streaming import observer
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(body: str | None = None, *names: str) -> Callable:
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if body is not None:
+            ORACLES[f.__name__] = fx.sql(body, *names) if names else body
+        return f
+
+    return put
+
+
+# drift
+
+
+@query(
+    """select case when s.path is null then 'deleted' when c.path is null then 'created' else 'modified' end as action, coalesce(s.path, c.path) as path
+    from current c full join saved s on s.path = c.path where s.oid is distinct from c.oid or s.path is null or c.path is null""",
+    "saved", "current",
+)
+def diff_actions(spark, d):
+    return drift.actions(fx.current(spark, d), fx.saved(spark, d))
+
+
+@query("select distinct s.oid as blob_oid from saved s left join current c on s.path = c.path where c.path is null or c.oid is distinct from s.oid", "saved", "current")
+def diff_required_blobs(spark, d):
+    return drift.required_blobs(fx.current(spark, d), fx.saved(spark, d))
+
+
+BLOCKERS = """select path, target_path from (
+    select x.path, coalesce((select s.path from saved s where x.path = s.path or starts_with(x.path, s.path || '/') order by length(s.path) desc limit 1),
+        case when exists (select 1 from saved s where starts_with(s.path, x.path || '/')) then x.path end) as target_path from excluded x) where target_path is not null"""
+
+
+@query(BLOCKERS, "saved", "excluded")
+def diff_scope_blockers(spark, d):
+    return drift.scope_blockers(fx.excluded(spark, d), fx.saved(spark, d))
+
+
+@query("select coalesce(a.path, b.path) as path from excluded a full join expected b on a.path = b.path where a.kind is distinct from b.kind", "excluded", "expected")
+def diff_occupancy_changed(spark, d):
+    return drift.occupancy_changed(fx.excluded(spark, d), fx.excluded(spark, d, 10))
+
+
+DIRS = "select distinct list_aggregate(string_split(path, '/')[1:i], 'string_agg', '/') as path from (select path, unnest(range(1, len(string_split(path, '/')))) as i from {0})"
+PLAN = "select case when s.path is null then 'deleted' when c.path is null then 'created' else 'modified' end as action, coalesce(s.path, c.path) as path from current c full join saved s on s.path = c.path where s.oid is distinct from c.oid"
+
+
+@query(
+    f"""select 1 as step, 0 as depth, path from ({PLAN}) where action = 'deleted'
+    union all select 2, -len(string_split(path, '/')), path from ({DIRS.format('current')} except {DIRS.format('saved')})
+    union all select 3, len(string_split(path, '/')), path from ({DIRS.format('saved')} except {DIRS.format('current')})
+    union all select 4, 0, path from ({PLAN}) where action <> 'deleted'""",
+    "saved", "current",
+)
+def diff_apply_order(spark, d):
+    return drift.apply_order(fx.current(spark, d), fx.saved(spark, d)).select("step", F.col("depth").cast("long").alias("depth"), "path")
+
+
+@query(
+    """select count(*) filter (c.path is null) as created, count(*) filter (s.path is null) as deleted, count(*) filter (s.oid <> c.oid) as modified, count(*) filter (s.oid = c.oid) as unchanged,
+    count(*) filter (s.oid is distinct from c.oid) > 0 as has_changes from current c full join saved s on s.path = c.path""",
+    "saved", "current",
+)
+def diff_summary(spark, d):
+    return drift.summary(fx.current(spark, d), fx.saved(spark, d))
+
+
+@query(f"select case action when 'created' then '+ ' when 'deleted' then '- ' else '~ ' end || path as line from ({PLAN})", "saved", "current")
+def diff_preview(spark, d):
+    return drift.preview(fx.current(spark, d), fx.saved(spark, d))
+
+
+@query("select path, oid, 'first' as side from (from saved except all from current) union all select path, oid, 'second' from (from current except all from saved)", "saved", "current")
+def scan_stability(spark, d):
+    return drift.stable(fx.saved(spark, d).select("path", "oid"), fx.current(spark, d).select("path", "oid"))
+
+
+# paths and manifests
+
+ODD = """concat(case doc_id % 10 when 0 then '/' when 1 then '../' when 2 then 'a//' when 3 then 'x/.Git/' when 4 then 'A/' when 5 then 'a/' else source || '/' end, cast(doc_id % 40 as {0}), case when doc_id % 8 = 5 then '/sub' else '' end)"""
+
+
+def odd_paths(spark, d):
+    return fx.table(spark, d, "documents").select(F.expr(ODD.format("string").replace("source || '/'", "concat(source, '/')")).alias("path"))
+
+
+@query(
+    f"""with p as (select {ODD.format('varchar')} as path from documents), one as (select distinct path from p)
+    select distinct case when starts_with(path, '/') then 'absolute' when list_has_any(string_split(path, '/'), ['', '.', '..']) then 'unsafe-component' else 'git-component' end as rule, path from p
+      where starts_with(path, '/') or list_has_any(string_split(path, '/'), ['', '.', '..']) or list_contains(string_split(lower(path), '/'), '.git')
+    union all select 'duplicate-path', path from p group by path having count(*) > 1
+    union all select 'portable-alias', path from (select path, min(path) over (partition by lower(path)) as first from one) where path <> first
+    union all select distinct 'managed-parent', a.path from one a join one b on starts_with(a.path, b.path || '/')"""
+)
+def manifest_violations(spark, d):
+    return manifest.violations(odd_paths(spark, d))
+
+
+@query("select oid as blob_oid, min(path) as first_path from saved group by oid", "saved")
+def manifest_distinct_blobs(spark, d):
+    return manifest.distinct_blobs(fx.saved(spark, d))
+
+
+@query("select distinct oid from saved where oid not in (select oid from current)", "saved", "current")
+def publish_new_blobs(spark, d):
+    return manifest.new_blobs(fx.saved(spark, d), fx.current(spark, d).select("oid"))
+
+
+@query("select tree_id, cast(sum(length) as bigint) as bytes, sum(length) > 20000 as over_quota from edge join (select logical_id, min(length) as length from pack_entry group by all) on logical_id = blob_id group by tree_id", "edge", "pack_entry")
+def snapshot_bytes(spark, d):
+    sizes = fx.pack_entries(spark, d).groupBy(F.col("logical_id").alias("blob_id")).agg(F.min("length").alias("length"))
+    return manifest.snapshot_bytes(fx.edges(spark, d).select("tree_id", "blob_id"), sizes, 20000)
+
+
+@query(
+    """select path, len(string_split(path, '/')) as depth, string_split(path, '/')[-1] as base, source || '/' || lang as parent, path[length(source) + 2:] as local, sha256(path)[1:2] || '/' || sha256(path)[3:] as object_path
+    from (select source, lang, source || '/' || lang || '/' || doc_id || '.txt' as path from documents)"""
+)
+def path_functions(spark, d):
+    rows = fx.table(spark, d, "documents").select("source", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    p = F.col("path")
+    return rows.select("path", paths.depth(p).cast("long").alias("depth"), paths.basename(p).alias("base"), F.element_at(paths.ancestors(p), -1).alias("parent"), paths.local_path(p, F.col("source")).alias("local"), paths.object_path(F.sha2(p, 256)).alias("object_path"))
+
+
+@query(f"select path, count(*) as entries from (select list_aggregate(string_split(path, '/')[1:i], 'string_agg', '/') as path from (select path, unnest(range(1, len(string_split(path, '/')))) as i from saved)) group by path", "saved")
+def path_directories(spark, d):
+    return fx.saved(spark, d).select(F.explode(paths.ancestors(F.col("path"))).alias("path")).groupBy("path").agg(F.count("*").alias("entries"))
+
+
+# session graphs
+
+
+@query(
+    """select session_id, entry_id, case when type = 'label' then 'transparent' else 'stable' end as coordinate,
+    case when type = 'custom_message' or event_type = 'signup' then parent_id else entry_id end as landing, type = 'branch_summary' as summary from entry""",
+    "entry",
+)
+def entry_projection(spark, d):
+    return history.projection(fx.entries(spark, d))
+
+
+def graph(spark, d) -> DataFrame:
+    return history.stable_graph(fx.entries(spark, d))
+
+
+@query("select session_id, entry_id, stable_parent_id, ord from graph", "graph")
+def stable_graph(spark, d):
+    return graph(spark, d)
+
+
+@query("select session_id, entry_id, ancestor_id, depth from closure", "closure")
+def stable_ancestry(spark, d):
+    return history.ancestry(graph(spark, d))
+
+
+BROKEN = """select session_id, entry_id, ord, type, case when entry_id % 97 = 0 then entry_id + 100000000 when entry_id % 89 = 0 then entry_id else parent_id end as parent_id from entry
+    union all select session_id, entry_id, ord, type, parent_id from entry where entry_id % 101 = 0"""
+
+
+@query(
+    f"""with b as ({BROKEN}), p as (select session_id, entry_id as parent_id, min(ord) as parent_ord from b group by all)
+    select 'duplicate' as rule, session_id, entry_id from b group by all having count(*) > 1
+    union all select distinct case when p.parent_ord is null then 'unknown-parent' else 'forward-parent' end, b.session_id, b.entry_id from b left join p using (session_id, parent_id)
+      where b.parent_id is not null and (p.parent_ord is null or p.parent_ord >= b.ord)""".replace("with b", "select * from (with b", 1) + ")",
+    "entry",
+)
+def graph_violations(spark, d):
+    e = fx.entries(spark, d)
+    parent = F.expr("case when entry_id % 97 = 0 then entry_id + 100000000 when entry_id % 89 = 0 then entry_id else parent_id end")
+    return history.violations(e.withColumn("parent_id", parent).unionByName(e.filter("entry_id % 101 = 0")))
+
+
+RESOLVED = """select n.session_id, n.entry_id, case when s.entry_id is null then found_at end as found_at, case when s.entry_id is null then n.tree_oid end as tree_oid
+    from nearest n left join slot s on s.session_id = n.session_id and s.entry_id = n.entry_id and s.tree_oid is null and s.capture_state = 'blocked'"""
+
+
+@query(RESOLVED, "nearest")
+def lineage_resolution(spark, d):
+    return history.resolve(graph(spark, d), fx.slots(spark, d))
+
+
+@query(
+    """select case when b.entry_id is null then 'lost' when b.type <> a.type then 'changed' else 'reordered' end as rule, a.session_id, a.entry_id
+    from (select e.*, f.ord as o, max(f.ord) over (partition by e.session_id order by e.ord rows between unbounded preceding and 1 preceding) as before
+          from entry e left join (select session_id, entry_id, case when entry_id % 37 = 0 then -ord else ord end as ord from entry where entry_id % 41 <> 0) f on f.session_id = e.session_id and f.entry_id = e.entry_id) a
+    left join (select session_id, entry_id, case when entry_id % 43 = 0 then 'other' else type end as type from entry where entry_id % 41 <> 0) b on b.session_id = a.session_id and b.entry_id = a.entry_id
+    where b.entry_id is null or b.type <> a.type or a.o < a.before""",
+    "entry",
+)
+def graph_extension(spark, d):
+    old = fx.entries(spark, d)
+    new = old.filter("entry_id % 41 <> 0").withColumn("type", F.expr("case when entry_id % 43 = 0 then 'other' else type end")).withColumn("ord", F.expr("case when entry_id % 37 = 0 then -ord else ord end"))
+    return history.extends(old, new)
+
+
+@query("select session_id, entry_id from (select *, lag(entry_id) over (partition by session_id order by ord) as b from entry) where b is distinct from parent_id", "entry")
+def branch_breaks(spark, d):
+    return history.branch_breaks(fx.entries(spark, d))
+
+
+MOVES = "select session_id, lag(entry_id, 2) over (partition by session_id order by ord) as source_id, case when ord % 11 <> 10 then entry_id end as target_id, case when entry_id % 2 = 0 then 'capture' else 'write-protected' end as source_kind from graph"
+
+
+@query(
+    f"""select m.session_id, m.source_id, m.target_id, m.source_kind, case when m.target_id is null then 'no-node' when m.source_id is not distinct from m.target_id then 'same-location'
+      when b.entry_id is not null then case when r.tree_oid is not null then 'restore' else 'protected-missing' end
+      when m.source_kind = 'capture' and u.depth is not null and coalesce(f.depth, u.depth) >= u.depth then 'inherit-source'
+      when r.tree_oid is not null then 'restore' when m.source_kind = 'write-protected' then 'protected-missing' else 'materialize-missing' end as outcome
+    from ({MOVES}) m left join closure u on u.session_id = m.session_id and u.entry_id = m.target_id and u.ancestor_id = m.source_id
+    left join (select c.session_id, c.entry_id, min(depth) as depth from closure c join slot s on s.session_id = c.session_id and s.entry_id = c.ancestor_id group by all) f on f.session_id = m.session_id and f.entry_id = m.target_id
+    left join slot b on b.session_id = m.session_id and b.entry_id = m.target_id and b.capture_state = 'blocked'
+    left join ({RESOLVED}) r on r.session_id = m.session_id and r.entry_id = m.target_id""",
+    "closure", "nearest",
+)
+def navigation_outcomes(spark, d):
+    g, s = graph(spark, d), fx.slots(spark, d)
+    w = Window.partitionBy("session_id").orderBy("ord")
+    moves = g.select("session_id", F.lag("entry_id", 2).over(w).alias("source_id"), F.expr("case when ord % 11 <> 10 then entry_id end").alias("target_id"), F.expr("case when entry_id % 2 = 0 then 'capture' else 'write-protected' end").alias("source_kind"))
+    return history.navigation(moves, history.ancestry(g), s, history.resolve(g, s))
+
+
+# slots
+
+
+@query(
+    """select g.session_id, g.entry_id, s.tree_oid, s.capture_state, case when s.entry_id is null then 'open-missing' when s.tree_oid is null then 'blocked-missing' else s.capture_state || '-checkpoint' end as slot
+    from graph g left join slot s on s.session_id = g.session_id and s.entry_id = g.entry_id""",
+    "graph", "slot",
+)
+def slot_states(spark, d):
+    return slots.read(graph(spark, d).select("session_id", "entry_id"), fx.slots(spark, d))
+
+
+@query(
+    """select *, case when outcome = 'applied' and op in ('capture', 'release', 'adopt') then oid when outcome = 'applied' and op = 'block' and before = 'open-missing' then oid else tree_oid end as new_oid,
+      case when outcome = 'applied' and op in ('capture', 'release', 'adopt') then 'open' when outcome = 'applied' and op = 'block' then 'blocked' else capture_state end as new_state
+      from (select *, case op when 'capture' then case when before like 'blocked%' then 'capture-blocked' else 'applied' end when 'block' then 'applied'
+        when 'release' then case when before = 'blocked-checkpoint' and tree_oid = oid then 'applied' else 'checkpoint-mismatch' end else case when before = 'blocked-missing' then 'applied' else 'not-blocked-missing' end end as outcome
+        from (select g.session_id, g.entry_id, case g.entry_id % 4 when 0 then 'capture' when 1 then 'block' when 2 then 'release' else 'adopt' end as op, sha256(cast(g.entry_id - g.entry_id % 3 as varchar)) as oid, s.tree_oid, s.capture_state,
+          case when s.entry_id is null then 'open-missing' when s.tree_oid is null then 'blocked-missing' else s.capture_state || '-checkpoint' end as before
+          from graph g left join slot s on s.session_id = g.session_id and s.entry_id = g.entry_id))""".replace("select *, case when outcome", "select session_id, entry_id, op, before, outcome, case when outcome", 1),
+    "graph", "slot",
+)
+def slot_transitions(spark, d):
+    asked = graph(spark, d).select("session_id", "entry_id", F.expr("case entry_id % 4 when 0 then 'capture' when 1 then 'block' when 2 then 'release' else 'adopt' end").alias("op"), F.expr("sha2(cast(entry_id - entry_id % 3 as string), 256)").alias("oid"))
+    return slots.transition(asked, fx.slots(spark, d))
+
+
+@query(
+    """select g.session_id, g.entry_id, sha256('new-' || g.entry_id) as oid, case when s.capture_state = 'blocked' then 'blocked' when g.entry_id % 5 = 0 and s.entry_id is not null then 'slot-changed' else 'committed' end as outcome
+    from graph g left join slot s on s.session_id = g.session_id and s.entry_id = g.entry_id""",
+    "graph", "slot",
+)
+def capture_commits(spark, d):
+    now = fx.slots(spark, d)
+    seen = now.filter("entry_id % 5 <> 0").select("session_id", "entry_id", F.col("tree_oid").alias("expected_oid"), F.col("capture_state").alias("expected_state"))
+    asked = graph(spark, d).select("session_id", "entry_id", F.expr("sha2(concat('new-', entry_id), 256)").alias("oid"))
+    return slots.commit_captures(asked.join(seen, ["session_id", "entry_id"], "left"), now)
+
+
+LEAF = "select session_id, arg_max(entry_id, ord) as entry_id from graph where session_id % 3 = 0 group by session_id"
+
+
+@query(
+    f"""select coalesce(c.session_id, s.session_id) as session_id, coalesce(c.entry_id, s.entry_id) as entry_id, coalesce(s.tree_oid, case when s.entry_id is null then n.tree_oid end) as tree_oid,
+      case when c.entry_id is not null then 'blocked' else s.capture_state end as capture_state
+    from slot s full join (select k.session_id, k.ancestor_id as entry_id from closure k join ({LEAF}) l on l.session_id = k.session_id and l.entry_id = k.entry_id) c on c.session_id = s.session_id and c.entry_id = s.entry_id
+    left join nearest n on n.session_id = c.session_id and n.entry_id = c.entry_id""",
+    "nearest",
+)
+def barrier_reconcile(spark, d):
+    g, s = graph(spark, d), fx.slots(spark, d)
+    leaf = g.filter("session_id % 3 = 0").groupBy("session_id").agg(F.max_by("entry_id", "ord").alias("entry_id"))
+    branch = history.ancestry(g).join(leaf, ["session_id", "entry_id"]).select("session_id", F.col("ancestor_id").alias("entry_id"))
+    return slots.reconcile_barrier(branch, s, history.nearest_checkpoint(g, s))
+
+
+STATE = "select user_id as session_id, event_id as entry_id, sha256(cast(event_id as varchar)) as tree_oid from events where event_type in ('purchase', 'click')"
+GUARD = "select user_id as session_id, event_id as entry_id from events where event_id % 4 = 0 and event_type in ('click', 'signup')"
+
+
+@query(
+    f"""select s.session_id, s.entry_id, s.tree_oid, case when g.entry_id is null then 'open' else 'blocked' end as capture_state from ({STATE}) s left join ({GUARD}) g using (session_id, entry_id)
+    union all select g.session_id, g.entry_id, null, 'blocked' from ({GUARD}) g anti join ({STATE}) s using (session_id, entry_id)"""
+)
+def migrate_v2_v3(spark, d):
+    e = fx.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("entry_id"), "event_type")
+    states = e.filter("event_type in ('purchase', 'click')").select("session_id", "entry_id", F.expr("sha2(cast(entry_id as string), 256)").alias("tree_oid"))
+    return slots.from_guards(states, e.filter("entry_id % 4 = 0 and event_type in ('click', 'signup')").select("session_id", "entry_id"))
+
+
+@query("select session_id, entry_id, case when tree_oid < '8' then sha256(tree_oid || 'v4') else tree_oid end as tree_oid, capture_state from slot", "slot")
+def tree_root_rewrite(spark, d):
+    s = fx.slots(spark, d)
+    mapping = s.filter("tree_oid < '8'").select(F.col("tree_oid").alias("old_oid"), F.expr("sha2(concat(tree_oid, 'v4'), 256)").alias("new_oid")).distinct()
+    return slots.replace_roots(s, mapping)
+
+
+@query("select case when old is null then 'missing' else 'extra' end as problem, coalesce(oid, old) as oid from (select distinct tree_oid as oid from slot where tree_oid is not null) full join (select distinct case when event_id % 50 = 0 then 'x' || sha256(cast(event_id as varchar)) else sha256(cast(event_id as varchar)) end as old from events where event_type = 'purchase') on oid = old where oid is null or old is null", "slot")
+def upgrade_map_problems(spark, d):
+    roots = fx.slots(spark, d).filter("tree_oid is not null").select(F.col("tree_oid").alias("oid")).distinct()
+    e = fx.table(spark, d, "events").filter("event_type = 'purchase'")
+    return manifest.upgrade_is_total(roots, e.select(F.expr("concat(case when event_id % 50 = 0 then 'x' else '' end, sha2(cast(event_id as string), 256))").alias("old_oid")).distinct())
+
+
+@query(
+    """select g.session_id + 1000000 as session_id, g.entry_id, s.tree_oid, coalesce(s.capture_state, 'blocked') as capture_state from graph g left join slot s on s.session_id = g.session_id and s.entry_id = g.entry_id
+    where g.ord % 3 <> 2 and not (s.entry_id is null and g.ord = 0)""",
+    "graph", "slot",
+)
+def fork_projection(spark, d):
+    g = graph(spark, d).filter("ord % 3 <> 2").select((F.col("session_id") + 1000000).alias("session_id"), F.col("session_id").alias("source_session"), "entry_id", "ord")
+    return slots.project_fork(g.drop("ord"), fx.slots(spark, d), g.filter("ord = 0"))
+
+
+@query("select session_id, entry_id, tree_oid, capture_state from slot union all select session_id, entry_id, null, 'blocked' from graph anti join slot using (session_id, entry_id)", "graph", "slot")
+def pending_verification(spark, d):
+    return slots.verify_pending(graph(spark, d), fx.slots(spark, d))
+
+
+@query(
+    """with r as (select c_custkey as session_id, 'file-' || c_custkey as session_file from customer where c_custkey % 3 <> 0),
+    q as (select c_custkey as session_id, 'file-' || (case when c_custkey % 5 = 0 then c_custkey + 1 else c_custkey end) as session_file from customer)
+    select q.session_id, q.session_file, case when not exists (select 1 from r where r.session_id = q.session_id or r.session_file = q.session_file) then 'absent'
+      when exists (select 1 from r where r.session_id = q.session_id and r.session_file = q.session_file) and not exists (select 1 from r where (r.session_id = q.session_id) <> (r.session_file = q.session_file)) then 'exact' else 'conflict' end as outcome from q"""
+)
+def session_identity(spark, d):
+    c = fx.table(spark, d, "customer")
+    registry = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("session_id"), F.expr("concat('file-', c_custkey)").alias("session_file"))
+    return slots.match_identity(c.select(F.col("c_custkey").alias("session_id"), F.expr("concat('file-', case when c_custkey % 5 = 0 then c_custkey + 1 else c_custkey end)").alias("session_file")), registry)
+
+
+@query("select 'outside-graph' as rule, session_id, entry_id from slot anti join graph using (session_id, entry_id)", "graph", "slot")
+def slot_violations(spark, d):
+    return slots.violations(fx.slots(spark, d), graph(spark, d))
+
+
+# packs and maintenance
+
+
+@query("select distinct tree_oid from slot where tree_oid is not null", "slot")
+def gc_roots(spark, d):
+    return fx.slots(spark, d).filter("tree_oid is not null").select("tree_oid").distinct().orderBy("tree_oid")
+
+
+ROOTS = "select sha256('tree-' || o_orderkey) as tree_id from orders where o_orderstatus = 'O'"
+
+
+@query(f"select 'tree-root' as kind, tree_id as logical_id from ({ROOTS}) union select 'content', blob_id from edge where tree_id in ({ROOTS})", "edge")
+def gc_live_keys(spark, d):
+    roots = fx.table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.expr("sha2(concat('tree-', o_orderkey), 256)").alias("tree_id"))
+    return storage.reachable(roots, fx.edges(spark, d).select("tree_id", F.col("blob_id").alias("logical_id")))
+
+
+CLASSES = """select pack_id, case when live_n = 0 then 'dead' when dead_n = 0 then 'live' when dead_n * 2 >= live_n + dead_n or dead_b * 2 >= live_b + dead_b then 'partial' else 'keep' end as class, live_n, dead_n, live_b, dead_b
+    from (select pack_id, count(*) filter (alive) as live_n, count(*) filter (not alive) as dead_n, cast(coalesce(sum(length) filter (alive), 0) as bigint) as live_b, cast(coalesce(sum(length) filter (not alive), 0) as bigint) as dead_b
+          from (select p.pack_id, p.length, p.logical_id in (select logical_id from pack_entry where alive) as alive from pack_entry p) group by pack_id)"""
+
+
+def classes(spark, d) -> DataFrame:
+    return storage.pack_classes(fx.pack_entries(spark, d), fx.live(spark, d))
+
+
+@query(CLASSES, "pack_entry")
+def gc_pack_classes(spark, d):
+    return classes(spark, d)
+
+
+@query("select logical_id, min(pack_id) as owner_pack from pack_entry where logical_id in (select logical_id from pack_entry where alive) group by logical_id having count(distinct pack_id) > 1", "pack_entry")
+def gc_duplicate_owner(spark, d):
+    return storage.duplicate_owners(fx.pack_entries(spark, d), fx.live(spark, d))
+
+
+@query(
+    f"""select class, tier, pack_id from (select *, min(tier) filter (n >= 4) over () as lowest, row_number() over (partition by tier order by pack_id) as k from
+      (select 'data' as class, pack_id, length(bin(live_b)) - 1 as tier, count(*) over (partition by length(bin(live_b))) as n from ({CLASSES}) where class = 'live' and live_b * 4 < 33554432)) where tier = lowest and k <= 4""",
+    "pack_entry",
+)
+def gc_size_tiers(spark, d):
+    whole = classes(spark, d).filter("class = 'live'").select(F.lit("data").alias("class"), "pack_id", F.col("live_b").alias("size"))
+    return storage.size_tiers(whole).select("class", F.col("tier").cast("long").alias("tier"), "pack_id")
+
+
+def occurrences(spark, d) -> DataFrame:
+    return fx.edges(spark, d).select("path", F.col("blob_id").alias("content_id"))
+
+
+def lengths(spark, d) -> DataFrame:
+    return fx.pack_entries(spark, d).groupBy(F.col("logical_id").alias("content_id")).agg(F.min("decoded_length").alias("decoded_length"))
+
+
+RANKED = """select path, content_id, n, rank from (select path, content_id, n, row_number() over (partition by path order by n desc, l, content_id) as rank
+    from (select path, blob_id as content_id, count(*) as n from edge group by all) join (select logical_id as content_id, min(decoded_length) as l from pack_entry group by all) using (content_id)) where rank <= 8"""
+
+
+@query(RANKED, "edge", "pack_entry")
+def gc_occurrences_top8(spark, d):
+    return storage.ranked_contents(occurrences(spark, d), lengths(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    f"""with r as (select * from ({RANKED}) join (select logical_id as content_id, min(decoded_length) as l from pack_entry group by all) using (content_id))
+    select path, content_id, anchor_id, rank from (select a.path, a.content_id, b.content_id as anchor_id, row_number() over (partition by a.path, a.content_id order by abs(a.l - b.l), b.n desc, b.l, b.content_id) as rank
+    from r a join r b on a.path = b.path and b.rank < a.rank and abs(a.l - b.l) * 100 <= greatest(a.l, b.l) * 25) where rank <= 4""".replace("with r as", "select * from (with r as", 1) + ")",
+    "edge", "pack_entry",
+)
+def gc_delta_candidates(spark, d):
+    size = lengths(spark, d)
+    return storage.delta_candidates(storage.ranked_contents(occurrences(spark, d), size), size).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    """select object_id, reason from (select sha256('obj-' || o_orderkey) as object_id, case when o_orderkey % 7 = 0 then case when o_orderdate < '1997-01-01' then 'temporary' end
+      when o_orderkey % 3 <> 0 then case when o_orderdate < '1997-01-01' then 'dead' end when o_orderkey % 5 = 0 then 'superseded' end as reason from orders) where reason is not null"""
+)
+def gc_sweep(spark, d):
+    o = fx.table(spark, d, "orders").withColumn("object_id", F.expr("sha2(concat('obj-', o_orderkey), 256)"))
+    objects = o.select("object_id", F.expr("o_orderkey % 7 = 0").alias("temporary"), F.col("o_orderdate").alias("modified"))
+    return storage.sweep(objects, o.filter("o_orderkey % 3 = 0").select("object_id"), o.filter("o_orderkey % 5 = 0").select("object_id"), F.expr("timestamp_ntz '1997-01-01 00:00:00'"))
+
+
+@query("select logical_id, arg_min(pack_id, struct_pack(l := length, p := pack_id)) as pack_id, min(length) as length from pack_entry where logical_id in (select logical_id from pack_entry where alive) group by logical_id", "pack_entry")
+def gc_retained_coverage(spark, d):
+    return storage.best_copies(fx.pack_entries(spark, d), fx.live(spark, d))
+
+
+@query(
+    f"""select count(*) filter (class = 'dead') as dead_packs, count(*) filter (class = 'partial') as partial_packs, count(*) filter (class = 'live') as live_packs, count(*) filter (class = 'keep') as keep_packs,
+    cast(sum(dead_b) filter (class in ('dead', 'partial')) as bigint) as freed_bytes, (select count(*) from orders where o_orderkey % 7 = 0 and o_orderdate < '1997-01-01') as temporary_objects,
+    (select count(*) from orders where o_orderkey % 7 <> 0 and o_orderkey % 3 <> 0 and o_orderdate < '1997-01-01') as dead_objects, (select count(*) from orders where o_orderkey % 7 <> 0 and o_orderkey % 3 = 0 and o_orderkey % 5 = 0) as superseded_objects from ({CLASSES})""",
+    "pack_entry",
+)
+def gc_report(spark, d):
+    return storage.report(classes(spark, d), gc_sweep(spark, d))
+
+
+VARINT = "cast(ceil(length(bin({0})) / 7.0) as bigint)"
+INDEX = f"""select logical_id, dense_rank() over (order by pack_id) - 1 as pack_ordinal, row_number() over w - 1 as ordinal,
+    cast(7 + {VARINT.format('count(*) over (partition by pack_id)')} + coalesce(sum(f) over (partition by pack_id order by logical_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", f as length
+    from (select pack_id, logical_id, length + {VARINT.format('length')} as f from pack_entry) window w as (partition by pack_id order by logical_id)"""
+
+
+def index(spark, d) -> DataFrame:
+    return storage.index_entries(fx.pack_entries(spark, d)).withColumn("pack_ordinal", F.col("pack_ordinal").cast("long")).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@query(INDEX, "pack_entry")
+def midx_entries(spark, d):
+    return index(spark, d)
+
+
+@query("select bucket, cast(sum(n) over (order by bucket) as bigint) as cumulative from (select b as bucket, count(logical_id) as n from range(256) r(b) left join pack_entry on cast('0x' || logical_id[1:2] as integer) = b group by b)", "pack_entry")
+def midx_fanout(spark, d):
+    return storage.fanout(fx.pack_entries(spark, d)).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+@query(
+    f"""with i as ({INDEX}) select q.logical_id, coalesce(m.state, 'absent') as state from (select distinct blob_id as logical_id from edge union select sha256('none-' || n_nationkey) from nation) q
+    left join (select logical_id, max(case when pack_ordinal % 7 = 0 then 'stale' else 'current' end) as state from i group by all) m using (logical_id)""".replace("with i", "select * from (with i", 1) + ")",
+    "edge", "pack_entry",
+)
+def midx_lookup(spark, d):
+    i = index(spark, d)
+    moved = i.withColumn("offset", F.expr("case when pack_ordinal % 7 = 0 then offset + 1 else offset end"))
+    wanted = fx.edges(spark, d).select(F.col("blob_id").alias("logical_id")).distinct().unionByName(fx.table(spark, d, "nation").select(F.expr("sha2(concat('none-', n_nationkey), 256)").alias("logical_id")))
+    return storage.lookups(wanted, i, moved)
+
+
+@query("select doc_id as id, strlen(text) - (strlen(text) - doc_id % 200) >= greatest(64, (strlen(text) * 5 + 99) // 100) as useful from documents")
+def compression_gate(spark, d):
+    n = F.octet_length("text")
+    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), storage.compression_useful(n, n - F.col("doc_id") % 200).alias("useful"))
+
+
+@query("select doc_id as id, strlen(text) - s >= 128 and (strlen(text) - s) * 100 >= strlen(text) * 35 as useful, greatest(strlen(text), s) > 0 and abs(strlen(text) - s) * 100 <= greatest(strlen(text), s) * 25 as near from (select *, doc_id * 7 % 4000 as s from documents)")
+def delta_gate(spark, d):
+    n, s = F.octet_length("text").cast("long"), F.expr("doc_id * 7 % 4000")
+    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), storage.delta_useful(n, s).alias("useful"), storage.lengths_near(n, s).alias("near"))
+
+
+@query("select o_orderkey as id, t > 128 and s > 0 and s <= 4 * greatest(128, (t * 35 + 99) // 100) as useful from (select o_orderkey, o_orderkey % 20000 as t, o_custkey * 13 % 30000 as s from orders)")
+def rewrite_gate(spark, d):
+    return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), storage.rewrite_worthwhile(F.expr("o_orderkey % 20000"), F.expr("o_custkey * 13 % 30000")).alias("useful"))
+
+
+@query("select l_orderkey as id, l_linenumber as line, a >= 0 and c >= 0 and m >= c and a <= m - c as fits from (select l_orderkey, l_linenumber, l_partkey % 50 - 1 as a, l_suppkey % 40 as c, l_partkey % 70 as m from lineitem)")
+def capacity_fence(spark, d):
+    rows = fx.table(spark, d, "lineitem")
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), storage.fits(F.expr("l_partkey % 50 - 1"), F.expr("l_suppkey % 40"), F.expr("l_partkey % 70")).alias("fits"))
+
+
+@query()
+def gc_budget_admission(spark, d):
+    sizes = fx.pack_entries(spark, d).groupBy("pack_id").agg(F.sum("length").alias("decoded_length"))
+    return storage.admit_within_budget(sizes.select(F.lit("data").alias("class"), F.col("pack_id").alias("key"), "decoded_length"), 32 << 20)
+
+
+# content kernels: no SQL twins; golden vectors are in tests
+
+
+@query()
+def content_chunks(spark, d):
+    docs = fx.table(spark, d, "documents")
+    return chunks.chunk(docs.select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content")))
+
+
+@query()
+def content_recipes(spark, d):
+    return chunks.recipe_levels(content_chunks(spark, d))
+
+
+@query()
+def content_deltas(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    base = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("content").alias("base"))
+    return chunks.deltas(docs.join(base, "doc_id").select(F.col("doc_id").cast("string").alias("content_id"), "base", F.col("content").alias("target")))
+
+
+@query()
+def content_payloads(spark, d):
+    return chunks.payloads(fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content")))
+
+
+@query()
+def tree_nodes(spark, d):
+    return chunks.map_levels(fx.saved(spark, d).select(F.lit("saved").alias("tree"), "path", "oid"))
+
+
+# an append-only log, read as a stream
+
+
+@query("select session_id, count(*) as entries, max(ord) as last_ord, arg_max(entry_id, ord) as leaf_id, cast(0 as bigint) as violations from entry group by session_id", "entry")
+def observed_sessions(spark, d):
+    return observer.observe_batch(fx.entries(spark, d))
