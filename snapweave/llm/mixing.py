@@ -24,6 +24,8 @@ SHARE = 1.5
 MOST = 2
 #: Documents in a range, about.
 RANGE_ROWS = 100_000
+#: Sources up to which the row that each has is broadcast; beyond, they are joined like other tables.
+BROADCAST_SOURCES = 20_000
 
 
 def size_of(text: Column) -> Column:
@@ -63,22 +65,24 @@ def cuts(sized: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         epochs = budget // size if size else 0
         plan.append((s, size, goal[s], epochs, budget - epochs * size if size else 0))
     plan = spark.createDataFrame(plan, "s string, source_size long, target double, epochs long, rest long")
+    few = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda x: x
     digits = next(d for d in range(1, 32) if 16**d * range_rows >= max([1, *(x[2] for x in sources)]))
     ranged = sized.withColumn("range", F.substring("key", 1, digits))
     totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("start", F.coalesce(F.sum("sum").over(along), F.lit(0)))
-    starts = starts.join(plan, F.col("source").eqNullSafe(F.col("s"))).filter("start < rest and rest <= start + sum")
+    starts = starts.join(few(plan), F.col("source").eqNullSafe(F.col("s"))).filter("start < rest and rest <= start + sum")
     last = starts.select(F.col("source").alias("s"), F.col("range").alias("r"), F.col("rest") - F.col("start"))
     last = last.toDF("s", "r", "left")
-    rows = ranged.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    rows = ranged.join(few(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     ties = rows.groupBy("s", "left", "key", "doc_id", "size").agg(F.count("*").alias("n"))
     inside = Window.partitionBy("s").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ends = ties.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)))
     ends = ends.filter("before < left and left <= before + n * size")
     ends = ends.select(F.col("s").alias("e"), F.col("key").alias("c_key"), F.col("doc_id").alias("c_id"), F.col("size").alias("c_size"), F.expr("(left - before) div n").alias("c_left"))
     found = [tuple(r) for r in plan.join(ends, F.col("s").eqNullSafe(F.col("e")), "left").drop("e", "rest").collect()]
-    return spark.createDataFrame(found, f"s string, source_size long, target double, epochs long, c_key string, c_id {sized.schema['doc_id'].dataType.simpleString()}, c_size long, c_left long")
+    out = spark.createDataFrame(found, f"s string, source_size long, target double, epochs long, c_key string, c_id {sized.schema['doc_id'].dataType.simpleString()}, c_size long, c_left long")
+    return F.broadcast(out) if len(found) <= BROADCAST_SOURCES else out
 
 
 def with_taken(rows: DataFrame, cut_at: DataFrame) -> DataFrame:
