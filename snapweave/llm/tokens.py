@@ -29,9 +29,9 @@ ROWS = 64
 #: Bytes of ids in a block of the separator scan.
 BLOCK = 8 << 20
 #: Bytes of text that a partition of the writer should hold.
-PART_BYTES = 24 << 20
+PART_BYTES = 64 << 20
 #: Pieces whose ids a task keeps.
-CACHED = 400_000
+CACHED = 800_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -75,6 +75,7 @@ class PieceEncoder:
         self.table = byte_letters()
         self.blank = self.table[32]
         self.tails: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
 
     def full(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +83,9 @@ class PieceEncoder:
     def encode(self, pieces: list[str], lead: str) -> list[bytes | None]:
         out: list[bytes | None] = []
         odd = []
-        start, table, model, tails = lead and self.blank, self.table, self.model, self.tails
+        if len(self.stems) > CACHED // 2:
+            self.stems.clear()
+        start, table, model, tails, stems = lead and self.blank, self.table, self.model, self.tails, self.stems
         for p in pieces:
             stem = p.rstrip(TAILS)
             if not stem.isalpha():
@@ -97,7 +100,11 @@ class PieceEncoder:
                     tails.clear()
                     tails[""] = b""
                 tails[tail] = self.full([tail])[0]
-            out.append(array("H", [t.id for t in model(start + letters)]).tobytes() + tails[tail])
+            key = start + letters
+            ids = stems.get(key)
+            if ids is None:
+                ids = stems[key] = array("H", [t.id for t in model(key)]).tobytes()
+            out.append(ids + tails[tail] if tail else ids)
         for i in range(0, len(odd), 5000):
             some = odd[i : i + 5000]
             for k, ids in zip(some, self.full([lead + pieces[k] for k in some]), strict=True):
