@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 WINDOW = 13
 #: Bytes of text in a segment (one longer document is a segment of its own), and of test text in a block.
@@ -245,5 +245,4 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     key = F.xxhash64("doc_id", "text")
     bad = contamination(docs.select(key.alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias("_k")).distinct()
-    names = docs.columns
-    return docs.select(*names, key.alias("_k")).join(bad, "_k", "left_anti").select(*names)
+    return docs.select(whole_row(docs), key.alias("_k")).join(bad, "_k", "left_anti").select("row.*")

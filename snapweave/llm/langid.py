@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, whole_row
 
 DIM = 1024
 SEED = 20240229
@@ -136,7 +136,10 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; the columns of docs."""
+    """The documents whose language can be told; the columns of docs. Where no language can be learned, all documents."""
     held = id_remainder(F.col("doc_id"), 5) == 0
     model = learn(docs.filter(~held).select("doc_id", "lang", "text"))
-    return predict(docs, model, docs.columns).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    if not model[0]:
+        return docs
+    rows = docs.select(whole_row(docs), "text")
+    return predict(rows, model, ["row"]).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

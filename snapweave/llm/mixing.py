@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -107,20 +107,21 @@ def mixed_documents(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     n_chars, where it is a column of docs, follows the text. The texts are not shuffled.
     """
     names = docs.columns
+    limit = "_words" + "_" * max(map(len, names))  # longer than any name of docs
     sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), sort_key(F.col("doc_id")).alias("key")), "sized")
     plan = cuts(sized, range_rows)
-    whole = docs.select(F.struct(*names).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), sort_key(F.col("doc_id")).alias("key"))
+    whole = docs.select(whole_row(docs), "doc_id", "source", size_of(F.col("text")).alias("size"), sort_key(F.col("doc_id")).alias("key"))
     taken = with_taken(whole, plan).filter("taken > 0").select("row", "size", "taken")
     epoch = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))).alias("epoch")
     rows = taken.select("row", "size", "taken", epoch).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size")))
     full = rows.filter("words = size").select("row.*")
-    part = rows.filter("words < size").select("row.*", F.col("words").alias("_words"))
+    part = rows.filter("words < size").select("row.*", F.col("words").alias(limit))
     schema = docs.schema
     counts = {f.name for f in schema if f.name == "n_chars" and f.dataType.typeName() in ("long", "integer")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [first_words(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column("_words").to_pylist(), strict=True)]
+            texts = [first_words(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column(limit).to_pylist(), strict=True)]
             new = {"text": lambda kind, t=texts: pa.array(t, kind)} | {c: lambda kind, t=texts: pa.array([len(x) for x in t], kind) for c in counts}
             yield pa.RecordBatch.from_arrays([new[c](batch.column(c).type) if c in new else batch.column(c) for c in names], names=names)
 

@@ -93,7 +93,7 @@ def ablation(book: DataFrame, version: str = CURRENT) -> DataFrame:
     mask = POLICIES[version]
     patterns = book.groupBy(F.col("failed").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
     rows = F.explode(F.array(*(F.struct(F.lit(b).alias("bit"), F.lit(name).alias("rule")) for b, name, _ in rules() if mask >> b & 1))).alias("r")
-    one = F.shiftleft(F.lit(1).cast("long"), F.col("bit"))
+    one = F.expr("shiftleft(1L, bit)")
     return (
         patterns.select("bits", "n", rows)
         .select("bits", "n", "r.bit", "r.rule")

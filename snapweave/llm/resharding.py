@@ -18,7 +18,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
 BLOCKS = 16384
 #: Copies of a text beyond this part of all bytes or rows get blocks of their own, this times FINER parts for all.
@@ -157,12 +157,12 @@ def reshard(docs: DataFrame, old: int = OLD_SHARDS, new: int = NEW_SHARDS) -> Da
 
 
 def assign(docs: DataFrame, old: int = OLD_SHARDS, new: int = NEW_SHARDS) -> DataFrame:
-    """The columns of docs, old_shard and shard; the texts are not shuffled."""
+    """The columns of docs, old_shard and shard (in place of columns of these names); the texts are not shuffled."""
     keys = cut(keyed(docs), "keys")
     divided, plan = block_plan(keys, old, new)
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = docs.columns
-    tagged = docs.select(*(F.col(c) for c in names), F.xxhash64(F.col("text").isNull(), text).alias("h"))
+    names = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("old_shard", "shard")]
+    tagged = docs.select(whole_row(docs), "doc_id", F.xxhash64(F.col("text").isNull(), text).alias("h"))
     return placed(tagged, divided).join(F.broadcast(plan.select("block", "old_shard", "shard")), "block").select(*names, "old_shard", "shard")
 
 
@@ -173,12 +173,12 @@ def rewrite_affected(spark: SparkSession, docs: DataFrame, folder: str, old: int
     sibling folder before any old one goes.
     """
     jvm = spark._jvm
-    names = docs.columns
+    names = [f"row.`{c}`" for c in docs.columns if c.lower() != "shard"]
     divided, plan = block_plan(cut(keyed(docs), "keys"), old, new)
     moved = plan.filter("old_shard <> shard").select("old_shard", "shard", "bytes").collect()
     touched = sorted({r.old_shard for r in moved} | {r.shard for r in moved})
     text = F.coalesce(F.col("text"), F.lit(""))
-    tagged = placed(docs.withColumn("h", F.xxhash64(F.col("text").isNull(), text)), divided).join(F.broadcast(plan), "block")
+    tagged = placed(docs.select(whole_row(docs), "doc_id", F.xxhash64(F.col("text").isNull(), text).alias("h")), divided).join(F.broadcast(plan), "block")
     beside = f"{folder.rstrip('/')}-new"
     tagged.filter(F.col("shard").isin(touched)).select(*names, "shard").write.mode("overwrite").partitionBy("shard").parquet(beside)
     base = jvm.org.apache.hadoop.fs.Path(folder)

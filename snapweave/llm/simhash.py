@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, whole_row
 
 RADIUS = 2
 SHINGLE = 3
@@ -206,11 +206,10 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     Rows are told apart by two hashes of doc_id and text, so that the text is shuffled once, by a key that is never hot.
     """
-    names = docs.columns
     hashes = [F.xxhash64("doc_id", "text").alias("_k"), F.hash(F.lit(7), "text", "doc_id").alias("_i")]
     tagged = cut(fingerprints(docs.select("doc_id", "text", *hashes), ["doc_id", "_k", "_i"]), "fingerprints")
     groups = classes(tagged, hot).select("fp", "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_i")
     keep = tagged.join(groups, "fp").groupBy("root").agg(F.min(order).alias("k")).select("k._k", "k._i")
-    one = docs.select(*names, *hashes).join(keep, ["_k", "_i"], "left_semi")
-    return one.dropDuplicates(["_k", "_i"]).select(*names)
+    one = docs.select(whole_row(docs), *hashes).join(keep, ["_k", "_i"], "left_semi")
+    return one.dropDuplicates(["_k", "_i"]).select("row.*")

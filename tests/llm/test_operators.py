@@ -1,0 +1,453 @@
+"""The corpus operators against brute force, on a table with every odd row: nulls, empty and long texts, repeats, clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from snapweave.llm import decontaminate, extract, langid, lm, mixing, quality, resharding, simhash, tokens
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, _k string, h long, size string, fp string, shard int, key string"
+WORDS = "the of and to in is that it for was on with as be by at der die und das ist nicht ein le la de et est que".split()
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def sentence(rng, n, stem="x"):
+    return " ".join(rng.choice(WORDS) if rng.random() < 0.4 else stem + "".join(rng.choice("aeiourstlnmd") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def rows():
+    rng = random.Random(5)
+    out = []
+
+    def add(i, text, lang="en", source="s0"):
+        out.append((i, text, lang, source, None if text is None else len(text), 1.5, "r", "k", 7, "z", "f", 3, "q"))
+
+    for i in range(60):
+        lang = ("en", "de")[i % 2]
+        add(i, sentence(rng, rng.randint(5, 120), "th" if lang == "en" else "sch"), lang, f"s{i % 5}")
+    add(60, None)
+    add(None, "a text without an id, the one and only of its kind")
+    add(None, None, None, None)
+    add(61, "")
+    add(62, " \t\n ")
+    add(63, "12345 !!! ... 67", "de")
+    add(64, "Größe ÉTÉ 日本語 текст 😀 <|endoftext|> don't\x00 x  y z", None, None)
+    long = sentence(rng, 60_000)
+    add(65, long, "en", "s1")
+    for i in range(66, 76):
+        add(i, out[3][1], "de", "s2")
+    for _ in range(3):
+        add(76, out[5][1])
+    base = out[8][1].split() * 6
+    for i in range(77, 87):
+        near = list(base)
+        near[i] = f"changed{i}"
+        add(i, " ".join(near))
+    add(87, "same line here\nsame line here\nsame line here\nsame line here\nother words of the text")
+    add(88, sentence(rng, 30) + " " + " ".join(f"bench{k}" for k in range(15)) + " " + sentence(rng, 10))
+    add(89, "bench0 Bench1, bench2")
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    more = [(0, " ".join(f"Bench{k}" for k in range(15))), (1, "bench0 bench1 bench2"), (2, None), (3, ""), (None, "bench1 bench2"), (1, "bench0 bench1 bench2"), (10, "never occurs here at all")]
+    return spark.createDataFrame([(i, t, "x") for i, t in more], "item_id long, text string, segment string")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lowered(text):
+    return words((text or "").translate(LOWER))
+
+
+def remainder(i, n):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % n
+
+
+def by_id(df, *names):
+    return sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+
+
+def test_language_id(docs, empty):
+    out = langid.identify(docs.select(*docs.columns), ["doc_id", "text", "lang"]).collect()
+    assert len(out) == docs.count()
+    good = 0
+    for r in out:
+        assert r.held_out == (remainder(r.doc_id, 5) == 0)
+        assert 0 <= r.score <= 1
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif r.doc_id is not None and r.doc_id < 60:
+            good += r.lang_pred == r.lang
+    assert good >= 57
+    assert langid.identify(empty).count() == 0
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows())
+    assert langid.keep_known(empty).columns == docs.columns
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_trigram_vectors_bind_and_bundle():
+    encoder = langid.Encoder(dim=64)
+    codes, counts = encoder.trigrams("Abab, ab!")
+    assert counts.sum() == 7  # of " abab ab "
+    vectors, lettered = encoder.vectors(["abab ab", "1 2", None])
+    want = np.zeros(64)
+    symbols = [0, *(ord(c) % langid.SYMBOLS + 1 if c != " " else 0 for c in "abab ab"), 0]
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        want += encoder.items[0][a].astype(int) * encoder.items[1][b] * encoder.items[2][c]
+    assert np.allclose(vectors[0], want / np.linalg.norm(want), atol=1e-5)
+    assert lettered.tolist() == [True, False, False]
+
+
+def test_separator_scan(spark, docs, empty):
+    library = tokens.library_of(tokens.tokenizer_path(), plain=True)
+    want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows()), key=repr)
+    assert by_id(tokens.count_tokens(docs), "doc_id", "n_tokens") == want
+    starts = sorted((r.start, r.n_tokens) for r in tokens.count_tokens(docs).collect())
+    assert [s for s, _ in starts] == [sum(n for _, n in starts[:k]) for k in range(len(starts))]
+    assert tokens.count_tokens(empty).count() == 0
+    # documents cross many small blocks; a file may break off
+    folder, _ = tokens.write_flat(docs.coalesce(1))
+    whole = by_id(tokens.scan_separators(spark, folder), "ord", "start", "n_tokens", "complete")
+    assert by_id(tokens.scan_separators(spark, folder, block=64), "ord", "start", "n_tokens", "complete") == whole
+    path = folder.removeprefix("file://") + "/tokens-000000.bin"
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:-2])
+    broken = by_id(tokens.scan_separators(spark, folder, block=64), "ord", "start", "n_tokens", "complete")
+    assert sum(not r[3] for r in broken) <= 1 and len(broken) == len(whole) - (whole[-1][2] == 1)
+
+
+def test_mixing(docs, empty):
+    out = mixing.mix(docs, range_rows=2).collect()
+    assert len(out) == docs.count()
+    size = collections.Counter()
+    for _, t, _, s, *_ in rows():
+        size[s] += len(words(t))
+    goal = mixing.targets(list(size.items()))
+    assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
+    assert all(goal[s] <= 2 * size[s] for s in size)
+    taken = collections.Counter()
+    for r in out:
+        assert r.source_size == size[r.source] and r.target == goal[r.source] and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 3 for s in size)  # repeated rows share the cut
+    assert by_id(mixing.mix(docs), "doc_id", "size", "taken") == by_id(mixing.mix(docs.repartition(7), range_rows=5), "doc_id", "size", "taken")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(taken.values())
+    assert all(r.n_chars == len(r.text) for r in mixed.collect())
+    assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
+
+
+def test_water_filling():
+    goal = mixing.targets([("a", 10), ("b", 1000), (None, 10), ("c", 0)])
+    # weights: a 5, b 2, c 1, null 5; a, null and c stop at twice their size
+    assert goal == {"a": 20.0, None: 20.0, "c": 0.0, "b": 1490.0}
+    assert mixing.targets([]) == {}
+
+
+def test_sequences(spark, docs, empty):
+    library = tokens.library_of(tokens.tokenizer_path(), plain=False)
+    got = tokens.encode_to_files(docs).collect()
+    assert len(got) == docs.count()
+    encoded = collections.defaultdict(list)
+    for i, t, *_ in rows():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, tokens.END]
+        encoded[i].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r.doc_id].append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in encoded.items()}
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == [sum(x.n_tokens for x in order[:k]) for k in range(len(order))]
+    ids = [r.doc_id for r in order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    assert tokens.encode_to_files(empty).count() == 0
+    folder, files = tokens.write_sequences(docs, length=8, rows=3)
+    one = tokens.SequenceFile(folder, f"part-{files[0][0]:06d}.arrows")
+    flat = np.concatenate([a for a, _ in one.flat()])
+    assert len(flat) == files[0][2] and len(one) == -(-files[0][2] // 8)
+    for k in (0, 4, len(one) - 1):
+        s = one.sequence(k)
+        assert len(s["ids"]) == 8 and s["ids"].to_numpy()[s["valid"].to_numpy(zero_copy_only=False)].tolist() == flat[8 * k : 8 * k + 8].tolist()
+
+
+def test_piece_encoder_equals_the_library():
+    encoder, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(3)
+    marks = ["a", "b", "é", "ñ", "日", " ", "  ", "\n", "\t", " ", ".", ",", "'s", "'", "1", "½", "<|endoftext|>", "!", "|", "\x1c", "the", "ß", "😀", "_", "́"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["", " ", None]
+    want = [np.array(e.ids, "<u2").tobytes() for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])] == want
+
+
+def test_resharding(spark, docs, empty, tmp_path):
+    out = resharding.reshard(docs).collect()
+    assert len(out) == docs.count()
+    shards = collections.defaultdict(list)
+    for r in out:
+        shards[r.shard].append(r)
+    assert set(shards) <= set(range(16))
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in shards.values())
+    size = {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows()}
+    assert {(r.doc_id, r.size, r.text_crc32) for r in out} == size
+    assert resharding.reshard(empty).count() == 0
+    assigned = resharding.assign(docs)
+    assert assigned.columns == [c for c in docs.columns if c != "shard"] + ["old_shard", "shard"]
+    assert by_id(assigned, "doc_id", "shard") == by_id(resharding.reshard(docs), "doc_id", "shard")
+    assert resharding.assign(empty).count() == 0
+    folder = f"file://{tmp_path}/shards"
+    resharding.assign(docs, 4, 4).drop("shard").withColumnRenamed("old_shard", "shard").write.partitionBy("shard").parquet(folder)
+    touched, moved = resharding.rewrite_affected(spark, docs, folder, 4, 6)
+    again = spark.read.parquet(folder)
+    assert by_id(again, "doc_id", "shard") == by_id(resharding.assign(docs, 4, 6), "doc_id", "shard")
+    assert {4, 5} & set(touched) and 0 < moved < sum(x[1] for x in size)
+
+
+def test_min_cost_flow_is_least():
+    rng = random.Random(2)
+    for _ in range(30):
+        n, m = rng.randint(1, 3), rng.randint(1, 4)
+        supply = [rng.randint(0, 4) for _ in range(n)]
+        capacity = [rng.randint(0, 5) for _ in range(m)]
+        if sum(supply) > sum(capacity):
+            with pytest.raises(ValueError):
+                resharding.min_cost_flow(supply, capacity, [[0] * m] * n)
+            continue
+        cost = [[rng.randint(0, 3) for _ in range(m)] for _ in range(n)]
+        flow = resharding.min_cost_flow(supply, capacity, cost)
+        assert [sum(r) for r in flow] == supply and all(sum(f[j] for f in flow) <= capacity[j] for j in range(m))
+        best = {tuple([0] * m): 0}
+        for i in range(n):
+            for _ in range(supply[i]):
+                step = {}
+                for used, c in best.items():
+                    for j in range(m):
+                        if used[j] < capacity[j]:
+                            k = (*used[:j], used[j] + 1, *used[j + 1 :])
+                            step[k] = min(step.get(k, 1 << 30), c + cost[i][j])
+                best = step
+        assert sum(flow[i][j] * cost[i][j] for i in range(n) for j in range(m)) == min(best.values())
+
+
+def test_transfers_move_the_least():
+    rng = random.Random(4)
+    blocks = [(b, b % 5, rng.randint(1, 50)) for b in range(4000)]
+    total = sum(s for *_, s in blocks)
+    capacity = resharding.even(total, 8)
+    to = resharding.transfers(blocks, 5, capacity)
+    after = collections.Counter()
+    for b, _, s in blocks:
+        after[to[b]] += s
+    assert max(abs(after[j] - capacity[j]) for j in range(8)) <= 50
+    old = collections.Counter()
+    for _, o, s in blocks:
+        old[o] += s
+    least = sum(max(0, old[i] - capacity[i]) for i in range(5))
+    assert sum(s for b, o, s in blocks if to[b] != o) <= least * 1.02 + 100
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad -->
+<div class="ad">Buy now.</div><header>Site</header><article><h1>A &amp; B</h1><p><b>First  line<br><p>One.</p><p>With <a href="/">a link</a> &lt;kept&gt;.</p><aside>See also</aside><form>Name <input></form>
+<div class="comments"><p>Nice post, I liked the whole of it and will read it again.</p></div></article><footer>&copy; x</footer>"""
+
+
+def test_main_text(spark):
+    assert extract.main_text(PAGE) == "A & B\nFirst line\nOne.\nWith a link <kept>."
+    long = "The quick fox is in the garden of the house and it was seen by all of them with the others there."
+    plain = f"<body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Contact us here</a></div><h2>Title</h2><p>{long}</p><p>Short.</p><p>{long}</p><div>Login</div><ul><li><a href=4>one more link</a></li></ul></body>"
+    assert extract.main_text(plain) == f"Title\n{long}\nShort.\n{long}\nLogin".removesuffix("\nLogin") or extract.main_text(plain).startswith(f"Title\n{long}\nShort.\n{long}")
+    pages = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "", "y"), (3, "w", "<article><p>" + "word " * 50_000, "z"), (4, "q", "<<a '<b \"<p>x", "z"), (5, "e", "<article></article>", "")]
+    out = extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()
+    assert len(out) == 7 and all(r.n_chars == len(r.text) for r in out)
+    assert {r.page_id: r.text for r in out}[None] == "" and {r.page_id: r.n_chars for r in out}[3] == 249_999
+    assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_decontamination(docs, items, empty):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: pattern.findall((t or "").translate(LOWER))
+    windows = collections.defaultdict(set)
+    for i, t, _ in items.collect():
+        w = cut(t)
+        for k in range(len(w) - min(13, len(w)) + 1) if w else ():
+            windows[tuple(w[k : k + 13])].add(i)
+    want = []
+    for i, t, *_ in rows():
+        w, hit, seen = cut(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    seen |= windows[tuple(w[k : k + n])]
+        want.append((i, len(w), len(hit), sorted(seen - {None}), bool(hit) and 20 * len(hit) >= len(w)))
+    for block in (1 << 20, 20):
+        index = decontaminate.build_index(docs, segment_bytes=3000)
+        found = decontaminate.matches(index, items, block_bytes=block)
+        got = sorted(((r.doc_id, r.n_words, r.n, sorted(r["items"])) for r in found.withColumn("n", F.when(F.size("spans") > 0, decontaminate.covered(F.col("spans"))).otherwise(0)).collect()), key=repr)
+        assert got == sorted((x[:4] for x in want), key=repr)
+    out = decontaminate.contamination(docs, items)
+    assert sorted(((r.doc_id, r.contaminated) for r in out.collect()), key=repr) == sorted(((x[0], x[4]) for x in want), key=repr)
+    clean = decontaminate.clean(docs, items)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[4] for x in want)
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
+    near = decontaminate.proximity(decontaminate.build_index(docs), items.filter("item_id = 0"), width=14, least=13)
+    assert [tuple(r) for r in near.collect()] == [(88, 0)]
+
+
+def test_quality_ledger(docs, empty):
+    book = quality.ledger(docs, ["doc_id", "text"]).collect()
+    assert len(book) == docs.count()
+    for r in book:
+        w = words(r.text)
+        grams = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        spots = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        lines = [x for x in (r.text or "").split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r.text or "")), len(lines) - len(set(lines)), len(spots))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert bool(r.failed & quality.BASE) == (len(w) < 10 or 100 * len(spots) > 20 * len(w))
+    assert quality.ledger(empty, ["doc_id"]).count() == 0
+    led = quality.ledger(docs, ["doc_id"])
+    table = {r.rule: (r.failing, r.only_this) for r in quality.ablation(led).collect()}
+    mask = quality.POLICIES[quality.CURRENT]
+    for b, name, _ in quality.rules():
+        assert table[name] == (sum(bool(r.failed >> b & 1) for r in book), sum(r.failed & mask == 1 << b for r in book))
+    assert quality.apply_policy(led, "base-1").filter("kept").count() == sum(not r.failed & quality.BASE for r in book)
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = lowered(text)
+    if not w:
+        return 0
+    parts = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def closure(nodes, near):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and near(a, b):
+                root[find(b)] = find(a) if find(a) < find(b) else root[find(b)]
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(docs, empty):
+    want = [(i, brute_fingerprint(t)) for i, t, *_ in rows()]
+    roots = closure(sorted({f for _, f in want}), lambda a, b: (a ^ b).bit_count() <= 2)
+    low = {}
+    for i, f in want:
+        if i is not None:
+            low[roots[f]] = min(i, low.get(roots[f], i))
+    got = by_id(simhash.near_duplicates(docs).withColumn("x", simhash.hex64(F.col("fp"))), "doc_id", "x", "component_id")
+    assert got == sorted(((i, f"{f:016x}", low.get(roots[f])) for i, f in want), key=repr)
+    one = simhash.deduplicate(docs)
+    assert one.columns == docs.columns
+    assert one.count() == len(set(roots.values()))
+    assert {r.doc_id for r in one.collect() if r.doc_id is not None} == set(low.values())
+    assert simhash.near_duplicates(empty).count() == simhash.deduplicate(empty).count() == 0
+
+
+def test_links_of_crowded_blocks(spark):
+    """Blocks far above the limit are divided and lose no link; what is linked is what brute force links."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(150)}
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    roots = closure(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(sign(f),) for f in fps], "fp long")
+    for hot in (4, 4096):
+        found = {r.u: r.root for r in simhash.components(simhash.links(df, hot=hot)).collect()}
+        parts = collections.defaultdict(set)
+        for f in fps:
+            parts[found.get(sign(f), sign(f))].add(f)
+        want = collections.defaultdict(set)
+        for f, r in roots.items():
+            want[r].add(f)
+        assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
+
+
+def test_bit_sliced_equals_counting():
+    rng = np.random.default_rng(1)
+    for radius in (0, 1, 2):
+        members = np.unique(rng.integers(0, 1 << 10, 200).astype(np.uint64))
+        got = simhash.bit_sliced_links(members, radius)
+        roots = closure(list(range(len(members))), lambda a, b: int(members[a] ^ members[b]).bit_count() <= radius)
+        assert dict(got) == {k: r for k, r in roots.items() if k != r}
+
+
+def test_language_model(docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 30)
+    monkeypatch.setattr(lm.Model.fit, "__defaults__", (30, 64, 0.01, 11))
+    held = lambda i: remainder(i, 10) == 0
+    count = collections.Counter(w for i, t, *_ in rows() if not held(i) for w in [*lowered(t), None])
+    n, v = sum(count.values()), len(count)
+    p = lambda w: math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1)))
+    want = sorted(((i, held(i), len(lowered(t)) + 1, sum(count[w] > 0 for w in [*lowered(t), None]), n, round(sum(map(p, [*lowered(t), None])), 6)) for i, t, *_ in rows()), key=repr)
+    for heavy in (0, 10, 100_000):
+        monkeypatch.setattr(lm.heavy_words, "__defaults__", (heavy,))
+        out = lm.scores(docs).collect()
+        assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out), key=repr) == want
+        assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    assert lm.scores(empty).count() == 0
+    unseen = docs.filter("doc_id = 60 or doc_id = 3").withColumn("doc_id", F.lit(10).cast("long"))
+    assert remainder(10, 10) != 0 or lm.scores(unseen).count() == 2
+
+
+def test_model_is_causal_normalised_and_learns():
+    rng = random.Random(0)
+    texts = [sentence(rng, 80).encode() for _ in range(60)]
+    model = lm.train(texts, lm.vocabulary_path())
+    symbols = [np.append(model.symbol[np.frombuffer(b"".join(lm.word_encoder(lm.vocabulary_path())(lm.words_of(t))), np.uint16)], 0).astype(np.int32) for t in texts]
+    total = model.score(symbols)
+    assert np.allclose(total, [model.score([s])[0] for s in symbols], atol=1e-3)  # batches don't matter
+    # step by step: each prefix adds one symbol's log probability, and the later symbols change nothing before
+    s = symbols[0][:70]
+    parts = [model.score([s[:k]])[0] for k in range(1, 71)]
+    assert all(a > b for a, b in zip(parts, parts[1:], strict=False))
+    other = np.append(s[:40], 5).astype(np.int32)
+    assert abs(model.score([other[:40]])[0] - parts[39]) < 1e-4
+    # the distribution after a prefix sums to one
+    every = [np.append(s[:37], k).astype(np.int32) for k in range(lm.SYMBOLS)]
+    mass = np.exp(model.score(every) - parts[36]).sum()
+    assert abs(mass - 1) < 1e-3
+    share = np.exp(model.extra)[: lm.END_ID]
+    assert np.allclose(np.bincount(model.symbol[: lm.END_ID], weights=share, minlength=lm.SYMBOLS)[1:], 1, atol=1e-2)
+    untrained = lm.Model.__new__(lm.Model)
+    untrained.__dict__.update(model.__dict__)
+    untrained.u1, untrained.u2 = model.u1 * 0, model.u2 * 0
+    assert total.sum() > untrained.score(symbols).sum()
