@@ -15,7 +15,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES, manage
     """Entries (path, kind, oid, byte_length) and problems (path, kind) of the files under root.
 
     Too large files, unsafe paths and second spellings of a path are problems, never entries. managed (path) restricts the
-    scan; files outside of it are left out before they are read.
+    scan; files outside of it are left out before they are read. Spark's file sources don't list names that begin with a dot
+    or an underscore, so these are in neither result.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":", 1)[-1].replace("//", "/").rstrip("/") + "/"
