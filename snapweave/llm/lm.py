@@ -268,16 +268,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over all words of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        import pyarrow.compute as pc
+
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            sums = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            return pa.table({"word": sums["word"].cast(pa.binary()), "c": sums["c_sum"]}) if sums.num_rows else pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
+
         for batch in batches:
-            for _, texts in runs(batch, 0):
-                seen.update(b" ".join(filter(None, texts)).lower().split())
-                if len(seen) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+            for i in range(0, batch.num_rows, 256):
+                split = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0).slice(i, 256))))
+                seen = split.filter(pc.greater(pc.binary_length(split), 0)).value_counts()
+                held.append(pa.table({"word": seen.field(0), "c": seen.field(1)}))
+                if sum(t.num_rows for t in held) > 1_000_000:
+                    yield from merged().combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from merged().combine_chunks().to_batches()
+
+    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def heavy_words(counts: DataFrame, most: int = HEAVY) -> tuple[dict[bytes, int], int]:
