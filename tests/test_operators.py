@@ -278,3 +278,46 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {r.session_id: tuple(r) for r in observer.observe_batch(spark.createDataFrame(logs, schema)).collect()}
     assert seen[1] == want[1] and seen[2] == want[2]
     assert seen[0] == (0, 4, 3, 3, 1)  # the entry that came late is counted, not merged
+
+
+def test_planners(spark, tmp_path):
+    import subprocess
+
+    from snapweave.operators import planning
+    from snapweave.sources import ignore
+
+    df = spark.createDataFrame([("d", k, n) for k, n in (("a", 4), ("b", 5), ("c", 2), ("e", 30), ("f", 1))], "class string, key string, length long")
+    assert [r.batch for r in planning.batches(df, 10).orderBy("key").collect()] == [0, 0, 1, 2, 3]
+    base = lcg(16 << 10)
+    edits = [base[:4000] + b"12345678" + base[4008:], base[:12000] + b"abcdefgh" + base[12008:]]
+    ranked = [("src/value.ts", c, k, n, bytes(b)) for c, k, n, b in (("base", 1, 5, base), ("first", 2, 1, edits[0]), ("second", 3, 1, edits[1]), ("other", 4, 1, lcg(16 << 10, 5)))]
+    for order in (ranked, ranked[::-1]):
+        got = planning.anchors(spark.createDataFrame(order, "path string, content_id string, rank long, n long, content binary"))
+        assert {r.content_id for r in got.collect()} == {"base", "other"}
+    coordinate = "session_id long, entry_id long, stable_parent_id long, ord long"
+    source = spark.createDataFrame([(1, 10, None, 0), (1, 11, 10, 1), (1, 12, 11, 2), (1, 13, 10, 3)], coordinate)
+    fork = spark.createDataFrame([(2, 1, 10, None, 0), (2, 1, 13, 10, 1), (2, 1, 12, 11, 2), (2, 1, 14, 13, 3)], "session_id long, source_session long, entry_id long, stable_parent_id long, ord long")
+    assert rows(planning.proven(source, fork)) == [(2, 10), (2, 13)]
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "id string, offset long")
+    assert planning.index_differences(one, one).count() == 0 and planning.index_differences(one, one.limit(1)).count() == 1
+    packs = spark.createDataFrame([("p", 0, "x", None), ("p", 1, "y", 1), ("q", 0, "z", 3)], "pack_id string, ordinal long, logical_id string, back long")
+    assert rows(planning.delta_chain(packs)) == [("p", "y", "x"), ("q", "z", None)]
+    have = spark.createDataFrame([(".gitignore", "1"), ("a/.GitIgnore", "2"), ("b/.gitignore", "3"), ("x", "9")], "path string, oid string")
+    kept = spark.createDataFrame([(".gitignore", "1"), ("a/.gitignore", "7"), ("c/.gitignore", "5")], "path string, oid string")
+    assert rows(planning.scope_bindings(have, kept)) == [("not-archived", "b/.gitignore"), ("not-managed", "c/.gitignore"), ("other-content", "a/.GitIgnore")]
+    assert planning.at_most(one, 2).count() == 2
+    with pytest.raises(Exception, match="more than 1 rows"):
+        planning.at_most(one, 1).collect()
+    risk = spark.createDataFrame([(None,), ("2.1",), ("2.2",)], "v string").select(planning.replay_risk(F.col("v"), F.lit("2.2")))
+    assert [r[0] for r in risk.collect()] == ["legacy-unattested", "version-mismatch", "none"]
+    layer = lambda *x: spark.createDataFrame(list(x), "name string, value string")
+    assert rows(planning.overlay(layer(("a", "1"), ("b", "2")), layer(("a", "3"), ("z", "4")), layer(("b", None)))) == [("a", "3"), ("b", "2")]
+    edges = spark.createDataFrame([("r", 0, "n", "node"), ("r", 1, "c3", "chunk"), ("n", 0, "c1", "chunk"), ("n", 1, "c2", "chunk"), ("loop", 0, "loop", "node")], "parent_id string, ord long, child_id string, kind string")
+    root = lambda n: spark.createDataFrame([("x", n)], "content_id string, node_id string")
+    assert rows(planning.flatten_recipes(root("r"), edges)) == [("x", 0, "c1"), ("x", 1, "c2"), ("x", 2, "c3")]
+    with pytest.raises(ValueError):
+        planning.flatten_recipes(root("loop"), edges)
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\nbuild/\n")
+    asked = spark.createDataFrame([("a.log",), ("keep.log",), ("build/x",), ("src/y",)], "path string")
+    assert {r.path: r.managed for r in ignore.managed(asked, str(tmp_path)).collect()} == {"a.log": False, "keep.log": True, "build/x": False, "src/y": True}
