@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from snapweave.llm import decontaminate, langid, mixing, resharding, simhash
-from test_operators import SCHEMA, rows  # noqa: F401  the same odd rows
+from test_corpus import SCHEMA, rows  # noqa: F401  the same odd rows
 
 
 @pytest.fixture(scope="module")
