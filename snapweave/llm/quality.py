@@ -42,12 +42,15 @@ CURRENT = "strict-2"
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, and the measurements of each text. The stages are separate projections, so that each array is built once."""
+    # always true, but not to the optimizer: a filter on the ledger would else be moved below these projections, and the arrays
+    # inside its lambdas be built anew for each element
+    fixed = F.monotonically_increasing_id() >= 0
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.select(*keep, text.alias("_t"), word_array(F.col("text")).alias("_w"))
     n = F.size("_w")
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     grams = F.when(n >= GRAM, F.transform(F.slice("_w", 1, n - (GRAM - 1)), lambda _, i: F.xxhash64(F.slice("_w", i + 1, GRAM))))
-    parts = tokens.select(*keep, n.cast("long").alias("n_words"), F.array_join("_w", "").alias("_j"), lines.alias("_l"), grams.alias("_g"))
+    parts = tokens.select(*keep, n.cast("long").alias("n_words"), F.array_join("_w", "").alias("_j"), lines.alias("_l"), F.when(fixed, grams).alias("_g"))
     size = lambda c: F.char_length(c).cast("long")
     counted = parts.select(
         *keep,
@@ -58,12 +61,12 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
         size(F.regexp_replace("_j", r"\P{Lu}+", "")).alias("n_upper"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("_g")) < F.size("_g"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))).alias("_s"),
+        F.when(fixed & (F.size(F.array_distinct("_g")) < F.size("_g")), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))).alias("_s"),
     )
     equal = lambda x, i, d: x["h"] == F.get("_s", i + d)["h"]
     held = [c for c in counted.columns if c != "_s"]
     spots = F.sort_array(F.transform(F.filter("_s", lambda x, i: equal(x, i, -1) | equal(x, i, 1)), lambda x: x["p"]))
-    placed = counted.select(*held, spots.alias("_p"))
+    placed = counted.select(*held, F.when(fixed, spots).alias("_p"))
     cover = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(GRAM), F.coalesce(F.get("_p", i + 1) - p, F.lit(GRAM)))), F.lit(0), lambda a, x: a + x)
     return placed.select(*held, F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"))
 
