@@ -28,8 +28,8 @@ def projection(entries: DataFrame) -> DataFrame:
     return entries.select("session_id", "entry_id", kind.alias("coordinate"), landing.alias("landing"), (F.col("type") == "branch_summary").alias("summary"))
 
 
-def stable_graph(entries: DataFrame) -> DataFrame:
-    """session_id, entry_id, stable_parent_id, ord for the entries that aren't transparent."""
+def skips(entries: DataFrame) -> DataFrame:
+    """session_id, via, next: for each transparent entry, the nearest stable one above it, or null."""
     skip = entries.filter(transparent()).select("session_id", F.col("entry_id").alias("via"), F.col("parent_id").alias("next"))
     skip = written(skip, "skip")
     while True:
@@ -38,9 +38,13 @@ def stable_graph(entries: DataFrame) -> DataFrame:
         done = step.filter("moved").isEmpty()
         skip = step.drop("moved")
         if done:
-            break
+            return skip
+
+
+def stable_graph(entries: DataFrame) -> DataFrame:
+    """session_id, entry_id, stable_parent_id, ord for the entries that aren't transparent."""
     own = entries.filter(~transparent())
-    both = own.join(skip.select("session_id", F.col("via").alias("parent_id"), "next", F.lit(True).alias("t")), ["session_id", "parent_id"], "left")
+    both = own.join(skips(entries).select("session_id", F.col("via").alias("parent_id"), "next", F.lit(True).alias("t")), ["session_id", "parent_id"], "left")
     return both.select("session_id", "entry_id", F.when(F.col("t"), F.col("next")).otherwise(F.col("parent_id")).alias("stable_parent_id"), "ord")
 
 

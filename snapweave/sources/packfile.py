@@ -16,7 +16,8 @@ VERSION = 1
 
 
 def encode(records: list[tuple[str, bytes]]) -> bytes:
-    """records: (64 hex digits, payload), each id once. Frames in id order, then the footer, its offset and a digest of it all."""
+    """records: (64 hex digits, payload), each id once. Frames in id order, then the footer with its own digest, its offset and a
+    digest of it all."""
     if len({i for i, _ in records}) < len(records):
         raise ValueError("an id is given twice")
     out, footer = bytearray(MAGIC + bytes([VERSION]) + varint(len(records))), bytearray()
@@ -25,22 +26,37 @@ def encode(records: list[tuple[str, bytes]]) -> bytes:
         footer += bytes.fromhex(key) + varint(len(out)) + varint(len(frame))
         out += frame
     at = len(out)
-    out += footer + at.to_bytes(8, "big")
+    out += footer + hashlib.sha256(footer).digest() + at.to_bytes(8, "big")
     return bytes(out + hashlib.sha256(out).digest())
 
 
 def footer(data: bytes) -> list[tuple[str, int, int]]:
-    """(id, offset, length) of each record, after the digest is checked."""
-    if data[:5] != MAGIC + bytes([VERSION]) or hashlib.sha256(data[:-32]).digest() != data[-32:]:
+    """(id, offset, length) of each record, after the digest of the whole pack is checked."""
+    if hashlib.sha256(data[:-32]).digest() != data[-32:]:
         raise ValueError("not an intact pack")
-    count, _ = read_varint(data, 5)
-    at, out = int.from_bytes(data[-40:-32], "big"), []
+    return footer_of(pa.BufferReader(data))
+
+
+def footer_of(file) -> list[tuple[str, int, int]]:
+    """The same from the head and the footer of an open file alone, after the footer's digest is checked."""
+    size = file.size()
+    if size < 78:
+        raise ValueError("not a pack")
+    head = file.read_at(16, 0)
+    at = int.from_bytes(file.read_at(8, size - 40), "big")
+    if head[:5] != MAGIC + bytes([VERSION]) or at > size - 72:
+        raise ValueError("not a pack")
+    data = file.read_at(size - 40 - at, at)
+    if hashlib.sha256(data[:-32]).digest() != data[-32:]:
+        raise ValueError("the footer is damaged")
+    count, _ = read_varint(head, 5)
+    spot, out = 0, []
     for _ in range(count):
-        key = data[at : at + 32].hex()
-        offset, at = read_varint(data, at + 32)
-        length, at = read_varint(data, at)
+        key = data[spot : spot + 32].hex()
+        offset, spot = read_varint(data, spot + 32)
+        length, spot = read_varint(data, spot)
         out.append((key, offset, length))
-    if at != len(data) - 40:
+    if spot != len(data) - 32:
         raise ValueError("trailing bytes")
     return out
 

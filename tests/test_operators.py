@@ -321,3 +321,109 @@ def test_planners(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log\n!keep.log\nbuild/\n")
     asked = spark.createDataFrame([("a.log",), ("keep.log",), ("build/x",), ("src/y",)], "path string")
     assert {r.path: r.managed for r in ignore.managed(asked, str(tmp_path)).collect()} == {"a.log": False, "keep.log": True, "build/x": False, "src/y": True}
+
+
+def test_sessions(spark):
+    from snapweave.operators import sessions
+
+    schema = "session_id long, entry_id long, parent_id long, ord long, type string, role string"
+    old = spark.createDataFrame([(1, 1, None, 0, "message", "user"), (1, 2, 1, 1, "label", None), (1, 3, 2, 2, "message", None)], schema)
+    new = old.unionByName(spark.createDataFrame([(1, 4, 3, 3, "label", None), (1, 5, 4, 4, "message", None), (1, 6, 1, 5, "branch_summary", None), (1, 7, None, 6, "message", None)], schema))
+    assert rows(sessions.landings(new)) == [(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 3), (1, 5, 5), (1, 6, 6), (1, 7, 7)]
+    claims = spark.createDataFrame([(1, 3, 5), (1, 1, 5), (1, 1, 6), (1, 2, 5), (1, 1, 3), (1, None, 7), (1, None, 5), (1, 3, 4)], "session_id long, ancestor_id long, descendant_id long")
+    assert {(r[1], r[2]) for r in rows(sessions.natural_descent(old, new, claims)) if r[3]} == {(3, 5), (1, 6), (None, 7)}
+    lost = new.filter("entry_id <> 3")
+    assert not [r for r in rows(sessions.natural_descent(old, lost, claims)) if r[3]]
+    event = "session_id long, event_id long, old_leaf long, new_leaf long, leaf long, expected_old long, expected long, summary_id long, summary_parent long"
+    came = [(1, 0, 5, 3, 3, 5, 3, None, None), (1, 1, 5, 4, 4, 5, 3, None, None), (1, 2, 5, 3, 3, 9, 3, None, None), (1, 3, 5, 6, 6, 5, 1, 6, 1), (1, 4, 5, 6, 6, 5, 3, 6, 1), (1, 5, 5, 3, 3, 5, 1, 3, 2), (1, 6, 5, None, None, 5, None, None, None), (1, 7, 5, 99, 99, 5, None, None, None)]
+    got = {r.event_id: (r.kind, r.landing_id) for r in sessions.arrivals(spark.createDataFrame(came, event), new).collect()}
+    no = ("rejected", None)
+    assert got == {0: ("direct", 3), 1: ("direct", 3), 2: no, 3: ("summary", 6), 4: no, 5: no, 6: ("direct", None), 7: no}
+    at = "session_id long, pos long, entry_id long, stable_parent_id long, type string, role string"
+    short = spark.createDataFrame([(1, 0, 1, None, "message", "user"), (2, 0, 1, None, "message", None), (3, 0, 1, None, "x", None)], at)
+    long_ = spark.createDataFrame([(1, 0, 1, None, "message", "user"), (1, 1, 2, 1, "message", None), (2, 0, 1, 4, "message", None)], at)
+    assert rows(sessions.coordinates_extend(short, long_)) == [(1, True), (2, False), (3, False)]
+
+
+@pytest.mark.parametrize("change, want", [
+    ({}, ("inherit", None)), ({"registered": True}, ("present", None)), ({"claim": "independent"}, ("fresh", None)), ({"claim": "indeterminate"}, ("retry", None)),
+    ({"claim": "rejected", "reason": "source-store-missing"}, ("quarantine", "source-store-missing")), ({"identity": "conflict"}, ("quarantine", "source-registration-conflict")),
+    ({"verified": False}, ("quarantine", "source-registration-unverified")), ({"again": "parent-graph-rewritten"}, ("quarantine", "parent-graph-rewritten")),
+    ({"unchanged": False}, ("quarantine", "parent-claim-changed")), ({"exact": False}, ("quarantine", "source-projection-invalid")), ({"identity": "absent"}, ("quarantine", "source-registration-absent")),
+    ({"local": False}, ("import", None)), ({"local": False, "self": True}, ("quarantine", "source-registration-conflict")), ({"local": False, "isolated": False}, ("quarantine", "unsafe-source-topology")),
+])
+def test_registration(spark, change, want):
+    from snapweave.operators import sessions
+
+    claim = {"session_id": 1, "registered": False, "claim": "observed", "reason": None, "local": True, "identity": "exact", "verified": True, "again": None, "unchanged": True, "exact": True, "self": False, "isolated": True}
+    schema = "session_id long, registered boolean, claim string, reason string, local boolean, identity string, verified boolean, again string, unchanged boolean, exact boolean, self boolean, isolated boolean"
+    got = sessions.registration(spark.createDataFrame([tuple((claim | change).values())], schema)).first()
+    assert (got.disposition, got.reason) == want and (got.reason is None or got.reason in sessions.REASONS)
+
+
+def test_materialize(spark):
+    from snapweave.operators import sessions
+
+    table = spark.createDataFrame([(1, 1, oid("a"), "open"), (1, 2, None, "blocked")], "session_id long, entry_id long, tree_oid string, capture_state string")
+    asked = spark.createDataFrame([(1, k, how, oid("n")) for k in (1, 2, 3) for how in ("initialise-fresh", "adopt-protected")], "session_id long, entry_id long, intent string, oid string")
+    got = {(r.entry_id, r.op): r.outcome for r in sessions.materialize(asked, table).collect()}
+    assert got == {(1, "capture"): "slot-changed", (2, "capture"): "capture-blocked", (3, "capture"): "applied", (1, "adopt"): "not-blocked-missing", (2, "adopt"): "applied", (3, "adopt"): "not-blocked-missing"}
+    times = spark.createDataFrame([(100, 40, 60), (100, 41, 60), (100, None, 60), (100, 0, 0)], "now long, last long, every long")
+    assert [r[0] for r in times.select(sessions.due(F.col("now"), F.col("last"), F.col("every"))).collect()] == [True, False, True, False]
+
+
+def test_compaction(spark):
+    from snapweave.operators import compaction
+
+    df = spark.createDataFrame
+    tried = df([("t", "b", 5), ("t", "a", 5), ("t", "c", 9), ("u", "a", None)], "target_id string, base_id string, payload_bytes long")
+    assert rows(compaction.best_bases(tried)) == [("t", "a", 5)]
+    packs = df([("d", "p", 900), ("d", "q", 500), ("d", "r", 500)], "class string, pack_id string, size long")
+    assert rows(compaction.opportunistic_source(packs, df([("d", 1000)], "class string, target long"))) == [("d", "q")]
+    keys = df([("a",), ("b",), ("c",), ("x",)], "key string")
+    size = compaction.decoded_lengths(keys, df([("a", 4), ("b", 3), ("a", 6), ("z", 9)], "key string, decoded_length long"), df([("c", 20), ("b", 2)], "key string, decoded_length long"))
+    assert rows(size) == [("a", 6), ("b", 3), ("c", 20), ("x", None)]
+    needs = df([("p", "a"), ("p", "b"), ("q", "b"), ("q", "c"), ("r", "x")], "pack_id string, key string")
+    kept, whole = compaction.bound_decoded(needs, size, 10)
+    assert rows(kept) == [("a",), ("b",)] and rows(whole) == [("p",)]
+    added = df([("p", "a"), ("p", "b"), ("q", "c")], "pack_id string, key string")
+    deltas = df([("a", "t", 300), ("b", "t", 200), ("c", "a", 900), ("a", "b", 900), ("s", "c", 10), ("w", "c", -5)], "base_key string, target_key string, saved long")
+    judged = compaction.rewrite_savings(df([("p", 800), ("q", 50), ("n", 1)], "pack_id string, size long"), added, deltas.filter("base_key <> 'b'"))
+    assert rows(judged) == [("n", 0, False), ("p", 300, True), ("q", 10, False)]
+    left, stay = compaction.prune(df([("a",), ("b",), ("c",), ("k",)], "key string"), df([("p", "a"), ("q", "c"), ("z", "k")], "pack_id string, key string"), added, judged)
+    assert rows(left) == [("a",), ("b",), ("k",)] and rows(stay) == [("p",), ("z",)]
+    group = df([("p", "a", 4), ("q", "a", 4), ("q", "b", 5)], "pack_id string, key string, decoded_length long")
+    one = df([("b",)], "key string")
+    assert rows(compaction.extend_with_tier(one, group, 6, 10)) == [("a",), ("b",)]
+    assert rows(compaction.extend_with_tier(one, group, 7, 10)) == [("b",)] == rows(compaction.extend_with_tier(one, group, 0, 10, most=1))[0:1]
+    with pytest.raises(Exception, match="differ"):
+        compaction.extend_with_tier(one, group.withColumn("decoded_length", F.expr("decoded_length + cast(pack_id = 'q' as long)")), 0, 100).collect()
+    records = df([("d", k, 4) for k in "abcdef"], "class string, key string, length long")
+    bases = df([("f", "a")], "target_id string, base_id string")
+    for order in (records, records.orderBy(F.desc("key"))):
+        placed, facts = compaction.plan(order, bases, 8)
+        batch = {r.key: r.batch for r in placed.collect()}
+        assert batch["a"] == batch["f"] and len(set(batch.values())) == 3 and rows(facts) == [(batch["a"], "f", "a")]
+        assert rows(compaction.plan_metrics(placed, records)) == [("d", 3, 6, 24)]
+    root = df([("x",), ("y",)], "tree_oid string")
+    assert compaction.root_drift(root, root, root).isEmpty() and rows(compaction.root_drift(root, root.limit(1), root)) == [("y", 2)]
+    assert rows(compaction.large_legacy(df([("s", 65536), ("l", 65537)], "content_id string, byte_length long"))) == [("l", 8)]
+
+
+def test_cycle(spark):
+    from snapweave.operators import compaction
+
+    df = spark.createDataFrame
+    entries = df([("p", "content", "a", 10, 10), ("p", "content", "b", 30, 30), ("q", "content", "c", 5, 5), ("r", "content", "d", 5, 5)], "pack_id string, kind string, logical_id string, length long, decoded_length long")
+    objects = df([("a", False, 1), ("b", False, 1), ("c", False, 1), ("n", False, 9), ("t", True, 1)], "object_id string, temporary boolean, modified long")
+    edges = df([("x", "a"), ("x", "c"), ("y", "b")], "tree_oid string, logical_id string")
+    reach = lambda roots: edges.join(roots, "tree_oid", "left_semi").select(F.lit("content").alias("kind"), "logical_id")
+    wrote = []
+    run = lambda reads: compaction.cycle(entries, objects, reads, reach, lambda placed, _: wrote.append(rows(placed)), F.lit(5)).first()
+    told = run(lambda: df([("x",)], "tree_oid string"))
+    assert wrote[-1] == [("content", "content:a", 0)] and told.held_still and told.rewritten_packs == 1
+    assert (told.dead_packs, told.partial_packs, told.live_packs, told.freed_bytes) == (1, 1, 1, 35)
+    assert (told.temporary_objects, told.dead_objects, told.superseded_objects) == (1, 1, 1)
+    now = iter([["x"], ["x", "y"], ["x"]])
+    moved = run(lambda: df([(r,) for r in next(now)], "tree_oid string"))
+    assert not moved.held_still and moved.dead_objects == 0
