@@ -84,13 +84,14 @@ SQL = {
         min(cast(l_quantity as bigint)) * 64 * (case l_suppkey % 4 when 0 then 1 when 1 then 2 when 2 then 4 else 8 end) as length, max(cast(p_size as bigint)) * 1024 as decoded_length,
         l_partkey % 5 > l_suppkey % 6 - 1 as alive from lineitem join part on p_partkey = l_partkey group by l_suppkey, l_partkey""",
     "edge": "select sha256('tree-' || l_orderkey) as tree_id, sha256('blob-' || l_partkey || '-' || (l_suppkey % 6)) as blob_id, l_suppkey as path from lineitem",
+    "landing": "select session_id, entry_id, case when type <> 'label' then entry_id end as landing_id, case when type = 'label' then parent_id end as at from entry union all select l.session_id, l.entry_id, case when e.type <> 'label' then e.entry_id end, case when e.type = 'label' then e.parent_id end from landing l join entry e on e.session_id = l.session_id and e.entry_id = l.at where l.landing_id is null",
     # the nearest ancestor that isn't a label, for each entry that isn't one
     "up": "select session_id, entry_id, parent_id as at from entry where type <> 'label' union all select u.session_id, u.entry_id, e.parent_id from up u join entry e on e.session_id = u.session_id and e.entry_id = u.at and e.type = 'label'",
     "graph": "select u.session_id, u.entry_id, u.at as stable_parent_id, n.ord from up u join entry n on n.session_id = u.session_id and n.entry_id = u.entry_id left join entry e on e.session_id = u.session_id and e.entry_id = u.at where e.type is null or e.type <> 'label'",
     "closure": "select session_id, entry_id, entry_id as ancestor_id, cast(0 as bigint) as depth from graph union all select c.session_id, c.entry_id, g.stable_parent_id, c.depth + 1 from closure c join graph g on g.session_id = c.session_id and g.entry_id = c.ancestor_id where g.stable_parent_id is not null",
     "nearest": "select c.session_id, c.entry_id, arg_min(c.ancestor_id, c.depth) filter (s.tree_oid is not null) as found_at, arg_min(s.tree_oid, c.depth) filter (s.tree_oid is not null) as tree_oid from closure c left join slot s on s.session_id = c.session_id and s.entry_id = c.ancestor_id group by all",
 }
-NEEDS = {"entry": ["numbered"], "up": ["entry"], "graph": ["up", "entry"], "closure": ["graph"], "nearest": ["closure", "slot"]}
+NEEDS = {"entry": ["numbered"], "landing": ["entry"], "up": ["entry"], "graph": ["up", "entry"], "closure": ["graph"], "nearest": ["closure", "slot"]}
 
 
 def sql(body: str, *names: str) -> str:

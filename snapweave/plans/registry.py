@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import chunks, drift, history, manifest, slots, storage
+from ..functions.tables import new_folder
+from ..operators import chunks, compaction, drift, history, manifest, sessions, slots, storage, trees
+from ..sources import objects, packfile
 from ..streaming import observer
 from . import fixtures as fx
 
@@ -549,3 +551,192 @@ def tree_nodes(spark, d):
 @query("select session_id, count(*) as entries, max(ord) as last_ord, arg_max(entry_id, ord) as leaf_id, cast(0 as bigint) as violations from entry group by session_id", "entry")
 def observed_sessions(spark, d):
     return observer.observe_batch(fx.entries(spark, d))
+
+
+# judgements on sessions
+
+
+@query("select session_id, entry_id, max(landing_id) as landing_id from landing group by session_id, entry_id", "landing")
+def session_landings(spark, d):
+    return sessions.landings(fx.entries(spark, d))
+
+
+@query(
+    """select g.session_id, a.entry_id as ancestor_id, g.entry_id as descendant_id, a.type <> 'label' and a.ord < 6 and f.first is not distinct from a.entry_id as natural
+    from graph g join entry a on a.session_id = g.session_id and a.ord = g.entry_id % 9
+    left join (select c.session_id, c.entry_id, arg_min(c.ancestor_id, c.depth) as first from closure c join graph o on o.session_id = c.session_id and o.entry_id = c.ancestor_id where o.ord < 6 group by all) f
+      on f.session_id = g.session_id and f.entry_id = g.entry_id where g.ord >= 6""",
+    "closure",
+)
+def session_descent(spark, d):
+    e = fx.entries(spark, d)
+    above = e.select("session_id", F.col("ord").alias("at"), F.col("entry_id").alias("ancestor_id"))
+    claims = graph(spark, d).filter("ord >= 6").select("session_id", F.col("entry_id").alias("descendant_id"), F.expr("entry_id % 9").alias("at")).join(above, ["session_id", "at"])
+    return sessions.natural_descent(e.filter("ord < 6"), e, claims.drop("at"))
+
+
+@query(
+    """select a.session_id, a.entry_id as event_id, case when a.landing_id is not distinct from a.expected then a.landing_id end as landing_id, case when a.landing_id is not distinct from a.expected then 'direct' else 'rejected' end as kind
+    from (select l.session_id, l.entry_id, max(l.landing_id) as landing_id, max(case when l.entry_id % 3 = 0 then l.entry_id else l.landing_id end) as expected from landing l group by all) a""",
+    "landing",
+)
+def session_arrivals(spark, d):
+    e = fx.entries(spark, d)
+    none = F.lit(None).cast("long")
+    events = sessions.landings(e).select("session_id", F.col("entry_id").alias("event_id"), none.alias("old_leaf"), F.col("entry_id").alias("new_leaf"), F.col("entry_id").alias("leaf"), none.alias("expected_old"), F.expr("case when entry_id % 3 = 0 then entry_id else landing_id end").alias("expected"), none.alias("summary_id"), none.alias("summary_parent"))
+    return sessions.arrivals(events, e)
+
+
+CLAIM = """c_custkey as session_id, c_custkey % 13 = 0 as registered, case c_custkey % 7 when 0 then 'independent' when 1 then 'rejected' when 2 then 'indeterminate' else 'observed' end as claim,
+    case when c_custkey % 7 = 1 then 'source-store-missing' end as reason, c_custkey % 3 > 0 as local, case c_custkey % 5 when 0 then 'absent' when 1 then 'conflict' else 'exact' end as identity, c_custkey % 11 > 0 as verified,
+    case when c_custkey % 17 = 0 then 'parent-graph-rewritten' end as again, c_custkey % 19 > 0 as unchanged, c_custkey % 23 > 1 as exact, c_custkey % 29 = 0 as self, c_custkey % 4 > 0 as isolated"""
+
+
+@query(
+    f"""select session_id, case when q is not null then 'quarantine' else p end as disposition, q as reason from (select session_id,
+      case when registered then 'present' when claim = 'independent' then 'fresh' when claim = 'indeterminate' then 'retry' when local and identity = 'exact' then 'inherit' else 'import' end as p,
+      case when registered or claim in ('independent', 'indeterminate') then null when claim = 'rejected' then reason when local and identity = 'conflict' then 'source-registration-conflict'
+        when local and identity = 'exact' and not verified then 'source-registration-unverified' when again is not null then again
+        when local and identity = 'exact' then case when not unchanged then 'parent-claim-changed' when not exact then 'source-projection-invalid' end
+        when self then 'source-registration-conflict' when local then 'source-registration-absent' when not isolated then 'unsafe-source-topology' end as q from (select {CLAIM} from customer))"""
+)
+def fork_registration(spark, d):
+    return sessions.registration(fx.table(spark, d, "customer").selectExpr(*(x.strip() for x in CLAIM.replace("\n", " ").split(", ") if x.strip())))
+
+
+@query(
+    """select session_id, entry_id, op, before, case when op = 'capture' then case when before like 'blocked%' then 'capture-blocked' when before = 'open-missing' then 'applied' else 'slot-changed' end
+        when before = 'blocked-missing' then 'applied' else 'not-blocked-missing' end as outcome
+    from (select g.session_id, g.entry_id, case when g.entry_id % 2 = 0 then 'capture' else 'adopt' end as op, case when s.entry_id is null then 'open-missing' when s.tree_oid is null then 'blocked-missing' else s.capture_state || '-checkpoint' end as before
+      from graph g left join slot s on s.session_id = g.session_id and s.entry_id = g.entry_id)""",
+    "graph", "slot",
+)
+def node_materialization(spark, d):
+    asked = graph(spark, d).select("session_id", "entry_id", F.expr("case when entry_id % 2 = 0 then 'initialise-fresh' else 'adopt-protected' end").alias("intent"), F.expr("sha2(cast(entry_id as string), 256)").alias("oid"))
+    return sessions.materialize(asked, fx.slots(spark, d))
+
+
+# compaction planning
+
+
+@query("select count(distinct pack_id) as packs, count(*) as records, cast(sum(length) as bigint) as bytes, count(distinct logical_id) as keys from pack_entry", "pack_entry")
+def gc_inventory_totals(spark, d):
+    return compaction.inventory_totals(fx.pack_entries(spark, d))
+
+
+@query("select tree_oid, cast(1 + (entry_id % 3 <> 0)::int + (entry_id % 4 <> 0)::int as bigint) as reads from (select tree_oid, min(entry_id) as entry_id from slot where tree_oid is not null group by all) where entry_id % 3 = 0 or entry_id % 4 = 0", "slot")
+def gc_root_drift(spark, d):
+    roots = fx.slots(spark, d).filter("tree_oid is not null")
+    return compaction.root_drift(roots, roots.filter("entry_id % 3 <> 0"), roots.filter("entry_id % 4 <> 0"))
+
+
+@query("select content_id, cast(c + ceil(c / 768.0) + ceil(c / 368640.0) + 1 as bigint) as at_most from (select cast(o_orderkey as varchar) as content_id, ceil(o_orderkey * 97 / 16384.0) as c from orders where o_orderkey * 97 > 65536)")
+def gc_large_legacy(spark, d):
+    return compaction.large_legacy(fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("content_id"), (F.col("o_orderkey").cast("long") * 97).alias("byte_length")))
+
+
+SAVED = "select sha256('blob-' || p_partkey || '-0') as base_key, sha256('blob-' || p_partkey || '-1') as target_key, cast(p_size as bigint) * 100 - 500 as saved from part"
+
+
+@query(
+    f"""with a as (select distinct pack_id, logical_id as key, l from (select pack_id, logical_id, sum(length) over (partition by pack_id) as l from pack_entry) where pack_id < '5'),
+    x as (select a.pack_id, target_key, saved from ({SAVED}) s join a on a.key = base_key where saved > 0 and target_key not in (select key from a)
+      union select a.pack_id, target_key, saved from ({SAVED}) s join a on a.key = target_key where saved > 0 and base_key not in (select key from a))
+    select pack_id, cast(coalesce(sum(saved), 0) as bigint) as saved, coalesce(sum(saved), 0) > 0 and any_value(l) <= 4 * coalesce(sum(saved), 0) as kept
+    from (select distinct pack_id, l from a) left join x using (pack_id) group by pack_id""".replace("with a", "select * from (with a", 1) + ")",
+    "pack_entry",
+)
+def gc_rewrite_savings(spark, d):
+    own = fx.pack_entries(spark, d).filter("pack_id < '5'")
+    deltas = fx.table(spark, d, "part").select(F.expr("sha2(concat('blob-', p_partkey, '-0'), 256)").alias("base_key"), F.expr("sha2(concat('blob-', p_partkey, '-1'), 256)").alias("target_key"), F.expr("cast(p_size as long) * 100 - 500").alias("saved"))
+    return compaction.rewrite_savings(own.groupBy("pack_id").agg(F.sum("length").alias("size")), own.select("pack_id", F.col("logical_id").alias("key")).distinct(), deltas)
+
+
+@query(
+    """select 'data' as class, pack_id from (select pack_id, row_number() over (order by size, pack_id) as k from (select pack_id, sum(length) as size from pack_entry group by all) where size <= 4 * greatest(128, (100000 * 35 + 99) // 100)) where k = 1""",
+    "pack_entry",
+)
+def gc_opportunistic_source(spark, d):
+    packs = fx.pack_entries(spark, d).groupBy(F.lit("data").alias("class"), "pack_id").agg(F.sum("length").alias("size"))
+    return compaction.opportunistic_source(packs, spark.createDataFrame([("data", 100_000)], "class string, target long"))
+
+
+@query()
+def gc_decoded_bound(spark, d):
+    own = fx.pack_entries(spark, d).select("pack_id", F.col("logical_id").alias("key"), "decoded_length")
+    kept, whole = compaction.bound_decoded(own, compaction.decoded_lengths(own, own))
+    return whole
+
+
+@query()
+def gc_plan(spark, d):
+    records = fx.pack_entries(spark, d).groupBy(F.lit("data").alias("class"), F.col("logical_id").alias("key")).agg(F.min("length").alias("length"))
+    pairs = fx.table(spark, d, "part").select(F.expr("sha2(concat('blob-', p_partkey, '-1'), 256)").alias("target_id"), F.expr("sha2(concat('blob-', p_partkey, '-0'), 256)").alias("base_id"))
+    both = pairs.join(records.select(F.col("key").alias("target_id")), "target_id", "left_semi").join(records.select(F.col("key").alias("base_id")), "base_id", "left_semi")
+    return compaction.plan(records, both, 256 << 10)[0]
+
+
+# stored records and trees
+
+
+@query("select distinct 'content' as kind, sha256(text) as logical_id, strlen(text) as length from documents where text is not null")
+def record_round_trip(spark, d):
+    docs = fx.table(spark, d, "documents").filter("text is not null").select(F.lit("content").alias("kind"), F.col("text").cast("binary").alias("content")).distinct()
+    return objects.decode_whole(objects.encode(docs)).select("kind", "logical_id", F.octet_length("content").cast("long").alias("length"))
+
+
+@query("select distinct sha256(text) as logical_id, strlen(text) as length from documents where text is not null")
+def pack_store_round_trip(spark, d):
+    docs = fx.table(spark, d, "documents").filter("text is not null").select(F.sha2("text", 256).alias("logical_id"), F.col("text").cast("binary").alias("payload")).distinct()
+    home = new_folder(spark, "packs")
+    # about 16 MB a batch, by a hash of the id
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]
+    objects.publish_packs(packfile.pack(docs.withColumn("batch", F.pmod(F.xxhash64("logical_id"), F.lit(size // (16 << 20) + 4)))), home)
+    read = objects.read_records(spark, home, objects.pack_inventory(spark, home))
+    return read.filter(F.sha2("payload", 256) == F.col("logical_id")).select("logical_id", F.octet_length("payload").cast("long").alias("length"))
+
+
+@query("select path, oid from saved", "saved")
+def tree_walk(spark, d):
+    own = fx.saved(spark, d).select(F.lit("saved").alias("tree"), "path", "oid")
+    levels = chunks.map_levels(own)
+    root = levels.groupBy("tree").agg(F.max_by("node_id", "level").alias("node_id"))
+    return trees.read_map(trees.node_table(own, levels), root)[0].select("path", "oid")
+
+
+TREES = """select o_orderkey, '{"format":' || (1 + o_orderkey % 4) || case when o_orderkey % 4 = 2 then ',"root":"' || sha256(cast(o_orderkey as varchar)) || '"' else ',"entries":[{"path":"a/' || o_orderkey || '","oid":"' || sha256('x') || '","mode":420},{"path":"'
+    || case o_orderkey % 5 when 0 then 'A/' || o_orderkey when 1 then '../b' else 'b' end || '","oid":"' || sha256('y') || '","mode":420}]' end || '}' || chr(10) as document from orders"""
+
+
+@query(
+    f"""select sha256(document) as old_oid, case when o_orderkey % 7 = 0 then 'corrupt' when f = 4 then 'unrecognised' when f = 3 then 'current' when p = 1 or p = 0 and f = 1 then 'format-incompatible' else 'upgraded' end as outcome,
+      case when o_orderkey % 7 > 0 and f < 3 then case when p = 1 then 'unsafe-component' when p = 0 and f = 1 then 'portable-alias' end end as reason
+    from (select *, 1 + o_orderkey % 4 as f, o_orderkey % 5 as p from ({TREES}))"""
+)
+def tree_upgrades(spark, d):
+    spark_sql = TREES.replace("sha256(cast(o_orderkey as varchar))", "sha2(cast(o_orderkey as string), 256)").replace("sha256('x')", "sha2('x', 256)").replace("sha256('y')", "sha2('y', 256)")
+    made = fx.table(spark, d, "orders").selectExpr("o_orderkey", spark_sql.split(",", 1)[1].rsplit(" from ", 1)[0])
+    stored = made.select(F.sha2("document", 256).alias("oid"), F.expr("case when o_orderkey % 7 = 0 then replace(document, 'format', 'Format') else document end").alias("document"))
+    return trees.upgrade(trees.read_stored(stored))[0].select("old_oid", "outcome", "reason")
+
+
+@query("select 'excluded-entry' as rule, path from saved where path in (select path from excluded) union all select 'missing-source', path from current where path not in (select path from saved)", "saved", "current", "excluded")
+def scope_agreement(spark, d):
+    shut = fx.excluded(spark, d).select("path", F.lit(False).alias("m"))
+    entries = fx.saved(spark, d).join(shut, "path", "left").select("path", F.coalesce("m", F.lit(True)).alias("managed"))
+    return trees.scope_agreement(entries, fx.current(spark, d).select("path", F.lit(True).alias("managed")))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then null else strlen(text) end as length from documents")
+def strict_base64(spark, d):
+    docs = fx.table(spark, d, "documents")
+    coded = F.regexp_replace(F.base64(F.col("text").cast("binary")), "\\s", "")
+    spelled = F.when(F.col("doc_id") % 3 == 0, F.concat(coded, F.lit("="))).otherwise(coded)
+    return docs.select("doc_id", F.octet_length(trees.canonical_base64(spelled)).cast("long").alias("length"))
+
+
+@query("""select c_custkey as id, c_name as path, case when c_custkey % 2 = 0 then c_name else '"' || c_name || '\\\\x"' end as shown from customer""")
+def shown_paths(spark, d):
+    c = fx.table(spark, d, "customer")
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("\\x")))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"), trees.display_path(raw).alias("shown"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_oid
 from ..operators import chunks, planning
 from . import packfile
+from .listing import children, store_of, width
 
 RECORD = "kind string, logical_id string, encoding string, decoded_length long, payload binary"
 KINDS = ("tree-root", "tree-node", "scope", "recipe", "content")
@@ -196,23 +197,18 @@ def locate(wanted: DataFrame, index: DataFrame, footers: DataFrame) -> DataFrame
 
 
 def loose_inventory(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    """Loose objects of a store (namespace, logical_id, byte_length, modified, temporary), and the names that don't belong (path).
+    """Loose objects of a store (namespace, logical_id, byte_length, temporary), and the names that don't belong (path).
 
     Only the listing is read. Objects lie at namespace/two digits/62 digits; names that end in .tmp are temporary.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{store.rstrip('/')}/{n}" for n in NAMESPACES]).select("path", "length", "modificationTime")
-    part = lambda k: F.regexp_extract("path", rf"/({'|'.join(NAMESPACES)})/([0-9a-f]{{2}})/([0-9a-f]{{62}})(\.[0-9a-z]+\.tmp)?$", k)
-    rows = files.select("path", part(1).alias("namespace"), F.concat(part(2), part(3)).alias("logical_id"), F.col("length").alias("byte_length"), F.col("modificationTime").alias("modified"), (part(4) != "").alias("temporary"))
-    known = rows.filter(is_oid(F.col("logical_id")))
-    return known.drop("path"), rows.filter(~is_oid(F.col("logical_id"))).select("path")
-
-
-def _store(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file:///" + uri.removeprefix("file:/").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    folders = spark.range(256).select(F.explode(F.array(*map(F.lit, NAMESPACES))).alias("n"), F.lpad(F.lower(F.hex("id")), 2, "0").alias("d"))
+    spaces = children(spark.createDataFrame([(n,) for n in NAMESPACES], "path string"), store)
+    there = folders.select(F.concat_ws("/", "n", "d").alias("path")).join(spaces.filter("kind = 'directory'").select("path"), "path", "left_semi")
+    found = children(there.repartition(width(spark), "path"), store).unionByName(spaces.join(there, "path", "left_anti"))
+    part = lambda k: F.regexp_extract("path", r"^([a-z]+)/([0-9a-f]{2})/([0-9a-f]{62})(\.[0-9a-z]+\.tmp)?$", k)
+    rows = found.withColumn("namespace", part(1)).withColumn("logical_id", F.concat(part(2), part(3))).withColumn("temporary", part(4) != "")
+    known = is_oid(F.col("logical_id")) & (F.col("kind") == "regular")
+    return rows.filter(known).select("namespace", "logical_id", "byte_length", "temporary"), rows.filter(~known).select("path")
 
 
 def publish_packs(packs: DataFrame, folder: str) -> list[tuple[str, str]]:
@@ -224,7 +220,7 @@ def publish_packs(packs: DataFrame, folder: str) -> list[tuple[str, str]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, path = _store(folder)
+        store, path = store_of(folder)
         store.create_dir(path, recursive=True)
         for batch in batches:
             states = []
@@ -248,7 +244,7 @@ def pack_inventory(spark: SparkSession, folder: str) -> DataFrame:
     named = files.select(F.regexp_extract("path", r"([^/]+)\.pack$", 1).alias("pack_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = store_of(folder)
         for batch in batches:
             rows = []
             for name in batch.column(0).to_pylist():
@@ -264,7 +260,7 @@ def read_records(spark: SparkSession, folder: str, places: DataFrame) -> DataFra
     """places (pack_id, logical_id, offset, length) with payload, each read from its place alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(folder)
+        store, path = store_of(folder)
         for batch in batches:
             out = []
             for name, _, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):

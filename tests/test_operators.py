@@ -247,12 +247,26 @@ def test_pack_files(spark, tmp_path):
 
 
 def test_scan(spark, tmp_path):
-    for name, text in (("a/b.txt", "one"), ("a/B.TXT", "two"), ("big.bin", "x" * 100), ("a b+é.txt", "three"), (".git/config", "no")):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    import os
+
+    for name, text in (("a/b.txt", "one"), ("a/B.TXT", "two"), ("big.bin", "x" * 100), ("a b+é.txt", "three"), (".git/config", "no"), (".gitignore", "*.log"), ("empty", ""), ("D/x", "1"), ("d/x", "2"), ("out/deep/f", "no")):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text(text)
-    good, bad = scan.scan(spark, str(tmp_path), max_bytes=50)
-    assert rows(good.select("path", "oid")) == sorted([("a/B.TXT", oid("two")), ("a b+é.txt", oid("three"))], key=repr)
-    assert rows(bad) == [("a/b.txt", "portable-collision"), ("big.bin", "too-large")]
+    (tmp_path / "link").symlink_to("a/b.txt")
+    (tmp_path / "loop").symlink_to(".")
+    (tmp_path / "h1").write_text("h")
+    os.link(tmp_path / "h1", tmp_path / "h2")
+    os.mkfifo(tmp_path / "pipe")
+    open(os.fsencode(tmp_path) + b"/bad\xff", "w").close()
+    outside = lambda p: p.select("path", (F.col("path") != "out").alias("managed"))
+    good, bad, left_out = scan.scan(spark, str(tmp_path), max_bytes=50, managed=outside)
+    files = {"a/B.TXT": "two", "a b+é.txt": "three", ".gitignore": "*.log", "empty": "", "D/x": "1"}
+    assert rows(good.filter("kind = 'regular'").select("path", "oid")) == sorted([(p, oid(t)) for p, t in files.items()], key=repr)
+    assert rows(good.filter("kind = 'symlink'").select("path", "target")) == [("link", "a/b.txt"), ("loop", ".")]
+    assert dict(rows(bad)) == {"a/b.txt": "portable-collision", "d": "portable-collision", "big.bin": "too-large", "h1": "hardlink", "h2": "hardlink", "pipe": "unsupported", "bad\ufffd": "invalid-name"}
+    assert rows(left_out) == [("out", "directory")]
+    assert [x.count() for x in scan.scan(spark, f"file://{tmp_path}")] == [9, 6, 0]
+    bad = bad.filter("path in ('a/b.txt', 'big.bin')")
     told = scan.summarize(bad, 1).first()
     assert (told.problems, told.more, [x.path for x in told.examples]) == (2, 1, ["a/b.txt"])
     log = tmp_path / "log.jsonl"
@@ -427,3 +441,160 @@ def test_cycle(spark):
     now = iter([["x"], ["x", "y"], ["x"]])
     moved = run(lambda: df([(r,) for r in next(now)], "tree_oid string"))
     assert not moved.held_still and moved.dead_objects == 0
+
+
+def test_stored_trees(spark):
+    import json
+
+    from snapweave.operators import trees
+
+    df = spark.createDataFrame
+    text = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":")) + "\n"
+    entry = lambda p, o="1": {"path": p, "oid": oid(o), "mode": 420}
+    docs = {
+        "one": text({"format": 1, "entries": [entry("a/b"), entry("c", "2")]}), "two": text({"format": 2, "entries": [entry("a/b"), entry("c", "2")]}), "alias": text({"format": 1, "entries": [entry("A"), entry("a")]}),
+        "unsafe": text({"format": 2, "entries": [entry("../x")]}), "none": text({"format": 2, "entries": []}), "now": text({"format": 3, "root": oid("r")}), "later": text({"format": 9}), "half": text({"format": 2}), "noise": "{",
+    }
+    stored = df([(oid(d), d) for d in docs.values()] + [(oid("other"), docs["one"] + " ")], "oid string, document string")
+    names = {oid(d): n for n, d in docs.items()} | {oid("other"): "corrupt"}
+    read = trees.read_stored(stored)
+    assert {names[r.oid]: r.state for r in read.collect()} == {"one": "intact", "two": "intact", "alias": "intact", "unsafe": "intact", "none": "intact", "now": "intact", "later": "unrecognised", "half": "malformed", "noise": "unrecognised", "corrupt": "corrupt"}
+    upgraded, nodes = trees.upgrade(read)
+    got = {names[r.old_oid]: r for r in upgraded.collect()}
+    assert {n: r.outcome for n, r in got.items() if r.outcome not in ("unrecognised", "malformed", "corrupt")} == {"one": "upgraded", "two": "upgraded", "alias": "format-incompatible", "unsafe": "format-incompatible", "none": "upgraded", "now": "current"}
+    assert got["one"].new_oid == got["two"].new_oid != got["none"].new_oid and got["now"].new_oid == got["now"].old_oid
+    assert (got["alias"].reason, got["unsafe"].reason) == ("portable-alias", "unsafe-component") and nodes.count() == 2
+    roots = df([(oid(docs["one"]),), (oid(docs["now"]),)], "tree_oid string")
+    assert trees.upgrade_map(roots, upgraded).count() == 2
+    with pytest.raises(Exception, match="no upgrade"):
+        trees.upgrade_map(roots.unionByName(df([(oid(docs["alias"]),)], "tree_oid string")), upgraded).collect()
+
+
+def test_maps_are_read_whole(spark):
+    from snapweave.operators import trees
+
+    entries = spark.createDataFrame([("t", f"src/file-{i:05d}.ts", oid(str(i))) for i in range(2000)], "tree string, path string, oid string")
+    levels = chunks.map_levels(entries)
+    nodes = trees.node_table(entries, levels)
+    root = levels.orderBy(F.desc("level")).select("tree", "node_id").limit(1)
+    got, bad = trees.read_map(nodes, root)
+    assert rows(got) == rows(entries) and bad.isEmpty() and levels.agg(F.max("level")).first()[0] > 0
+    leaf = nodes.filter("level = 0").orderBy("node_id").first()
+    lost, bad = trees.read_map(nodes.filter(F.col("node_id") != leaf.node_id), root)
+    assert lost.count() == 2000 - len(leaf["keys"]) and {r.rule for r in bad.collect()} == {"missing-node", "not-rebuilt"}
+    changed = nodes.withColumn("ids", F.when(F.col("node_id") == leaf.node_id, F.transform("ids", lambda _: F.lit(oid("x")))).otherwise(F.col("ids")))
+    assert rows(trees.read_map(changed, root)[1]) == [("t", "not-rebuilt")]
+    short = nodes.withColumn("keys", F.when(F.col("node_id") == leaf.node_id, F.slice("keys", 1, F.size("keys") - 1)).otherwise(F.col("keys")))
+    assert "wrong-high-key" in {r.rule for r in trees.read_map(short, root)[1].collect()}
+    new = trees.publish_tree(nodes, nodes.filter("level = 0").limit(1))
+    assert new.count() == nodes.count() - 1 and new.filter("step <> level").isEmpty()
+
+
+def test_scopes_and_spelling(spark):
+    import base64
+
+    from snapweave.operators import trees
+
+    df = spark.createDataFrame
+    one = lambda column, *values: [r[0] for r in df([(v,) for v in values], "x string").select(column(F.col("x"))).collect()]
+    good = base64.b64encode(b"*.log\n" * 20).decode()
+    assert one(trees.canonical_base64, good, "YQ==", "YQ", "YR==", "?", "", None) == [b"*.log\n" * 20, b"a", None, None, None, b"", None]
+    assert one(trees.canonical_json, '{ "b": 1,  "a": ["é"] }', None) == ['{"b":1,"a":["é"]}\n', None]
+    assert one(trees.display_path, "a/b.txt", "a b", " a", "", 'q"x', "a\\b", "a\x1bb", "naïve", None) == ["a/b.txt", "a b", '" a"', '""', '"q\\"x"', '"a\\\\b"', '"a\\u{1b}b"', "naïve", None]
+    near = [(".gitignore", "src"), ("src/.gitignore", "src"), ("src/a/.gitignore", "src"), ("lib/.gitignore", "src"), ("lib/.gitignore", ""), ("src/x", "src"), ("sr/.gitignore", "src")]
+    assert [r[0] for r in df(near, "p string, q string").select(trees.source_is_relevant(F.col("p"), F.col("q"))).collect()] == [True, True, True, False, True, False, False]
+    sources = df([("s", ".gitignore", good), ("s", "a/.gitignore", "YQ"), ("s", "A/.gitignore", "YQ=="), ("s", "x", "YQ=="), ("t", ".gitignore", good)], "scope string, path string, contents string")
+    assert rows(trees.scope_problems(sources, most=3)) == [("duplicate", "s", "a/.gitignore"), ("not-a-source", "s", "x"), ("not-canonical", "s", "a/.gitignore"), ("over-budget", "s", None)]
+    have = df([("a", True), ("b", False), (".GITIGNORE", True)], "path string, managed boolean")
+    kept = df([(".gitignore", True), ("c/.gitignore", True), ("d/.gitignore", False)], "path string, managed boolean")
+    assert rows(trees.scope_agreement(have, kept)) == [("excluded-entry", "b"), ("missing-source", "c/.gitignore")]
+
+
+def test_migration(spark):
+    from snapweave.operators import trees
+
+    state = {"version": 1, "roots": ["a"], "reads": 0}
+
+    def roots():
+        state["reads"] += 1
+        return spark.createDataFrame([(r,) for r in state["roots"] + (["b"] if state["reads"] == 1 else [])], "tree_oid string")
+
+    def apply(version):
+        return lambda prepared: state.update(version=version, last=prepared)
+
+    steps = {1: (lambda r: sorted(x[0] for x in r.collect()), apply(2)), 2: (lambda r: r.count(), apply(3))}
+    assert trees.migrate(lambda: state["version"], roots, steps, 3) == 2 and (state["version"], state["last"]) == (3, 1)
+    assert state["reads"] == 6  # the first try of the first step saw the roots change
+    stuck = {"n": 0}
+
+    def moving():
+        stuck["n"] += 1
+        return spark.createDataFrame([(str(stuck["n"]),)], "tree_oid string")
+
+    with pytest.raises(RuntimeError, match="hold still"):
+        trees.migrate(lambda: 1, moving, steps, 2, tries=2)
+
+
+def test_records(spark):
+    from snapweave.sources import objects
+
+    df = spark.createDataFrame
+    base, noise = b"all work and no play\n" * 500, lcg(5000)
+    target = noise[:2000] + b"changed" + noise[2007:]
+    made = objects.encode(df([("content", base), ("content", noise), ("content", target), ("scope", b""), ("content", None)], "kind string, content binary"))
+    told = {r.logical_id: (r.encoding, r.decoded_length) for r in made.collect()}
+    name = lambda b: hashlib.sha256(b).hexdigest()
+    assert told == {name(base): ("zstd", len(base)), name(noise): ("raw", 5000), name(target): ("raw", 5000), name(b""): ("raw", 0)}
+    with pytest.raises(Exception, match="must be chunked"):
+        objects.encode(df([("content", b"x" * (objects.WHOLE + 1))], "kind string, content binary")).collect()
+    delta = objects.delta_records(df([(name(target), name(noise), target, noise), (name(base), name(noise), base, noise)], "target_id string, base_id string, target binary, base binary"), made)
+    assert [(r.logical_id, r.encoding) for r in delta.collect()] == [(name(target), "delta1")]
+    steps = [("copy", 3, 300), ("add", b"xyz"), ("copy", 0, 1)]
+    assert objects.read_delta(objects.write_delta(name(base), steps)) == (name(base), steps)
+    with pytest.raises(ValueError):
+        objects.read_delta(objects.write_delta(name(base), steps) + b"\0")
+    root = oid("root")
+    long_ = noise + base
+    edges = df([(root, 0, name(noise), "chunk"), (root, 1, name(base), "chunk")], "parent_id string, ord long, child_id string, kind string")
+    chunked = df([("content", name(long_), "chunked-v1", len(long_), bytes.fromhex(root))], objects.RECORD)
+    bad = df([("content", oid("?"), "raw", 3, b"abc"), ("content", name(b"abcd"), "raw", 3, b"abcd"), ("content", name(b"z" * 99), "zstd", 99, b"junk")], objects.RECORD)
+    full = made.filter(F.col("logical_id") != name(target))
+    got = {r.logical_id: r.content and bytes(r.content) for r in objects.decode(full.unionByName(delta).unionByName(chunked).unionByName(bad), edges).collect()}
+    assert got == {name(base): base, name(noise): noise, name(target): target, name(long_): long_, name(b""): b"", oid("?"): None, name(b"abcd"): None, name(b"z" * 99): None}
+    pairs = [(k, e) for k in ("content", "scope", "other") for e in ("raw", "delta1", "chunked-v1", "lzma")]
+    fits = df(pairs, "k string, e string").filter(objects.compatible(F.col("k"), F.col("e")))
+    assert rows(fits) == [("content", "chunked-v1"), ("content", "delta1"), ("content", "raw"), ("scope", "raw")]
+    have = "kind string, logical_id string, content binary"
+    asked = df([("content", name(b"a")), ("content", name(b"b")), ("scope", name(b"c"))], "kind string, logical_id string")
+    first, second = df([("content", name(b"a"), b"a"), ("content", name(b"b"), b"spoilt")], have), df([("content", name(b"a"), b"a"), ("content", name(b"b"), b"b")], have)
+    assert {r.logical_id: r.source for r in objects.resolve(asked, first, second).collect()} == {name(b"a"): 0, name(b"b"): 1, name(b"c"): None}
+
+
+def test_store_folders(spark, tmp_path):
+    from snapweave.sources import objects
+
+    home = f"file://{tmp_path}/packs"
+    records = [(k // 3, oid(str(k)), lcg(40 * k + 1, k)) for k in range(7)]
+    packs = packfile.pack(spark.createDataFrame(records, "batch int, logical_id string, payload binary"))
+    assert [s for _, s in objects.publish_packs(packs, home)] == ["published"] * 3
+    assert [s for _, s in objects.publish_packs(packs, home)] == ["existing"] * 3
+    listed = objects.pack_inventory(spark, home)
+    read = objects.read_records(spark, home, listed)
+    assert {r.logical_id: bytes(r.payload) for r in read.collect()} == {k: p for _, k, p in records}
+    objects.write_index(listed, f"{tmp_path}/index")
+    stored, differ = objects.read_index(spark, f"{tmp_path}/index", listed)
+    assert differ.isEmpty() and rows(stored.select("logical_id")) == sorted((r[1],) for r in records)
+    assert objects.read_index(spark, f"{tmp_path}/index", listed.filter(F.col("logical_id") != oid("0")))[1].count() == 1
+    moved = stored.withColumn("offset", F.expr(f"offset + cast(logical_id = '{oid('1')}' as long)"))
+    found = {r.logical_id: (r.hinted, r.offset is not None) for r in objects.locate(spark.createDataFrame([(oid("0"),), (oid("1"),), (oid("no"),)], "logical_id string"), moved, listed).collect()}
+    assert found == {oid("0"): (True, True), oid("1"): (False, True), oid("no"): (False, False)}
+    store = tmp_path / "store"
+    for space in objects.NAMESPACES:
+        (store / space / "ab").mkdir(parents=True)
+    name = "ab" + "0" * 62
+    (store / "content/ab" / name[2:]).write_bytes(b"12345")
+    (store / "recipe/ab" / (name[2:] + ".7.tmp")).write_bytes(b"1")
+    (store / "legacy/ab/stray").write_bytes(b"")
+    known, odd = objects.loose_inventory(spark, str(store))
+    assert rows(known.select("namespace", "logical_id", "byte_length", "temporary")) == [("content", name, 5, False), ("recipe", name, 1, True)]
+    assert [r.path.rsplit("/", 1)[1] for r in odd.collect()] == ["stray"]
