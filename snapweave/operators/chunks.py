@@ -10,7 +10,6 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,44 +209,81 @@ def deltas(pairs: DataFrame) -> DataFrame:
     return pairs.select("content_id", "base", "target").mapInArrow(run, "content_id string, prefix long, added long, suffix long, useful boolean")
 
 
-def node_bounds(keys: list[str], level: int) -> list[int]:
-    """Where nodes of a level end, over sorted keys. A node closes at a key whose hash says so, between the minimum and the maximum
-    payload; so equal runs of keys give equal nodes, whatever was inserted elsewhere."""
-    out, size = [], 0
-    for i, key in enumerate(keys):
-        size += len(key.encode()) + KEY_OVERHEAD
-        if size >= NODE_MAXIMUM or size >= NODE_MINIMUM and closes(key, level):
-            out.append(i + 1)
-            size = 0
-    return out if out and out[-1] == len(keys) else [*out, len(keys)]
-
-
 def closes(key: str, level: int) -> bool:
     digest = hashlib.sha256(b"%d\0" % level + key.encode()).digest()
     return int.from_bytes(digest[:4], "big") % (NODE_TARGET // 256) == 0
 
 
+class MapBuilder:
+    """Nodes of one tree from its keys in order. A node closes at a key whose hash says so, between the minimum and the maximum
+    payload; so equal runs of keys give equal nodes, whatever was inserted elsewhere. Above the leaves a node has two keys at
+    least, so that levels shrink however long the keys are. A level holds its open node alone."""
+
+    def __init__(self) -> None:
+        self.levels: list[dict] = []
+        self.out: list[tuple[int, int, int, str, str]] = []
+
+    def add(self, key: str, value: str, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append({"keys": [], "ids": [], "size": 0, "made": 0, "first": None})
+        now = self.levels[level]
+        now["keys"].append(key)
+        now["ids"].append(value)
+        now["size"] += len(key.encode()) + KEY_OVERHEAD
+        if (level == 0 or len(now["keys"]) > 1) and (now["size"] >= NODE_MAXIMUM or now["size"] >= NODE_MINIMUM and closes(key, level)):
+            self.close(level)
+
+    def close(self, level: int) -> None:
+        now = self.levels[level]
+        body = json.dumps([level, list(zip(now["keys"], now["ids"], strict=True))], ensure_ascii=False, separators=(",", ":"))
+        high, made = now["keys"][-1], hashlib.sha256(body.encode()).hexdigest()
+        self.out.append((level, now["made"], len(now["keys"]), high, made))
+        now["keys"], now["ids"], now["size"] = [], [], 0
+        now["made"] += 1
+        # the first node is the root unless there is a second one
+        if now["made"] == 1:
+            now["first"] = (high, made)
+            return
+        if now["made"] == 2:
+            self.add(*now["first"], level + 1)
+        self.add(high, made, level + 1)
+
+    def finish(self) -> list[tuple[int, int, int, str, str]]:
+        level = 0
+        while level < len(self.levels):
+            if self.levels[level]["keys"]:
+                self.close(level)
+            level += 1
+        return self.out
+
+
 def map_levels(entries: DataFrame) -> DataFrame:
     """tree, level, node, entries, high_key, node_id of a search tree over each tree's entries (path, oid).
 
-    A level is one sorted run of keys whose cuts depend on the keys before, so each tree's level is one group; the levels
-    above the leaves are a hundredth of it.
+    Where a node ends depends on the keys before, so each tree is read in order, as a stream; nothing but open nodes is held.
     """
+    names = ["tree", "level", "node", "entries", "high_key", "node_id"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, builder, rows = None, None, []
+        for batch in batches:
+            for name, path, oid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if builder is None or name != tree:
+                    if builder is not None:
+                        rows += [(tree, *r) for r in builder.finish()]
+                    tree, builder = name, MapBuilder()
+                builder.add(path, oid)
+            if builder is not None:
+                rows += [(tree, *r) for r in builder.out]
+                builder.out = []
+            yield made(rows)
+            rows = []
+        if builder is not None:
+            yield made([(tree, *r) for r in builder.finish()])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("path", key=lambda s: s.map(str.encode))
-        tree, keys, ids = rows["tree"].iloc[0], rows["path"].tolist(), rows["oid"].tolist()
-        out, level = [], 0
-        while True:
-            start, high, made = 0, [], []
-            for k, end in enumerate(node_bounds(keys, level)):
-                body = json.dumps([level, list(zip(keys[start:end], ids[start:end], strict=True))], ensure_ascii=False, separators=(",", ":"))
-                made.append(hashlib.sha256(body.encode()).hexdigest())
-                high.append(keys[end - 1])
-                out.append((tree, level, k, end - start, high[-1], made[-1]))
-                start = end
-            if len(made) == 1:
-                return pd.DataFrame(out, columns=["tree", "level", "node", "entries", "high_key", "node_id"])
-            keys, ids, level = high, made, level + 1
-
-    return entries.select("tree", "path", "oid").groupBy("tree").applyInPandas(run, "tree string, level int, node int, entries int, high_key string, node_id string")
+    ordered = entries.select("tree", "path", "oid").repartition("tree").sortWithinPartitions("tree", "path")
+    return ordered.mapInArrow(run, "tree string, level int, node int, entries int, high_key string, node_id string")

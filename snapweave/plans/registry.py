@@ -665,7 +665,7 @@ def gc_opportunistic_source(spark, d):
 def gc_decoded_bound(spark, d):
     own = fx.pack_entries(spark, d).select("pack_id", F.col("logical_id").alias("key"), "decoded_length")
     kept, whole = compaction.bound_decoded(own, compaction.decoded_lengths(own, own))
-    return whole
+    return kept.select(F.lit("key").alias("kind"), F.col("key").alias("id")).unionByName(whole.select(F.lit("pack").alias("kind"), F.col("pack_id").alias("id")))
 
 
 @query()

@@ -228,6 +228,9 @@ def test_maps_depend_on_their_entries_alone(spark):
     changed = rows(chunks.map_levels(df(entries + [("t", "src/file-00400.tsx", oid("new"))])))
     leaves = lambda r: {x[5] for x in r if x[1] == 0}
     assert len(leaves(one) - leaves(changed)) <= 3 and len(leaves(one)) > 8
+    long_ = [("l", c * 40_000, oid(c)) for c in "abcde"]
+    made = rows(chunks.map_levels(df(long_ + [("one", "x", oid("x"))])))
+    assert [(r[0], r[1], r[3]) for r in made] == [("l", 0, 1)] * 5 + [("l", 1, 2), ("l", 1, 2), ("l", 1, 1), ("l", 2, 2), ("l", 2, 1), ("l", 3, 2), ("one", 0, 1)]
 
 
 def test_pack_files(spark, tmp_path):
