@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapweave.functions import paths
-from snapweave.operators import chunks, drift, history, manifest, slots, storage
+from snapweave.operators import chunks, compaction, drift, history, manifest, slots, storage
 from snapweave.sources import packfile, scan
 from snapweave.streaming import observer
 
@@ -243,6 +243,8 @@ def test_pack_files(spark, tmp_path):
     with pytest.raises(ValueError):
         packfile.encode(records + records[:1])
     df = spark.createDataFrame([(1, *r) for r in records], "batch int, logical_id string, payload binary")
+    bound = spark.range(1).select(compaction.pack_bytes_bound(F.lit(5).cast("long"), F.lit(sum(len(p) for _, p in records)).cast("long"))).first()[0]
+    assert len(data) <= bound <= 2 * len(data) + 2000
     made = packfile.pack(df).first()
     assert bytes(made.data) == data
     (tmp_path / "x.pack").write_bytes(data)
@@ -390,8 +392,6 @@ def test_materialize(spark):
 
 
 def test_compaction(spark):
-    from snapweave.operators import compaction
-
     df = spark.createDataFrame
     tried = df([("t", "b", 5), ("t", "a", 5), ("t", "c", 9), ("u", "a", None)], "target_id string, base_id string, payload_bytes long")
     assert rows(compaction.best_bases(tried)) == [("t", "a", 5)]
@@ -428,8 +428,6 @@ def test_compaction(spark):
 
 
 def test_cycle(spark):
-    from snapweave.operators import compaction
-
     df = spark.createDataFrame
     entries = df([("p", "content", "a", 10, 10), ("p", "content", "b", 30, 30), ("q", "content", "c", 5, 5), ("r", "content", "d", 5, 5)], "pack_id string, kind string, logical_id string, length long, decoded_length long")
     objects = df([("a", False, 1), ("b", False, 1), ("c", False, 1), ("n", False, 9), ("t", True, 1)], "object_id string, temporary boolean, modified long")
