@@ -3,13 +3,15 @@
 The model reads the lower-cased words of a text, each encoded with a leading blank by a public tokenizer. Subword ids map to
 SYMBOLS symbols: the frequent ids have one each, the others share one by frequency and are told apart by smoothed counts. The
 next symbol's distribution is a class of 32 and then a member of it; the logits of both add a direct path from the current
-symbol (smoothed bigram log probabilities of the training sample) and a learned map of the attention output. Attention has one
+symbol (smoothed bigram log probabilities of the training texts) and a learned map of the attention output. Attention has one
 head, learned tables of queries, keys and values by symbol, and a learned bias by distance. Windows of WIDTH symbols start
 every STRIDE, so they overlap; each scores its last STRIDE symbols, so that every one is scored once, with at least
 WIDTH - STRIDE before it (as far as the text has them).
 
-Weights are fitted on about TRAIN_DOCS documents that are not held out, chosen by a hash of doc_id; word counts cover all of
-them. Words that occur often (at most HEAVY of them) are sent to every task, the rest are joined by word.
+All documents that are not held out teach the model: word counts, counts of ids (and so the symbols) and bigrams of symbols
+are sums over all of them, and after a start on about TRAIN_DOCS of them, chosen by a hash of doc_id, each task goes once
+through its share of the documents; the weights are the mean of the tasks', by windows seen. Words that occur often (at most
+HEAVY of them) are sent to every task, the rest are joined by word.
 
 Null and empty texts are an end alone. Null doc_ids and repeated rows are rows like others; an empty table gives an empty
 result, and without training texts every symbol is equally likely. Other columns are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import cut, id_remainder
+from .common import cut, discard, id_remainder
 from .tokens import runs
 
 SYMBOLS, CLASSES, DIM = 1024, 32, 16
@@ -40,6 +42,9 @@ SHARED = 32
 WIDTH, STRIDE = 24, 16
 TRAIN_DOCS = 2500
 STEPS, BATCH, RATE = 1200, 192, 0.01
+#: Of the pass over all documents.
+PASS_BATCH, PASS_RATE = 768, 0.003
+WEIGHTS = ("q", "k", "v", "u1", "u2", "r")
 HEAVY, HEAVY_BYTES = 100_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
 IDS = 50257
@@ -201,66 +206,179 @@ class Model:
         """Adam on the cross entropy of what the windows score. The losses, by step."""
         xs, ys, _ = self.windows(docs)
         rng = np.random.default_rng(seed)
-        names = ("q", "k", "v", "u1", "u2", "r")
-        m1, m2 = ({n: np.zeros_like(getattr(self, n)) for n in names} for _ in range(2))
+        adam = Adam(self)
         losses = []
-        far = self.bias()[1]
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(xs), batch)
-            x, y = xs[pick], ys[pick].reshape(-1)
-            real = np.flatnonzero(y >= 0)
-            q, k, v, a, h = self.attend(x)
-            own, t = h[real], y[real]
-            l1, l2, c, order, edges = self.heads(own, x[:, -STRIDE:].reshape(-1)[real], t)
-            at = np.arange(len(real))
-            losses.append(-float((l1[at, c] + l2[at, t % MEMBERS]).mean()))
-            d1, d2 = np.exp(l1), np.exp(l2)
-            d1[at, c] -= 1
-            d2[at, t % MEMBERS] -= 1
-            d1 /= len(real)
-            d2 /= len(real)
-            grad = {"u1": own.T @ d1, "u2": np.zeros_like(self.u2)}
-            back = d1 @ self.u1.T
-            for j in range(CLASSES):
-                rows = order[edges[j] : edges[j + 1]]
-                if len(rows):
-                    grad["u2"][j] = d2[rows].T @ own[rows]
-                    back[rows] += d2[rows] @ self.u2[j]
-            dh = np.zeros_like(h)
-            dh[real] = back
-            dh = dh.reshape(len(x), STRIDE, DIM)
-            da = np.matmul(dh, v.transpose(0, 2, 1))
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            per = ds.sum(axis=0)
-            grad["r"] = np.bincount(far[far >= 0], weights=per[far >= 0], minlength=WIDTH).astype(np.float32)
-            ds *= np.float32(1 / math.sqrt(DIM))
-            for n, d, ids in (("v", np.matmul(a.transpose(0, 2, 1), dh), x), ("k", np.matmul(ds.transpose(0, 2, 1), q), x), ("q", np.matmul(ds, k), x[:, -STRIDE:])):
-                flat, d = ids.reshape(-1), d.reshape(-1, DIM)
-                grad[n] = np.stack([np.bincount(flat, weights=d[:, j], minlength=SYMBOLS + 1) for j in range(DIM)], axis=1).astype(np.float32)
-            for n in names:
-                m1[n] += 0.1 * (grad[n] - m1[n])
-                m2[n] += 0.01 * (grad[n] ** 2 - m2[n])
-                move = rate * min(1.0, 2 - 2 * step / steps) * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-8)
-                setattr(self, n, getattr(self, n) - move.astype(np.float32))
+            losses.append(adam.step(xs[pick], ys[pick].reshape(-1), rate * min(1.0, 2 - 2 * step / steps)))
         return losses
 
 
+class Adam:
+    """Moves the weights of a model by the gradient of a batch of windows."""
+
+    def __init__(self, model: Model):
+        self.model, self.steps = model, 0
+        self.m1, self.m2 = ({n: np.zeros_like(getattr(model, n)) for n in WEIGHTS} for _ in range(2))
+        self.far = model.bias()[1]
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
+        """The loss of the batch before the move."""
+        model, far, m1, m2 = self.model, self.far, self.m1, self.m2
+        self.steps += 1
+        real = np.flatnonzero(y >= 0)
+        q, k, v, a, h = model.attend(x)
+        own, t = h[real], y[real]
+        l1, l2, c, order, edges = model.heads(own, x[:, -STRIDE:].reshape(-1)[real], t)
+        at = np.arange(len(real))
+        loss = -float((l1[at, c] + l2[at, t % MEMBERS]).mean())
+        d1, d2 = np.exp(l1), np.exp(l2)
+        d1[at, c] -= 1
+        d2[at, t % MEMBERS] -= 1
+        d1 /= len(real)
+        d2 /= len(real)
+        grad = {"u1": own.T @ d1, "u2": np.zeros_like(model.u2)}
+        back = d1 @ model.u1.T
+        for j in range(CLASSES):
+            rows = order[edges[j] : edges[j + 1]]
+            if len(rows):
+                grad["u2"][j] = d2[rows].T @ own[rows]
+                back[rows] += d2[rows] @ model.u2[j]
+        dh = np.zeros_like(h)
+        dh[real] = back
+        dh = dh.reshape(len(x), STRIDE, DIM)
+        da = np.matmul(dh, v.transpose(0, 2, 1))
+        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        per = ds.sum(axis=0)
+        grad["r"] = np.bincount(far[far >= 0], weights=per[far >= 0], minlength=WIDTH).astype(np.float32)
+        ds *= np.float32(1 / math.sqrt(DIM))
+        for n, d, ids in (("v", np.matmul(a.transpose(0, 2, 1), dh), x), ("k", np.matmul(ds.transpose(0, 2, 1), q), x), ("q", np.matmul(ds, k), x[:, -STRIDE:])):
+            flat, d = ids.reshape(-1), d.reshape(-1, DIM)
+            grad[n] = np.stack([np.bincount(flat, weights=d[:, j], minlength=SYMBOLS + 1) for j in range(DIM)], axis=1).astype(np.float32)
+        for n in WEIGHTS:
+            m1[n] += 0.1 * (grad[n] - m1[n])
+            m2[n] += 0.01 * (grad[n] ** 2 - m2[n])
+            move = rate * (m1[n] / (1 - 0.9**self.steps)) / (np.sqrt(m2[n] / (1 - 0.99**self.steps)) + 1e-8)
+            setattr(model, n, getattr(model, n) - move.astype(np.float32))
+        return loss
+
+
+def pairs_of(docs: list[np.ndarray]) -> np.ndarray:
+    """How often each symbol follows each, by 1024 * before + after, in documents that end with the end symbol."""
+    every = np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
+    before = np.concatenate(([END_SYMBOL], every))[:-1]  # each document ends, and so the next one starts, with the end symbol
+    return np.bincount(before * SYMBOLS + every, minlength=SYMBOLS * SYMBOLS)
+
+
+def begin(model: Model, pairs: np.ndarray, symbols: list[np.ndarray]) -> Model:
+    # the direct path alone would know its own texts by heart; a strong prior leaves room for what generalises
+    model.bigrams(pairs.reshape(SYMBOLS, SYMBOLS))
+    model.start()
+    if symbols:
+        model.fit(symbols)
+    return model
+
+
 def train(texts: list[bytes | None], path: str) -> Model:
-    """A model of the texts, each of which ends with an end symbol."""
+    """A model of a few texts, each of which ends with an end symbol, on the driver alone."""
     docs = [words_of(t) for t in texts]
     vocabulary = list(dict.fromkeys(w for d in docs for w in d))
     ids = dict(zip(vocabulary, word_encoder(path)(vocabulary), strict=True))
     flat = [np.frombuffer(b"".join(map(ids.__getitem__, d)), np.uint16) for d in docs]
     model = Model(np.bincount(np.concatenate([np.zeros(0, np.uint16), *flat]), minlength=IDS), len(docs))
     symbols = [np.append(model.symbol[d], END_SYMBOL).astype(np.int32) for d in flat]
-    every = np.concatenate([np.zeros(0, np.int64), *symbols]).astype(np.int64)
-    before = np.concatenate(([END_SYMBOL], every))[:-1]  # each document ends, and so the next one starts, with the end symbol
-    pairs = np.bincount(before * SYMBOLS + every, minlength=SYMBOLS * SYMBOLS)
-    # the direct path alone would know its own sample by heart; a strong prior leaves room for what generalises
-    model.bigrams(pairs.reshape(SYMBOLS, SYMBOLS))
-    model.start()
-    if symbols:
-        model.fit(symbols)
+    return begin(model, pairs_of(symbols), symbols)
+
+
+def id_counts(counts: DataFrame, path: str) -> np.ndarray:
+    """How often each id occurs, from the counts of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, sums = word_encoder(path), np.zeros(IDS, np.int64)
+        for batch in batches:
+            coded = encode(batch.column(0).to_pylist())
+            times = np.repeat(batch.column(1).to_numpy(), np.fromiter(map(len, coded), np.int64, len(coded)) // 2)
+            sums += np.bincount(np.frombuffer(b"".join(coded), np.uint16), weights=times, minlength=IDS).astype(np.int64)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["id", "c"])
+
+    return _sums(counts.select("word", "c").mapInArrow(run, "id long, c long"), "id", IDS)
+
+
+def pair_counts(symbols: DataFrame) -> np.ndarray:
+    """pairs_of() all documents (doc: 16-bit symbols)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        for batch in batches:
+            for _, docs in runs(batch, 0, 1 << 22):
+                sums += pairs_of([np.frombuffer(d, np.uint16) for d in docs])
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["pair", "c"])
+
+    return _sums(symbols.select("doc").mapInArrow(run, "pair long, c long"), "pair", SYMBOLS * SYMBOLS)
+
+
+def _sums(rows: DataFrame, key: str, n: int) -> np.ndarray:
+    found = rows.groupBy(key).agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(n, np.int64)
+    out[found[key].to_numpy()] = found["c"].to_numpy()
+    return out
+
+
+def go_through(symbols: DataFrame, model: Model) -> int:
+    """Fit the model once more, on all documents (doc): each task moves a copy through its own. The number of windows seen."""
+    sent = symbols.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.__new__(Model)
+        own.__dict__.update(sent.value.__dict__)
+        adam, seen, rng = Adam(own), 0, np.random.default_rng(13)
+        for batch in batches:
+            for _, docs in runs(batch, 0, 1 << 20):
+                xs, ys, _ = own.windows([np.frombuffer(d, np.uint16) for d in docs])
+                order = rng.permutation(len(xs))
+                for i in range(0, len(xs), PASS_BATCH):
+                    pick = order[i : i + PASS_BATCH]
+                    adam.step(xs[pick], ys[pick].reshape(-1), PASS_RATE)
+                seen += len(xs)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([b"".join(getattr(own, n).tobytes() for n in WEIGHTS)], pa.binary())], names=["seen", "weights"])
+
+    rows = cut(symbols.select("doc").mapInArrow(run, "seen long, weights binary"), "weights")
+    total, mean = 0, 0.0
+    for r in rows.toLocalIterator():
+        total += r[0]
+        mean = mean + r[0] * np.frombuffer(r[1], np.float32).astype(np.float64)
+    at = 0
+    for n in WEIGHTS if total else ():
+        old = getattr(model, n)
+        setattr(model, n, (mean[at : at + old.size] / total).astype(np.float32).reshape(old.shape))
+        at += old.size
+    discard(rows)
+    return total
+
+
+def learn(training: DataFrame, counts: DataFrame, ids: dict[bytes, bytes], n_docs: int, path: str) -> Model:
+    """A model of all rows of training (doc_id, text), whose words are counted in counts; ids of frequent words."""
+    model = Model(id_counts(counts, path), n_docs)
+    sent = training.sparkSession.sparkContext.broadcast((ids, model.symbol))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, symbol = sent.value
+        coder = Coder(ids, path)
+        for batch in batches:
+            for start, texts in runs(batch, 0, 1 << 21):
+                _, _, coded, ends = coder.run(texts)
+                docs = [d.tobytes() for d in np.split(symbol[coded], ends[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), batch.column(1).slice(start, len(texts))], names=["doc", "first"])
+
+    share = int(min(1.0, TRAIN_DOCS / max(n_docs, 1)) * (1 << 30))
+    first = F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 30)) < share
+    symbols = cut(training.select(F.col("text").cast("binary").alias("text"), first.alias("first")).mapInArrow(run, "doc binary, first boolean"), "symbols")
+    begin(model, pair_counts(symbols), [np.frombuffer(r[0], np.uint16).astype(np.int32) for r in symbols.filter("first").toLocalIterator()])
+    model.seen = go_through(symbols, model)
+    discard(symbols)
     return model
 
 
@@ -303,17 +421,16 @@ def heavy_words(counts: DataFrame, most: int = HEAVY) -> tuple[dict[bytes, int],
     return {bytes(r[0]): r[1] for r in rows}, least
 
 
-class Scorer:
-    """Scores runs of texts in one task. often: counts and ids of frequent words; scale: the denominator of the unigram."""
+class Coder:
+    """Encodes runs of texts in one task; ids of frequent words are given, those of others are kept for a while."""
 
-    def __init__(self, model: Model, often: dict[bytes, int], ids: dict[bytes, bytes], n_docs: int, scale: float, path: str):
-        self.model, self.often, self.scale = model, {**often, None: n_docs}, scale
+    def __init__(self, ids: dict[bytes, bytes], path: str):
         self.encode = word_encoder(path)
         self.ids: dict[bytes | None, bytes] = dict(ids)
         self.given = ids
 
-    def run(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-        """n_tokens, known, base and score of each text, without its rare words; how many different ones it has; these, and their counts."""
+    def run(self, texts: list[bytes | None]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all texts with None at the end of each, how many each text has, their ids, and where each text's ids end."""
         flat: list[bytes | None] = []
         size = []
         for t in texts:
@@ -321,16 +438,27 @@ class Scorer:
             flat += words
             flat.append(None)  # the end
             size.append(len(words) + 1)
-        size = np.array(size)
         ids = self.ids
         if len(ids) > len(self.given) + CACHED:
             ids = self.ids = dict(self.given)
         ids[None] = np.array([END_ID], np.uint16).tobytes()
         new = list(set(flat).difference(ids))
         ids.update(zip(new, self.encode(new), strict=True))
-        starts = np.cumsum(size) - size
         coded = np.frombuffer(b"".join(map(ids.__getitem__, flat)), np.uint16)
-        ends = np.flatnonzero(coded == END_ID) + 1
+        return flat, np.array(size), coded, np.flatnonzero(coded == END_ID) + 1
+
+
+class Scorer:
+    """Scores runs of texts in one task. often: counts and ids of frequent words; scale: the denominator of the unigram."""
+
+    def __init__(self, model: Model, often: dict[bytes, int], ids: dict[bytes, bytes], n_docs: int, scale: float, path: str):
+        self.model, self.often, self.scale = model, {**often, None: n_docs}, scale
+        self.coder = Coder(ids, path)
+
+    def run(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+        """n_tokens, known, base and score of each text, without its rare words; how many different ones it has; these, and their counts."""
+        flat, size, coded, ends = self.coder.run(texts)
+        starts = np.cumsum(size) - size
         pieces = self.model.symbol[coded].astype(np.int32)
         score = self.model.score(np.split(pieces, ends[:-1])) + np.add.reduceat(self.model.extra[coded], np.concatenate(([0], ends[:-1])))
         count = np.fromiter(map(self.often.get, flat, repeat(-1)), np.float64, len(flat))
@@ -353,11 +481,10 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
     scale = total + 0.1 * (distinct + 1)
-    share = int(min(1.0, TRAIN_DOCS / max(n_docs, 1)) * (1 << 30))
-    sample = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 30)) < share).select(F.col("text").cast("binary"))
-    model = train([r[0] and bytes(r[0]) for r in sample.toLocalIterator()], path)
     often, _ = heavy_words(counts)
-    sent = spark.sparkContext.broadcast((often, dict(zip(often, word_encoder(path)(list(often)), strict=True)), model))
+    ids = dict(zip(often, word_encoder(path)(list(often)), strict=True))
+    model = learn(training, counts, ids, n_docs, path)
+    sent = spark.sparkContext.broadcast((often, ids, model))
     schema = docs.select("doc_id").schema
     schema = schema.add("held_out", "boolean").add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer")))
 

@@ -428,6 +428,22 @@ def test_language_model(docs, empty, monkeypatch):
     assert remainder(10, 10) != 0 or lm.scores(unseen).count() == 2
 
 
+def test_model_learns_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 10)
+    monkeypatch.setattr(lm.Model.fit, "__defaults__", (5, 64, 0.01, 11))
+    rng = random.Random(3)
+    texts = [sentence(rng, rng.randint(1, 80)) for _ in range(200)] + ["", None, "zebra " * 300]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model = lm.learn(training, lm.word_counts(training), {}, len(texts), lm.vocabulary_path())
+    want = lm.train([t and t.encode() for t in texts], lm.vocabulary_path())
+    # equal counts may be ordered either way only where they are equal: the order of ids decides, so all tables agree
+    assert np.array_equal(model.symbol, want.symbol) and np.allclose(model.extra, want.extra) and np.allclose(model.unigram, want.unigram)
+    assert np.allclose(model.b1, want.b1, atol=1e-5) and np.allclose(model.b2, want.b2, atol=1e-5)
+    code = lm.word_encoder(lm.vocabulary_path())
+    assert model.seen == sum(-(-(sum(map(len, code(lm.words_of((t or "").encode())))) // 2 + 1) // lm.STRIDE) for t in texts)
+    assert all(np.isfinite(getattr(model, n)).all() for n in lm.WEIGHTS)
+
+
 def test_model_is_causal_normalised_and_learns():
     rng = random.Random(0)
     texts = [sentence(rng, 80).encode() for _ in range(60)]
