@@ -128,7 +128,7 @@ class Segment:
         if not n:
             return []
         w = min(window, n)
-        terms = np.fromiter((self.number.get(x, -1) for x in words), np.int32, n)
+        terms = np.fromiter((self.number.get(x, -2) for x in words), np.int32, n)  # no position holds -2, and a gap holds -1
         size = np.where(terms < 0, 0, np.diff(self.starts)[np.maximum(terms, 0)] if len(self.starts) > 1 else 0)
         view = np.lib.stride_tricks.sliding_window_view(size, w)
         rarest = view.argmin(axis=1)

@@ -318,6 +318,16 @@ def test_decontamination(docs, items, empty):
     assert [tuple(r) for r in near.collect()] == [(88, 0)]
 
 
+def test_passages_end_with_their_document(spark):
+    b = [f"b{i}" for i in range(15)]
+    texts = ["x y", " ".join(b[1:]), "x y", "q " + " ".join(b[:14]), "x y", " ".join(b[1:13]), "x y"]  # of items 0, 1; 12 words are no window
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    passage = [*b[:14], "absent"]
+    items = spark.createDataFrame([(0, " ".join(["missing", *b[1:]])), (1, " ".join(passage))], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {0: (0, []), 1: (14, [0, 1]), 2: (0, []), 3: (14, [0, 1]), 4: (0, []), 5: (0, []), 6: (0, [])}
+
+
 def test_quality_ledger(docs, empty):
     book = quality.ledger(docs, ["doc_id", "text"]).collect()
     assert len(book) == docs.count()
