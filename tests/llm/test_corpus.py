@@ -454,6 +454,15 @@ def test_model_learns_from_all_documents(spark, monkeypatch):
     assert all(np.isfinite(getattr(model, n)).all() for n in lm.WEIGHTS)
 
 
+def test_every_symbol_sees_sixteen_before_it():
+    model = lm.Model.__new__(lm.Model)
+    xs, ys, _ = model.windows([np.arange(1, 101, dtype=np.int32)])
+    for x, y in zip(xs, ys, strict=True):
+        for k in np.flatnonzero(y >= 0):
+            seen = x[: lm.WIDTH - lm.STRIDE + k + 1]
+            assert (seen != lm.PAD).sum() >= min(17, y[k])
+
+
 def test_model_is_causal_normalised_and_learns():
     rng = random.Random(0)
     texts = [sentence(rng, 80).encode() for _ in range(60)]
