@@ -1,7 +1,8 @@
 """Observing append-only session logs, in one batch or as a stream.
 
-A log may only grow: an entry that comes before what was seen, a second entry of the same place, or an unknown parent is a
-violation that is counted against its session; it is never merged, as a watermark would.
+A log may only grow: an entry that comes before what was seen, a second entry of the same place or id, or a parent that does
+not come before its child is a violation that is counted against its session; a stream never merges it, as a watermark would.
+What was seen is not compared again: a log rewritten at places already read goes unnoticed.
 """
 
 from __future__ import annotations
@@ -13,35 +14,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import history
+
 SCHEMA = "session_id long, entries long, last_ord long, leaf_id long, violations long"
 
 
 def observe_batch(entries: DataFrame) -> DataFrame:
     """session_id, entries, last_ord, leaf_id, violations of complete logs (session_id, entry_id, parent_id, ord)."""
     gap = F.col("ord") != F.row_number().over(Window.partitionBy("session_id").orderBy("ord", "entry_id")) - 1
-    return entries.withColumn("gap", gap).groupBy("session_id").agg(
-        F.count("*").alias("entries"), F.max("ord").cast("long").alias("last_ord"), F.max_by("entry_id", "ord").alias("leaf_id"), F.count_if("gap").alias("violations")
+    found = entries.withColumn("gap", gap).groupBy("session_id").agg(
+        F.count("*").alias("entries"), F.max("ord").cast("long").alias("last_ord"), F.max_by("entry_id", "ord").alias("leaf_id"), F.count_if("gap").alias("gaps")
     )
+    broken = history.violations(entries).groupBy("session_id").agg(F.count("*").alias("broken"))
+    violations = (F.col("gaps") + F.coalesce("broken", F.lit(0))).cast("long").alias("violations")
+    return found.join(broken, "session_id", "left").select("session_id", "entries", "last_ord", "leaf_id", violations)
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    entries, last, leaf, bad = state.get if state.exists else (0, -1, -1, 0)
+    entries, last, leaf, bad, ids = state.get if state.exists else (0, -1, -1, 0, [])
+    seen = dict.fromkeys(map(int, ids))
     rows = pd.concat(list(frames)).sort_values(["ord", "entry_id"])
     for r in rows.itertuples(index=False):
-        if r.ord == last + 1:
+        if r.ord == last + 1 and r.entry_id not in seen and (pd.isna(r.parent_id) or int(r.parent_id) in seen):
+            seen[int(r.entry_id)] = None
             entries, last, leaf = entries + 1, int(r.ord), int(r.entry_id)
         else:
             bad += 1
-    state.update((entries, last, leaf, bad))
+    state.update((entries, last, leaf, bad, list(seen)))
     yield pd.DataFrame([(key[0], entries, last, leaf, bad)], columns=["session_id", "entries", "last_ord", "leaf_id", "violations"])
 
 
 def observe_stream(entries: DataFrame) -> DataFrame:
     """The same of a stream: after each micro-batch, the sessions that grew, with what is known of them by then.
 
-    The state of a session is four numbers, however long its log is.
+    The state of a session is four numbers and the ids of its log, which tell whether a parent is known.
     """
-    return entries.groupBy("session_id").applyInPandasWithState(_advance, SCHEMA, "entries long, last_ord long, leaf_id long, violations long", "update", GroupStateTimeout.NoTimeout)
+    return entries.groupBy("session_id").applyInPandasWithState(_advance, SCHEMA, "entries long, last_ord long, leaf_id long, violations long, ids array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def capture_stream(events: DataFrame, commit, checkpoint: str):

@@ -599,3 +599,18 @@ def test_store_folders(spark, tmp_path):
     known, odd = objects.loose_inventory(spark, str(store))
     assert rows(known.select("namespace", "logical_id", "byte_length", "temporary")) == [("content", name, 5, False), ("recipe", name, 1, True)]
     assert [r.path.rsplit("/", 1)[1] for r in odd.collect()] == ["stray"]
+
+
+def test_observer_counts_broken_parents(spark, tmp_path):
+    schema = "session_id long, entry_id long, parent_id long, ord long"
+    logs = [(1, 10, None, 0), (1, 11, 10, 1), (2, 20, None, 0), (2, 21, 99, 1), (3, 30, 31, 0), (3, 31, None, 1), (4, 40, None, 0), (4, 40, None, 1)]
+    frame = spark.createDataFrame(logs, schema)
+    assert {r.session_id: r.violations for r in observer.observe_batch(frame).collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
+    frame.coalesce(1).write.parquet(f"{tmp_path}/logs")
+    got = {}
+    stream = observer.observe_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/logs"))
+    keep = lambda batch, _: got.update({r.session_id: r.violations for r in batch.collect()})
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination(100)
+    # what follows an entry that was not merged is out of place too
+    assert got == {1: 0, 2: 1, 3: 2, 4: 1}
