@@ -8,13 +8,16 @@ head, learned tables of queries, keys and values by symbol, and a learned bias b
 every STRIDE, so they overlap; each scores its last STRIDE symbols, so that every one is scored once, with at least
 WIDTH - STRIDE before it (as far as the text has them).
 
-All documents that are not held out teach the model: word counts, counts of ids (and so the symbols) and bigrams of symbols
-are sums over all of them, and after a start on about TRAIN_DOCS of them, chosen by a hash of doc_id, each task goes once
-through its share of the documents; the weights are the mean of the tasks', by windows seen. Words that occur often (at most
-HEAVY of them) are sent to every task, the rest are joined by word.
-
-Null and empty texts are an end alone. Null doc_ids and repeated rows are rows like others; an empty table gives an empty
-result, and without training texts every symbol is equally likely. Other columns are ignored.
+All documents that are not held out teach the model, whatever their number: word counts, counts of ids (and so the symbols) and
+bigrams of symbols are sums over all of them, and the weights are fitted by Adam on all their windows. The windows are gone
+through in the ROUNDS, each of which takes the windows of its own: in each round every task moves a copy of the weights through
+the windows of its share of the documents, and the next round starts from the mean of the tasks', by windows seen. Tables with
+fewer than LEAST windows are gone through several times. Every text is encoded once, to a table that the rounds and the scoring
+read. The HEAVY most frequent words, about, are sent to every task, the rest are joined by word.
+
+Null and empty texts are an end alone. Null doc_ids (held out, since the crc of the empty text is 0) and
+repeated rows are rows like others; equal texts get equal scores; texts of any length are read whole; an empty table gives an
+empty result, and without training texts every symbol is equally likely. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import cut, discard, id_remainder
+from .common import cut, id_remainder
 from .tokens import runs
 
 SYMBOLS, CLASSES, DIM = 1024, 32, 16
@@ -40,10 +43,12 @@ MEMBERS = SYMBOLS // CLASSES
 #: Of the symbols, those that several ids share.
 SHARED = 32
 WIDTH, STRIDE = 32, 16
-TRAIN_DOCS = 2500
-STEPS, BATCH, RATE = 1200, 192, 0.01
-#: Of the pass over all documents.
-PASS_BATCH, PASS_RATE = 768, 0.003
+#: Of every 16 windows in a row: from which to which a round goes through, its batch, and its first and last rate.
+ROUNDS = ((0, 2, 64, 0.02, 0.02), (2, 6, 128, 0.015, 0.015), (6, 16, 128, 0.01, 0.0005))
+#: Windows that the rounds see at least.
+LEAST = 250_000
+#: Pieces in which the weights are averaged.
+PIECES = 32
 WEIGHTS = ("q", "k", "v", "u1", "u2", "r")
 HEAVY, HEAVY_BYTES = 100_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
@@ -111,38 +116,45 @@ class Model:
         self.r = (-0.1 * np.arange(WIDTH)).astype(np.float32)  # by distance
 
     def bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """By query (of the last STRIDE) and key: the bias of their distance, and whether the key is not ahead."""
+        """By query (of the last STRIDE) and key: the bias of their distance, and that distance (-1 where the key is ahead)."""
         far = (WIDTH - STRIDE + np.arange(STRIDE))[:, None] - np.arange(WIDTH)[None]
         seen = far >= 0
         return np.where(seen, self.r[np.maximum(far, 0)], np.float32(-1e9)).astype(np.float32), np.where(seen, far, -1)
 
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        q, k, v = self.q[x[:, -STRIDE:]], self.k[x], self.v[x]
+        """Queries, keys, values with a column of ones (padding has zeros), exponentials, and their sums of values and ones.
+
+        One product so gives sums and normalisers; padding takes no part in either.
+        """
+        ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
+        ones[PAD] = 0
+        q, k, v = (self.q * np.float32(1 / math.sqrt(DIM)))[x[:, -STRIDE:]], self.k[x], ones[x]
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(1 / math.sqrt(DIM))
         a += self.bias()[0]
-        a += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        return q, k, v, a, np.matmul(a, v).reshape(-1, DIM)
+        return q, k, v, a, np.matmul(a, v)
+
+    def by_class(self) -> np.ndarray:
+        """The direct path to members, a row for each class and symbol before."""
+        return np.ascontiguousarray(self.b2.transpose(1, 0, 2)).reshape(-1, MEMBERS)
 
-    def heads(self, h: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Log probabilities of all classes and of all members of the target's class."""
-        c = target // MEMBERS
-        l1 = h @ self.u1
+    def heads(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, by_class: np.ndarray) -> tuple:
+        """For the targets that are real, in order of their class so that its weights meet them in runs: where they lie, class
+        and member, h, the edges of the runs, and the logits of all classes and of the members of their class."""
+        real = np.flatnonzero(y >= 0)
+        c = (y[real] // MEMBERS).astype(np.uint8)
+        order = np.argsort(c, kind="stable")
+        edges = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+        real, c = real[order], c[order].astype(np.int64)
+        before, own = x[:, -STRIDE:].reshape(-1)[real], h[real]
+        l1 = own @ self.u1
         l1 += self.b1[before]
-        l2 = self.b2[before, c]
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        l2 = by_class[c * (SYMBOLS + 1) + before]
         for j in range(CLASSES):
-            rows = order[edges[j] : edges[j + 1]]
-            if len(rows):
-                l2[rows] += h[rows] @ self.u2[j].T
-        for x in (l1, l2):
-            x -= x.max(axis=1, keepdims=True)
-            x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-        return l1, l2, c, order, edges
+            a, b = edges[j : j + 2]
+            if a < b:
+                l2[a:b] += own[a:b] @ self.u2[j].T
+        return real, c, y[real] % MEMBERS, own, edges, l1, l2
 
     def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs (windows by WIDTH), targets and document numbers (windows by STRIDE; -1 beyond a document's end)."""
@@ -160,39 +172,13 @@ class Model:
         return x[first[:, None] + np.arange(WIDTH)], y[first[:, None] + lead + np.arange(STRIDE)], doc
 
     def score(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
-        """The natural log probability of each document's symbols; each symbol counts in one window.
-
-        The same sums as attend() and heads(), arranged for speed: values carry a column of ones, so that one product gives
-        sums and normalisers; padding has zero values; rows are sorted by class, so that its members' weights meet them in runs.
-        """
-        out = np.zeros(len(docs))
+        """The natural log probability of each document's symbols; each symbol counts in one window."""
+        out, by_class, one = np.zeros(len(docs)), self.by_class(), np.ones(MEMBERS, np.float32)
         xs, ys, doc = self.windows(docs)
-        ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
-        ones[PAD] = 0
-        q = self.q * np.float32(1 / math.sqrt(DIM))
-        bias = self.bias()[0]
-        by_class = np.ascontiguousarray(self.b2.transpose(1, 0, 2)).reshape(-1, MEMBERS)
-        one = np.ones(MEMBERS, np.float32)
         for i in range(0, len(xs), chunk):
             x, y = xs[i : i + chunk], ys[i : i + chunk].reshape(-1)
-            a = np.matmul(q[x[:, -STRIDE:]], self.k[x].transpose(0, 2, 1))
-            a += bias
-            np.exp(a, out=a)
-            h = np.matmul(a, ones[x]).reshape(-1, DIM + 1)
-            real = np.flatnonzero(y >= 0)
-            c = (y[real] // MEMBERS).astype(np.uint8)
-            order = np.argsort(c, kind="stable")
-            edges = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
-            real, c = real[order], c[order].astype(np.int64)
-            before, member = x[:, -STRIDE:].reshape(-1)[real], y[real] % MEMBERS
-            h = h[real]
-            h = h[:, :DIM] / h[:, DIM:]
-            l1 = h @ self.u1
-            l1 += self.b1[before]
-            l2 = by_class[c * (SYMBOLS + 1) + before]
-            for k in range(CLASSES):
-                if edges[k] < edges[k + 1]:
-                    l2[edges[k] : edges[k + 1]] += h[edges[k] : edges[k + 1]] @ self.u2[k].T
+            h = self.attend(x)[-1].reshape(-1, DIM + 1)
+            real, c, member, _, _, l1, l2 = self.heads(h[:, :DIM] / h[:, DIM:], x, y, by_class)
             at = np.arange(len(real))
             got = l1[at, c] + l2[at, member]
             np.exp(l1, out=l1)
@@ -202,67 +188,119 @@ class Model:
             out += np.bincount(doc[i + real // STRIDE], weights=got, minlength=len(docs))
         return out
 
-    def fit(self, docs: list[np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
-        """Adam on the cross entropy of what the windows score. The losses, by step."""
-        xs, ys, _ = self.windows(docs)
-        rng = np.random.default_rng(seed)
-        adam = Adam(self)
-        losses = []
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(xs), batch)
-            losses.append(adam.step(xs[pick], ys[pick].reshape(-1), rate * min(1.0, 2 - 2 * step / steps)))
-        return losses
+
+def summed(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each symbol, 0 for padding."""
+    symbols = symbols.astype(np.uint16)
+    order = np.argsort(symbols, kind="stable")
+    found = symbols[order]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    out = np.zeros((SYMBOLS + 1, rows.shape[1]), np.float32)
+    out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[PAD] = 0
+    return out
 
 
 class Adam:
-    """Moves the weights of a model by the gradient of a batch of windows."""
+    """Moves the weights of a model by the gradient of the cross entropy of what a batch of windows scores."""
 
     def __init__(self, model: Model):
         self.model, self.steps = model, 0
         self.m1, self.m2 = ({n: np.zeros_like(getattr(model, n)) for n in WEIGHTS} for _ in range(2))
-        self.far = model.bias()[1]
+        self.by_class, self.far, self.one = model.by_class(), model.bias()[1], np.ones(MEMBERS, np.float32)
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """By weight, and the mean loss."""
+        model, n = self.model, len(x)
+        q, k, v, p, h = model.attend(x)
+        padded = np.flatnonzero((x == PAD).any(axis=1))
+        p[padded] *= (x[padded] != PAD)[:, None, :]
+        p /= h[:, :, DIM:]
+        h = (h[:, :, :DIM] / h[:, :, DIM:]).reshape(-1, DIM)
+        real, c, member, own, edges, l1, l2 = model.heads(h, x, y, self.by_class)
+        at, share = np.arange(len(real)), np.float32(1 / max(len(real), 1))
+        loss = -float((l1[at, c] + l2[at, member]).sum())
+        for d, target in ((l1, c), (l2, member)):  # from logits to the gradient by them
+            np.exp(d, out=d)
+            total = d @ self.one
+            loss += float(np.log(total).sum())
+            d *= (share / total)[:, None]
+            d[at, target] -= share
+        grad = {"u1": own.T @ l1, "u2": np.zeros_like(model.u2)}
+        back = l1 @ model.u1.T
+        for j in range(CLASSES):
+            a, b = edges[j : j + 2]
+            if a < b:
+                grad["u2"][j] = l2[a:b].T @ own[a:b]
+                back[a:b] += l2[a:b] @ model.u2[j]
+        dh = np.zeros((n * STRIDE, DIM), np.float32)
+        dh[real] = back
+        mean = np.einsum("ij,ij->i", dh, h).reshape(n, STRIDE, 1)
+        dh = dh.reshape(n, STRIDE, DIM)
+        ds = np.matmul(dh, v[:, :, :DIM].transpose(0, 2, 1))
+        ds -= mean
+        ds *= p
+        by_distance = (np.ones(n, np.float32) @ ds.reshape(n, -1)).reshape(STRIDE, WIDTH)
+        grad["r"] = np.bincount(self.far[self.far >= 0], weights=by_distance[self.far >= 0], minlength=WIDTH).astype(np.float32)
+        both = np.empty((n, WIDTH, 2 * DIM), np.float32)
+        np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, :DIM])
+        np.matmul(p.transpose(0, 2, 1), dh, out=both[:, :, DIM:])
+        both = summed(both.reshape(-1, 2 * DIM), x.reshape(-1))
+        grad["k"], grad["v"] = both[:, :DIM], both[:, DIM:]
+        grad["q"] = summed(np.matmul(ds, k).reshape(-1, DIM), x[:, -STRIDE:].reshape(-1)) * np.float32(1 / math.sqrt(DIM))
+        return grad, loss * float(share)
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
         """The loss of the batch before the move."""
-        model, far, m1, m2 = self.model, self.far, self.m1, self.m2
+        grad, loss = self.gradient(x, y)
         self.steps += 1
-        real = np.flatnonzero(y >= 0)
-        q, k, v, a, h = model.attend(x)
-        own, t = h[real], y[real]
-        l1, l2, c, order, edges = model.heads(own, x[:, -STRIDE:].reshape(-1)[real], t)
-        at = np.arange(len(real))
-        loss = -float((l1[at, c] + l2[at, t % MEMBERS]).mean())
-        d1, d2 = np.exp(l1), np.exp(l2)
-        d1[at, c] -= 1
-        d2[at, t % MEMBERS] -= 1
-        d1 /= len(real)
-        d2 /= len(real)
-        grad = {"u1": own.T @ d1, "u2": np.zeros_like(model.u2)}
-        back = d1 @ model.u1.T
-        for j in range(CLASSES):
-            rows = order[edges[j] : edges[j + 1]]
-            if len(rows):
-                grad["u2"][j] = d2[rows].T @ own[rows]
-                back[rows] += d2[rows] @ model.u2[j]
-        dh = np.zeros_like(h)
-        dh[real] = back
-        dh = dh.reshape(len(x), STRIDE, DIM)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        per = ds.sum(axis=0)
-        grad["r"] = np.bincount(far[far >= 0], weights=per[far >= 0], minlength=WIDTH).astype(np.float32)
-        ds *= np.float32(1 / math.sqrt(DIM))
-        for n, d, ids in (("v", np.matmul(a.transpose(0, 2, 1), dh), x), ("k", np.matmul(ds.transpose(0, 2, 1), q), x), ("q", np.matmul(ds, k), x[:, -STRIDE:])):
-            flat, d = ids.reshape(-1), d.reshape(-1, DIM)
-            grad[n] = np.stack([np.bincount(flat, weights=d[:, j], minlength=SYMBOLS + 1) for j in range(DIM)], axis=1).astype(np.float32)
+        model, m1, m2 = self.model, self.m1, self.m2
+        length, width = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
         for n in WEIGHTS:
-            m1[n] += 0.1 * (grad[n] - m1[n])
-            m2[n] += 0.01 * (grad[n] ** 2 - m2[n])
-            move = rate * (m1[n] / (1 - 0.9**self.steps)) / (np.sqrt(m2[n] / (1 - 0.99**self.steps)) + 1e-8)
-            setattr(model, n, getattr(model, n) - move.astype(np.float32))
+            m1[n] += np.float32(0.1) * (grad[n] - m1[n])
+            m2[n] += np.float32(0.01) * (grad[n] ** 2 - m2[n])
+            setattr(model, n, getattr(model, n) - length * m1[n] / (np.sqrt(m2[n] * width) + np.float32(1e-8)))
         return loss
 
 
+class Tour:
+    """One task's way through a round: its windows of a run of documents after another, in batches drawn at random without repeats."""
+
+    def __init__(self, model: Model, turn: tuple, times: int, expected: float, seed: int):
+        self.model = Model.__new__(Model)
+        self.model.__dict__.update(model.__dict__)
+        self.adam, self.turn, self.times, self.expected = Adam(self.model), turn, times, max(expected, 1.0)
+        self.rng, self.seen = np.random.default_rng(seed), 0
+
+    def run(self, docs: list[np.ndarray]) -> None:
+        low, high, batch, first, last = self.turn
+        xs, ys, _ = self.model.windows(docs)
+        number = np.arange(len(xs)) % 16
+        own = np.flatnonzero((number >= low) & (number < high))
+        for _ in range(self.times):
+            order = self.rng.permutation(own)
+            for i in range(0, len(order), batch):
+                pick = order[i : i + batch]
+                self.adam.step(xs[pick], ys[pick].reshape(-1), first + (last - first) * min(1.0, self.seen / self.expected))
+                self.seen += len(pick)
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self.model, n).reshape(-1) for n in WEIGHTS])
+
+
+def set_weights(model: Model, flat: np.ndarray) -> None:
+    at = 0
+    for n in WEIGHTS:
+        old = getattr(model, n)
+        setattr(model, n, flat[at : at + old.size].astype(np.float32).reshape(old.shape))
+        at += old.size
+
+
+def times_through(symbols: int) -> int:
+    """How often the rounds go through the windows of so many symbols."""
+    return max(1, -(-LEAST * STRIDE // max(symbols, 1))) if symbols else 1
+
+
 def pairs_of(docs: list[np.ndarray]) -> np.ndarray:
     """How often each symbol follows each, by 1024 * before + after, in documents that end with the end symbol."""
     every = np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
@@ -270,12 +308,10 @@ def pairs_of(docs: list[np.ndarray]) -> np.ndarray:
     return np.bincount(before * SYMBOLS + every, minlength=SYMBOLS * SYMBOLS)
 
 
-def begin(model: Model, pairs: np.ndarray, symbols: list[np.ndarray]) -> Model:
+def begin(model: Model, pairs: np.ndarray) -> Model:
     # the direct path alone would know its own texts by heart; a strong prior leaves room for what generalises
     model.bigrams(pairs.reshape(SYMBOLS, SYMBOLS))
     model.start()
-    if symbols:
-        model.fit(symbols)
     return model
 
 
@@ -287,7 +323,13 @@ def train(texts: list[bytes | None], path: str) -> Model:
     flat = [np.frombuffer(b"".join(map(ids.__getitem__, d)), np.uint16) for d in docs]
     model = Model(np.bincount(np.concatenate([np.zeros(0, np.uint16), *flat]), minlength=IDS), len(docs))
     symbols = [np.append(model.symbol[d], END_SYMBOL).astype(np.int32) for d in flat]
-    return begin(model, pairs_of(symbols), symbols)
+    begin(model, pairs_of(symbols))
+    n = sum(map(len, symbols))
+    for turn in ROUNDS:
+        tour = Tour(model, turn, times_through(n), n / STRIDE * (turn[1] - turn[0]) / 16 * times_through(n), 13)
+        tour.run(symbols)
+        set_weights(model, tour.weights())
+    return model
 
 
 def id_counts(counts: DataFrame, path: str) -> np.ndarray:
@@ -326,59 +368,47 @@ def _sums(rows: DataFrame, key: str, n: int) -> np.ndarray:
     return out
 
 
-def go_through(symbols: DataFrame, model: Model) -> int:
-    """Fit the model once more, on all documents (doc): each task moves a copy through its own. The number of windows seen."""
-    sent = symbols.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.__dict__.update(sent.value.__dict__)
-        adam, seen, rng = Adam(own), 0, np.random.default_rng(13)
-        for batch in batches:
-            for _, docs in runs(batch, 0, 1 << 20):
-                xs, ys, _ = own.windows([np.frombuffer(d, np.uint16) for d in docs])
-                order = rng.permutation(len(xs))
-                for i in range(0, len(xs), PASS_BATCH):
-                    pick = order[i : i + PASS_BATCH]
-                    adam.step(xs[pick], ys[pick].reshape(-1), PASS_RATE)
-                seen += len(xs)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([b"".join(getattr(own, n).tobytes() for n in WEIGHTS)], pa.binary())], names=["seen", "weights"])
-
-    rows = cut(symbols.select("doc").mapInArrow(run, "seen long, weights binary"), "weights")
-    total, mean = 0, 0.0
-    for r in rows.toLocalIterator():
-        total += r[0]
-        mean = mean + r[0] * np.frombuffer(r[1], np.float32).astype(np.float64)
-    at = 0
-    for n in WEIGHTS if total else ():
-        old = getattr(model, n)
-        setattr(model, n, (mean[at : at + old.size] / total).astype(np.float32).reshape(old.shape))
-        at += old.size
-    discard(rows)
-    return total
-
-
-def learn(training: DataFrame, counts: DataFrame, ids: dict[bytes, bytes], n_docs: int, path: str) -> Model:
-    """A model of all rows of training (doc_id, text), whose words are counted in counts; ids of frequent words."""
-    model = Model(id_counts(counts, path), n_docs)
-    sent = training.sparkSession.sparkContext.broadcast((ids, model.symbol))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, symbol = sent.value
-        coder = Coder(ids, path)
-        for batch in batches:
-            for start, texts in runs(batch, 0, 1 << 21):
-                _, _, coded, ends = coder.run(texts)
-                docs = [d.tobytes() for d in np.split(symbol[coded], ends[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), batch.column(1).slice(start, len(texts))], names=["doc", "first"])
-
-    share = int(min(1.0, TRAIN_DOCS / max(n_docs, 1)) * (1 << 30))
-    first = F.pmod(F.xxhash64("doc_id", F.lit("model")), F.lit(1 << 30)) < share
-    symbols = cut(training.select(F.col("text").cast("binary").alias("text"), first.alias("first")).mapInArrow(run, "doc binary, first boolean"), "symbols")
-    begin(model, pair_counts(symbols), [np.frombuffer(r[0], np.uint16).astype(np.int32) for r in symbols.filter("first").toLocalIterator()])
-    model.seen = go_through(symbols, model)
-    discard(symbols)
+def go_through(symbols: DataFrame, model: Model, n_symbols: int) -> list[int]:
+    """Fit the model on all documents (doc) in the ROUNDS. The number of windows seen, by round.
+
+    Per round, each task sends its weights in PIECES, whose weighted sums are made by piece in other tasks; the driver gets these.
+    """
+    times, seen = times_through(n_symbols), []
+    tasks = max(symbols.rdd.getNumPartitions(), 1)
+    for turn in ROUNDS:
+        sent = symbols.sparkSession.sparkContext.broadcast((model, turn, times, n_symbols / STRIDE * (turn[1] - turn[0]) / 16 * times / tasks))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tour = Tour(*sent.value, 13)
+            for batch in batches:
+                for _, docs in runs(batch, 0, 1 << 20):
+                    tour.run([np.frombuffer(d, np.uint16) for d in docs])
+            if tour.seen:
+                pieces = [p.tobytes() for p in np.array_split(tour.weights(), PIECES)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([tour.seen] * PIECES), pa.array(pieces, pa.binary())], names=["piece", "seen", "weights"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for piece, n, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held = sums.setdefault(piece, [0, 0.0])
+                    held[0] += n
+                    held[1] = held[1] + n * np.frombuffer(weights, np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], names=["piece", "seen", "weights"])
+
+        kind = "piece int, seen long, weights binary"
+        parts = sorted(symbols.select("doc").mapInArrow(run, kind).repartition(PIECES, "piece").mapInArrow(add, kind).collect())
+        if parts:
+            set_weights(model, np.concatenate([np.frombuffer(w, np.float64) / n for _, n, w in parts]))
+        seen.append(parts[0][1] if parts else 0)
+    return seen
+
+
+def learn(symbols: DataFrame, model: Model) -> Model:
+    """Complete a model, whose symbols are known, from the symbols of all training documents (doc)."""
+    pairs = pair_counts(symbols)
+    begin(model, pairs)
+    model.seen = go_through(symbols, model, int(pairs.sum()))
     return model
 
 
@@ -408,17 +438,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def heavy_words(counts: DataFrame, most: int = HEAVY) -> tuple[dict[bytes, int], int]:
-    """The words, at most ``most`` of them, that occur at least so often."""
-    sizes = counts.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n"))
-    ranked = sorted(((r[0], r[1]) for r in sizes.collect()), reverse=True)
+def heavy_words(counts: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
+    """The most frequent words and their counts: as many, up to ``most``, as a least count lets in.
+
+    The least count is found from the number of words by the 12 leading bits of their count, of which there are less than 2^18.
+    """
+    bits = F.length(F.bin("c")) - 12
+    held = counts.withColumn("lead", F.when(bits > 0, F.call_function("shiftleft", F.call_function("shiftright", "c", bits), bits)).otherwise(F.col("c")))
     least, n = 1 << 62, 0
-    for c, k in ranked:
+    for c, k in sorted(((r[0], r[1]) for r in held.groupBy("lead").agg(F.count("*")).collect()), reverse=True):
         if n + k > most:
             break
         least, n = c, n + k
-    rows = counts.filter((F.col("c") >= least) & (F.octet_length("word") <= HEAVY_BYTES)).collect()
-    return {bytes(r[0]): r[1] for r in rows}, least
+    return {bytes(r[0]): r[1] for r in held.filter((F.col("lead") >= least) & (F.octet_length("word") <= HEAVY_BYTES)).select("word", "c").collect()}
 
 
 class Coder:
@@ -448,27 +480,44 @@ class Coder:
         return flat, np.array(size), coded, np.flatnonzero(coded == END_ID) + 1
 
 
-class Scorer:
-    """Scores runs of texts in one task. often: counts and ids of frequent words; scale: the denominator of the unigram."""
+def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int, scale: float, path: str) -> DataFrame:
+    """docs (doc_id, held_out, text) with a number of their own (rid), the number of tokens, and what frequent words give: how
+    many tokens are known, their unigram log probability (base); the rare words with their number (rare); the symbols (doc) and the
+    log probability of the ids given their symbols (extra). Words not in often are rare; n_docs ends are known."""
+    ids = dict(zip(often, word_encoder(path)(list(often)), strict=True))
+    sent = docs.sparkSession.sparkContext.broadcast(({**often, None: n_docs}, ids, model.symbol, model.extra))
+    schema = docs.select("doc_id", "held_out").schema
+    schema = schema.add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer"))).add("extra", "double").add("doc", "binary")
 
-    def __init__(self, model: Model, often: dict[bytes, int], ids: dict[bytes, bytes], n_docs: int, scale: float, path: str):
-        self.model, self.often, self.scale = model, {**often, None: n_docs}, scale
-        self.coder = Coder(ids, path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, ids, symbol, extra = sent.value
+        coder = Coder(ids, path)
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for start, texts in runs(batch, 2, 1 << 20):
+                flat, size, coded, ends = coder.run(texts)
+                starts = np.cumsum(size) - size
+                count = np.fromiter(map(often.get, flat, repeat(-1)), np.float64, len(flat))
+                base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / scale), 0.0)
+                spot = np.flatnonzero(count < 0)
+                owner = (np.searchsorted(starts, spot, "right") - 1).tolist()
+                pairs = Counter(zip(owner, map(flat.__getitem__, spot.tolist()), strict=True))  # in order of the texts
+                rare_n = np.bincount(np.fromiter((k for k, _ in pairs), np.int64, len(pairs)), minlength=len(texts))
+                own = pa.StructArray.from_arrays([pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int32())], names=["word", "n"])
+                symbols = symbol[coded].tobytes()
+                found = {
+                    "rid": pa.array(range(row, row + len(texts)), pa.int64()),
+                    "n_tokens": pa.array(size, pa.int64()),
+                    "known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+                    "base": pa.array(np.add.reduceat(base, starts)),
+                    "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], rare_n]).cumsum(), pa.int32()), own),
+                    "extra": pa.array(np.add.reduceat(extra[coded], np.concatenate(([0], ends[:-1])))),
+                    "doc": pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate(([0], 2 * ends)).astype(np.int32).tobytes()), pa.py_buffer(symbols)]),
+                }
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(2)), *found.values()], names=["doc_id", "held_out", *found])
 
-    def run(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-        """n_tokens, known, base and score of each text, without its rare words; how many different ones it has; these, and their counts."""
-        flat, size, coded, ends = self.coder.run(texts)
-        starts = np.cumsum(size) - size
-        pieces = self.model.symbol[coded].astype(np.int32)
-        score = self.model.score(np.split(pieces, ends[:-1])) + np.add.reduceat(self.model.extra[coded], np.concatenate(([0], ends[:-1])))
-        count = np.fromiter(map(self.often.get, flat, repeat(-1)), np.float64, len(flat))
-        base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / self.scale), 0.0)
-        spot = np.flatnonzero(count < 0)
-        owner = (np.searchsorted(starts, spot, "right") - 1).tolist()
-        pairs = Counter(zip(owner, map(flat.__getitem__, spot.tolist()), strict=True))  # in order of the texts
-        rare_n = np.bincount(np.fromiter((k for k, _ in pairs), np.int64, len(pairs)), minlength=len(texts))
-        known = np.add.reduceat((count > 0).astype(np.int64), starts)
-        return size, known, np.add.reduceat(base, starts), score / math.log(10), rare_n, [w for _, w in pairs], list(pairs.values())
+    return docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -481,35 +530,26 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)
     scale = total + 0.1 * (distinct + 1)
-    often, _ = heavy_words(counts)
-    ids = dict(zip(often, word_encoder(path)(list(often)), strict=True))
-    model = learn(training, counts, ids, n_docs, path)
-    sent = spark.sparkContext.broadcast((often, ids, model))
-    schema = docs.select("doc_id").schema
-    schema = schema.add("held_out", "boolean").add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer")))
+    often = heavy_words(counts)
+    model = Model(id_counts(counts, path), n_docs)
+    coded = cut(encoded(docs.select("doc_id", held.alias("held_out"), "text"), model, often, n_docs, scale, path), "symbols")
+    learn(coded.filter("not held_out").select("doc"), model)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, ids, model = sent.value
-        scorer = Scorer(model, often, ids, n_docs, scale, path)
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start, texts in runs(batch, 2, 1 << 21):
-                n_tokens, known, base, score, rare_n, words, counts = scorer.run(texts)
-                own = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int32())], names=["word", "n"])
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], rare_n]).cumsum(), pa.int32()), own)
-                rid = pa.array(range(row, row + len(texts)), pa.int64())
-                row += len(texts)
-                given = [batch.column(k).slice(start, len(texts)) for k in range(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [*given, rid, pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare], names=["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare"]
-                )
-
-    scored = cut(docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts, "word", "left")
+            for start, some in runs(batch, batch.num_columns - 1, 1 << 20):
+                got = sent.value.score([np.frombuffer(d, np.uint16) for d in some])
+                part = batch.slice(start, len(some))
+                score = (got + part.column("extra").to_numpy()) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(score)], names=[*part.schema.names[:-2], "score"])
+
+    plain = coded.select("doc_id", "held_out", "rid", "n_tokens", "known", "base", "extra", "doc")
+    scored = plain.mapInArrow(run, StructType(plain.schema.fields[:-2]).add("score", "double"))
+    rare = coded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     more = rare.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + F.lit(0.1)) / F.lit(scale))).alias("plus"))
-    both = scored.drop("rare").join(more, "rid", "left")
-    return both.select(
+    return scored.join(more, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), "score",
     )

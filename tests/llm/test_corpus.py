@@ -421,8 +421,7 @@ def test_bit_sliced_equals_counting():
 
 
 def test_language_model(docs, empty, monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 30)
-    monkeypatch.setattr(lm.Model.fit, "__defaults__", (30, 64, 0.01, 11))
+    monkeypatch.setattr(lm, "LEAST", 0)
     held = lambda i: remainder(i, 10) == 0
     count = collections.Counter(w for i, t, *_ in rows() if not held(i) for w in [*lowered(t), None])
     n, v = sum(count.values()), len(count)
@@ -433,25 +432,100 @@ def test_language_model(docs, empty, monkeypatch):
         out = lm.scores(docs).collect()
         assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out), key=repr) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+        by_text = collections.defaultdict(list)
+        for r, (_, t, *_) in zip(sorted(out, key=lambda r: repr((r.doc_id, r.n_tokens, round(r.base_score, 6)))), sorted(rows(), key=lambda r: repr((r[0], len(lowered(r[1])) + 1, round(sum(map(p, [*lowered(r[1]), None])), 6)))), strict=True):
+            by_text[t].append(r.score)
+        assert all(max(x) - min(x) < 1e-3 for x in by_text.values())  # ties
     assert lm.scores(empty).count() == 0
     unseen = docs.filter("doc_id = 60 or doc_id = 3").withColumn("doc_id", F.lit(10).cast("long"))
     assert remainder(10, 10) != 0 or lm.scores(unseen).count() == 2
 
 
+def test_frequent_words_by_exact_counts(spark):
+    counts = [(f"w{k}".encode(), c) for k, c in enumerate([1, 2, 2, 5000, 5001, 1 << 20, 1 << 21, (1 << 40) + 1, 1 << 40, 1 << 41, 3])]
+    df = spark.createDataFrame(counts, "word binary, c long")
+    for most in (0, 1, 3, 4, 5, 7, 8, 11):
+        got = lm.heavy_words(df, most)
+        assert len(got) <= most and all(dict(counts)[w] == c for w, c in got.items())
+        assert min(got.values(), default=1 << 62) > max((c for w, c in counts if w not in got), default=0)
+    assert len(lm.heavy_words(df, 11)) == 11 and len(lm.heavy_words(df, 5)) == 5
+    assert lm.heavy_words(df.limit(0)) == {}
+
+
 def test_model_learns_from_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(lm, "TRAIN_DOCS", 10)
-    monkeypatch.setattr(lm.Model.fit, "__defaults__", (5, 64, 0.01, 11))
     rng = random.Random(3)
     texts = [sentence(rng, rng.randint(1, 80)) for _ in range(200)] + ["", None, "zebra " * 300]
-    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    model = lm.learn(training, lm.word_counts(training), {}, len(texts), lm.vocabulary_path())
-    want = lm.train([t and t.encode() for t in texts], lm.vocabulary_path())
-    # equal counts may be ordered either way only where they are equal: the order of ids decides, so all tables agree
-    assert np.array_equal(model.symbol, want.symbol) and np.allclose(model.extra, want.extra) and np.allclose(model.unigram, want.unigram)
-    assert np.allclose(model.b1, want.b1, atol=1e-5) and np.allclose(model.b2, want.b2, atol=1e-5)
-    code = lm.word_encoder(lm.vocabulary_path())
-    assert model.seen == sum(-(-(sum(map(len, code(lm.words_of((t or "").encode())))) // 2 + 1) // lm.STRIDE) for t in texts)
-    assert all(np.isfinite(getattr(model, n)).all() for n in lm.WEIGHTS)
+    symbols, path = {}, lm.vocabulary_path()
+    code = lm.word_encoder(path)
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).withColumn("held_out", F.lit(False))
+    counts = lm.word_counts(training)
+    ids = lm.id_counts(counts, path)
+    for least, times in ((0, 1), (2000, None)):
+        monkeypatch.setattr(lm, "LEAST", least)
+        want = lm.train([t and t.encode() for t in texts], path)
+        model = lm.Model(ids, len(texts))
+        coded = lm.encoded(training, model, {}, len(texts), 1.0, path).cache()
+        lm.learn(coded.select("doc"), model)
+        # equal counts may be ordered either way only where they are equal: the order of ids decides, so all tables agree
+        assert np.array_equal(model.symbol, want.symbol) and np.allclose(model.extra, want.extra) and np.allclose(model.unigram, want.unigram)
+        assert np.allclose(model.b1, want.b1, atol=1e-5) and np.allclose(model.b2, want.b2, atol=1e-5)
+        symbols = [sum(map(len, code(lm.words_of((t or "").encode())))) // 2 + 1 for t in texts]
+        times = times or -(-2000 * lm.STRIDE // sum(symbols))
+        assert sum(model.seen) == times * sum(-(-n // lm.STRIDE) for n in symbols)  # every window, in one round
+        assert all(np.isfinite(getattr(model, n)).all() for n in lm.WEIGHTS)
+
+
+def naive_score(model, s):
+    """Symbol by symbol, with loops and a softmax over all symbols."""
+    total, every = 0.0, np.concatenate(([0], s)).astype(int)
+    for k in range(len(s)):
+        first = max(0, k // lm.STRIDE * lm.STRIDE + lm.STRIDE - lm.WIDTH)  # the window that scores s[k]
+        keys = every[first : k + 1]
+        a = [model.q[every[k]].astype(float) @ model.k[x] / math.sqrt(lm.DIM) + model.r[k - first - j] for j, x in enumerate(keys)]
+        p = np.exp(a) / np.exp(a).sum()
+        h = sum(w * model.v[x].astype(float) for w, x in zip(p, keys, strict=True))
+        l1 = h @ model.u1 + model.b1[every[k]]
+        l2 = np.einsum("cmd,d->cm", model.u2, h) + model.b2[every[k]]
+        logp = (l1 - np.log(np.exp(l1).sum()))[:, None] + l2 - np.log(np.exp(l2).sum(axis=1, keepdims=True))
+        total += logp.reshape(-1)[s[k]]
+    return total
+
+
+def small_model(seed=4):
+    rng = np.random.default_rng(seed)
+    model = lm.Model(rng.integers(0, 50, lm.IDS), 9)
+    model.bigrams(rng.integers(0, 3, (lm.SYMBOLS, lm.SYMBOLS)))
+    model.start()
+    model.u1, model.u2 = (rng.standard_normal(x.shape).astype(np.float32) for x in (model.u1, model.u2))
+    return model, [rng.integers(0, lm.SYMBOLS, n).astype(np.int32) for n in (1, 2, 15, 16, 17, 32, 33, 75)]
+
+
+def test_scores_equal_naive_attention():
+    model, docs = small_model()
+    assert np.allclose(model.score(docs), [naive_score(model, s) for s in docs], rtol=1e-4)
+    assert np.allclose(model.score(docs, chunk=2), model.score(docs), rtol=1e-5)
+
+
+def test_gradient_equals_differences():
+    model, docs = small_model()
+    xs, ys, _ = model.windows(docs)
+    adam, ys = lm.Adam(model), ys.reshape(-1)
+    for n in ("q", "k", "v", "u1", "u2"):
+        setattr(model, n, getattr(model, n).astype(np.float64))
+    grad, loss = adam.gradient(xs, ys)
+    assert abs(loss + model.score(docs).sum() / sum(map(len, docs))) < 1e-5
+    rng = np.random.default_rng(8)
+    for n in lm.WEIGHTS:
+        flat = getattr(model, n)
+        for at in rng.permutation(np.argwhere(np.abs(grad[n]) > np.abs(grad[n]).max() / 10))[:4]:
+            at = tuple(at)
+            old, step = flat[at], 1e-2
+            flat[at] = old + step
+            up = adam.gradient(xs, ys)[1]
+            flat[at] = old - step
+            down = adam.gradient(xs, ys)[1]
+            flat[at] = old
+            assert abs((up - down) / (2 * step) - grad[n][at]) <= 0.03 * abs(grad[n][at]) + 1e-5
 
 
 def test_every_symbol_sees_sixteen_before_it():
