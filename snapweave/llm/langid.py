@@ -24,8 +24,10 @@ DIM = 1024
 SEED = 20240229
 #: Letters share item vectors by code point modulo this prime; 0 stands for what lies between words.
 SYMBOLS = 4093
-#: Training documents of each language, about; the rest of a larger language is left out by a hash of doc_id.
+#: Training rows of each language, about; the rest of a larger language is left out by a hash of the row.
 TRAIN_DOCS = 5000
+#: A model has a row for each language and goes to every task; more labels than this are an error.
+MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -77,16 +79,20 @@ class Encoder:
 
 
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes, from text and lang of labelled (doc_id chooses the sample only).
+    """Languages and their unit prototypes, from text and lang of labelled.
 
-    What reaches the driver is a partial sum a language and task, of at most train_docs (about) documents a language.
+    The sample of a large language is drawn row by row, by a hash of the text and of where the row lies, so that rows which agree
+    in everything are drawn one by one too (the same files in the same splits give the same sample). One row a language
+    reaches the driver.
     """
-    known = labelled.filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
-        return [], np.zeros((0, DIM), np.float32)
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, train_docs / n) * (1 << 30))))))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
+    spark = labelled.sparkSession
+    known = labelled.filter("lang is not null and text is not null").select("lang", "text")
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = spark.createDataFrame(counted, "lang string, n long")
+    seed = F.xxhash64("text", F.monotonically_increasing_id())
+    drawn = known.withColumn("u", F.pmod(seed, F.lit(1 << 30))).join(F.broadcast(sizes), "lang").filter(F.col("u") < F.least(F.lit(1.0), train_docs / F.col("n")) * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(), {}
@@ -98,9 +104,15 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
                     sums[lang] = sums.get(lang, 0) + vectors[own].sum(axis=0, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "sum"])
 
-    total: dict[str, np.ndarray] = {}
-    for lang, part in sample.select("lang", "text").mapInArrow(run, "lang string, sum binary").toLocalIterator():
-        total[lang] = total.get(lang, 0) + np.frombuffer(bytes(part), np.float64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[lang] = sums.get(lang, 0) + np.frombuffer(part, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "sum"])
+
+    kind = "lang string, sum binary"
+    total = {r[0]: np.frombuffer(bytes(r[1]), np.float64) for r in drawn.select("lang", "text").mapInArrow(run, kind).repartition(8, "lang").mapInArrow(add, kind).collect()}
     langs = sorted(total)
     prototypes = np.array([total[x] / max(np.linalg.norm(total[x]), 1e-9) for x in langs], np.float32).reshape(len(langs), DIM)
     return langs, prototypes
