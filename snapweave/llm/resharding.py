@@ -5,8 +5,8 @@ most bytes of its copies. Homes, with the bytes of their texts, and the new shar
 a flow network whose arcs cost the bytes they move (0 for staying); the cheapest flow says how much each home sends to each
 new shard. Within a home the texts stand in the order of their hash, and the flow cuts that order into one range for each new
 shard, each text going where its middle lies: sums by leading bits of the hash find the block of a cut, a prefix sum within
-that block the hash. Copies that exceed 1/1024 of all bytes or rows go first, as units, each where its home sends enough
-(or else where most room is left), and the flow is solved anew for the rest.
+that block the hash. Copies that exceed 1/1024 of all bytes or rows, and single texts beyond a quarter of a shard, go first, as units, each
+where its home sends enough (or else where most room is left), and the flow is solved anew for the rest.
 
 Equal texts stay together unless their copies exceed the bytes of a shard; such copies are dealt by the hash of doc_id and place
 to units of a quarter of a shard. Sums of blocks, at most BLOCKS, and of units, at most 2 * HOT_PARTS, reach the driver, and
@@ -121,7 +121,9 @@ def transfers(units: list[tuple[int, int]], blocks: dict[int, int], new: int) ->
         enough = sent[j] >= size
         if not enough:
             room = levelled(used, sum(supply))
-            j = max(range(new), key=lambda j: (min(room[j], size), sent[j], j == i, -j))
+            j = max(range(new), key=lambda j: (min(room[j], size), sent[j], -j))
+            if 0 <= i < new and 16 * min(room[i], size) >= 15 * min(room[j], size):  # nearly as much room where it lies
+                j = i
         to[u] = j
         used[j] += size
         supply[at[i]] -= size
@@ -167,9 +169,9 @@ class Plan:
         groups = cut(parts.groupBy("h").agg((-home).alias("home"), F.count("*").alias("spread"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")), "groups")
         rows, total, spread = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("spread")).first()
         share = F.greatest(F.col("bytes") / max(total, 1), F.col("rows") / max(rows, 1))
-        many = groups.filter("rows > 1").filter(share * HOT_PARTS > 1).select("h", "home", "bytes", F.ceil(share * HOT_PARTS * FINER).cast("int")).collect()
+        many = groups.filter((F.col("rows") > 1) & (share * HOT_PARTS > 1) | (F.col("bytes") * (FINER * new) > total)).select("h", "home", "bytes", F.ceil(share * HOT_PARTS * FINER).cast("int"), "rows").collect()
         capacity = max(1, total // new)
-        numbered = [(h, i, 1 if size <= capacity else -(-size * FINER // capacity), fine) for h, i, size, fine in sorted(tuple(r) for r in many)]
+        numbered = [(h, i, 1 if size <= capacity or n == 1 else -(-size * FINER // capacity), fine) for h, i, size, fine, n in sorted(tuple(r) for r in many)]
         self.hot = F.broadcast(spark.createDataFrame(numbered, "h long, hot_home int, parts int, fine int"))
         dealt = keys.join(self.hot.filter("parts > 1"), "h").groupBy("h", self.part().alias("part"), "hot_home").agg(F.sum("size"))
         whole = [((h, 0), (i, size)) for (h, i, n, _), size in zip(numbered, (x[2] for x in sorted(tuple(r) for r in many)), strict=True) if n == 1]
