@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -44,7 +43,7 @@ MEMBERS = SYMBOLS // CLASSES
 SHARED = 32
 WIDTH, STRIDE = 32, 16
 #: Of every 16 windows in a row: from which to which a round goes through, its batch, and its first and last rate.
-ROUNDS = ((0, 2, 64, 0.02, 0.02), (2, 6, 128, 0.015, 0.015), (6, 16, 128, 0.01, 0.0005))
+ROUNDS = ((0, 2, 128, 0.03, 0.03), (2, 6, 256, 0.025, 0.02), (6, 16, 256, 0.015, 0.0005))
 #: Windows that the rounds see at least.
 LEAST = 250_000
 #: Pieces in which the weights are averaged.
@@ -128,7 +127,7 @@ class Model:
         """
         ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
         ones[PAD] = 0
-        q, k, v = (self.q * np.float32(1 / math.sqrt(DIM)))[x[:, -STRIDE:]], self.k[x], ones[x]
+        q, k, v = (self.q * np.float32(1 / math.sqrt(DIM))).take(x[:, -STRIDE:], axis=0), self.k.take(x, axis=0), ones.take(x, axis=0)
         a = np.matmul(q, k.transpose(0, 2, 1))
         a += self.bias()[0]
         np.exp(a, out=a)
@@ -146,10 +145,10 @@ class Model:
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
         real, c = real[order], c[order].astype(np.int64)
-        before, own = x[:, -STRIDE:].reshape(-1)[real], h[real]
+        before, own = x[:, -STRIDE:].reshape(-1)[real], h.take(real, axis=0)
         l1 = own @ self.u1
-        l1 += self.b1[before]
-        l2 = by_class[c * (SYMBOLS + 1) + before]
+        l1 += self.b1.take(before, axis=0)
+        l2 = by_class.take(c * (SYMBOLS + 1) + before, axis=0)
         for j in range(CLASSES):
             a, b = edges[j : j + 2]
             if a < b:
@@ -196,7 +195,7 @@ def summed(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     found = symbols[order]
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     out = np.zeros((SYMBOLS + 1, rows.shape[1]), np.float32)
-    out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[found[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
     out[PAD] = 0
     return out
 
@@ -416,8 +415,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over all words of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         held: list[pa.Table] = []
 
         def merged() -> pa.Table:
@@ -425,9 +422,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.table({"word": sums["word"].cast(pa.binary()), "c": sums["c_sum"]}) if sums.num_rows else pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                split = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0).slice(i, 256))))
-                seen = split.filter(pc.greater(pc.binary_length(split), 0)).value_counts()
+            for start, stop in parts_of(batch.column(0), 1 << 22):
+                seen = split_words(batch.column(0).slice(start, stop - start))[0].value_counts()
                 held.append(pa.table({"word": seen.field(0), "c": seen.field(1)}))
                 if sum(t.num_rows for t in held) > 1_000_000:
                     yield from merged().combine_chunks().to_batches()
@@ -454,38 +450,63 @@ def heavy_words(counts: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encodes runs of texts in one task; ids of frequent words are given, those of others are kept for a while."""
+    """What a task knows of words: ids, and their number; of frequent words it is given, of others kept for a while."""
 
     def __init__(self, ids: dict[bytes, bytes], path: str):
         self.encode = word_encoder(path)
-        self.ids: dict[bytes | None, bytes] = dict(ids)
         self.given = ids
+        self.ids = dict(ids)
 
-    def run(self, texts: list[bytes | None]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        """The words of all texts with None at the end of each, how many each text has, their ids, and where each text's ids end."""
-        flat: list[bytes | None] = []
-        size = []
-        for t in texts:
-            words = (t or b"").lower().split()
-            flat += words
-            flat.append(None)  # the end
-            size.append(len(words) + 1)
+    def run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
         ids = self.ids
         if len(ids) > len(self.given) + CACHED:
             ids = self.ids = dict(self.given)
-        ids[None] = np.array([END_ID], np.uint16).tobytes()
-        new = list(set(flat).difference(ids))
+        new = [w for w in words if w not in ids]
         ids.update(zip(new, self.encode(new), strict=True))
-        coded = np.frombuffer(b"".join(map(ids.__getitem__, flat)), np.uint16)
-        return flat, np.array(size), coded, np.flatnonzero(coded == END_ID) + 1
+        coded = list(map(ids.__getitem__, words))
+        return np.frombuffer(b"".join(coded), np.uint16), np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after another, and how many each text has."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return flat.filter(real), upto[edges[1:]] - upto[edges[:-1]]
+
+
+def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """From where to where runs of texts of about ``most`` bytes reach."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = upto[start - 1] if start else 0
+        end = min(len(texts), int(np.searchsorted(upto, done + most)) + 1)
+        yield start, end
+        start = end
+
+
+def gathered(rows: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The pieces ``which`` of rows, one after another; sizes are those of the pieces."""
+    first, own = np.cumsum(sizes) - sizes, sizes[which]
+    return rows[np.repeat(first[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
 
 
 def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int, scale: float, path: str) -> DataFrame:
     """docs (doc_id, held_out, text) with a number of their own (rid), the number of tokens, and what frequent words give: how
     many tokens are known, their unigram log probability (base); the rare words with their number (rare); the symbols (doc) and the
-    log probability of the ids given their symbols (extra). Words not in often are rare; n_docs ends are known."""
+    log probability of the ids given their symbols (extra). Words not in often are rare; n_docs ends are known.
+
+    What is known of a word is found once for all its places in a run of texts."""
     ids = dict(zip(often, word_encoder(path)(list(often)), strict=True))
-    sent = docs.sparkSession.sparkContext.broadcast(({**often, None: n_docs}, ids, model.symbol, model.extra))
+    sent = docs.sparkSession.sparkContext.broadcast((often, ids, model.symbol, model.extra))
     schema = docs.select("doc_id", "held_out").schema
     schema = schema.add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer"))).add("extra", "double").add("doc", "binary")
 
@@ -494,30 +515,38 @@ def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int,
         coder = Coder(ids, path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start, texts in runs(batch, 2, 1 << 20):
-                flat, size, coded, ends = coder.run(texts)
+            for start, stop in parts_of(batch.column(2), 1 << 22):
+                words, size = split_words(batch.column(2).slice(start, stop - start))
+                words = words.dictionary_encode()
+                distinct = words.dictionary.cast(pa.binary()).to_pylist()
+                end, n = len(distinct), len(size)  # the end is one more word
+                coded, sizes = coder.run(distinct)
+                coded, sizes = np.append(coded, np.uint16(END_ID)), np.append(sizes, 1)
+                count = np.append(np.fromiter(map(often.get, distinct, repeat(-1)), np.float64, end), n_docs)
+                chance = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / scale), 0.0)
+                given = np.add.reduceat(extra[coded], np.cumsum(sizes) - sizes)
+                which = np.insert(words.indices.to_numpy().astype(np.int64), np.cumsum(size), end)
+                size = size + 1
                 starts = np.cumsum(size) - size
-                count = np.fromiter(map(often.get, flat, repeat(-1)), np.float64, len(flat))
-                base = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / scale), 0.0)
-                spot = np.flatnonzero(count < 0)
-                owner = (np.searchsorted(starts, spot, "right") - 1).tolist()
-                pairs = Counter(zip(owner, map(flat.__getitem__, spot.tolist()), strict=True))  # in order of the texts
-                rare_n = np.bincount(np.fromiter((k for k, _ in pairs), np.int64, len(pairs)), minlength=len(texts))
-                own = pa.StructArray.from_arrays([pa.array([w for _, w in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int32())], names=["word", "n"])
-                symbols = symbol[coded].tobytes()
+                spot = np.flatnonzero(count[which] < 0)
+                owner = np.searchsorted(starts, spot, "right") - 1
+                pairs, times = np.unique(owner * (end + 1) + which[spot], return_counts=True)
+                rare_n = np.bincount(pairs // (end + 1), minlength=n)
+                own = pa.StructArray.from_arrays([words.dictionary.cast(pa.binary()).take(pa.array(pairs % (end + 1))), pa.array(times, pa.int32())], names=["word", "n"])
+                ends = np.cumsum(np.add.reduceat(sizes[which], starts))
                 found = {
-                    "rid": pa.array(range(row, row + len(texts)), pa.int64()),
-                    "n_tokens": pa.array(size, pa.int64()),
-                    "known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
-                    "base": pa.array(np.add.reduceat(base, starts)),
+                    "rid": pa.array(np.arange(row, row + n)),
+                    "n_tokens": pa.array(size),
+                    "known": pa.array(np.add.reduceat((count > 0).astype(np.int64)[which], starts)),
+                    "base": pa.array(np.add.reduceat(chance[which], starts)),
                     "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], rare_n]).cumsum(), pa.int32()), own),
-                    "extra": pa.array(np.add.reduceat(extra[coded], np.concatenate(([0], ends[:-1])))),
-                    "doc": pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate(([0], 2 * ends)).astype(np.int32).tobytes()), pa.py_buffer(symbols)]),
+                    "extra": pa.array(np.add.reduceat(given[which], starts)),
+                    "doc": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate(([0], 2 * ends)).astype(np.int32).tobytes()), pa.py_buffer(gathered(symbol[coded], sizes, which).tobytes())]),
                 }
-                row += len(texts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(2)), *found.values()], names=["doc_id", "held_out", *found])
+                row += n
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, n) for k in range(2)), *found.values()], names=["doc_id", "held_out", *found])
 
-    return docs.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
