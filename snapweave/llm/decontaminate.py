@@ -1,14 +1,16 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is sharded by document: a segment holds the documents of a few MB of text, its sorted-by-term positions and where
-each document starts. Segments are written to the shared folder, need no shuffle, and serve any number of test sets. A test
-set is posed in blocks of bounded size. In a segment, each window of an item starts from its rarest term: that term's posting
-list, moved by the term's offset in the window, is intersected with the lists of the neighbouring terms, nearest first, until
-it is empty or a whole window matches.
+The index is sharded by document: a segment holds the documents of a few MB of text, its terms with their sorted positions, and
+where each document starts. Segments are written to the shared folder, need no shuffle, and serve any number of test sets. The
+items of a test set are rows too, long ones in pieces that overlap by a window. A first pass over the terms of all segments counts
+those of the items; each window then has an anchor, its rarest term. A second pass finds the segments that hold an anchor, and a join by
+term which pieces are to be looked for in which segments. There the anchor's posting list, moved by its offset, is intersected
+with the moved lists of the neighbouring terms, nearest first, until it is empty or a whole window matches. Proximity works alike:
+of the words of an item, so many of the rarest are anchors that a match must hold one of them.
 
 Null and empty texts have no words: n_words 0, no hits, not contaminated. Null doc_ids and repeated rows stay rows of their
-own. An item without words has no window; a null item_id marks words as hit but is not listed. Equal items and repeated
-item_ids are listed once. Empty tables give empty results or no hits. Other columns are ignored.
+own; ids may be numbers or texts. An item without words has no window; a null item_id marks words as hit but is not listed. Equal
+items and repeated item_ids are listed once. Empty tables give empty results or no hits. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,134 +19,207 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, whole_row
+from .tokens import _store
 
 WINDOW = 13
-#: Bytes of text in a segment (one longer document is a segment of its own), and of test text in a block.
+#: Bytes of text in a segment (one longer document is a segment of its own).
 SEGMENT_BYTES = 4 << 20
-BLOCK_BYTES = 4 << 20
+#: Windows in a piece of an item.
+PIECE = 256
+#: Bytes of terms up to which they are sent to all tasks; beyond, they are joined.
+SENT_BYTES = 16 << 20
 
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes of non-ASCII characters, and blanks everything else.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-INDEX = "doc_ids array<long>, doc_starts binary, terms array<binary>, term_starts binary, positions binary"
-MATCHES = "segment string, ord int, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<long>"
-
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-def _segment(ids: list, texts: list[list[bytes]]) -> dict:
+def _segment(texts: list[list[bytes]]) -> dict:
     """Positions count through the segment; between documents lies one position without a word."""
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)]).astype(np.int32)
+    sizes = [len(t) for t in texts]
     flat = [w for t in texts for w in t]
     terms = list(dict.fromkeys(flat))
     number = {w: i for i, w in enumerate(terms)}
     term = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
-    position = np.arange(len(flat), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    position = np.arange(len(flat), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     return {
-        "doc_ids": ids,
-        "doc_starts": starts.tobytes(),
+        "doc_words": sizes,
+        "doc_starts": np.cumsum([0, *(n + 1 for n in sizes)]).astype(np.int32).tobytes(),
         "terms": terms,
         "term_starts": np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms))))).astype(np.int32).tobytes(),
         "positions": position[np.argsort(term, kind="stable")].tobytes(),
     }
 
 
-_INDEX_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.binary()), ("terms", pa.list_(pa.binary())), ("term_starts", pa.binary()), ("positions", pa.binary())])
-
-
 def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The stored postings of every word of docs (doc_id, text): one row a segment."""
+    """The stored postings of every word of docs (doc_id, text): a row for each segment, which part and seg identify."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        texts: list[list[bytes]] = []
-        size = 0
+        part, seg, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        schema = None
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "doc_ids": ids, **_segment(texts)}], schema)
+
         for batch in batches:
+            schema = schema or pa.schema(
+                [("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("doc_words", pa.list_(pa.int64())), ("doc_starts", pa.binary()), ("terms", pa.list_(pa.binary())), ("term_starts", pa.binary()), ("positions", pa.binary())]
+            )
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = x.as_py() or b""
                 ids.append(i)
                 texts.append(words_of(text))
                 size += len(text)
                 if size >= segment_bytes or len(ids) >= 1 << 16:
-                    yield pa.RecordBatch.from_pylist([_segment(ids, texts)], _INDEX_ARROW)
-                    ids, texts, size = [], [], 0
+                    yield flush()
+                    seg, ids, texts, size = seg + 1, [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([_segment(ids, texts)], _INDEX_ARROW)
+            yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, INDEX)
-    return cut(rows, "postings").withColumn("segment", F.concat_ws("-", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")))
+    columns = f"part int, seg int, doc_ids array<{kind}>, doc_words array<long>, doc_starts binary, terms array<binary>, term_starts binary, positions binary"
+    return cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, columns), "postings")
 
 
-def test_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """The test set in blocks of about block_bytes of text, fetched partition by partition."""
-    block, size = [], 0
-    for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).toLocalIterator():
-        block.append((row[0], words_of(bytes(row[1] or b""))))
-        size += len(row[1] or b"")
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def pieces_of(items: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """item, no (of the row), at (of the piece's first word), words, for each piece of items (item_id, text) with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                words = words_of(text)
+                for at in range(0, max(1, len(words) - window + 1), piece) if words else ():
+                    some = [words[at : at + piece + window - 1]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([row + k]), pa.array([at], pa.int32()), pa.array(some, pa.list_(pa.binary()))], names=["item", "no", "at", "words"])
+            row += batch.num_rows
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return cut(items.select("item_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"item {kind}, no long, at int, words array<binary>"), "items")
+
+
+def term_lists(index: DataFrame, terms: DataFrame, summed: bool = False) -> DataFrame:
+    """term and n, how often each of terms (term, all different) occurs: in each segment (with part, seg, file), or in all.
+
+    Terms of up to SENT_BYTES are sent to the tasks, which read the lists and drop the rest; more are joined.
+    """
+    spark = index.sparkSession
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 8), F.lit(0))).first()[0]
+    few = [r[0] for r in terms.select("term").collect()] if size <= SENT_BYTES else None
+    sent = spark.sparkContext.broadcast(few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        chosen = None if sent.value is None else pa.array(sent.value, pa.binary())
+        totals = np.zeros(len(chosen or ()), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column(2).slice(i, 1).flatten()
+                n = np.diff(np.frombuffer(batch.column(3)[i].as_py(), np.int32))
+                if chosen is None:
+                    found = own
+                else:
+                    at = pc.index_in(chosen, value_set=own)
+                    which = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                    n = n[at.drop_null().to_numpy()]
+                    if summed:
+                        totals[which] += n
+                        continue
+                    found = chosen.take(pa.array(which))
+                same = [pa.array([batch.column(k)[i].as_py()] * len(found), kind) for k, kind in ((0, pa.int32()), (1, pa.int32()), (4, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*same, found, pa.array(n, pa.int64())], names=["part", "seg", "file", "term", "n"])
+        if summed and chosen is not None and totals.any():
+            which = np.flatnonzero(totals)
+            none = pa.nulls(len(which), pa.int32())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(which), pa.string()), chosen.take(pa.array(which)), pa.array(totals[which])], names=["part", "seg", "file", "term", "n"])
+
+    columns = index.select("part", "seg", "terms", "term_starts", F.col("_metadata.file_name").alias("file"))
+    found = columns.mapInArrow(run, "part int, seg int, file string, term binary, n long")
+    if few is None:
+        found = found.join(terms.select("term"), "term")
+    return found.groupBy("term").agg(F.sum("n").alias("n")) if summed else found
+
+
+def _positions(pieces: DataFrame, index: DataFrame) -> DataFrame:
+    """no, at, k, term and n (in the whole index; 0 where it is absent) for each word of the pieces."""
+    words = pieces.select("no", "at", F.posexplode("words").alias("k", "term"))
+    return words.join(term_lists(index, words.select("term").distinct(), summed=True), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def phrase_anchors(pieces: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
+    """no, at, term: the rarest term of each window of the pieces; none of windows with a term that the index lacks."""
+    along = Window.partitionBy("no", "at").orderBy("k")
+    span = along.rowsBetween(Window.currentRow, window - 1)
+    rare = F.min(F.struct("n", "k", "term")).over(span)
+    best = _positions(pieces, index).withColumn("best", rare).withColumn("left", F.count("*").over(Window.partitionBy("no", "at")) - F.col("k"))
+    return best.filter((F.col("left") >= window) | (F.col("k") == 0)).filter("best.n > 0").select("no", "at", "best.term").distinct()
+
+
+def near_anchors(pieces: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """no, at, term: of m different words of a piece the m - least + 1 rarest, one of which lies in every match."""
+    words = _positions(pieces, index).select("no", "at", "term", "n").distinct()
+    whole = Window.partitionBy("no", "at")
+    ranked = words.withColumn("rank", F.row_number().over(whole.orderBy("n", "term"))).withColumn("m", F.count("*").over(whole))
+    return ranked.filter("n > 0").filter(F.col("rank") <= F.col("m") - least + 1).select("no", "at", "term")
 
 
 class Segment:
     """A stored segment, opened for queries."""
 
-    def __init__(self, terms: list[bytes], term_starts: bytes, positions: bytes, doc_starts: bytes):
-        self.number = {w: i for i, w in enumerate(terms)}
+    def __init__(self, terms: pa.Array, term_starts: bytes, positions: bytes, doc_starts: bytes):
+        self.terms = terms
         self.starts = np.frombuffer(term_starts, np.int32)
         self.positions = np.frombuffer(positions, np.int32)
         self.doc_starts = np.frombuffer(doc_starts, np.int32)
-        #: The term at each position, -1 between documents: tells in one step whether a list holds a position.
-        self.at = np.full(int(self.doc_starts[-1]) + 1, -1, np.int32)
-        self.at[self.positions] = np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(self.starts))
 
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.starts[term] : self.starts[term + 1]]
+    def lists(self, words: list[bytes]) -> list[np.ndarray]:
+        """The posting lists of words, empty where the segment lacks one."""
+        import pyarrow.compute as pc
+
+        at = pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=self.terms), -1).to_numpy()
+        return [self.positions[self.starts[t] : self.starts[t + 1]] if t >= 0 else self.positions[:0] for t in at.tolist()]
 
-    def reach(self, spots: np.ndarray, terms: np.ndarray, step: int) -> np.ndarray:
-        """How many further terms, in the direction of step, lie in the lists moved by their offset, for each spot."""
+    @staticmethod
+    def reach(spots: np.ndarray, lists: list[np.ndarray], step: int) -> np.ndarray:
+        """How many further lists, in the direction of step, hold the positions moved by their offset, for each spot."""
         run, alive = np.zeros(len(spots), np.int32), np.arange(len(spots))
-        for k, term in enumerate(terms, 1):
+        for k, held in enumerate(lists, 1):
             to = spots[alive] + step * k
-            ok = (to >= 0) & (to < len(self.at))
-            ok[ok] = self.at[to[ok]] == term
-            alive = alive[ok]
+            at = np.searchsorted(held, to)
+            alive = alive[np.append(held, -1)[at] == to] if len(held) else alive[:0]
             if not len(alive):
                 break
             run[alive] = k
         return run
 
-    def phrases(self, words: list[bytes], window: int = WINDOW) -> list[tuple[int, int]]:
-        """Spans [a, b) of positions, each all in occurrences of windows of the words."""
-        n = len(words)
-        if not n:
-            return []
-        w = min(window, n)
-        terms = np.fromiter((self.number.get(x, -2) for x in words), np.int32, n)  # no position holds -2, and a gap holds -1
-        size = np.where(terms < 0, 0, np.diff(self.starts)[np.maximum(terms, 0)] if len(self.starts) > 1 else 0)
-        view = np.lib.stride_tricks.sliding_window_view(size, w)
-        rarest = view.argmin(axis=1)
-        fits = view[np.arange(len(view)), rarest] > 0
-        found = []
-        for anchor in np.unique((rarest + np.arange(len(view)))[fits]).tolist():
-            spots = self.postings(terms[anchor])
-            right = self.reach(spots, terms[anchor + 1 : anchor + w], 1)
-            left = self.reach(spots, terms[max(0, anchor - w + 1) : anchor][::-1], -1)
-            hit = left + right + 1 >= w
-            found += zip((spots - left)[hit].tolist(), (spots + right + 1)[hit].tolist(), strict=True)
+    def phrases(self, words: list[bytes], anchors: list[bytes] | None = None, window: int = WINDOW) -> list[tuple[int, int]]:
+        """Spans [a, b) of positions, each all in occurrences of windows of the words that hold an anchor (any word, if None)."""
+        lists, w, found = self.lists(words), min(window, len(words)), []
+        chosen = None if anchors is None else set(anchors)
+        for k, word in enumerate(words):
+            if len(lists[k]) and (chosen is None or word in chosen):
+                spots = lists[k]
+                right = self.reach(spots, lists[k + 1 : k + w], 1)
+                left = self.reach(spots, lists[max(0, k - w + 1) : k][::-1], -1)
+                hit = left + right + 1 >= w
+                found += zip((spots - left)[hit].tolist(), (spots + right + 1)[hit].tolist(), strict=True)
         return found
 
+    def doc(self, position: int) -> int:
+        return int(np.searchsorted(self.doc_starts, position, "right")) - 1
+
     def near(self, words: list[bytes], width: int, least: int) -> list[int]:
         """Documents (their number in the segment) where at least ``least`` distinct words lie within ``width`` positions."""
-        lists = [self.postings(self.number[x]) for x in dict.fromkeys(words) if x in self.number]
+        lists = [x for x in self.lists(list(dict.fromkeys(words))) if len(x)]
         if len(lists) < least:
             return []
         spot = np.concatenate(lists)
@@ -165,76 +240,108 @@ class Segment:
         return out
 
 
-def _open(row: dict) -> Segment:
-    return Segment(row["terms"], row["term_starts"], row["positions"], row["doc_starts"])
-
-
-def _match_block(index: DataFrame, block: list, window: int) -> DataFrame:
-    sent = index.sparkSession.sparkContext.broadcast(block)
+class IndexFile:
+    """The segments of one stored file, in their order."""
+
+    def __init__(self, folder: str, name: str):
+        import pyarrow.parquet as pq
+
+        store, path = _store(folder)
+        self.source = store.open_input_file(f"{path}/{name}")
+        self.rows = pq.ParquetFile(self.source).iter_batches(batch_size=1, columns=["seg", "doc_starts", "terms", "term_starts", "positions"])
+        self.seg, self.segment = -1, None
+
+    def open(self, seg: int) -> Segment:
+        while self.seg < seg:
+            row = next(self.rows)
+            self.seg = row.column("seg")[0].as_py()
+            if self.seg == seg:
+                self.segment = Segment(row.column("terms").flatten(), *(row.column(c)[0].as_py() for c in ("term_starts", "positions", "doc_starts")))
+        return self.segment
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans [a, b), in order, as spans that don't meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def look_up(index: DataFrame, pieces: DataFrame, anchors: DataFrame, find) -> DataFrame:
+    """part, seg, ord, item, spans: what find(segment, words, anchor terms) gives, a dict of spans by document, for each piece in each
+    segment that holds an anchor of it. Only files with such segments are read, each by one task; nothing of them is shuffled."""
+    spark, folder = index.sparkSession, index._cut_path
+    anchors = cut(anchors, "anchors")
+    pairs = term_lists(index, anchors.select("term").distinct()).join(anchors, "term")
+    own = pairs.groupBy("file", "part", "seg", "no", "at").agg(F.collect_set("term").alias("anchors")).join(pieces, ["no", "at"])
+    kind = pieces.schema["item"].dataType.simpleString()
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    todo = own.repartition(wide, "file").sortWithinPartitions("file", "seg").select("file", "part", "seg", "item", "words", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("segment", pa.string()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.int64()))])
+        name, opened = None, None
+        spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                segment, starts = _open(row), np.frombuffer(row["doc_starts"], np.int32)
-                spans: dict[int, set] = {}
-                items: dict[int, set] = {}
-                for item, words in sent.value:
-                    for a, b in segment.phrases(words, window):
-                        doc = int(np.searchsorted(starts, a, "right")) - 1
-                        spans.setdefault(doc, set()).add((a - int(starts[doc]), b - int(starts[doc])))
-                        items.setdefault(doc, set()).update([] if item is None else [item])
-                n = len(row["doc_ids"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["segment"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array((np.diff(starts) - 1).astype(np.int64))]
-                    + [pa.array([[{"a": a, "b": b} for a, b in sorted(spans.get(k, ()))] for k in range(n)], schema.field("spans").type), pa.array([sorted(items.get(k, ())) for k in range(n)], schema.field("items").type)],
-                    schema=schema,
-                )
-
-    return index.mapInArrow(run, MATCHES)
-
-
-def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            out: list[tuple] = []
+            for k, (file, part, seg, words, terms) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "part", "seg", "words", "anchors")), strict=True)):
+                if file != name:
+                    name, opened = file, IndexFile(folder, file)
+                for doc, spans in find(opened.open(seg), words, terms).items():
+                    out.append((part, seg, doc, k, [{"a": a, "b": b} for a, b in spans]))
+            part, seg, doc, k, spans = zip(*out, strict=True) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array(seg, pa.int32()), pa.array(doc, pa.int32()), batch.column("item").take(pa.array(k, pa.int64())), pa.array(spans, spans_type)], names=["part", "seg", "ord", "item", "spans"]
+            )
+
+    return todo.mapInArrow(run, f"part int, seg int, ord int, item {kind}, spans array<struct<a:int,b:int>>")
+
+
+def _numbered(index: DataFrame) -> DataFrame:
+    """part, seg, ord, doc_id, n_words of every indexed document."""
+    both = index.select("part", "seg", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("ord", "d"))
+    return both.select("part", "seg", "ord", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").alias("n_words"))
+
+
+def matches(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """For every indexed document: n_words, the spans of words inside occurrences of windows, and the items that occur."""
-    found = [_match_block(index, b, window) for b in test_blocks(items, block_bytes)] or [_match_block(index, [], window)]
-    if len(found) == 1:
-        return found[0].drop("segment", "ord")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("segment", "ord").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    ).drop("segment", "ord")
+    pieces = pieces_of(items, window)
 
+    def find(segment: Segment, words: list[bytes], terms: list[bytes]) -> dict:
+        spans: dict[int, list] = {}
+        for a, b in segment.phrases(words, terms, window):
+            doc = segment.doc(a)
+            first = int(segment.doc_starts[doc])
+            spans.setdefault(doc, []).append((a - first, b - first))
+        return {doc: merged(x) for doc, x in spans.items()}
 
-def proximity(index: DataFrame, items: DataFrame, width: int, least: int) -> DataFrame:
-    """(doc_id, item_id) where at least ``least`` distinct words of an item lie within ``width`` words of a document."""
-    out = None
-    for block in test_blocks(items):
-        sent = index.sparkSession.sparkContext.broadcast(block)
+    found = look_up(index, pieces, phrase_anchors(pieces, index, window), find)
+    hits = found.groupBy("part", "seg", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_set("item").alias("items"))
+    rows = _numbered(index).join(hits, ["part", "seg", "ord"], "left").drop("part", "seg", "ord")
+    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType))).withColumn("items", F.coalesce("items", F.array().cast(hits.schema["items"].dataType)))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    segment = _open(row)
-                    pairs = [(row["doc_ids"][d], item) for item, words in sent.value for d in segment.near(words, width, least)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])
 
-        some = index.mapInArrow(run, "doc_id long, item_id long")
-        out = some if out is None else out.unionByName(some)
-    return out if out is not None else index.sparkSession.createDataFrame([], "doc_id long, item_id long")
+def proximity(index: DataFrame, items: DataFrame, width: int, least: int) -> DataFrame:
+    """(doc_id, item_id) where at least ``least`` distinct words of an item lie within ``width`` words of a document."""
+    pieces = pieces_of(items, WINDOW, 1 << 30)  # whole items
+    found = look_up(index, pieces, near_anchors(pieces, index, least), lambda segment, words, terms: {d: [] for d in segment.near(words, width, least)})
+    return found.join(_numbered(index), ["part", "seg", "ord"]).select("doc_id", F.col("item").alias("item_id"))
 
 
 def covered(spans: Column) -> Column:
     """The number of positions in the union of spans [a, b)."""
-    return F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1))))).cast("long")
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda x, s: F.struct(F.greatest(x["end"], s["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(x["end"], s["a"]))).alias("n"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda x: x["n"])
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (item_ids), contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
     found = matches(build_index(docs), items)
-    counted = found.select("doc_id", "n_words", F.when(F.size("spans") > 0, covered(F.col("spans"))).otherwise(F.lit(0).cast("long")).alias("n_hit"), "items")
+    counted = found.select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), "items")
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

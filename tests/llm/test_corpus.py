@@ -420,7 +420,7 @@ def test_main_text(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_decontamination(docs, items, empty):
+def test_decontamination(docs, items, empty, monkeypatch):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: pattern.findall((t or "").translate(LOWER))
     windows = collections.defaultdict(set)
@@ -437,9 +437,10 @@ def test_decontamination(docs, items, empty):
                     hit.update(range(k, k + n))
                     seen |= windows[tuple(w[k : k + n])]
         want.append((i, len(w), len(hit), sorted(seen - {None}), bool(hit) and 20 * len(hit) >= len(w)))
-    for block in (1 << 20, 20):
+    for sent in (1 << 20, 0):
+        monkeypatch.setattr(decontaminate, "SENT_BYTES", sent)
         index = decontaminate.build_index(docs, segment_bytes=3000)
-        found = decontaminate.matches(index, items, block_bytes=block)
+        found = decontaminate.matches(index, items)
         got = sorted(((r.doc_id, r.n_words, r.n, sorted(r["items"])) for r in found.withColumn("n", F.when(F.size("spans") > 0, decontaminate.covered(F.col("spans"))).otherwise(0)).collect()), key=repr)
         assert got == sorted((x[:4] for x in want), key=repr)
     out = decontaminate.contamination(docs, items)
@@ -450,6 +451,34 @@ def test_decontamination(docs, items, empty):
     assert decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
     near = decontaminate.proximity(decontaminate.build_index(docs), items.filter("item_id = 0"), width=14, least=13)
     assert [tuple(r) for r in near.collect()] == [(88, 0)]
+    texts = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    named = decontaminate.contamination(texts, items.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
+    ids = lambda x: (None if x[0] is None else f"d{x[0]}", x[1], x[2], [f"i{k}" for k in x[3]], x[4])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in named.collect()), key=repr) == sorted(map(ids, want), key=repr)
+
+
+def test_long_items_in_pieces_and_proximity(spark, monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(decontaminate.pieces_of, "__defaults__", (13, 7))
+    item = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(150)]
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    for k in range(0, 130, 9):
+        texts.append(f"x {' '.join(item[k : k + 10 + k % 11])} y {' '.join(item[k + 3 : k + 17])}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(0, " ".join(item)), (1, "aa bb cc x y")], "item_id long, text string")
+    windows = {tuple(item[k : k + 13]) for k in range(138)} | {("aa", "bb", "cc", "x", "y")}
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        want[i] = len({k + j for x in windows for k in range(len(w) - len(x) + 1) if tuple(w[k : k + len(x)]) == x for j in range(len(x))})
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items).collect()} == want and sum(map(bool, want.values())) > 5
+    monkeypatch.undo()
+    index = decontaminate.build_index(docs, 400)
+    for width, least in ((5, 4), (8, 5), (3, 3)):
+        near = set()
+        for n, words in ((0, set(item)), (1, set("aa bb cc x y".split()))):
+            near |= {(i, n) for i, t in enumerate(texts) for w in [t.split()] if any(len(words & set(w[k : k + width])) >= least for k in range(len(w)))}
+        assert {tuple(r) for r in decontaminate.proximity(index, items, width, least).collect()} == near
 
 
 def test_passages_end_with_their_document(spark):
