@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .common import cut, id_remainder
-from .tokens import runs
+from .tokens import gathered, parts_of, runs
 
 SYMBOLS, CLASSES, DIM = 1024, 32, 16
 MEMBERS = SYMBOLS // CLASSES
@@ -480,25 +480,6 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), upto[edges[1:]] - upto[edges[:-1]]
 
 
-def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """From where to where runs of texts of about ``most`` bytes reach."""
-    import pyarrow.compute as pc
-
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
-    start = 0
-    while start < len(texts):
-        done = upto[start - 1] if start else 0
-        end = min(len(texts), int(np.searchsorted(upto, done + most)) + 1)
-        yield start, end
-        start = end
-
-
-def gathered(rows: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The pieces ``which`` of rows, one after another; sizes are those of the pieces."""
-    first, own = np.cumsum(sizes) - sizes, sizes[which]
-    return rows[np.repeat(first[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-
-
 def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int, scale: float, path: str) -> DataFrame:
     """docs (doc_id, held_out, text) with a number of their own (rid), the number of tokens, and what frequent words give: how
     many tokens are known, their unigram log probability (base); the rare words with their number (rare); the symbols (doc) and the

@@ -2,7 +2,8 @@
 
 Every file lies in a folder that all executors share and is complete before it gets its final name, so that a task can run
 again, or twice at once. Null and empty texts are documents of their end id alone; null doc_ids and repeated rows are
-documents like others; an empty table gives no files and an empty result. Other columns are ignored.
+documents like others; equal doc_ids are in the order of a hash of their texts, so that reruns agree; an empty table gives no
+files and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ SEQUENCE = 1024
 ROWS = 64
 #: Bytes of ids in a block of the separator scan.
 BLOCK = 8 << 20
-#: Bytes of text that a partition of the writer should hold.
-PART_BYTES = 64 << 20
+#: Bytes of text that a file holds, about (one longer document more); beyond MOST_PARTS files, they grow.
+PART_BYTES = 32 << 20
+MOST_PARTS = 1 << 16
+#: Rows in a range of the sort that finds where files begin.
+RANGE_ROWS = 1_000_000
 #: Pieces whose ids a task keeps.
 CACHED = 800_000
 
@@ -112,42 +116,74 @@ class PieceEncoder:
         return out
 
 
+def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """From where to where runs of texts of about ``most`` bytes reach."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = upto[start - 1] if start else 0
+        end = min(len(texts), int(np.searchsorted(upto, done + most)) + 1)
+        yield start, end
+        start = end
+
+
+def gathered(rows: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The pieces ``which`` of rows, one after another; sizes are those of the pieces."""
+    first, own = np.cumsum(sizes) - sizes, sizes[which]
+    return rows[np.repeat(first[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+
+
 class Encoder:
-    """Ids (as bytes of little-endian unsigned 16-bit integers) of whole texts, equal to the library's.
+    """Ids (unsigned 16-bit integers) of whole texts, equal to the library's, each text followed by an end id.
 
     A byte-level BPE never joins what stands on both sides of a single space between two other characters, so each piece up
-    to there is encoded once and kept. Texts with other spacing go to the library whole.
+    to there is encoded once and kept, and its ids are copied to all its places in a run of texts. Texts with other spacing
+    go to the library whole.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, end: int, plain: bool = False):
         self.library = library_of(path, plain)
         self.pieces = PieceEncoder(self.library)
-        self.later: dict[str, bytes] = {}
+        self.end = np.array([end], "<u2").tobytes()
+        self.later: dict[str, bytes | None] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's ids end."""
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.later) > CACHED:
             self.later.clear()
-        split = [(t or "").split(" ") for t in texts]
-        fresh = set().union(*split).difference(self.later)
-        new = list(fresh)
-        ids = self.pieces.encode(new, " ")
-        self.later.update(zip(new, ids, strict=True))
-        odd = {x for x, e in zip(new, ids, strict=True) if e is None}
-        whole = [i for i, p in enumerate(split) if odd and not odd.isdisjoint(p)]
-        out = [b""] * len(texts)
-        skip = set(whole)
-        begin = dict.fromkeys(p[0] for i, p in enumerate(split) if i not in skip)
-        first = dict(zip(begin, self.pieces.encode(list(begin), ""), strict=True))
-        for i, p in enumerate(split):
-            if i not in skip:
-                ids = list(map(self.later.__getitem__, p))
-                ids[0] = first[p[0]]
-                out[i] = b"".join(ids)
-        for i, e in zip(whole, self.pieces.full([texts[i] or "" for i in whole]), strict=True):
-            out[i] = e
-        for x in odd:
-            del self.later[x]
-        return out
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        count = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # at least one piece each
+        starts = np.cumsum(count) - count
+        words = lists.flatten().dictionary_encode()
+        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        new = [p for p in distinct if p not in self.later]
+        self.later.update(zip(new, self.pieces.encode(new, " "), strict=True))
+        known = [self.later[p] for p in distinct]
+        odd = np.fromiter((x is None for x in known), bool, len(known))
+        begin, first = np.unique(which[starts], return_inverse=True)
+        opening = self.pieces.encode([distinct[k] for k in begin.tolist()], "")
+        # odd pieces inside a text, or a first one that is none, send the whole text to the library
+        inner = odd[which]
+        inner[starts] = np.fromiter((x is None for x in opening), bool, len(opening))[first]
+        whole = np.logical_or.reduceat(inner, starts)
+        texts_whole = self.pieces.full([x or "" for x in texts.filter(pa.array(whole)).to_pylist()])
+        which[starts] = len(known) + first
+        base = len(known) + len(opening)
+        size = np.where(whole, 1, count) + 1
+        ends = np.cumsum(size)
+        order = np.full(ends[-1] if len(ends) else 0, -1, np.int64)
+        order[ends - 1] = base + len(texts_whole)
+        order[(ends - size)[whole]] = base + np.arange(len(texts_whole))
+        order[order < 0] = which[np.repeat(~whole, count)]
+        every = [x or b"" for x in (*known, *opening)] + texts_whole + [self.end]
+        sizes = np.fromiter(map(len, every), np.int64, len(every)) // 2
+        for p in [p for p, x in zip(distinct, known, strict=True) if x is None]:
+            del self.later[p]
+        return gathered(np.frombuffer(b"".join(every), "<u2"), sizes, order), np.cumsum(np.add.reduceat(sizes[order], ends - size)) if len(ends) else ends
 
 
 def runs(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -196,19 +232,20 @@ class SequenceWriter:
         self.ends: list[np.ndarray] = []
         self.held = self.total = 0
 
-    def add(self, ids: np.ndarray) -> None:
-        ends = np.zeros(len(ids), bool)
-        ends[-1] = True
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Some documents: their ids, one after another, and where each ends."""
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
         self.ids.append(ids)
-        self.ends.append(ends)
+        self.ends.append(last)
         self.held += len(ids)
         self.total += len(ids)
         if self.held >= self.step:
-            ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
+            ids, last = np.concatenate(self.ids), np.concatenate(self.ends)
             whole = self.held // self.step * self.step
             for k in range(0, whole, self.step):
-                self._write(ids[k : k + self.step], ends[k : k + self.step], self.step)
-            self.ids, self.ends, self.held = [ids[whole:]], [ends[whole:]], self.held - whole
+                self._write(ids[k : k + self.step], last[k : k + self.step], self.step)
+            self.ids, self.ends, self.held = [ids[whole:]], [last[whole:]], self.held - whole
 
     def _write(self, ids: np.ndarray, ends: np.ndarray, count: int) -> None:
         valid = np.arange(len(ids)) < count
@@ -249,66 +286,91 @@ class SequenceFile:
             yield ids[:n], ends[:n]
 
 
-def write_sequences(docs: DataFrame, length: int = SEQUENCE, rows: int = ROWS, path: str | None = None, end: int = END) -> tuple[str, list[tuple[int, int, int]]]:
-    """Write docs in ascending order of doc_id (nulls first) as stream files. The folder, and (part, documents, ids) of each file."""
+def file_starts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[int, DataFrame]:
+    """How many files docs (doc_id, th, place, size) fill in order of doc_id, th and place, and one row: the keys at which each begins.
+
+    Bytes before a row are a prefix sum: over ranges of the order, then inside each range. Reaches the driver: a row a range and file.
+    """
+    spark = docs.sparkSession
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("place")]
+    keys = cut(docs, "keys")
+    total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(1, min(MOST_PARTS, max(-(-total // part_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))))
+    each = max(1, -(-total // parts))
+    if parts > 1:
+        ranged = cut(keys.repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).withColumn("range", F.spark_partition_id()), "ranges")
+        before, starts = 0, []
+        for r, size in sorted(tuple(x) for x in ranged.groupBy("range").agg(F.sum("size")).collect()):
+            starts.append((r, before))
+            before += size
+        along = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        prior = F.coalesce(F.sum("size").over(along), F.lit(0))
+        placed = ranged.withColumn("own", prior).join(F.broadcast(spark.createDataFrame(starts, "range int, before long")), "range")
+        key = F.struct("doc_id", "th", "place")
+        firsts = placed.groupBy(F.floor((F.col("own") + F.col("before")) / each).alias("part")).agg(F.min(key).alias("key"))
+    else:
+        firsts = keys.agg(F.min(F.struct("doc_id", "th", "place")).alias("key")).filter("key is not null")
+    return parts, firsts.agg(F.array_sort(F.collect_list("key")).alias("firsts")).withColumn("one", F.lit(1))
+
+
+def write_sequences(docs: DataFrame, length: int = SEQUENCE, rows: int = ROWS, path: str | None = None, end: int = END, part_bytes: int = PART_BYTES) -> tuple[str, DataFrame]:
+    """Write docs in ascending order of doc_id (nulls first) as stream files. The folder, and a row (part, docs, ids) for each file."""
     spark, folder, path = docs.sparkSession, shared_dir(docs.sparkSession, "sequences"), path or tokenizer_path()
-    bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-bytes_ // PART_BYTES), min(spark.sparkContext.defaultParallelism, bytes_ >> 20))
-    key = docs.schema["doc_id"].dataType
-    id_type = pa.int64() if key.typeName() != "string" else pa.string()
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("place"))
+    parts, firsts = file_starts(keyed.select("doc_id", "th", "place", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), part_bytes)
+    mine = F.struct("doc_id", "th", "place")
+    # the number of files that begin at or before a row, by bisection; the one row of firsts has at most MOST_PARTS keys
+    upto = F.aggregate(
+        F.array(*(F.lit(1 << k) for k in reversed(range(parts.bit_length())))), F.lit(0), lambda n, step: F.when(F.coalesce(F.get("firsts", n + step - 1) <= mine, F.lit(False)), n + step).otherwise(n)
+    )
+    placed = keyed.withColumn("one", F.lit(1)).join(F.broadcast(firsts), "one").select("doc_id", "text", "th", "place", F.greatest(F.lit(0), upto - 1).alias("part"))
+    ordered = placed.repartitionById(parts, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, tail = TaskContext.get().partitionId(), Encoder(path), np.array([end], "<u2")
+        part, encoder = TaskContext.get().partitionId(), Encoder(path, end)
         first = next(batches, None)
         while first is not None and not first.num_rows:
             first = next(batches, None)
         if first is None:
             return
-        ids: list = []
-        told = {}
+        told = {"docs": 0}
+        schema = pa.schema([first.schema.field(0).with_name("doc_id")])
 
         def fill(out) -> None:
-            writer, batch = SequenceWriter(out, length, rows), first
-            while batch is not None:
-                ids.extend(batch.column(0).to_pylist())
-                for _, texts in runs(batch, 1):
-                    for e in encoder.encode(texts):
-                        writer.add(np.concatenate((np.frombuffer(e, "<u2"), tail)))
-                batch = next(batches, None)
-            writer.close()
-            told["total"] = writer.total
+            def names(ids_out) -> None:
+                writer, batch = SequenceWriter(out, length, rows), first
+                with pa.ipc.new_stream(ids_out, schema) as w:
+                    while batch is not None:
+                        w.write_batch(pa.RecordBatch.from_arrays([batch.column(0)], schema=schema))
+                        told["docs"] += batch.num_rows
+                        for a, b in parts_of(batch.column(1), 1 << 22):
+                            writer.add(*encoder.encode(batch.column(1).slice(a, b - a)))
+                        batch = next(batches, None)
+                writer.close()
+                told["total"] = writer.total
+
+            _publish(folder, f"part-{part:06d}.ids", names)
 
         _publish(folder, f"part-{part:06d}.arrows", fill)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([told["docs"]], pa.int64()), "ids": pa.array([told["total"]], pa.int64())})
 
-        def names(out) -> None:
-            schema = pa.schema([("doc_id", id_type)])
-            with pa.ipc.new_stream(out, schema) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, id_type)], schema=schema))
-
-        _publish(folder, f"part-{part:06d}.ids", names)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "ids": pa.array([told["total"]], pa.int64())})
-
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    files = [tuple(r) for r in ordered.mapInArrow(run, "part int, docs long, ids long").collect()]
-    return folder, sorted(files)
+    return folder, cut(ordered.select("doc_id", "text").mapInArrow(run, "part int, docs long, ids long"), "files")
 
 
-def read_sequences(spark, folder: str, files: list[tuple[int, int, int]], id_type: str = "long") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    starts = np.cumsum([0, *(f[2] for f in files)]).tolist()
-    todo = [(f[0], s) for f, s in zip(files, starts, strict=False)]
-    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"
-    if not todo:
-        return spark.createDataFrame([], schema)
-    kind = pa.string() if id_type == "string" else pa.int64()
+def read_sequences(folder: str, files: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files, of which there are at most MOST_PARTS; a task for each."""
+    todo, at = [], 0
+    for part, n in sorted((r.part, r.ids) for r in files.collect()):
+        todo.append((len(todo), part, at))
+        at += n
+    rows = files.sparkSession.createDataFrame(todo, "task int, part int, at long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for which in batches:
-            for k in which.column(0).to_pylist():
-                part, at = todo[k]
+            for part, at in zip(which.column(0).to_pylist(), which.column(1).to_pylist(), strict=True):
                 store, path = _store(folder)
                 with store.open_input_stream(f"{path}/part-{part:06d}.ids") as f:
-                    names = pa.ipc.open_stream(f).read_all().column(0).to_pylist()
+                    names = pa.ipc.open_stream(f).read_all().column(0).combine_chunks()
                 begin, count, crc = [], [], []
                 n = c = 0
                 for ids, ends in SequenceFile(folder, f"part-{part:06d}.arrows").flat():
@@ -319,87 +381,102 @@ def read_sequences(spark, folder: str, files: list[tuple[int, int, int]], id_typ
                         crc.append(zlib.crc32(wide[a:b], c))
                         at, n, c, a = at + n + b - a, 0, 0, b
                     n, c = n + len(ids) - a, zlib.crc32(wide[a:], c)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, kind), "start": pa.array(begin, pa.int64()), "n_tokens": pa.array(count, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_arrays([names, pa.array(begin, pa.int64()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(todo), 1, len(todo)).mapInArrow(run, schema)
+    return rows.repartitionById(max(1, len(todo)), "task").select("part", "at").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame) -> DataFrame:
     """Write the sequences of docs and read every document back from them."""
-    kind = "string" if docs.schema["doc_id"].dataType.typeName() == "string" else "long"
-    return read_sequences(docs.sparkSession, *write_sequences(docs), kind)
+    return read_sequences(*write_sequences(docs), docs.schema["doc_id"].dataType.simpleString())
 
 
 def write_flat(docs: DataFrame, path: str | None = None) -> tuple[str, DataFrame]:
     """Write ids and separators, nothing else, as flat files, one a task. The folder, and (file, ord, doc_id) in writing order."""
     folder, path = shared_dir(docs.sparkSession, "flat"), path or tokenizer_path()
-    id_type = pa.string() if docs.schema["doc_id"].dataType.typeName() == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, end = TaskContext.get().partitionId(), Encoder(path, plain=True), np.array([SEPARATOR], "<u2").tobytes()
-        ids: list = []
+        part, encoder = TaskContext.get().partitionId(), Encoder(path, SEPARATOR, plain=True)
+        ids: list[pa.Array] = []
 
         def fill(out) -> None:
             for batch in batches:
-                ids.extend(batch.column(0).to_pylist())
-                for _, texts in runs(batch, 1):
-                    out.write(b"".join(x + end for x in encoder.encode(texts)))
+                ids.append(batch.column(0))
+                for a, b in parts_of(batch.column(1), 1 << 22):
+                    out.write(encoder.encode(batch.column(1).slice(a, b - a))[0].tobytes())
 
         _publish(folder, f"tokens-{part:06d}.bin", fill)
-        for k in range(0, len(ids), 10_000):
-            some = ids[k : k + 10_000]
-            yield pa.RecordBatch.from_pydict({"file": pa.array([f"tokens-{part:06d}.bin"] * len(some)), "ord": pa.array(range(k, k + len(some)), pa.int64()), "doc_id": pa.array(some, id_type)})
+        n = 0
+        for some in ids:
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array(np.arange(n, n + len(some))), some], names=["file", "ord", "doc_id"])
+            n += len(some)
 
-    kind = "string" if id_type == pa.string() else "long"
-    return folder, cut(docs.select("doc_id", "text").mapInArrow(run, f"file string, ord long, doc_id {kind}"), "names")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return folder, cut(docs.select("doc_id", "text").mapInArrow(run, f"file int, ord long, doc_id {kind}"), "names")
 
 
 def scan_separators(spark, folder: str, block: int = BLOCK) -> DataFrame:
-    """file, ord, start (in its file), n_tokens (with the separator), complete, for each document in the flat files of folder.
+    """file (its number), ord, start (in its file), n_tokens (with the separator), complete, for each document in the flat files of folder.
 
-    Each block of a file is searched on its own; the last separator of the blocks before it, and their number of separators, are
-    running values over the file's blocks, which stitch documents that cross blocks. What follows the last separator of a
-    file is a document that isn't complete.
+    Each block of a file is searched on its own and gives a row for each separator, with the one before it in the block, and a row of
+    its own. The last separator of the blocks before, and their number of separators, are running values over the file's blocks'
+    rows, which stitch documents that cross blocks.
+    What follows the last separator of a file is a document that isn't complete.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(folder).select("path", "length")
-    blocks = listed.filter("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("at"))
+    number = F.regexp_extract("path", r"tokens-(\d+)\.bin$", 1).cast("int")
+    blocks = listed.filter("length > 0").select(number.alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("at"))
     wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                with store.open_input_file(f"{path}/{r['file']}") as f:
+                with store.open_input_file(f"{path}/tokens-{r['file']:06d}.bin") as f:
                     f.seek(r["at"])
                     ids = np.frombuffer(f.read(min(block, r["length"] - r["at"])), "<u2")
                 hits = np.flatnonzero(ids == SEPARATOR) + r["at"] // 2
-                yield pa.RecordBatch.from_pydict({"file": [r["file"]], "total": pa.array([r["length"] // 2], pa.int64()), "at": pa.array([r["at"]], pa.int64()), "hits": pa.array([hits], pa.list_(pa.int64()))})
-
-    found = blocks.repartition(wide, "file", "at").mapInArrow(run, "file string, total long, at long, hits array<long>")
+                # the block's own row has k = the number of its separators and hit = the last one (-1: none)
+                spots = np.append(hits, hits[-1] if len(hits) else -1)
+                n = len(spots)
+                prior = np.concatenate(([-1], hits)) if n > 1 else np.array([-1])
+                yield pa.RecordBatch.from_pydict(
+                    {"file": pa.array([r["file"]] * n, pa.int32()), "at": pa.array([r["at"]] * n, pa.int64()), "total": pa.array([r["length"] // 2] * n, pa.int64()), "k": pa.array(np.arange(n)), "hit": pa.array(spots), "prior": pa.array(prior), "own": pa.array(np.arange(n) == n - 1)}
+                )
+
+    found = cut(blocks.repartition(wide, "file", "at").mapInArrow(run, "file int, at long, total long, k long, hit long, prior long, own boolean"), "hits")
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file")
-    last = F.when(F.size("hits") > 0, F.element_at("hits", -1))
-    stitched = found.select(
-        "file", "hits", "total", "at",
-        F.coalesce(F.last(last, ignorenulls=True).over(before), F.lit(-1)).alias("carry"),
-        F.coalesce(F.sum(F.size("hits").cast("long")).over(before), F.lit(0)).alias("first"),
-        F.max("at").over(whole).alias("end"),
+    stitched = found.filter("own").select(
+        "file", "at", "total", "k", "hit",
+        F.coalesce(F.last(F.when(F.col("hit") >= 0, F.col("hit")), ignorenulls=True).over(before), F.lit(-1)).alias("carry"),
+        F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"),
+        F.max("at").over(Window.partitionBy("file")).alias("end"),
     )
-    own = stitched.select("file", "total", "carry", "first", "hits", F.posexplode("hits").alias("k", "hit"))
-    prior = F.when(F.col("k") > 0, F.get("hits", F.col("k") - 1)).otherwise(F.col("carry"))
-    done = own.select("file", (F.col("first") + F.col("k")).alias("ord"), (prior + 1).alias("start"), (F.col("hit") - prior).alias("n_tokens"), F.lit(True).alias("complete"))
-    final = F.coalesce(last, F.col("carry")) + 1
-    open_ = stitched.filter("at = end").select("file", (F.col("first") + F.size("hits")).alias("ord"), final.alias("start"), (F.col("total") - final).alias("n_tokens"), F.lit(False).alias("complete"))
+    prior = F.when(F.col("k") > 0, F.col("prior")).otherwise(F.col("carry"))
+    done = found.filter("not own").join(stitched.select("file", "at", "carry", "first"), ["file", "at"])
+    done = done.select("file", (F.col("first") + F.col("k")).alias("ord"), (prior + 1).alias("start"), (F.col("hit") - prior).alias("n_tokens"), F.lit(True).alias("complete"))
+    final = F.when(F.col("hit") >= 0, F.col("hit")).otherwise(F.col("carry")) + 1
+    open_ = stitched.filter("at = end").select("file", (F.col("first") + F.col("k")).alias("ord"), final.alias("start"), (F.col("total") - final).alias("n_tokens"), F.lit(False).alias("complete"))
     return done.unionByName(open_.filter("n_tokens > 0"))
 
 
+def file_bases(files: DataFrame, width: int = 1024) -> DataFrame:
+    """file, base: the sum of ``all`` over the files before, from sums of ``width`` files each, which reach the driver."""
+    spark = files.sparkSession
+    grouped = files.withColumn("group", F.floor(F.col("file") / width).cast("int"))
+    starts, at = [], 0
+    for g, n in sorted(tuple(r) for r in grouped.groupBy("group").agg(F.sum("all")).collect()):
+        starts.append((g, at))
+        at += n
+    along = Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.withColumn("own", F.coalesce(F.sum("all").over(along), F.lit(0)))
+    return own.join(F.broadcast(spark.createDataFrame(starts, "group int, at long")), "group").select("file", (F.col("own") + F.col("at")).alias("base"))
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, file, ord, start (over all files, by name), n_tokens: counted from the flat files of docs alone."""
-    spark = docs.sparkSession
+    """doc_id, file (its number), ord, start (over all files, by number), n_tokens: counted from the flat files of docs alone."""
     folder, names = write_flat(docs)
-    found = cut(scan_separators(spark, folder), "counts")
-    files = found.groupBy("file").agg(F.sum("n_tokens").alias("all"))
-    along = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("file", F.coalesce(F.sum("all").over(along), F.lit(0)).alias("base"))
+    found = cut(scan_separators(docs.sparkSession, folder), "counts")
+    base = file_bases(found.groupBy("file").agg(F.sum("n_tokens").alias("all")))
     both = found.join(names, ["file", "ord"]).join(base, "file")
     return both.select("doc_id", "file", "ord", (F.col("base") + F.col("start")).alias("start"), "n_tokens")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,7 +187,9 @@ def test_sequences(spark, docs, empty):
     ids = [r.doc_id for r in order]
     assert ids == sorted(ids, key=lambda i: (i is not None, i))
     assert tokens.encode_to_files(empty).count() == 0
-    folder, files = tokens.write_sequences(docs, length=8, rows=3)
+    folder, table = tokens.write_sequences(docs, length=8, rows=3, part_bytes=20_000)
+    files = sorted(tuple(r) for r in table.collect())
+    assert len(files) == 3 and sum(f[1] for f in files) == docs.count()
     one = tokens.SequenceFile(folder, f"part-{files[0][0]:06d}.arrows")
     flat = np.concatenate([a for a, _ in one.flat()])
     assert len(flat) == files[0][2] and len(one) == -(-files[0][2] // 8)
@@ -195,12 +198,39 @@ def test_sequences(spark, docs, empty):
         assert len(s["ids"]) == 8 and s["ids"].to_numpy()[s["valid"].to_numpy(zero_copy_only=False)].tolist() == flat[8 * k : 8 * k + 8].tolist()
 
 
+def test_files_are_even_and_ties_in_order(spark, monkeypatch):
+    """A third of the rows without an id, a third with one id: files are even in bytes, and reruns agree."""
+    monkeypatch.setattr(tokens, "RANGE_ROWS", 100)
+    rng = random.Random(14)
+    some = [((None, 7, k)[k % 3], sentence(rng, rng.randint(1, 60))) for k in range(900)] + [(7, "one and the same text")] * 300
+    rng.shuffle(some)
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    total = sum(len(t.encode()) for _, t in some)
+    folder, files = tokens.write_sequences(docs.repartition(4), part_bytes=total // 10)
+    text = {}
+    for part, n, _ in files.collect():
+        with pa.ipc.open_stream(folder.removeprefix("file://") + f"/part-{part:06d}.ids") as f:
+            assert f.read_all().num_rows == n
+        text[part] = n
+    assert len(text) == 10 or len(text) == 11
+    runs = [sorted((r.start, r.n_tokens, r.ids_crc32) for r in tokens.read_sequences(*tokens.write_sequences(docs.repartition(k), part_bytes=total // (3 * k))).collect()) for k in (2, 5)]
+    assert runs[0] == runs[1]
+    tokens_each = [r.ids for r in files.collect()]
+    assert max(tokens_each) < 1.5 * sum(tokens_each) / len(tokens_each)
+
+
 def test_piece_encoder_equals_the_library():
-    encoder, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(3)
+    encoder, rng = tokens.Encoder(tokens.tokenizer_path(), 2), random.Random(3)
     marks = ["a", "b", "é", "ñ", "日", " ", "  ", "\n", "\t", " ", ".", ",", "'s", "'", "1", "½", "<|endoftext|>", "!", "|", "\x1c", "the", "ß", "😀", "_", "́"]
     texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["", " ", None]
-    want = [np.array(e.ids, "<u2").tobytes() for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])] == want
+    want = [[*e.ids, 2] for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for step in (1, 100, len(texts)):
+        got = []
+        for i in range(0, len(texts), step):
+            ids, ends = encoder.encode(pa.array(texts[i : i + step], pa.string()))
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == want
+    assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
 def test_resharding(spark, docs, empty, tmp_path):
