@@ -1,8 +1,10 @@
 """Mixing sources to target weights.
 
-Every document has a hash-random key. Within each source the documents are sorted by that key in ranges of its leading hex
-digits; range totals give the start of each range by a prefix sum, a window inside the range the rest. A source's budget is
-spent along that order: whole epochs first, then the documents up to the exact word at which the budget ends.
+Every document has a hash-random key. Within each source the documents are ordered by that key, in ranges of its leading hex
+digits: sums of the ranges of two digits find the range in which the source's budget ends, sums of its parts by two more digits
+the part, and so on until few rows are left; there a window does the rest. A source's budget is spent along that order: whole epochs
+first, then the documents up to the exact word at which the budget ends. Targets come from sums over the sources, which are
+rows like others, of any number.
 
 A null text has size 0 and is never taken from; a null source is a source of its own, last in order. Equal keys are
 ordered by doc_id and size; rows that agree in these (repeated rows) at the cut share what is left there equally. An empty table, or one without words, gives
@@ -22,8 +24,10 @@ from .common import cut, whole_row
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Documents in a range, about.
-RANGE_ROWS = 100_000
+#: Rows of a source that one task may sort at the cut; ranges are divided until they have no more.
+RANGE_ROWS = 1000
+#: Hex digits by which a range is divided, and most digits used.
+DIGITS, MOST_DIGITS = 2, 32
 #: Sources up to which the row that each has is broadcast; beyond, they are joined like other tables.
 BROADCAST_SOURCES = 20_000
 
@@ -32,19 +36,34 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> dict[str | None, float]:
-    """By source: its target. A source whose weighted part is above MOST times its size stops there, and the rest is shared anew."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    total, open_, capped = share * sum(size.values()), set(size), set()
+def weighed(sources: DataFrame, n: int, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """sources (source, all different) with weight: weights in turn by code point, null last. Rows are numbered range by range."""
+    order = F.col("source").asc_nulls_last()
+    ranged = cut(sources.repartitionByRange(max(1, n // 100_000), order).withColumn("range", F.spark_partition_id()), "sources")
+    starts, at = [], 0
+    for r, k in sorted(tuple(x) for x in ranged.groupBy("range").count().collect()):
+        starts.append((r, at))
+        at += k
+    begin = F.broadcast(sources.sparkSession.createDataFrame(starts, "range int, begin long"))
+    number = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1 + F.col("begin")
+    return ranged.join(begin, "range").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int"))).drop("range", "begin")
+
+
+def targets(sources: DataFrame, n: int, share: float = SHARE) -> DataFrame:
+    """sources (source, source_size) with weight and target. A source whose weighted part is above MOST times its size stops
+    there, and the rest is shared anew: the rate of a weight grows until no more sources stop."""
+    rows = cut(weighed(sources, n), "weights")
+    most, rate = MOST * F.col("source_size"), 0.0
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    stops, before = F.lit(False), -1
     while True:
-        rate = (total - sum(MOST * size[s] for s in capped)) / sum(weight[s] for s in open_) if open_ else 0.0
-        above = {s for s in open_ if weight[s] * rate > MOST * size[s]}
-        if not above:
-            return {s: float(MOST * size[s]) if s in capped else weight[s] * rate for s in size}
-        capped |= above
-        open_ -= above
+        held, stopped, open_ = rows.agg(F.coalesce(F.sum(F.when(stops, most)), F.lit(0)), F.count(F.when(stops, 1)), F.coalesce(F.sum(F.when(~stops, F.col("weight"))), F.lit(0))).first()
+        if stopped == before:
+            break
+        rate = (share * total - held) / open_ if open_ else 0.0
+        before = stopped
+        stops = stops | (F.col("weight") * F.lit(rate) > most)
+    return rows.withColumn("target", F.when(stops, most.cast("double")).otherwise(F.col("weight") * F.lit(rate)))
 
 
 def sort_key(doc_id: Column) -> Column:
@@ -54,35 +73,34 @@ def sort_key(doc_id: Column) -> Column:
 def cuts(sized: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """By source: source_size, target, epochs, and where the last epoch is cut (c_key, c_id, c_size; c_left words of each row there).
 
-    sized has source, doc_id, size and key. Reaches the driver: one row a source.
+    sized has source, doc_id, size and key. Only sums over all sources, and the size of the largest range, reach the driver.
     """
-    spark = sized.sparkSession
-    sources = [(r[0], r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
-    goal = targets([x[:2] for x in sources])
-    plan = []
-    for s, size, _ in sources:
-        budget = int(goal[s] + 0.5)
-        epochs = budget // size if size else 0
-        plan.append((s, size, goal[s], epochs, budget - epochs * size if size else 0))
-    plan = spark.createDataFrame(plan, "s string, source_size long, target double, epochs long, rest long")
-    few = F.broadcast if len(sources) <= BROADCAST_SOURCES else lambda x: x
-    digits = next(d for d in range(1, 32) if 16**d * range_rows >= max([1, *(x[2] for x in sources)]))
-    ranged = sized.withColumn("range", F.substring("key", 1, digits))
-    totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"))
-    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("start", F.coalesce(F.sum("sum").over(along), F.lit(0)))
-    starts = starts.join(few(plan), F.col("source").eqNullSafe(F.col("s"))).filter("start < rest and rest <= start + sum")
-    last = starts.select(F.col("source").alias("s"), F.col("range").alias("r"), F.col("rest") - F.col("start"))
-    last = last.toDF("s", "r", "left")
-    rows = ranged.join(few(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sums")
+    count = sources.count()
+    few = F.broadcast if count <= BROADCAST_SOURCES else lambda x: x
+    budget = F.floor(F.col("target") + 0.5).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
+    plan = targets(sources, count).withColumn("epochs", epochs).withColumn("left", F.when(F.col("source_size") > 0, budget - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0)))
+    plan = cut(plan.withColumnRenamed("source", "s"), "plan")
+    at = cut(plan.filter("left > 0").select("s", F.lit("").alias("r"), "left", "n"), "range")
+    digits, largest, before = 0, at.agg(F.max("n")).first()[0] or 0, None
+    along = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.col("source").eqNullSafe(F.col("s")) & F.col("key").startswith(F.col("r"))
+    while largest > range_rows and largest != before and digits < MOST_DIGITS:
+        digits += DIGITS
+        within = sized.select("source", "key", "size").join(few(at.drop("n")), inside)
+        sums = within.groupBy("s", "left", F.substring("key", 1, digits).alias("r")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+        starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(along), F.lit(0))).filter("start < left and left <= start + sum")
+        at = cut(starts.select("s", "r", (F.col("left") - F.col("start")).alias("left"), "n"), "range")
+        before, largest = largest, at.agg(F.max("n")).first()[0] or 0
+    rows = sized.join(few(at.drop("n")), inside)
     ties = rows.groupBy("s", "left", "key", "doc_id", "size").agg(F.count("*").alias("n"))
-    inside = Window.partitionBy("s").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ties.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)))
+    ordered = Window.partitionBy("s").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ties.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(ordered), F.lit(0)))
     ends = ends.filter("before < left and left <= before + n * size")
     ends = ends.select(F.col("s").alias("e"), F.col("key").alias("c_key"), F.col("doc_id").alias("c_id"), F.col("size").alias("c_size"), F.expr("(left - before) div n").alias("c_left"))
-    found = [tuple(r) for r in plan.join(ends, F.col("s").eqNullSafe(F.col("e")), "left").drop("e", "rest").collect()]
-    out = spark.createDataFrame(found, f"s string, source_size long, target double, epochs long, c_key string, c_id {sized.schema['doc_id'].dataType.simpleString()}, c_size long, c_left long")
-    return F.broadcast(out) if len(found) <= BROADCAST_SOURCES else out
+    out = plan.select("s", "source_size", "target", "epochs").join(ends, F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
+    return few(cut(out, "cuts"))
 
 
 def with_taken(rows: DataFrame, cut_at: DataFrame) -> DataFrame:

@@ -141,20 +141,37 @@ def test_separator_scan(spark, docs, empty):
     assert sum(not r[3] for r in broken) <= 1 and len(broken) == len(whole) - (whole[-1][2] == 1)
 
 
-def test_mixing(docs, empty):
+def fair_shares(sizes, weights=(5, 2, 1)):
+    """Water-filling, one source after another."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    goal, left, open_ = {}, 1.5 * sum(sizes.values()), sum(weight.values())
+    for s in sorted(order, key=lambda s: sizes[s] / weight[s]):
+        goal[s] = min(2.0 * sizes[s], weight[s] * left / open_)
+        left, open_ = left - goal[s], open_ - weight[s]
+    return goal
+
+
+def goals(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    return {r.source: r.target for r in mixing.targets(df, len(sizes)).collect()}
+
+
+def test_mixing(spark, docs, empty, monkeypatch):
     out = mixing.mix(docs, range_rows=2).collect()
     assert len(out) == docs.count()
     size = collections.Counter()
     for _, t, _, s, *_ in rows():
         size[s] += len(words(t))
-    goal = mixing.targets(list(size.items()))
+    goal = fair_shares(size)
     assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
     assert all(goal[s] <= 2 * size[s] for s in size)
     taken = collections.Counter()
     for r in out:
-        assert r.source_size == size[r.source] and r.target == goal[r.source] and 0 <= r.taken <= 2 * r.size
+        assert r.source_size == size[r.source] and abs(r.target - goal[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - goal[s]) <= 3 for s in size)  # repeated rows share the cut
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert by_id(mixing.mix(docs), "doc_id", "size", "taken") == by_id(mixing.mix(docs.repartition(7), range_rows=5), "doc_id", "size", "taken")
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
@@ -163,11 +180,28 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
-def test_water_filling():
-    goal = mixing.targets([("a", 10), ("b", 1000), (None, 10), ("c", 0)])
+def test_water_filling(spark):
     # weights: a 5, b 2, c 1, null 5; a, null and c stop at twice their size
-    assert goal == {"a": 20.0, None: 20.0, "c": 0.0, "b": 1490.0}
-    assert mixing.targets([]) == {}
+    assert goals(spark, {"a": 10, "b": 1000, None: 10, "c": 0}) == {"a": 20.0, None: 20.0, "c": 0.0, "b": 1490.0}
+    assert goals(spark, {}) == {}
+    rng = random.Random(15)
+    sizes = {f"s{k}": rng.randint(0, 10 ** rng.randint(0, 6)) for k in range(40)} | {None: 5}
+    want = fair_shares(sizes)
+    assert all(abs(x - want[s]) < 1e-6 * max(1, want[s]) for s, x in goals(spark, sizes).items())
+
+
+def test_cut_among_many_equal_keys(spark):
+    """All rows of a source without an id have one key: no digits divide them."""
+    some = [(None, " ".join("w" * (k % 7 + 1))[: 2 * (k % 7) + 1], "a") for k in range(300)] + [(k, "x y z", "b") for k in range(4000)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, source string")
+    out = mixing.mix(docs, range_rows=20).collect()
+    taken = collections.Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    for s in ("a", "b"):
+        target = next(r.target for r in out if r.source == s)
+        assert abs(taken[s] - target) <= 50  # repeated rows at the cut share what is left there
 
 
 def test_sequences(spark, docs, empty):
