@@ -16,6 +16,7 @@ items and repeated item_ids are listed once. Empty tables give empty results or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, whole_row
-from .tokens import _store
+from .tokens import _store, parts_of
 
 WINDOW = 13
 #: Bytes of text in a segment (one longer document is a segment of its own).
@@ -33,6 +34,8 @@ SEGMENT_BYTES = 4 << 20
 PIECE = 256
 #: Bytes of terms up to which they are sent to all tasks; beyond, they are joined.
 SENT_BYTES = 16 << 20
+#: Tasks that look into files at once.
+MOST_TASKS = 1 << 16
 
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes of non-ASCII characters, and blanks everything else.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -42,20 +45,34 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-def _segment(texts: list[list[bytes]]) -> dict:
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary), one after another, and how many each text has. As words_of(), for many texts at once."""
+    import pyarrow.compute as pc
+
+    texts = pa.concat_arrays([pc.fill_null(texts, b"")])
+    _, offsets, data = texts.buffers()
+    plain = pa.py_buffer((data.to_pybytes() if data else b"").translate(WORD_BYTES))  # bytes keep their places
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.utf8(), len(texts), [None, offsets, plain], offset=texts.offset))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return flat.filter(real), upto[edges[1:]] - upto[edges[:-1]]
+
+
+def _segment(texts: pa.Array) -> dict[str, pa.Array]:
     """Positions count through the segment; between documents lies one position without a word."""
-    sizes = [len(t) for t in texts]
-    flat = [w for t in texts for w in t]
-    terms = list(dict.fromkeys(flat))
-    number = {w: i for i, w in enumerate(terms)}
-    term = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
-    position = np.arange(len(flat), dtype=np.int32) + np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    words, sizes = split(texts)
+    words = words.dictionary_encode()
+    term = words.indices.to_numpy()
+    position = np.arange(len(term), dtype=np.int32) + np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    binary = lambda x: pa.array([x.astype(np.int32).tobytes()], pa.binary())
     return {
-        "doc_words": sizes,
-        "doc_starts": np.cumsum([0, *(n + 1 for n in sizes)]).astype(np.int32).tobytes(),
-        "terms": terms,
-        "term_starts": np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(terms))))).astype(np.int32).tobytes(),
-        "positions": position[np.argsort(term, kind="stable")].tobytes(),
+        "doc_words": pa.array([sizes], pa.list_(pa.int64())),
+        "doc_starts": binary(np.concatenate(([0], np.cumsum(sizes + 1)))),
+        "terms": pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.binary())),
+        "term_starts": binary(np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(words.dictionary)))))),
+        "positions": binary(position[np.argsort(term, kind="stable")]),
     }
 
 
@@ -64,25 +81,21 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seg, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-        schema = None
+        part, seg, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "seg": seg, "doc_ids": ids, **_segment(texts)}], schema)
+            ids, texts = (pa.concat_arrays([x.column(k) for x in held]) for k in range(2))
+            found = {"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), **_segment(texts)}
+            return pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
         for batch in batches:
-            schema = schema or pa.schema(
-                [("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("doc_words", pa.list_(pa.int64())), ("doc_starts", pa.binary()), ("terms", pa.list_(pa.binary())), ("term_starts", pa.binary()), ("positions", pa.binary())]
-            )
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = x.as_py() or b""
-                ids.append(i)
-                texts.append(words_of(text))
-                size += len(text)
-                if size >= segment_bytes or len(ids) >= 1 << 16:
+            for a, b in parts_of(batch.column(1), segment_bytes):
+                held.append(batch.slice(a, b - a))
+                size += held[-1].column(1).nbytes
+                if size >= segment_bytes:
                     yield flush()
-                    seg, ids, texts, size = seg + 1, [], [], 0
-        if ids:
+                    seg, held, size = seg + 1, [], 0
+        if held:
             yield flush()
 
     columns = f"part int, seg int, doc_ids array<{kind}>, doc_words array<long>, doc_starts binary, terms array<binary>, term_starts binary, positions binary"
@@ -180,13 +193,21 @@ class Segment:
         self.starts = np.frombuffer(term_starts, np.int32)
         self.positions = np.frombuffer(positions, np.int32)
         self.doc_starts = np.frombuffer(doc_starts, np.int32)
+        self.known: dict[bytes, np.ndarray] = {}
 
-    def lists(self, words: list[bytes]) -> list[np.ndarray]:
-        """The posting lists of words, empty where the segment lacks one."""
+    def learn(self, words: set[bytes]) -> None:
+        """Find the posting lists of words, all at once."""
         import pyarrow.compute as pc
 
-        at = pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=self.terms), -1).to_numpy()
-        return [self.positions[self.starts[t] : self.starts[t + 1]] if t >= 0 else self.positions[:0] for t in at.tolist()]
+        new = [w for w in words if w not in self.known]
+        if new:
+            at = pc.fill_null(pc.index_in(pa.array(new, pa.binary()), value_set=self.terms), -1).to_numpy().tolist()
+            self.known.update((w, self.positions[self.starts[t] : self.starts[t + 1]] if t >= 0 else self.positions[:0]) for w, t in zip(new, at, strict=True))
+
+    def lists(self, words: list[bytes]) -> list[np.ndarray]:
+        """The posting lists of words, empty where the segment lacks one."""
+        self.learn(set(words))
+        return [self.known[w] for w in words]
 
     @staticmethod
     def reach(spots: np.ndarray, lists: list[np.ndarray], step: int) -> np.ndarray:
@@ -194,8 +215,9 @@ class Segment:
         run, alive = np.zeros(len(spots), np.int32), np.arange(len(spots))
         for k, held in enumerate(lists, 1):
             to = spots[alive] + step * k
-            at = np.searchsorted(held, to)
-            alive = alive[np.append(held, -1)[at] == to] if len(held) else alive[:0]
+            if not len(held):
+                break
+            alive = alive[held[np.minimum(np.searchsorted(held, to), len(held) - 1)] == to]
             if not len(alive):
                 break
             run[alive] = k
@@ -279,19 +301,23 @@ def look_up(index: DataFrame, pieces: DataFrame, anchors: DataFrame, find) -> Da
     pairs = term_lists(index, anchors.select("term").distinct()).join(anchors, "term")
     own = pairs.groupBy("file", "part", "seg", "no", "at").agg(F.collect_set("term").alias("anchors")).join(pieces, ["no", "at"])
     kind = pieces.schema["item"].dataType.simpleString()
-    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    todo = own.repartition(wide, "file").sortWithinPartitions("file", "seg").select("file", "part", "seg", "item", "words", "anchors")
+    wide = min(MOST_TASKS, 1 + (index.agg(F.max("part")).first()[0] or 0))  # files are numbered from 0
+    todo = own.repartitionById(wide, F.pmod("part", F.lit(wide))).sortWithinPartitions("part", "seg").select("file", "part", "seg", "item", "words", "anchors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, opened = None, None
         spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
             out: list[tuple] = []
-            for k, (file, part, seg, words, terms) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "part", "seg", "words", "anchors")), strict=True)):
+            rows = enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "part", "seg", "words", "anchors")), strict=True))
+            for (file, part, seg), group in groupby(rows, lambda x: x[1][:3]):
                 if file != name:
                     name, opened = file, IndexFile(folder, file)
-                for doc, spans in find(opened.open(seg), words, terms).items():
-                    out.append((part, seg, doc, k, [{"a": a, "b": b} for a, b in spans]))
+                segment, group = opened.open(seg), list(group)
+                segment.learn({w for _, x in group for w in x[3]})
+                for k, (_, _, _, words, terms) in group:
+                    for doc, spans in find(segment, words, terms).items():
+                        out.append((part, seg, doc, k, [{"a": a, "b": b} for a, b in spans]))
             part, seg, doc, k, spans = zip(*out, strict=True) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), pa.array(seg, pa.int32()), pa.array(doc, pa.int32()), batch.column("item").take(pa.array(k, pa.int64())), pa.array(spans, spans_type)], names=["part", "seg", "ord", "item", "spans"]
