@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions.tables import new_folder
+from ..functions.tables import new_folder, written
 from ..operators import chunks, compaction, drift, history, manifest, sessions, slots, storage, trees
 from ..sources import objects, packfile
 from ..streaming import observer
@@ -235,7 +235,7 @@ def navigation_outcomes(spark, d):
     g, s = graph(spark, d), fx.slots(spark, d)
     w = Window.partitionBy("session_id").orderBy("ord")
     moves = g.select("session_id", F.lag("entry_id", 2).over(w).alias("source_id"), F.expr("case when ord % 11 <> 10 then entry_id end").alias("target_id"), F.expr("case when entry_id % 2 = 0 then 'capture' else 'write-protected' end").alias("source_kind"))
-    return history.navigation(moves, history.ancestry(g), s, history.resolve(g, s))
+    return history.navigation(moves, g, s, history.resolve(g, s))
 
 
 # slots
@@ -277,7 +277,7 @@ def capture_commits(spark, d):
     return slots.commit_captures(asked.join(seen, ["session_id", "entry_id"], "left"), now)
 
 
-LEAF = "select session_id, arg_max(entry_id, ord) as entry_id from graph where session_id % 3 = 0 group by session_id"
+LEAF = "select session_id, arg_max(entry_id, ord) as entry_id from graph group by session_id"
 
 
 @query(
@@ -289,9 +289,8 @@ LEAF = "select session_id, arg_max(entry_id, ord) as entry_id from graph where s
 )
 def barrier_reconcile(spark, d):
     g, s = graph(spark, d), fx.slots(spark, d)
-    leaf = g.filter("session_id % 3 = 0").groupBy("session_id").agg(F.max_by("entry_id", "ord").alias("entry_id"))
-    branch = history.ancestry(g).join(leaf, ["session_id", "entry_id"]).select("session_id", F.col("ancestor_id").alias("entry_id"))
-    return slots.reconcile_barrier(branch, s, history.nearest_checkpoint(g, s))
+    leaf = g.groupBy("session_id").agg(F.max_by("entry_id", "ord").alias("entry_id"))
+    return slots.reconcile_barrier(history.above(g, leaf), s, history.nearest_checkpoint(g, s))
 
 
 STATE = "select user_id as session_id, event_id as entry_id, sha256(cast(event_id as varchar)) as tree_oid from events where event_type in ('purchase', 'click')"
@@ -685,15 +684,37 @@ def record_round_trip(spark, d):
     return objects.decode_whole(objects.encode(docs)).select("kind", "logical_id", F.octet_length("content").cast("long").alias("length"))
 
 
-@query("select distinct sha256(text) as logical_id, strlen(text) as length from documents where text is not null")
-def pack_store_round_trip(spark, d):
-    docs = fx.table(spark, d, "documents").filter("text is not null").select(F.sha2("text", 256).alias("logical_id"), F.col("text").cast("binary").alias("payload")).distinct()
+PACKED = """select logical_id, 'content' as kind, any_value(l) as decoded_length from (select sha256(text) as logical_id, strlen(text) as l from documents where text is not null) group by logical_id"""
+
+
+def stored_packs(spark, d) -> tuple[DataFrame, str]:
+    """Contents of at most one record, packed about 16 MB at a time by a hash of the id; and the folder of the packs."""
+    docs = fx.table(spark, d, "documents").filter("text is not null").select(F.lit("content").alias("kind"), F.col("text").cast("binary").alias("content")).distinct()
+    records = written(objects.encode(docs), "records")
     home = new_folder(spark, "packs")
-    # about 16 MB a batch, by a hash of the id
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]
-    objects.publish_packs(packfile.pack(docs.withColumn("batch", F.pmod(F.xxhash64("logical_id"), F.lit(size // (16 << 20) + 4)))), home)
+    size = records.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]
+    packs = written(packfile.pack(records.withColumn("batch", F.pmod(F.xxhash64("logical_id"), F.lit(size // (16 << 20) + 4)))), "packs")
+    objects.publish_packs(packs, home)
+    return packs, home
+
+
+@query(PACKED)
+def pack_store_round_trip(spark, d):
+    """Packs written, listed by their footers, and each record read from its place and decoded."""
+    _, home = stored_packs(spark, d)
     read = objects.read_records(spark, home, objects.pack_inventory(spark, home))
-    return read.filter(F.sha2("payload", 256) == F.col("logical_id")).select("logical_id", F.octet_length("payload").cast("long").alias("length"))
+    whole = objects.decode_whole(read.drop("pack_id", "ordinal"))
+    return whole.filter("content is not null").select("logical_id", "kind", F.octet_length("content").cast("long").alias("decoded_length"))
+
+
+@query(f"select count(*) as entries, cast(0 as bigint) as differing, cast(sum(decoded_length) as bigint) as bytes from ({PACKED})")
+def midx_file(spark, d):
+    """The index over all packs written as a file, read again, and compared with the footers."""
+    packs, home = stored_packs(spark, d)
+    footers = written(objects.pack_inventory(spark, home), "footers")
+    objects.write_index(footers, packs.select("pack_id", F.octet_length("data").cast("long").alias("bytes")), f"{home}/index")
+    stored, differ = objects.read_index(spark, f"{home}/index", footers)
+    return stored.agg(F.count("*").alias("entries"), F.lit(differ.count()).cast("long").alias("differing"), F.sum("decoded_length").alias("bytes"))
 
 
 @query("select path, oid from saved", "saved")

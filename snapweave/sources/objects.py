@@ -1,7 +1,8 @@
 """Stored records: how contents are encoded, decoded and authenticated, and the folders that hold loose objects, packs and indexes.
 
-A record has kind, logical_id, encoding (raw, zstd, delta1 or chunked-v1), decoded_length and payload. A raw or zstd payload is
-the content. A delta1 payload is a base's id (32 bytes) and instructions; a chunked-v1 payload is the id of a recipe's root.
+A record has kind, logical_id, encoding (raw, zstd-v1, delta1 or chunked-v1), decoded_length and payload. A raw or zstd-v1 payload
+is the content. A delta1 payload names its base as the record so many places before it in its pack, and has instructions; a
+chunked-v1 payload is the id of a recipe's root.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..operators import chunks, planning
 from . import packfile
 from .listing import children, store_of, width
 
-RECORD = "kind string, logical_id string, encoding string, decoded_length long, payload binary"
+RECORD = packfile.RECORD
 KINDS = ("tree-root", "tree-node", "scope", "recipe", "content")
 #: Names of a store's loose objects: a folder by kind, then the first two digits of the id.
 NAMESPACES = ("legacy", "structural", "content", "recipe")
@@ -28,11 +29,11 @@ WHOLE = 256 << 10
 
 def compatible(kind: Column, encoding: Column) -> Column:
     """Whether a kind of record may have an encoding: deltas and chunks are for contents only."""
-    return kind.isin(*KINDS) & (encoding.isin("raw", "zstd") | (kind == "content") & encoding.isin("delta1", "chunked-v1"))
+    return kind.isin(*KINDS) & (encoding.isin("raw", "zstd-v1") | (kind == "content") & encoding.isin("delta1", "chunked-v1"))
 
 
 def pack_class(kind: Column) -> Column:
-    return F.when(kind == "content", "data").when(kind.isin(*KINDS), "meta")
+    return F.when(kind == "content", "data").when(kind.isin(*KINDS), "metadata")
 
 
 def representation(length: Column, n_chunks: Column) -> Column:
@@ -57,7 +58,7 @@ def encode(contents: DataFrame) -> DataFrame:
                     raise ValueError("a content of this size must be chunked")
                 small = packer.compress(x) if len(x) > 64 else x
                 useful = len(x) - len(small) >= max(64, -(-len(x) * 5 // 100))
-                rows.append((kind, hashlib.sha256(x).hexdigest(), "zstd" if useful else "raw", len(x), small if useful else x))
+                rows.append((kind, hashlib.sha256(x).hexdigest(), "zstd-v1" if useful else "raw", len(x), small if useful else x))
             yield _records(rows)
 
     return contents.select("kind", "content").mapInArrow(run, RECORD)
@@ -68,35 +69,35 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "logical_id", "encoding", "decoded_length", "payload"])
 
 
-def write_delta(base_id: str, steps: list[tuple]) -> bytes:
-    """The payload of a delta: the base, the number of steps, and each step (0 copy: offset, length; 1 add: length, bytes)."""
-    out = bytearray(bytes.fromhex(base_id) + chunks.varint(len(steps)))
+def write_delta(back: int, steps: list[tuple]) -> bytes:
+    """The payload of a delta: a version, how many records before it the base stands, the number of steps, and each step (0 copy:
+    offset, length; 1 add: length, bytes)."""
+    out = bytearray(b"\1" + chunks.varint(back) + chunks.varint(len(steps)))
     for s in steps:
         out += b"\1" + chunks.varint(len(s[1])) + s[1] if s[0] == "add" else b"\0" + chunks.varint(s[1]) + chunks.varint(s[2])
     return bytes(out)
 
 
-def read_delta(payload: bytes) -> tuple[str, list[tuple]]:
-    n, at = chunks.read_varint(payload, 32)
+def read_delta(payload: bytes) -> tuple[int, list[tuple]]:
+    read = packfile.Reader(payload)
+    read.expect(b"\1")
+    back, n = read.number(), read.number()
     steps: list[tuple] = []
     for _ in range(n):
-        code, at = payload[at], at + 1
-        a, at = chunks.read_varint(payload, at)
-        if code == 1:
-            steps.append(("add", payload[at : at + a]))
-            at += a
-        elif code == 0:
-            b, at = chunks.read_varint(payload, at)
-            steps.append(("copy", a, b))
+        code = read.take(1)
+        if code == b"\1":
+            steps.append(("add", read.take(read.number())))
+        elif code == b"\0":
+            steps.append(("copy", read.number(), read.number()))
         else:
             raise ValueError("no such instruction")
-    if at != len(payload):
-        raise ValueError("trailing bytes")
-    return payload[:32].hex(), steps
+    read.end()
+    return back, steps
 
 
 def delta_records(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """Delta records of pairs (target_id, base_id, target, base) that are small enough against the record of the whole target.
+    """Delta records (with base_id) of pairs (target_id, base_id, target, base) that are small enough against the record of the whole
+    target. In a pack a base comes right before its delta; planners that place it elsewhere write the distance anew.
 
     full: the record rows of the targets; a delta's saving is measured against their payload, not against the bare content.
     """
@@ -107,16 +108,17 @@ def delta_records(pairs: DataFrame, full: DataFrame) -> DataFrame:
             rows = []
             for target_id, base_id, target, base, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 steps = chunks.simple_delta(base, target)
-                payload = write_delta(base_id, steps) if steps else b""
+                payload = write_delta(1, steps) if steps else b""
                 if steps and size - len(payload) >= 128 and (size - len(payload)) * 100 >= size * 35:
-                    rows.append(("content", target_id, "delta1", len(target), payload))
-            yield _records(rows)
+                    rows.append(("content", target_id, "delta1", len(target), payload, base_id))
+            plain = _records([r[:5] for r in rows])
+            yield pa.RecordBatch.from_arrays([*plain.columns, pa.array([r[5] for r in rows], pa.string())], names=[*plain.schema.names, "base_id"])
 
-    return pairs.join(sizes, "target_id").select("target_id", "base_id", "target", "base", "full").mapInArrow(run, RECORD)
+    return pairs.join(sizes, "target_id").select("target_id", "base_id", "target", "base", "full").mapInArrow(run, f"{RECORD}, base_id string")
 
 
 def decode_whole(records: DataFrame) -> DataFrame:
-    """kind, logical_id, content of raw and zstd records. content is null where the payload is damaged, or its length or digest is
+    """kind, logical_id, content of raw and zstd-v1 records. content is null where the payload is damaged, or its length or digest is
     not the record's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +135,13 @@ def decode_whole(records: DataFrame) -> DataFrame:
                 out.append(data if data is not None and len(data) == n else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["kind", "logical_id", "data"])
 
-    some = records.filter(F.col("encoding").isin("raw", "zstd")).select("kind", "logical_id", "encoding", "decoded_length", "payload")
+    some = records.filter(F.col("encoding").isin("raw", "zstd-v1")).select("kind", "logical_id", "encoding", "decoded_length", "payload")
     data = some.mapInArrow(run, "kind string, logical_id string, data binary")
     return data.select("kind", "logical_id", F.when(F.sha2("data", 256) == F.col("logical_id"), F.col("data")).alias("content"))
 
 
 def decode(records: DataFrame, recipe_edges: DataFrame) -> DataFrame:
-    """kind, logical_id, content of every record; null where it can't be had intact.
+    """kind, logical_id, content of every record (RECORD, base_id: of deltas); null where it can't be had intact.
 
     Deltas join the decoded base (a base is never a delta). Chunked contents flatten their recipe (recipe_edges: parent_id, ord,
     child_id, kind) and join the chunks, which are contents as well; a content's chunks meet in one group, of its own size.
@@ -158,7 +160,7 @@ def decode(records: DataFrame, recipe_edges: DataFrame) -> DataFrame:
                 out.append(data if data is not None and len(data) == n else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["kind", "logical_id", "content"])
 
-    asked = records.filter("encoding = 'delta1'").withColumn("base_id", F.lower(F.hex(F.substring("payload", 1, 32))))
+    asked = records.filter("encoding = 'delta1'")
     joined = asked.join(contents, "base_id", "left").select("kind", "logical_id", "payload", "base", "decoded_length")
     made = joined.mapInArrow(run, "kind string, logical_id string, content binary")
     chunked = records.filter("encoding = 'chunked-v1'").select(F.col("logical_id").alias("content_id"), F.lower(F.hex("payload")).alias("node_id"), "decoded_length")
@@ -239,7 +241,7 @@ def publish_packs(packs: DataFrame, folder: str) -> list[tuple[str, str]]:
 
 
 def pack_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """pack_id, logical_id, offset, length of all packs in folder (a URI), of which the head and the footer alone are read."""
+    """The entries (packfile.ENTRY) of all packs in folder (a URI), of which the head, the footer and the trailer alone are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pack").load(folder)
     named = files.select(F.regexp_extract("path", r"([^/]+)\.pack$", 1).alias("pack_id"))
 
@@ -249,40 +251,72 @@ def pack_inventory(spark: SparkSession, folder: str) -> DataFrame:
             rows = []
             for name in batch.column(0).to_pylist():
                 with store.open_input_file(f"{path}/{name}.pack") as f:
-                    rows += [(name, *r) for r in packfile.footer_of(f)]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["pack_id", "logical_id", "offset", "length"])
+                    own, kind, entries = packfile.footer_of(f)
+                if own != name:
+                    raise ValueError("a pack has the name of another")
+                rows += [packfile.entry_row(name, kind, e) for e in entries]
+            yield packfile.entry_batch(rows)
 
-    return named.mapInArrow(run, "pack_id string, logical_id string, offset long, length long")
+    return named.mapInArrow(run, packfile.ENTRY)
 
 
 def read_records(spark: SparkSession, folder: str, places: DataFrame) -> DataFrame:
-    """places (pack_id, logical_id, offset, length) with payload, each read from its place alone."""
+    """pack_id, ordinal and the record at places (packfile.ENTRY), each read from its place alone; a pack is opened once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = store_of(folder)
+        name, file = None, None
         for batch in batches:
-            out = []
-            for name, _, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with store.open_input_file(f"{path}/{name}.pack") as f:
-                    f.seek(offset)
-                    frame = f.read(length)
-                n, start = chunks.read_varint(frame)
-                if start + n != length:
-                    raise ValueError("a frame's length is wrong")
-                out.append(frame[start:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "payload"])
+            rows, packs, ordinals = [], [], []
+            for r in batch.to_pylist():
+                if r["pack_id"] != name:
+                    if file is not None:
+                        file.close()
+                    name, file = r["pack_id"], store.open_input_file(f"{path}/{r['pack_id']}.pack")
+                entry = packfile.Entry(r["logical_id"], packfile.KINDS[r["kind"]], packfile.ENCODINGS[r["encoding"]], r["ordinal"], r["decoded_length"], r["offset"], r["length"])
+                rows.append(packfile.record_at(file.read_at(r["length"], r["offset"]), entry))
+                packs.append(name)
+                ordinals.append(r["ordinal"])
+            plain = _records(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(packs, pa.string()), pa.array(ordinals, pa.int32()), *plain.columns], names=["pack_id", "ordinal", *plain.schema.names])
 
-    return places.select("pack_id", "logical_id", "offset", "length").repartition("pack_id").sortWithinPartitions("pack_id", "offset").mapInArrow(run, "pack_id string, logical_id string, offset long, length long, payload binary")
+    return places.repartition("pack_id").sortWithinPartitions("pack_id", "offset").mapInArrow(run, f"pack_id string, ordinal int, {RECORD}")
 
 
-def write_index(entries: DataFrame, path: str) -> None:
-    """Publish the index of pack entries (pack_id, logical_id, offset, length): a table in order of id, replaced as a whole."""
-    entries.select("logical_id", "pack_id", "offset", "length").repartitionByRange("logical_id").sortWithinPartitions("logical_id", "pack_id", "offset").write.mode("overwrite").parquet(path)
+def with_bases(records: DataFrame) -> DataFrame:
+    """records (pack_id, ordinal, RECORD) with base_id: of a delta, the id of the record so many places before it in its pack."""
 
-
-def read_index(spark: SparkSession, path: str, footers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A stored index, and how it differs from the footers (planning.index_differences()); it is current if that is empty."""
-    columns = ["logical_id", "pack_id", "offset", "length"]
-    stored = spark.read.parquet(path).select(*columns)
-    return stored, planning.index_differences(stored, footers.select(*columns))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back = [packfile.Reader(p, 1).number() for p in batch.column("payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(back, pa.int32())], names=["pack_id", "ordinal", "logical_id", "back"])
+
+    deltas = records.filter("encoding = 'delta1'").select("pack_id", "ordinal", "logical_id", "payload").mapInArrow(run, "pack_id string, ordinal int, logical_id string, back int")
+    asked = records.select("pack_id", "ordinal", "logical_id").join(deltas.select("pack_id", "ordinal", "back"), ["pack_id", "ordinal"], "left")
+    return records.join(planning.delta_chain(asked), ["pack_id", "logical_id"], "left")
+
+
+def write_index(entries: DataFrame, sizes: DataFrame, uri: str) -> None:
+    """Publish the index of pack entries (packfile.ENTRY) and sizes (pack_id, bytes) as a file; it gets its name once it is whole."""
+    store, path = store_of(uri)
+    folder = path.rsplit("/", 1)[0]
+    store.create_dir(folder, recursive=True)
+    own = f"{folder}/.index-{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as out:
+        out.write(packfile.index_of(entries, sizes))
+    store.move(own, path)
+
+
+def read_index(spark: SparkSession, uri: str, footers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored index as entries (packfile.ENTRY), and how it differs from the footers (planning.index_differences()); it is current if
+    that is empty."""
+    store, path = store_of(uri)
+    with store.open_input_file(path) as f:
+        packs, entries = packfile.decode_index(f.read())
+    rows = [packfile.entry_row(*packs[e.pack][:2], e) for e in entries]
+    stored = spark.createDataFrame(entry_table(rows))
+    return stored, planning.index_differences(stored, footers.select(*stored.columns))
+
+
+def entry_table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([packfile.entry_batch(rows)])

@@ -233,22 +233,67 @@ def test_maps_depend_on_their_entries_alone(spark):
     assert [(r[0], r[1], r[3]) for r in made] == [("l", 0, 1)] * 5 + [("l", 1, 2), ("l", 1, 2), ("l", 1, 1), ("l", 2, 2), ("l", 2, 1), ("l", 3, 2), ("one", 0, 1)]
 
 
+def record(content, kind="content", encoding="raw", name=None, length=None):
+    return packfile.Record(kind, name or hashlib.sha256(content).hexdigest(), encoding, len(content) if length is None else length, content)
+
+
+def test_record_bytes():
+    r = record(b"abc")
+    data = packfile.encode_record(r)
+    assert data == b"CYRC\x01\x01\x00\x00" + hashlib.sha256(b"abc").digest() + b"\x03\x03abc" and packfile.decode_record(data) == r
+    for broken in (data[:-1], data + b"\0", b"X" + data[1:], data[:4] + b"\2" + data[5:], data[:5] + b"\x09" + data[6:], data[:6] + b"\x03" + data[7:-5] + b"\x83\0" + data[-4:]):
+        with pytest.raises(ValueError):
+            packfile.decode_record(broken)
+    for bad in (record(b"a", "scope", "delta1"), record(b"a", length=2), record(b"a", "recipe", "chunked-v1")):
+        with pytest.raises(ValueError):
+            packfile.encode_record(bad)
+
+
 def test_pack_files(spark, tmp_path):
-    records = [(oid(str(i)), lcg(50 * i, i)) for i in range(5)]
-    data = packfile.encode(records)
-    assert packfile.decode(data) == sorted(records) and packfile.encode(records[::-1]) == data
-    for broken in (data[:-1], data[:20] + b"x" + data[21:], b""):
+    records = [record(lcg(50 * i, i)) for i in range(5)]
+    name, data = packfile.encode(records)
+    assert data.startswith(b"CYPACK01\x01\x01\x00\x05") and data.endswith(b"CYPTRL01") and data[-40:-8].hex() == name == hashlib.sha256(data[:-40]).hexdigest()
+    assert packfile.decode(data) == (name, "data", records)
+    own, kind, entries = packfile.footer(data)
+    assert (own, kind) == (name, "data") and entries == sorted(entries) and packfile.packed_length(records) == len(data)
+    assert [e.ordinal for e in sorted(entries, key=lambda e: e.offset)] == list(range(5)) and min(e.offset for e in entries) == 12
+    for broken in (data[:-1], data[:20] + b"x" + data[21:], b"", data + b"x", data[:-41] + b"x" + data[-40:]):
         with pytest.raises((ValueError, IndexError)):
             packfile.decode(broken)
-    with pytest.raises(ValueError):
-        packfile.encode(records + records[:1])
-    df = spark.createDataFrame([(1, *r) for r in records], "batch int, logical_id string, payload binary")
-    bound = spark.range(1).select(compaction.pack_bytes_bound(F.lit(5).cast("long"), F.lit(sum(len(p) for _, p in records)).cast("long"))).first()[0]
+    for wrong in (records + records[:1], [], [records[0], record(b"s", "scope")], [record(b"x")._replace(decoded_length=2)]):
+        with pytest.raises(ValueError):
+            packfile.encode(wrong)
+    df = spark.createDataFrame([(1, *r) for r in records], f"batch int, {packfile.RECORD}")
+    bodies = sum(len(packfile.encode_record(r)) for r in records)
+    bound = spark.range(1).select(compaction.pack_bytes_bound(F.lit(5).cast("long"), F.lit(bodies).cast("long"))).first()[0]
     assert len(data) <= bound <= 2 * len(data) + 2000
     made = packfile.pack(df).first()
-    assert bytes(made.data) == data
+    assert packfile.decode(bytes(made.data))[2] == sorted(records, key=lambda r: r.logical_id) and made["class"] == "data"
     (tmp_path / "x.pack").write_bytes(data)
-    assert rows(packfile.read(spark, str(tmp_path)).select("logical_id", F.length("payload"))) == sorted((k, len(p)) for k, p in records)
+    assert rows(packfile.read(spark, str(tmp_path)).select("logical_id", F.length("payload"))) == sorted((r.logical_id, len(r.payload)) for r in records)
+
+
+def test_multi_pack_index():
+    packs = []
+    for k in range(4):
+        records = [record(lcg(20 + i, 10 * k + i), "content" if k % 2 else "scope") for i in range(k + 1)] + ([record(b"shared")] if k % 2 else [])
+        name, data = packfile.encode(records)
+        packs.append((name, packfile.class_of(records[0].kind), len(data), packfile.footer(data)[2]))
+    data = packfile.encode_index(packs)
+    assert data == packfile.encode_index(packs[::-1]) and data.startswith(b"CYMIDX01\x01\x00\x04\x0c") and data.endswith(b"CYMTRL01")
+    listed, entries = packfile.decode_index(data)
+    assert listed == sorted(p[:3] for p in packs) and entries == sorted(entries)
+    fan = packfile.fan_out(e.logical_id for e in entries)
+    for e in entries:
+        found = packfile.look_up(entries, fan, e.logical_id, packfile.KIND_NAMES[e.kind])
+        assert found == [x for x in entries if x[:2] == e[:2]]
+    shared = hashlib.sha256(b"shared").hexdigest()
+    assert len(packfile.look_up(entries, fan, shared, "content")) == 2 and packfile.look_up(entries, fan, shared, "scope") == [] and packfile.look_up(entries, fan, oid("no"), "content") == []
+    for broken in (data[:-1], data[:30] + b"x" + data[31:], b""):
+        with pytest.raises(ValueError):
+            packfile.decode_index(broken)
+    with pytest.raises(ValueError):
+        packfile.encode_index(packs + packs[:1])
 
 
 def test_scan(spark, tmp_path):
@@ -545,22 +590,24 @@ def test_records(spark):
     made = objects.encode(df([("content", base), ("content", noise), ("content", target), ("scope", b""), ("content", None)], "kind string, content binary"))
     told = {r.logical_id: (r.encoding, r.decoded_length) for r in made.collect()}
     name = lambda b: hashlib.sha256(b).hexdigest()
-    assert told == {name(base): ("zstd", len(base)), name(noise): ("raw", 5000), name(target): ("raw", 5000), name(b""): ("raw", 0)}
+    assert told == {name(base): ("zstd-v1", len(base)), name(noise): ("raw", 5000), name(target): ("raw", 5000), name(b""): ("raw", 0)}
     with pytest.raises(Exception, match="must be chunked"):
         objects.encode(df([("content", b"x" * (objects.WHOLE + 1))], "kind string, content binary")).collect()
     delta = objects.delta_records(df([(name(target), name(noise), target, noise), (name(base), name(noise), base, noise)], "target_id string, base_id string, target binary, base binary"), made)
     assert [(r.logical_id, r.encoding) for r in delta.collect()] == [(name(target), "delta1")]
     steps = [("copy", 3, 300), ("add", b"xyz"), ("copy", 0, 1)]
-    assert objects.read_delta(objects.write_delta(name(base), steps)) == (name(base), steps)
-    with pytest.raises(ValueError):
-        objects.read_delta(objects.write_delta(name(base), steps) + b"\0")
+    assert objects.read_delta(objects.write_delta(2, steps)) == (2, steps)
+    assert objects.write_delta(2, [("copy", 1, 3), ("add", b"!")]) == b"\1\2\2\0\1\3\1\1!"
+    for broken in (objects.write_delta(2, steps) + b"\0", objects.write_delta(2, steps)[:-1], b"\1\2\1\7", b""):
+        with pytest.raises(ValueError):
+            objects.read_delta(broken)
     root = oid("root")
     long_ = noise + base
     edges = df([(root, 0, name(noise), "chunk"), (root, 1, name(base), "chunk")], "parent_id string, ord long, child_id string, kind string")
     chunked = df([("content", name(long_), "chunked-v1", len(long_), bytes.fromhex(root))], objects.RECORD)
-    bad = df([("content", oid("?"), "raw", 3, b"abc"), ("content", name(b"abcd"), "raw", 3, b"abcd"), ("content", name(b"z" * 99), "zstd", 99, b"junk")], objects.RECORD)
+    bad = df([("content", oid("?"), "raw", 3, b"abc"), ("content", name(b"abcd"), "raw", 3, b"abcd"), ("content", name(b"z" * 99), "zstd-v1", 99, b"junk")], objects.RECORD)
     full = made.filter(F.col("logical_id") != name(target))
-    got = {r.logical_id: r.content and bytes(r.content) for r in objects.decode(full.unionByName(delta).unionByName(chunked).unionByName(bad), edges).collect()}
+    got = {r.logical_id: r.content and bytes(r.content) for r in objects.decode(full.unionByName(chunked).unionByName(bad).unionByName(delta, allowMissingColumns=True), edges).collect()}
     assert got == {name(base): base, name(noise): noise, name(target): target, name(long_): long_, name(b""): b"", oid("?"): None, name(b"abcd"): None, name(b"z" * 99): None}
     pairs = [(k, e) for k in ("content", "scope", "other") for e in ("raw", "delta1", "chunked-v1", "lzma")]
     fits = df(pairs, "k string, e string").filter(objects.compatible(F.col("k"), F.col("e")))
@@ -575,20 +622,31 @@ def test_store_folders(spark, tmp_path):
     from snapweave.sources import objects
 
     home = f"file://{tmp_path}/packs"
-    records = [(k // 3, oid(str(k)), lcg(40 * k + 1, k)) for k in range(7)]
-    packs = packfile.pack(spark.createDataFrame(records, "batch int, logical_id string, payload binary"))
+    contents = [lcg(40 * k + 1, k) for k in range(7)]
+    ids = [hashlib.sha256(c).hexdigest() for c in contents]
+    records = [(k // 3, *record(c)) for k, c in enumerate(contents)]
+    packs = packfile.pack(spark.createDataFrame(records, f"batch int, {packfile.RECORD}")).cache()
     assert [s for _, s in objects.publish_packs(packs, home)] == ["published"] * 3
     assert [s for _, s in objects.publish_packs(packs, home)] == ["existing"] * 3
     listed = objects.pack_inventory(spark, home)
     read = objects.read_records(spark, home, listed)
-    assert {r.logical_id: bytes(r.payload) for r in read.collect()} == {k: p for _, k, p in records}
-    objects.write_index(listed, f"{tmp_path}/index")
-    stored, differ = objects.read_index(spark, f"{tmp_path}/index", listed)
-    assert differ.isEmpty() and rows(stored.select("logical_id")) == sorted((r[1],) for r in records)
-    assert objects.read_index(spark, f"{tmp_path}/index", listed.filter(F.col("logical_id") != oid("0")))[1].count() == 1
-    moved = stored.withColumn("offset", F.expr(f"offset + cast(logical_id = '{oid('1')}' as long)"))
-    found = {r.logical_id: (r.hinted, r.offset is not None) for r in objects.locate(spark.createDataFrame([(oid("0"),), (oid("1"),), (oid("no"),)], "logical_id string"), moved, listed).collect()}
-    assert found == {oid("0"): (True, True), oid("1"): (False, True), oid("no"): (False, False)}
+    assert {r.logical_id: bytes(r.payload) for r in read.collect()} == dict(zip(ids, contents, strict=True))
+    sizes = packs.select("pack_id", F.octet_length("data").cast("long").alias("bytes"))
+    objects.write_index(listed, sizes, f"{home}/index")
+    stored, differ = objects.read_index(spark, f"{home}/index", listed)
+    assert differ.isEmpty() and rows(stored.select("logical_id")) == sorted((i,) for i in ids)
+    assert objects.read_index(spark, f"{home}/index", listed.filter(F.col("logical_id") != ids[0]))[1].count() == 1
+    target = contents[6][:100] + b"!" + contents[6][101:]
+    steps = objects.write_delta(1, [("copy", 0, 100), ("add", b"!"), ("copy", 101, len(target) - 101)])
+    (tmp_path / "d").mkdir()
+    pack_name, data = packfile.encode([record(contents[6]), packfile.Record("content", hashlib.sha256(target).hexdigest(), "delta1", len(target), steps)])
+    (tmp_path / "d" / f"{pack_name}.pack").write_bytes(data)
+    both = objects.with_bases(objects.read_records(spark, f"file://{tmp_path}/d", objects.pack_inventory(spark, f"file://{tmp_path}/d")))
+    none = spark.createDataFrame([], "parent_id string, ord long, child_id string, kind string")
+    assert {r.logical_id: bytes(r.content) for r in objects.decode(both.drop("pack_id", "ordinal"), none).collect()} == {ids[6]: contents[6], hashlib.sha256(target).hexdigest(): target}
+    moved = stored.withColumn("offset", F.expr(f"offset + cast(logical_id = '{ids[1]}' as long)"))
+    found = {r.logical_id: (r.hinted, r.offset is not None) for r in objects.locate(spark.createDataFrame([(ids[0],), (ids[1],), (oid("no"),)], "logical_id string"), moved, listed).collect()}
+    assert found == {ids[0]: (True, True), ids[1]: (False, True), oid("no"): (False, False)}
     store = tmp_path / "store"
     for space in objects.NAMESPACES:
         (store / space / "ab").mkdir(parents=True)
