@@ -1,12 +1,12 @@
-"""Content kernels: content-defined chunks, recipes over them, payload encodings, simple deltas, and history-independent maps.
+"""Content kernels: content-defined chunks, recipes over them, payload encodings, and simple deltas.
 
-These need the bytes or sequential state, so they run over Arrow batches or, for maps, one level of one tree at a time.
+These need the bytes or sequential state, so they run over Arrow batches. Contents are cut as streams: at most one chunk of the largest
+size is held besides the piece that comes in.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 #: Fixed values of the chunking profile.
 MINIMUM, AVERAGE, MAXIMUM = 16 << 10, 64 << 10, 256 << 10
 MASK_BEFORE, MASK_AFTER = 0x3FFFF, 0x3FFF
@@ -22,8 +24,12 @@ GEAR_SEED = 0x243F6A88
 LEAF_FANOUT, BRANCH_FANOUT = 768, 480
 #: Simple deltas are for contents of this size at most.
 DELTA_MAXIMUM = 256 << 10
-#: Fixed values of map nodes: payload estimates in bytes, and what a path costs besides its own bytes.
-NODE_MINIMUM, NODE_TARGET, NODE_MAXIMUM, KEY_OVERHEAD = 8 << 10, 16 << 10, 32 << 10, 192
+#: Fixed values of recipe objects: marks, the format's version, the chunking profile, and codes of nodes and references.
+ROOT_MARK, NODE_MARK, RECIPE_VERSION, PROFILE = b"CYRR", b"CYRN", 1, 1
+LEAF, BRANCH, TO_CHUNK, TO_NODE = 1, 2, 1, 2
+RECIPE_MAXIMUM, RECIPE_DEPTH = 32 << 10, 8
+#: Ids of recipe objects are digests of a tag and the bytes; the tag begins with the name of the product that wrote the store.
+NAMESPACE = "snapweave"
 
 
 def gear_table() -> np.ndarray:
@@ -37,42 +43,63 @@ def gear_table() -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def boundaries(data: bytes) -> list[int]:
-    """Lengths of the chunks of data.
+def first_cut(data: np.ndarray, gear: np.ndarray) -> int:
+    """Where the first chunk of data (bytes, up to the largest chunk's) ends, if no more than these follow or they are that many.
 
-    The rolling sum doubles with each byte, so after 32 bytes a byte's part has left the 32-bit word: the value at a position
-    is the sum of the last 32 shifted table values. That makes one array of all values, and a cut the first position after the
-    minimum, counting only bytes hashed since there, whose masked value is zero.
+    The rolling sum begins at the minimum and doubles with each byte, so after 32 bytes a byte's part has left the 32-bit word: the
+    value at a position is the sum of the last 32 shifted table values. The masks change at the average.
     """
-    size = len(data)
-    gear = gear_table()[np.frombuffer(data, np.uint8)]
-    rolling = np.zeros(size, np.uint32)
-    for k in range(min(32, size)):
-        rolling[k:] += gear[: size - k] << np.uint32(k)
-    before, after = np.flatnonzero(rolling & MASK_BEFORE == 0), np.flatnonzero(rolling & MASK_AFTER == 0)
-    out, start = [], 0
-    while start < size:
-        end = _cut(gear, rolling, before, after, start, size)
-        out.append(end - start)
-        start = end
-    return out
+    if len(data) <= MINIMUM:
+        return len(data)
+    for low, high, mask in ((MINIMUM, min(AVERAGE, len(data)), MASK_BEFORE), (AVERAGE, min(MAXIMUM, len(data)), MASK_AFTER)):
+        if low < high:
+            begin = max(MINIMUM, low - 31)
+            shifted = gear[data[begin:high]]
+            rolling = np.zeros(len(shifted), np.uint32)
+            for k in range(min(32, len(shifted))):
+                rolling[k:] += shifted[: len(shifted) - k] << np.uint32(k)
+            hits = np.flatnonzero(rolling[low - begin :] & np.uint32(mask) == 0)
+            if len(hits):
+                return low + int(hits[0])
+    return min(MAXIMUM, len(data))
+
+
+class Chunker:
+    """Cuts a content that comes in pieces of any size: push() and finish() give the chunks' bytes as soon as their end is known.
+
+    Chunks are the same however the content is split.
+    """
+
+    def __init__(self):
+        self.held, self.gear = bytearray(), gear_table()
+
+    def push(self, piece: bytes) -> Iterator[bytes]:
+        for at in range(0, len(piece), MAXIMUM):
+            self.held += piece[at : at + MAXIMUM]
+            while len(self.held) >= MAXIMUM:
+                yield self._take()
+
+    def finish(self) -> Iterator[bytes]:
+        while self.held:
+            yield self._take()
+
+    def _take(self) -> bytes:
+        end = first_cut(np.frombuffer(bytes(self.held[:MAXIMUM]), np.uint8), self.gear)
+        out = bytes(self.held[:end])
+        del self.held[:end]
+        return out
 
 
-def _cut(gear: np.ndarray, rolling: np.ndarray, before: np.ndarray, after: np.ndarray, start: int, size: int) -> int:
-    if size - start <= MINIMUM:
-        return size
-    first, normal, end = start + MINIMUM, min(start + AVERAGE, size), min(start + MAXIMUM, size)
-    # until 32 bytes are hashed, the value lacks what the full array has from before
-    value, warm = 0, min(first + 32, end)
-    for i in range(first, warm):
-        value = (value << 1) + int(gear[i]) & 0xFFFFFFFF
-        if not value & (MASK_BEFORE if i < normal else MASK_AFTER):
-            return i
-    for hits, low, high in ((before, warm, normal), (after, max(warm, normal), end)):
-        k = np.searchsorted(hits, low)
-        if k < len(hits) and hits[k] < high:
-            return int(hits[k])
-    return end
+def pieces(data: bytes) -> Iterator[bytes]:
+    """The chunks of a whole content."""
+    chunker = Chunker()
+    yield from chunker.push(data)
+    yield from chunker.finish()
+
+
+def boundaries(data: bytes) -> list[int]:
+    """Lengths of the chunks of data."""
+    return [len(c) for c in pieces(data)]
 
 
 def chunk(contents: DataFrame) -> DataFrame:
@@ -82,10 +109,10 @@ def chunk(contents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, at = value.as_py() or b"", 0
-                for k, n in enumerate(boundaries(data)):
-                    rows.append((key, k, at, n, hashlib.sha256(data[at : at + n]).hexdigest()))
-                    at += n
+                at = 0
+                for k, c in enumerate(pieces(value.as_py() or b"")):
+                    rows.append((key, k, at, len(c), hashlib.sha256(c).hexdigest()))
+                    at += len(c)
             names = ["content_id", "ord", "offset", "length", "chunk_id"]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=names)
@@ -110,6 +137,145 @@ def recipe_levels(chunks: DataFrame) -> DataFrame:
     return out
 
 
+def recipe_id(data: bytes, namespace: str = NAMESPACE) -> str:
+    return hashlib.sha256(f"{namespace}.recipe.v1\0".encode() + data).hexdigest()
+
+
+def _reference(node: tuple) -> bytes:
+    """node: id, decoded length, depth, nodes, chunks."""
+    return bytes([TO_NODE]) + bytes.fromhex(node[0]) + b"".join(map(varint, node[1:]))
+
+
+def encode_leaf(chunks: list[tuple[str, int]]) -> bytes:
+    """A recipe node over chunks (id, length)."""
+    if not 0 < len(chunks) <= LEAF_FANOUT or any(not 0 < n <= MAXIMUM for _, n in chunks):
+        raise ValueError("a leaf has 1 to 768 chunks")
+    head = NODE_MARK + bytes([RECIPE_VERSION, LEAF]) + varint(sum(n for _, n in chunks)) + varint(len(chunks))
+    return head + b"".join(bytes([TO_CHUNK]) + bytes.fromhex(c) + varint(n) for c, n in chunks)
+
+
+def encode_branch(nodes: list[tuple]) -> bytes:
+    """A recipe node over nodes (id, decoded length, depth, nodes, chunks)."""
+    if not 0 < len(nodes) <= BRANCH_FANOUT or len({n[2] for n in nodes}) != 1:
+        raise ValueError("a branch has 1 to 480 nodes of one depth")
+    return NODE_MARK + bytes([RECIPE_VERSION, BRANCH]) + varint(sum(n[1] for n in nodes)) + varint(len(nodes)) + b"".join(map(_reference, nodes))
+
+
+def encode_root(content_id: str, child: tuple) -> bytes:
+    if child[1] <= AVERAGE or child[4] < 2 or child[2] + 1 > RECIPE_DEPTH:
+        raise ValueError("chunked contents exceed 64 KiB, have two chunks at least, and a bounded depth")
+    return ROOT_MARK + bytes([RECIPE_VERSION, PROFILE]) + bytes.fromhex(content_id) + varint(child[1]) + _reference(child)
+
+
+def decode_recipe(data: bytes) -> tuple[str, str | None, int, list[tuple]]:
+    """Kind (leaf, branch or root), content id (of a root), decoded length and references of a recipe object; canonical bytes only."""
+    if len(data) > RECIPE_MAXIMUM or len(data) < 7:
+        raise ValueError("not a recipe object")
+    mark, code, at, content = data[:4], data[5], 6, None
+    if data[4] != RECIPE_VERSION or (mark, code) not in ((ROOT_MARK, PROFILE), (NODE_MARK, LEAF), (NODE_MARK, BRANCH)):
+        raise ValueError("not a recipe object")
+    kind = "root" if mark == ROOT_MARK else "leaf" if code == LEAF else "branch"
+    try:
+        if kind == "root":
+            content, at = data[at : at + 32].hex(), at + 32
+        length, at = read_varint(data, at)
+        n, at = (1, at) if kind == "root" else read_varint(data, at)
+        out: list[tuple] = []
+        for _ in range(n):
+            if data[at] != (TO_CHUNK if kind == "leaf" else TO_NODE):
+                raise ValueError("no such reference")
+            ref, at = [data[at + 1 : at + 33].hex()], at + 33
+            for _ in range(1 if kind == "leaf" else 4):
+                x, at = read_varint(data, at)
+                ref.append(x)
+            out.append(tuple(ref))
+    except IndexError:
+        raise ValueError("cut short") from None
+    again = encode_root(content, out[0]) if kind == "root" else encode_leaf(out) if kind == "leaf" else encode_branch(out)
+    if at != len(data) or again != data or length != sum(r[1] for r in out):
+        raise ValueError("not canonical")
+    return kind, content, length, out
+
+
+RECIPE_NODE = "content_id string, level int, node long, recipe_id string, decoded_length long, depth int, nodes long, chunks long, document binary"
+
+
+def _recipe_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in RECIPE_NODE.split(", ")])
+
+
+def recipe_objects(chunks: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """The recipe objects (RECIPE_NODE; level -1 is the root) of contents (content_id, ord, length, chunk_id) above 64 KiB that have two
+    chunks at least.
+
+    Leaves are groups of 768 chunks by division of ord, branches of 480 nodes; every group is bounded by these. Levels shrink fast.
+    """
+    sums = chunks.groupBy("content_id").agg(F.sum("length").alias("sum"), F.count("*").alias("n")).filter((F.col("sum") > AVERAGE) & (F.col("n") > 1))
+    own = chunks.join(sums.select("content_id"), "content_id", "left_semi")
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content, node, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = encode_leaf([(r["chunk_id"], r["length"]) for r in x])
+                rows.append((content, 0, node, recipe_id(data, namespace), sum(r["length"] for r in x), 1, 1, len(x), data))
+            yield _recipe_rows(rows)
+
+    def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content, level, node, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                below = [(r["recipe_id"], r["decoded_length"], r["depth"], r["nodes"], r["chunks"]) for r in x]
+                data = encode_branch(below)
+                rows.append((content, level, node, recipe_id(data, namespace), sum(b[1] for b in below), below[0][2] + 1, 1 + sum(b[3] for b in below), sum(b[4] for b in below), data))
+            yield _recipe_rows(rows)
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = encode_root(content, (x["recipe_id"], x["decoded_length"], x["depth"], x["nodes"], x["chunks"]))
+                rows.append((content, -1, 0, recipe_id(data, namespace), x["decoded_length"], x["depth"] + 1, x["nodes"] + 1, x["chunks"], data))
+            yield _recipe_rows(rows)
+
+    grouped = own.groupBy("content_id", F.floor(F.col("ord") / LEAF_FANOUT).alias("node")).agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "length"))).alias("x"))
+    level = written(grouped.mapInArrow(leaves, RECIPE_NODE), "recipe")
+    out, depth = level, 0
+    fields = ["node", "recipe_id", "decoded_length", "depth", "nodes", "chunks"]
+    while depth < RECIPE_DEPTH and not level.filter("node > 0").isEmpty():
+        depth += 1
+        tall = level.filter("node > 0").select("content_id").distinct()
+        up = level.join(tall, "content_id", "left_semi").groupBy("content_id", F.lit(depth).alias("level"), F.floor(F.col("node") / BRANCH_FANOUT).alias("up"))
+        level = written(up.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x")).mapInArrow(branches, RECIPE_NODE), "recipe")
+        out = out.unionByName(level)
+    tops = out.groupBy("content_id").agg(F.max_by(F.struct(*fields), "level").alias("x"))
+    return out.unionByName(tops.mapInArrow(roots, RECIPE_NODE))
+
+
+def recipe_edges(objects: DataFrame, namespace: str = NAMESPACE) -> tuple[DataFrame, DataFrame]:
+    """The references (parent_id, ord, child_id, kind node or chunk, length) of recipe objects (recipe_id, document), and the problems
+    (recipe_id, rule): objects that are not the bytes of their id, or not canonical."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    if recipe_id(data, namespace) != name:
+                        raise ValueError("the digest is another")
+                    kind, _, _, refs = decode_recipe(data)
+                    rows += [(name, k, r[0], "chunk" if kind == "leaf" else "node", r[1], None) for k, r in enumerate(refs)]
+                except ValueError as e:
+                    rows.append((name, None, None, None, None, str(e)))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["parent_id", "ord", "child_id", "kind", "length", "rule"])
+
+    found = objects.select("recipe_id", "document").dropDuplicates(["recipe_id"]).mapInArrow(run, "parent_id string, ord long, child_id string, kind string, length long, rule string")
+    found = written(found, "recipe-edges")
+    return found.filter("rule is null").drop("rule"), found.filter("rule is not null").select(F.col("parent_id").alias("recipe_id"), "rule")
+
+
 def recipe_problems(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
     """rule, content_id: recipes of one chunk, chunks of a wrong size, and sums that miss the content's length."""
     ends = chunks.groupBy("content_id").agg(F.max("ord").alias("last"), F.count("*").alias("n"), F.sum("length").alias("sum"))
@@ -207,83 +373,3 @@ def deltas(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["content_id", "prefix", "added", "suffix", "useful"])
 
     return pairs.select("content_id", "base", "target").mapInArrow(run, "content_id string, prefix long, added long, suffix long, useful boolean")
-
-
-def closes(key: str, level: int) -> bool:
-    digest = hashlib.sha256(b"%d\0" % level + key.encode()).digest()
-    return int.from_bytes(digest[:4], "big") % (NODE_TARGET // 256) == 0
-
-
-class MapBuilder:
-    """Nodes of one tree from its keys in order. A node closes at a key whose hash says so, between the minimum and the maximum
-    payload; so equal runs of keys give equal nodes, whatever was inserted elsewhere. Above the leaves a node has two keys at
-    least, so that levels shrink however long the keys are. A level holds its open node alone."""
-
-    def __init__(self) -> None:
-        self.levels: list[dict] = []
-        self.out: list[tuple[int, int, int, str, str]] = []
-
-    def add(self, key: str, value: str, level: int = 0) -> None:
-        if level == len(self.levels):
-            self.levels.append({"keys": [], "ids": [], "size": 0, "made": 0, "first": None})
-        now = self.levels[level]
-        now["keys"].append(key)
-        now["ids"].append(value)
-        now["size"] += len(key.encode()) + KEY_OVERHEAD
-        if (level == 0 or len(now["keys"]) > 1) and (now["size"] >= NODE_MAXIMUM or now["size"] >= NODE_MINIMUM and closes(key, level)):
-            self.close(level)
-
-    def close(self, level: int) -> None:
-        now = self.levels[level]
-        body = json.dumps([level, list(zip(now["keys"], now["ids"], strict=True))], ensure_ascii=False, separators=(",", ":"))
-        high, made = now["keys"][-1], hashlib.sha256(body.encode()).hexdigest()
-        self.out.append((level, now["made"], len(now["keys"]), high, made))
-        now["keys"], now["ids"], now["size"] = [], [], 0
-        now["made"] += 1
-        # the first node is the root unless there is a second one
-        if now["made"] == 1:
-            now["first"] = (high, made)
-            return
-        if now["made"] == 2:
-            self.add(*now["first"], level + 1)
-        self.add(high, made, level + 1)
-
-    def finish(self) -> list[tuple[int, int, int, str, str]]:
-        level = 0
-        while level < len(self.levels):
-            if self.levels[level]["keys"]:
-                self.close(level)
-            level += 1
-        return self.out
-
-
-def map_levels(entries: DataFrame) -> DataFrame:
-    """tree, level, node, entries, high_key, node_id of a search tree over each tree's entries (path, oid).
-
-    Where a node ends depends on the keys before, so each tree is read in order, as a stream; nothing but open nodes is held.
-    """
-    names = ["tree", "level", "node", "entries", "high_key", "node_id"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, builder, rows = None, None, []
-        for batch in batches:
-            for name, path, oid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if builder is None or name != tree:
-                    if builder is not None:
-                        rows += [(tree, *r) for r in builder.finish()]
-                    tree, builder = name, MapBuilder()
-                builder.add(path, oid)
-            if builder is not None:
-                rows += [(tree, *r) for r in builder.out]
-                builder.out = []
-            yield made(rows)
-            rows = []
-        if builder is not None:
-            yield made([(tree, *r) for r in builder.finish()])
-
-    ordered = entries.select("tree", "path", "oid").repartition("tree").sortWithinPartitions("tree", "path")
-    return ordered.mapInArrow(run, "tree string, level int, node int, entries int, high_key string, node_id string")

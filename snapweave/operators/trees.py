@@ -1,24 +1,23 @@
-"""Stored trees: documents of three formats, upgrades between them, authenticated maps, and agreement with a scope.
+"""Stored trees: what they hold, upgrades between their formats, maps walked by joins, and agreement with a scope.
 
-Formats 1 and 2 are JSON documents with all entries inside; in format 3 the document names the root of a map of nodes.
+The documents and rules of the formats are those of formats.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import paths
 from ..functions.tables import written
-from . import chunks
+from . import formats
 
-ENTRY = "array<struct<path:string,oid:string,mode:int>>"
-CURRENT = 3
-MAXIMUM_LEVELS = 64
 MAXIMUM_TRIES = 8
 
 
@@ -89,41 +88,28 @@ def scope_agreement(entries: DataFrame, sources: DataFrame) -> DataFrame:
     return out.unionByName(lost.select(F.lit("missing-source").alias("rule"), "path"))
 
 
-def read_stored(documents: DataFrame) -> DataFrame:
-    """oid, format, root, entries, state of stored documents (oid, document): intact, corrupt (its digest is another), unrecognised
-    (no known format), or malformed."""
-    shape = F.from_json("document", f"format int, root string, entries {ENTRY}")
-    rows = documents.select("oid", "document", shape.alias("d"))
-    inline, linked = F.col("d.format").isin(1, 2) & F.col("d.entries").isNotNull(), (F.col("d.format") == CURRENT) & paths.is_oid(F.col("d.root"))
-    state = F.when(F.sha2("document", 256) != F.col("oid"), "corrupt").when(~F.coalesce(F.col("d.format").isin(1, 2, CURRENT), F.lit(False)), "unrecognised").when(F.coalesce(inline | linked, F.lit(False)), "intact").otherwise("malformed")
-    return rows.select("oid", "d.format", "d.root", "d.entries", state.alias("state"))
+def read_stored(documents: DataFrame, namespace: str = formats.NAMESPACE) -> DataFrame:
+    """oid, format, entries, state of stored documents (oid, document binary): intact, corrupt (another digest, or not the canonical bytes
+    of what they say) or unrecognised (no known format). entries counts those inside."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for oid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    if formats.oid_of(data) != oid:
+                        raise formats.Invalid("digest")
+                    fmt, entries, _ = formats.parse(data, namespace)
+                    rows.append((oid, fmt, len(entries), "intact"))
+                except formats.Invalid as e:
+                    rows.append((oid, None, None, "unrecognised" if str(e) == "unrecognised" else "corrupt"))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["oid", "format", "entries", "state"])
 
-def incompatible(fmt: Column, entries: Column) -> Column:
-    """The rule by which an inline tree can't be upgraded, or null: format 1 allows what later ones don't."""
-    bad = F.element_at(F.filter(F.transform(entries, lambda e: paths.violation(e["path"])), lambda v: v.isNotNull()), 1)
-    named = F.transform(entries, lambda e: F.lower(e["path"]))
-    return F.when(F.size(entries) == 0, None).when(F.exists(entries, lambda e: paths.violation(e["path"]).isNotNull()), bad).when((fmt == 1) & (F.size(F.array_distinct(named)) < F.size(named)), "portable-alias")
+    return documents.select("oid", "document").mapInArrow(run, "oid string, format int, entries int, state string")
 
 
-def upgrade(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From read_stored(): (old_oid, new_oid, outcome, reason) for every tree, and the new nodes, as chunks.map_levels().
-
-    Format 1 is read as 2 if its paths are safe and distinct on every file system, and 2 becomes a map. Trees of the current
-    format stay; what cannot be upgraded is format-incompatible, and what isn't intact is not touched.
-    """
-    rows = stored.withColumn("reason", F.when((F.col("state") == "intact") & F.col("format").isin(1, 2), incompatible(F.col("format"), F.col("entries"))))
-    fit = rows.filter("state = 'intact' and format in (1, 2) and reason is null")
-    nodes = chunks.map_levels(fit.select(F.col("oid").alias("tree"), F.explode("entries").alias("e")).select("tree", "e.path", "e.oid"))
-    nodes = written(nodes, "nodes")
-    roots = nodes.groupBy("tree").agg(F.max_by("node_id", "level").alias("root"))
-    met = rows.join(roots.select(F.col("tree").alias("oid"), F.col("root").alias("made")), "oid", "left")
-    empty = F.sha2(F.lit(json.dumps([0, []], separators=(",", ":"))), 256)
-    root = F.coalesce("made", empty)
-    document = F.concat(F.lit('{"format":3,"root":"'), root, F.lit('"}\n'))
-    outcome = F.when(F.col("state") != "intact", F.col("state")).when(F.col("format") == CURRENT, "current").when(F.col("reason").isNotNull(), "format-incompatible").otherwise("upgraded")
-    new = F.when(outcome == "current", F.col("oid")).when(outcome == "upgraded", F.sha2(document, 256))
-    return met.select(F.col("oid").alias("old_oid"), new.alias("new_oid"), outcome.alias("outcome"), "reason"), nodes
+upgrade = formats.upgrades
 
 
 def upgrade_map(roots: DataFrame, upgraded: DataFrame) -> DataFrame:
@@ -132,48 +118,66 @@ def upgrade_map(roots: DataFrame, upgraded: DataFrame) -> DataFrame:
     return both.select("old_oid", F.coalesce("new_oid", F.raise_error(F.concat(F.lit("no upgrade of "), F.col("old_oid"))).cast("string")).alias("new_oid"))
 
 
-def read_map(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries (tree, path, oid) of maps (roots: tree, node_id) walked from the root, and problems (tree, rule).
+NODE_SHAPE = (
+    "level int, entries array<struct<path:string,type:string,blobOid:string,recreationMode:int,targetContentId:string,targetByteLength:long,symlinkKind:string>>, "
+    "children array<struct<highKey:string,oid:string,entryCount:long>>"
+)
+
+
+def map_roots(nodes: DataFrame) -> DataFrame:
+    """tree, oid, level, entries of the root of each tree's nodes (formats.NODE)."""
+    top = nodes.groupBy("tree").agg(F.max_by(F.struct("oid", "level", "entries"), "level").alias("r"))
+    return top.select("tree", "r.oid", "r.level", "r.entries")
+
+
+def tree_roots(nodes: DataFrame, scopes: DataFrame, namespace: str = formats.NAMESPACE) -> DataFrame:
+    """tree, root_oid, document for each tree of scopes (tree, scope_oid): what a root document says of its nodes and scope."""
 
-    nodes: node_id, level, keys array<string>, ids array<string>. Each step is a join by node id and one level down. The entries are
-    then built into a map again, whose root must be the one that the walk began at.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tree, scope, oid, level, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = formats.root_document(None if oid is None else (level, oid), n or 0, scope, namespace)
+                rows.append((tree, formats.oid_of(data), data))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["tree", "root_oid", "document"])
+
+    both = scopes.join(map_roots(nodes), "tree", "left").select("tree", "scope_oid", "oid", "level", "entries")
+    return both.mapInArrow(run, "tree string, root_oid string, document binary")
+
+
+def read_map(objects: DataFrame, roots: DataFrame, namespace: str = formats.NAMESPACE) -> tuple[DataFrame, DataFrame]:
+    """Entries (tree and formats.STORED) of maps walked from their roots (tree, oid, level), and problems (tree, rule).
+
+    objects: oid, document binary. Each step is a join by oid and one level down; a node must be the bytes of its oid, and have the level,
+    the high key and the count that its parent says. The entries are then built into a map again, whose root must be the one that the
+    walk began at.
     """
-    level = roots.select("tree", "node_id", F.lit(None).cast("int").alias("want"), F.lit(None).cast("string").alias("high"))
+    level = roots.select("tree", "oid", F.col("level").alias("want"), F.lit(None).cast("string").alias("high"), F.lit(None).cast("long").alias("n"))
     entries = problems = None
-    for _ in range(MAXIMUM_LEVELS):
-        met = level.join(nodes, "node_id", "left")
-        last = F.element_at("keys", -1)
-        wrong = F.when(F.col("level").isNull(), "missing-node").when(F.col("level") != F.col("want"), "wrong-level").when(last != F.col("high"), "wrong-high-key")
-        met = written(met.withColumn("rule", wrong), "walk")
+    for _ in range(formats.MOST_LEVELS):
+        met = level.join(objects.select("oid", "document"), "oid", "left").withColumn("d", F.from_json(F.col("document").cast("string"), NODE_SHAPE))
+        last = F.coalesce(F.element_at("d.entries", -1)["path"], F.element_at("d.children", -1)["highKey"])
+        below = F.coalesce(F.size("d.entries").cast("long"), F.aggregate("d.children", F.lit(0).cast("long"), lambda a, c: a + c["entryCount"]))
+        wrong = (
+            F.when(F.col("document").isNull(), "missing-node").when(F.sha2("document", 256) != F.col("oid"), "corrupt").when(~F.col("d.level").eqNullSafe(F.col("want")), "wrong-level")
+            .when(last != F.col("high"), "wrong-high-key").when(below != F.col("n"), "wrong-count")
+        )
+        met = written(met.withColumn("rule", wrong).drop("document"), "walk")
         bad = met.filter("rule is not null").select("tree", "rule")
-        good = met.filter("rule is null").select("tree", "level", F.explode(F.arrays_zip("keys", "ids")).alias("e"))
-        leaves = good.filter("level = 0").select("tree", F.col("e.keys").alias("path"), F.col("e.ids").alias("oid"))
+        good = met.filter("rule is null")
+        leaves = good.select("tree", F.explode("d.entries").alias("e")).select("tree", "e.path", "e.type", F.col("e.blobOid").alias("blob_oid"), F.col("e.recreationMode").alias("mode"), F.col("e.targetContentId").alias("target_id"), F.col("e.targetByteLength").alias("target_bytes"), F.col("e.symlinkKind").alias("symlink_kind"))
         entries, problems = (leaves, bad) if entries is None else (entries.unionByName(leaves), problems.unionByName(bad))
-        level = good.filter("level > 0").select("tree", F.col("e.ids").alias("node_id"), (F.col("level") - 1).alias("want"), F.col("e.keys").alias("high"))
+        level = good.select("tree", (F.col("d.level") - 1).alias("want"), F.explode("d.children").alias("c")).select("tree", "c.oid", "want", F.col("c.highKey").alias("high"), F.col("c.entryCount").alias("n"))
         if level.isEmpty():
             break
-    built = chunks.map_levels(entries).groupBy("tree").agg(F.max_by("node_id", "level").alias("built"))
-    other = roots.join(built, "tree", "left").filter(~F.col("node_id").eqNullSafe(F.col("built"))).select("tree", F.lit("not-rebuilt").alias("rule"))
+    built = map_roots(formats.map_nodes(entries, namespace)).select("tree", F.col("oid").alias("built"))
+    other = roots.join(built, "tree", "left").filter(~F.col("oid").eqNullSafe(F.col("built"))).select("tree", F.lit("not-rebuilt").alias("rule"))
     return entries, problems.unionByName(other)
 
 
-def node_table(entries: DataFrame, levels: DataFrame) -> DataFrame:
-    """node_id, level, keys, ids of the nodes of maps (levels: chunks.map_levels() over entries), each node once."""
-    spans = levels.select("tree", "level", "node", "node_id", "high_key", F.col("entries").alias("n"))
-    own = entries.select("tree", F.lit(0).alias("level"), "path", "oid")
-    below = spans.select("tree", (F.col("level") + 1).alias("level"), F.col("high_key").alias("path"), F.col("node_id").alias("oid"))
-    items = own.unionByName(below.join(spans.select("tree", "level").distinct(), ["tree", "level"], "left_semi"))
-    at = F.row_number().over(Window.partitionBy("tree", "level").orderBy("path"))
-    ends = F.sum("n").over(Window.partitionBy("tree", "level").orderBy("node"))
-    ranges = spans.withColumn("end", ends).select("tree", "level", "node_id", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("at"))
-    rows = items.withColumn("at", at.cast("long")).join(ranges, ["tree", "level", "at"])
-    sorted_ = rows.groupBy("tree", "level", "node_id").agg(F.array_sort(F.collect_list(F.struct("at", "path", "oid"))).alias("x"))
-    return sorted_.select("node_id", "level", F.transform("x", lambda x: x["path"]).alias("keys"), F.transform("x", lambda x: x["oid"]).alias("ids")).dropDuplicates(["node_id"])
-
-
 def publish_tree(nodes: DataFrame, store: DataFrame) -> DataFrame:
-    """What publishing a map must write, dependencies first: new nodes with their order (the level)."""
-    return nodes.join(store.select("node_id"), "node_id", "left_anti").withColumn("step", F.col("level"))
+    """What publishing maps must write, dependencies first: new nodes (of formats.NODE), each once, with their order (the level)."""
+    return nodes.dropDuplicates(["oid"]).join(store.select("oid"), "oid", "left_anti").select("oid", "document", F.col("level").alias("step"))
 
 
 def migrate(read_version, read_roots, steps: dict, current: int, tries: int = MAXIMUM_TRIES) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.tables import new_folder, written
-from ..operators import chunks, compaction, drift, history, manifest, sessions, slots, storage, trees
+from ..operators import chunks, compaction, drift, formats, history, manifest, planning, sessions, slots, storage, trees
 from ..sources import objects, packfile
 from ..streaming import observer
 from . import fixtures as fx
@@ -522,9 +522,28 @@ def content_chunks(spark, d):
     return chunks.chunk(docs.select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content")))
 
 
-@query()
+def long_chunks(spark, d) -> DataFrame:
+    """Chunks as of contents of 97 bytes an order key, each of 20,000 bytes but the last."""
+    o = fx.table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_id"), (F.col("o_orderkey").cast("long") * 97 + 70_000).alias("n"))
+    each = o.select("content_id", "n", F.explode(F.expr("sequence(0L, (n - 1) div 20000)")).alias("ord"))
+    return each.select("content_id", "ord", F.least(F.lit(20_000).cast("long"), F.col("n") - F.col("ord") * 20_000).alias("length"), F.sha2(F.concat("content_id", F.lit("-"), F.col("ord").cast("string")), 256).alias("chunk_id"))
+
+
+RECIPES = """select sha256(cast(o_orderkey as varchar)) as content_id, cast(c as bigint) as chunks, n as decoded_length, cast(case when c > 768 then 3 else 2 end as integer) as depth,
+    cast(1 + ceil(c / 768.0) + (c > 768)::int as bigint) as nodes from (select o_orderkey, cast(o_orderkey as bigint) * 97 + 70000 as n, ceil((cast(o_orderkey as bigint) * 97 + 70000) / 20000.0) as c from orders)"""
+
+
+@query(RECIPES)
 def content_recipes(spark, d):
-    return chunks.recipe_levels(content_chunks(spark, d))
+    return chunks.recipe_objects(long_chunks(spark, d)).filter("level = -1").select("content_id", "chunks", "decoded_length", "depth", "nodes")
+
+
+@query("select content_id, o as ord, sha256(content_id || '-' || o) as chunk_id from (select sha256(cast(o_orderkey as varchar)) as content_id, unnest(range(cast(ceil((cast(o_orderkey as bigint) * 97 + 70000) / 20000.0) as bigint))) as o from orders)")
+def recipe_round_trip(spark, d):
+    """Recipe objects written, read as references, and flattened to their chunks in order."""
+    made = written(chunks.recipe_objects(long_chunks(spark, d)), "recipes")
+    edges, _ = chunks.recipe_edges(made)
+    return planning.flatten_recipes(made.filter("level = -1").select("content_id", F.col("recipe_id").alias("node_id")), edges).withColumn("ord", F.col("ord").cast("long"))
 
 
 @query()
@@ -539,9 +558,20 @@ def content_payloads(spark, d):
     return chunks.payloads(fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content")))
 
 
-@query()
+def saved_entries(spark, d) -> DataFrame:
+    """The saved files of each source as a tree of its own."""
+    own = fx.saved(spark, d)
+    none = F.lit(None).cast("string")
+    return formats.stored_columns(own.select(F.element_at(F.split("path", "/"), 1).alias("tree"), "path", F.col("kind").alias("type"), F.col("oid").alias("blob_oid"), F.lit(420).alias("mode"), F.col("target"), none.alias("symlink_kind")))
+
+
+@query("""select path[:instr(path, '/') - 1] as tree, cast(0 as bigint) as level, count(*) as entries, max(path) as high_key, 0 as gaps from saved group by all""", "saved")
 def tree_nodes(spark, d):
-    return chunks.map_levels(fx.saved(spark, d).select(F.lit("saved").alias("tree"), "path", "oid"))
+    """The leaves of each tree hold its entries, in order and without gaps."""
+    nodes = written(formats.map_nodes(saved_entries(spark, d)), "nodes")
+    before = F.lag("high_key").over(Window.partitionBy("tree").orderBy("node"))
+    leaves = nodes.filter("level = 0").withColumn("gap", F.coalesce(before >= F.col("high_key"), F.lit(False)))
+    return leaves.groupBy("tree", F.col("level").cast("long").alias("level")).agg(F.sum("entries").alias("entries"), F.max("high_key").alias("high_key"), F.count_if("gap").cast("int").alias("gaps"))
 
 
 # an append-only log, read as a stream
@@ -717,28 +747,34 @@ def midx_file(spark, d):
     return stored.agg(F.count("*").alias("entries"), F.lit(differ.count()).cast("long").alias("differing"), F.sum("decoded_length").alias("bytes"))
 
 
-@query("select path, oid from saved", "saved")
+@query("select path, oid, 0 as problems from saved", "saved")
 def tree_walk(spark, d):
-    own = fx.saved(spark, d).select(F.lit("saved").alias("tree"), "path", "oid")
-    levels = chunks.map_levels(own)
-    root = levels.groupBy("tree").agg(F.max_by("node_id", "level").alias("node_id"))
-    return trees.read_map(trees.node_table(own, levels), root)[0].select("path", "oid")
+    nodes = written(formats.map_nodes(saved_entries(spark, d)), "nodes")
+    entries, problems = trees.read_map(nodes, trees.map_roots(nodes))
+    return entries.select("path", F.col("blob_oid").alias("oid"), F.lit(problems.count()).alias("problems"))
 
 
-TREES = """select o_orderkey, '{"format":' || (1 + o_orderkey % 4) || case when o_orderkey % 4 = 2 then ',"root":"' || sha256(cast(o_orderkey as varchar)) || '"' else ',"entries":[{"path":"a/' || o_orderkey || '","oid":"' || sha256('x') || '","mode":420},{"path":"'
-    || case o_orderkey % 5 when 0 then 'A/' || o_orderkey when 1 then '../b' else 'b' end || '","oid":"' || sha256('y') || '","mode":420}]' end || '}' || chr(10) as document from orders"""
+LF = "chr(10)"
+#: A tree of two files and its documents, as SQL text; p is the second path, f the format.
+FILE = """'{{"path":"{0}","type":"regular","blobOid":"' || sha256({1}) || '","recreationMode":420}}'"""
+ENTRIES = f"""{FILE.format("a/' || o_orderkey || '", "'x'")} || ',' || {FILE.format("' || case o_orderkey % 5 when 0 then rtrim(repeat('b/', 300), '/') when 1 then 'a/../b' else 'b' end || '", "'y'")}"""
+DOCUMENT = f"""case when f <= 2 then '{{"format":"snapweave-tree-v' || f || '","entries":[' || e || '],"scope":{{"kind":"all-managed"}}}}' else '{{"format":"snapweave-tree-v9"}}' end || {LF}"""
+TREES = f"select *, {DOCUMENT} as document from (select o_orderkey, 1 + o_orderkey % 3 as f, o_orderkey % 5 as p, {ENTRIES} as e from orders)"
+NODE = f"""'{{"kind":"snapweave-tree-node","version":1,"level":0,"entries":[' || e || ']}}' || {LF}"""
+SCOPE = f"""'{{"kind":"snapweave-tree-scope","version":1,"scopeKind":"all-managed"}}' || {LF}"""
+ROOT = f"""'{{"kind":"snapweave-tree-root","version":1,"format":"snapweave-tree-v3","profile":"snapweave-prolly-key-v1","height":0,"entryCount":2,"entryMapRoot":"' || sha256({NODE}) || '","scopeOid":"' || sha256({SCOPE}) || '"}}' || {LF}"""
 
 
 @query(
-    f"""select sha256(document) as old_oid, case when o_orderkey % 7 = 0 then 'corrupt' when f = 4 then 'unrecognised' when f = 3 then 'current' when p = 1 or p = 0 and f = 1 then 'format-incompatible' else 'upgraded' end as outcome,
-      case when o_orderkey % 7 > 0 and f < 3 then case when p = 1 then 'unsafe-component' when p = 0 and f = 1 then 'portable-alias' end end as reason
-    from (select *, 1 + o_orderkey % 4 as f, o_orderkey % 5 as p from ({TREES}))"""
+    f"""select old_oid, outcome, reason, case when outcome = 'upgraded' then sha256({ROOT}) end as new_oid from (select sha256(document) as old_oid, e,
+      case when o_orderkey % 7 = 0 or p = 1 and f < 3 then 'corrupt' when f = 3 then 'unrecognised' when p = 0 and f = 1 then 'format-incompatible' when p = 0 then 'corrupt' else 'upgraded' end as outcome,
+      case when o_orderkey % 7 = 0 then 'digest' when f = 3 then 'unrecognised' when p = 1 then 'path' when p = 0 then 'path-limit' end as reason from ({TREES}))"""
 )
 def tree_upgrades(spark, d):
-    spark_sql = TREES.replace("sha256(cast(o_orderkey as varchar))", "sha2(cast(o_orderkey as string), 256)").replace("sha256('x')", "sha2('x', 256)").replace("sha256('y')", "sha2('y', 256)")
-    made = fx.table(spark, d, "orders").selectExpr("o_orderkey", spark_sql.split(",", 1)[1].rsplit(" from ", 1)[0])
-    stored = made.select(F.sha2("document", 256).alias("oid"), F.expr("case when o_orderkey % 7 = 0 then replace(document, 'format', 'Format') else document end").alias("document"))
-    return trees.upgrade(trees.read_stored(stored))[0].select("old_oid", "outcome", "reason")
+    spelled = ENTRIES.replace("sha256('x')", "sha2('x', 256)").replace("sha256('y')", "sha2('y', 256)").replace("rtrim(repeat('b/', 300), '/')", "trim(trailing '/' from repeat('b/', 300))")
+    made = fx.table(spark, d, "orders").select("o_orderkey", F.expr("1 + o_orderkey % 3").alias("f"), F.expr(spelled).alias("e")).withColumn("document", F.expr(DOCUMENT))
+    stored = made.select(F.sha2("document", 256).alias("oid"), F.expr("case when o_orderkey % 7 = 0 then concat(document, ' ') else document end").cast("binary").alias("document"))
+    return trees.upgrade(stored).select("old_oid", "outcome", "reason", "new_oid")
 
 
 @query("select 'excluded-entry' as rule, path from saved where path in (select path from excluded) union all select 'missing-source', path from current where path not in (select path from saved)", "saved", "current", "excluded")
