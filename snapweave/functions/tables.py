@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, as a URI. A temporary folder serves only where that setting is unset."""
+    """A new folder under spark.checkpoint.dir, as a URI. Where that setting is unset, a temporary folder serves a local master; a
+    cluster's machines would not see it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='snapweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
