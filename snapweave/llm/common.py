@@ -11,25 +11,39 @@ from pyspark.sql import functions as F
 #: Characters that separate words, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, as a URI. A temporary folder serves only where that setting is unset."""
+    """A new folder under spark.checkpoint.dir, as a URI. Where that setting is unset, a temporary folder serves a local master; a
+    cluster's machines would not see it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='snapweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again, so that nothing upstream is ever recomputed."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it again, so that nothing upstream is ever recomputed.
+
+    While it is written, rows go to Python in batches of BATCH_ROWS at most, since each may hold a whole text.
+    """
+    spark = df.sparkSession
+    path, old = shared_dir(spark, tag), spark.conf.get(BATCHES, None)
+    spark.conf.set(BATCHES, str(min(BATCH_ROWS, int(old or BATCH_ROWS))))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCHES) if old is None else spark.conf.set(BATCHES, old)
+    out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
