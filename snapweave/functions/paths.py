@@ -77,6 +77,30 @@ def portable_key(path: Column) -> Column:
     return F.when(path.rlike(r"^[\x00-\x7F]*$"), F.lower(path)).otherwise(F.pandas_udf(_fold, StringType())(path))
 
 
+def utf16_key(path: Column) -> Column:
+    """A key that sorts as the UTF-16 code units of a path do; above U+FFFF that differs from the order of its bytes."""
+    return F.encode(path, "UTF-16BE")
+
+
+def git_key(path: Column, ignore_case: Column) -> Column:
+    """The key by which git tells paths apart where case is ignored, or the path itself."""
+    return F.when(ignore_case, F.lower(path)).otherwise(path)
+
+
+def store_path(root: Column, workspace: Column) -> Column:
+    """Where the store of a workspace (its real path) lies below root; null for a path that isn't absolute and plain."""
+    plain = workspace.startswith("/") & ~workspace.contains("\0") & ~workspace.rlike("//|/\\.{1,2}(/|$)|.+/$")
+    return F.when(plain, F.concat_ws("/", F.rtrim(root, F.lit("/")), F.sha2(workspace, 256)))
+
+
+def message_of(error: object) -> str:
+    """A text for whatever was raised, even if it can't be printed."""
+    try:
+        return str(error.args[0] if isinstance(error, BaseException) and len(error.args) == 1 else error)
+    except Exception:  # what is printed may be hostile
+        return "unprintable failure"
+
+
 def varint_length(n: Column) -> Column:
     """Bytes of n as unsigned LEB128: 7 bits a byte, one at least."""
     return F.ceil(F.length(F.bin(n)) / 7).cast("int")

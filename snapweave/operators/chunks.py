@@ -120,6 +120,65 @@ def chunk(contents: DataFrame) -> DataFrame:
     return contents.select("content_id", "content").mapInArrow(run, "content_id string, ord long, offset long, length long, chunk_id string")
 
 
+def chunk_pieces(pieces: DataFrame) -> DataFrame:
+    """content_id, ord, offset, length, chunk_id of contents that come as rows of pieces (content_id, ord, piece) of any size.
+
+    A content is one stream, read in order; at most one chunk and one batch of it are held. Contents are dealt to tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chunker, k, at = None, None, 0, 0
+
+        def rows_of(found: Iterator[bytes]) -> list[tuple]:
+            nonlocal k, at
+            out = []
+            for c in found:
+                out.append((key, k, at, len(c), hashlib.sha256(c).hexdigest()))
+                k, at = k + 1, at + len(c)
+            return out
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names=["content_id", "ord", "offset", "length", "chunk_id"])
+
+        for batch in batches:
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunker is None or name != key:
+                    if chunker is not None:
+                        yield batch_of(rows_of(chunker.finish()))
+                    key, chunker, k, at = name, Chunker(), 0, 0
+                found = rows_of(chunker.push(piece.as_py() or b""))
+                if found:
+                    yield batch_of(found)
+        if chunker is not None:
+            yield batch_of(rows_of(chunker.finish()))
+
+    ordered = pieces.select("content_id", "piece", "ord").repartition("content_id").sortWithinPartitions("content_id", "ord").select("content_id", "piece")
+    return ordered.mapInArrow(run, "content_id string, ord long, offset long, length long, chunk_id string")
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """content_id, oid, length: the digest over each content's pieces (content_id, ord, piece) in order, a running one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, n, out = None, None, 0, []
+        for batch in batches:
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest is None or name != key:
+                    out += [(key, digest.hexdigest(), n)] if digest is not None else []
+                    key, digest, n = name, hashlib.sha256(), 0
+                data = piece.as_py() or b""
+                digest.update(data)
+                n += len(data)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], names=["content_id", "oid", "length"])
+            out = []
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=["content_id", "oid", "length"])
+
+    ordered = pieces.select("content_id", "piece", "ord").repartition("content_id").sortWithinPartitions("content_id", "ord").select("content_id", "piece")
+    return ordered.mapInArrow(run, "content_id string, oid string, length long")
+
+
 def recipe_levels(chunks: DataFrame) -> DataFrame:
     """content_id, level, node, children, length: the nodes of each content's recipe, leaves (level 0) up to the root.
 
@@ -286,7 +345,7 @@ def recipe_problems(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def payloads(contents: DataFrame) -> DataFrame:
-    """content_id, encoding (raw or zstd), length: compressed where it saves 64 bytes and 5 percent; 64 bytes or fewer stay raw."""
+    """content_id, encoding (raw or zstd-v1), length: compressed where it saves 64 bytes and 5 percent; 64 bytes or fewer stay raw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -298,7 +357,7 @@ def payloads(contents: DataFrame) -> DataFrame:
                 n = len(x or b"")
                 small = len(packer.compress(x)) if n > 64 else n
                 useful = n - small >= max(64, -(-n * 5 // 100))
-                kinds.append("zstd" if useful else "raw")
+                kinds.append("zstd-v1" if useful else "raw")
                 sizes.append(small if useful else n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds), pa.array(sizes, pa.int64())], names=["content_id", "encoding", "length"])
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import varint_length
-from . import planning, storage
+from ..functions.tables import written
+from . import chunks, planning, storage
 
 #: Fixed values of the planner.
 DECODED_BUDGET = 32 << 20
@@ -142,6 +143,22 @@ def large_legacy(contents: DataFrame, small: int = 64 << 10, minimum: int = 16 <
     return contents.filter(F.col("byte_length") > small).select("content_id", (chunks + F.ceil(chunks / 768) + F.ceil(chunks / (768 * 480)) + 1).cast("long").alias("at_most"))
 
 
+def convert_large(contents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What large contents (content_id, content) become: their chunks (chunks.chunk()), their recipe objects (chunks.RECIPE_NODE), and the
+    records that refer to the recipes' roots (content_id, recipe_id, decoded_length). One chunk alone stays a whole record."""
+    big = contents.filter(F.octet_length("content") > chunks.AVERAGE)
+    found = written(chunks.chunk(big), "chunks")
+    recipes = written(chunks.recipe_objects(found), "recipes")
+    return found, recipes, recipes.filter("level = -1").select("content_id", "recipe_id", "decoded_length")
+
+
+def collect(entries: DataFrame, objects: DataFrame, read_roots, reach, publish, now_ms: int, grace_ms: int = 3_600_000) -> DataFrame:
+    """cycle() at a moment, with the grace that unreferenced objects are given; objects.modified is in milliseconds."""
+    if grace_ms < 0:
+        raise ValueError("a grace is not negative")
+    return cycle(entries, objects, read_roots, reach, publish, F.lit(now_ms - grace_ms))
+
+
 def cycle(entries: DataFrame, objects: DataFrame, read_roots, reach, publish, expired: Column, budget: int = DECODED_BUDGET) -> DataFrame:
     """A whole pass: mark, select, bound, plan, publish, mark again, sweep. One row of counters.
 

@@ -6,10 +6,11 @@ alone is no drift.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .trees import display_path
 
 
 def _joined(current: DataFrame, saved: DataFrame) -> DataFrame:
@@ -51,17 +52,32 @@ def occupancy_changed(current: DataFrame, expected: DataFrame) -> DataFrame:
     return both.filter(~F.col("c.kind").eqNullSafe(F.col("e.kind"))).select(F.coalesce("c.path", "e.path").alias("path"))
 
 
+def directories(entries: DataFrame) -> DataFrame:
+    """path of every directory that entries lie in."""
+    return entries.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
+
+
+def renames(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """from_path, path of directories that the workspace spells otherwise than the snapshot does: the same to a file system that folds
+    names, under another last component. The spelling of what is above them is another row's matter."""
+    here, want = directories(current), directories(saved)
+    there = here.select(F.col("path").alias("from_path"), paths.portable_key(F.col("path")).alias("k"))
+    new = want.join(here, "path", "left_anti").withColumn("k", paths.portable_key(F.col("path")))
+    both = new.join(there, "k").filter(paths.basename(F.col("path")) != paths.basename(F.col("from_path")))
+    return both.groupBy("path").agg(F.min("from_path").alias("from_path")).select("from_path", "path")
+
+
 def apply_order(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """step, depth, path of the actions, sorted as they must run: deletions, emptied directories deepest first, new directories
-    shallowest first, then writes. depth is negative where the deepest comes first."""
-    plan = actions(current, saved)
-    dirs = lambda df: df.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
-    before, after = dirs(current), dirs(saved)
+    """step, depth, path of the actions, sorted as they must run: directories spelled anew shallowest first, deletions, emptied
+    directories deepest first, new directories shallowest first, files, then symlinks. depth is negative where the deepest comes first."""
+    plan = actions(current, saved).join(saved.select("path", F.col("kind").alias("k")), "path", "left")
+    before, after = directories(current), directories(saved)
     steps = [
+        renames(current, saved).select(F.lit(0).alias("step"), paths.depth(F.col("path")).alias("depth"), "path"),
         plan.filter("action = 'deleted'").select(F.lit(1).alias("step"), F.lit(0).alias("depth"), "path"),
         before.join(after, "path", "left_anti").select(F.lit(2).alias("step"), (-paths.depth(F.col("path"))).alias("depth"), "path"),
         after.join(before, "path", "left_anti").select(F.lit(3).alias("step"), paths.depth(F.col("path")).alias("depth"), "path"),
-        plan.filter("action <> 'deleted'").select(F.lit(4).alias("step"), F.lit(0).alias("depth"), "path"),
+        plan.filter("action <> 'deleted'").select(F.when(F.col("k") == "symlink", 5).otherwise(4).alias("step"), F.lit(0).alias("depth"), "path"),
     ]
     out = steps[0]
     for s in steps[1:]:
@@ -70,7 +86,8 @@ def apply_order(current: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def summary(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """One row: counts of each action, what is unchanged, and whether there is anything to do."""
+    """One row: counts of each action (renamed: directories spelled otherwise), what is unchanged, how many actions there are, and
+    whether there is anything to do."""
     both = _joined(current, saved).select(F.col("c.path").alias("c"), F.col("t.path").alias("t"), _same().alias("same"))
     n = lambda cond: F.count_if(cond)
     row = both.agg(
@@ -79,14 +96,23 @@ def summary(current: DataFrame, saved: DataFrame) -> DataFrame:
         n(F.col("c").isNotNull() & F.col("t").isNotNull() & ~F.col("same")).alias("modified"),
         n(F.col("c").isNotNull() & F.col("t").isNotNull() & F.col("same")).alias("unchanged"),
     )
-    return row.withColumn("has_changes", F.expr("created + deleted + modified > 0"))
+    # two single rows
+    row = row.join(renames(current, saved).agg(F.count("*").alias("renamed")), F.lit(True))
+    return row.withColumn("actions", F.expr("created + deleted + modified + renamed")).withColumn("has_changes", F.col("actions") > 0)
 
 
 def preview(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """line: a sign (+ - ~) and the path, with control characters escaped, for each action."""
-    sign = F.create_map(F.lit("created"), F.lit("+"), F.lit("deleted"), F.lit("-"), F.lit("modified"), F.lit("~"))
-    shown = F.regexp_replace("path", r"[\x00-\x1F\x7F]", "?")
-    return actions(current, saved).select(F.concat_ws(" ", sign[F.col("action")], shown).alias("line"))
+    """line: a sign and the path, as a terminal may show it, for each action: deletions (-), modifications (~), directories spelled anew
+    (>, both spellings) and creations (+), each sorted by UTF-16 code units; ord is the line's place."""
+    rank = F.create_map(*(x for k, a in enumerate(("deleted", "modified", "renamed", "created")) for x in (F.lit(a), F.lit(k))))
+    plain = actions(current, saved).select("action", "path", F.lit(None).cast("string").alias("from_path"))
+    every = plain.unionByName(renames(current, saved).select(F.lit("renamed").alias("action"), "path", "from_path"))
+    sign = F.element_at(F.array(*map(F.lit, "-~>+")), rank[F.col("action")] + 1)
+    shown = lambda c: display_path(F.col(c))
+    line = F.when(F.col("from_path").isNull(), F.concat_ws(" ", sign, shown("path"))).otherwise(F.concat_ws(" ", sign, shown("from_path"), F.lit("\u2192"), shown("path")))
+    ord_ = F.row_number().over(Window.partitionBy("r").orderBy(paths.utf16_key(F.col("path"))))
+    lines = every.withColumn("r", rank[F.col("action")])
+    return lines.select("r", ord_.alias("ord"), line.alias("line"))
 
 
 def stable(first: DataFrame, second: DataFrame) -> DataFrame:

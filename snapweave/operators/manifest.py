@@ -40,6 +40,14 @@ def upgrade_is_total(sources: DataFrame, mapping: DataFrame) -> DataFrame:
     return missing.distinct().unionByName(extra.distinct()).unionByName(twice)
 
 
+def import_preflight(edges: DataFrame, sizes: DataFrame, quota: int, most_entries: int = 100_000) -> DataFrame:
+    """tree_id, rule by which trees (edges: tree_id, blob_id; sizes: blob_id, length) must not be imported: a blob that the source lacks, a
+    snapshot above the quota, or too many entries. Nothing is imported unless this is empty."""
+    met = edges.join(sizes.withColumn("there", F.lit(True)), "blob_id", "left").groupBy("tree_id").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.count_if(F.col("there").isNull()).alias("lost"))
+    rules = F.array(F.when(F.col("lost") > 0, "missing-blob"), F.when(F.col("bytes") > quota, "over-quota"), F.when(F.col("n") > most_entries, "too-many-entries"))
+    return met.select("tree_id", F.explode(rules).alias("rule")).filter("rule is not null")
+
+
 def new_blobs(snapshot: DataFrame, store: DataFrame) -> DataFrame:
     """What publishing a snapshot must write: one row for each oid that the store lacks."""
     return snapshot.filter("kind = 'regular'").select("oid").distinct().join(store, "oid", "left_anti")

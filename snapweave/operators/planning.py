@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -104,6 +104,23 @@ def at_most(df: DataFrame, most: int) -> DataFrame:
     return df.join(F.broadcast(checked), F.col("ok").isNull()).drop("ok")
 
 
+def roots(slots: DataFrame, most: int | None = None) -> DataFrame:
+    """tree_oid of all slots that have one, each once, in order; more than ``most`` are an error."""
+    found = slots.filter("tree_oid is not null").select("tree_oid").distinct()
+    return (found if most is None else at_most(found, most)).orderBy("tree_oid")
+
+
+def policy_budget(changes: DataFrame, most_sources: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """scope, sources, bytes, first_over of ignore sources that were set one after another (scope, seq, path, bytes): a path's later
+    bytes replace its earlier ones. first_over is the first seq at which the number or the sum passed its limit, or null."""
+    along, own = Window.partitionBy("scope").orderBy("seq"), Window.partitionBy("scope", "path").orderBy("seq")
+    before = F.lag("bytes").over(own)
+    step = changes.withColumn("more", F.col("bytes") - F.coalesce(before, F.lit(0))).withColumn("new", before.isNull().cast("long"))
+    run = step.select("scope", "seq", F.sum("more").over(along).alias("b"), F.sum("new").over(along).alias("n"))
+    over = (F.col("b") > most_bytes) | (F.col("n") > most_sources)
+    return run.groupBy("scope").agg(F.max_by("n", "seq").alias("sources"), F.max_by("b", "seq").alias("bytes"), F.min(F.when(over, F.col("seq"))).alias("first_over"))
+
+
 def replay_risk(recorded: Column, now: Column) -> Column:
     """Whether a scope's recorded evaluator version can be trusted to judge as the present one."""
     return F.when(recorded.isNull(), "legacy-unattested").when(recorded != now, "version-mismatch").otherwise("none")

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import varint_length
+from ..functions.tables import written
 
 #: Fixed values of the storage format and its policies.
 PACK_HEADER_BYTES = 7  # magic 4, version, class and flags of one byte each; the record count follows
 PARTIAL_PERCENT = 50
 TIER_PACKS = 4
-DATA_PACK_TARGET = 32 << 20
+DATA_PACK_TARGET, METADATA_PACK_TARGET = 32 << 20, 4 << 20
 SMALL_SAVING, SMALL_SAVING_PERCENT = 64, 5
 DELTA_SAVING, DELTA_SAVING_PERCENT = 128, 35
 NEAR_PERCENT = 25
@@ -43,9 +44,19 @@ def rewrite_worthwhile(target: Column, source: Column) -> Column:
 
 
 def fits(addition: Column, current: Column, most: Column) -> Column:
+    """Whether something may be added to what there is without passing a maximum; values that make no sense do not fit."""
     return (addition >= 0) & (current >= 0) & (most >= current) & (addition <= most - current)
 
 
+def additive_capacity(of=F.col) -> Column:
+    """Whether a compaction may add its packs before it removes any: objects, index entries and packs must all have room, and, if there is
+    a new pack, so must incoming files and bytes for the largest. of(name) gives each of the 13 values."""
+    records, packs = of("new_records"), of("new_packs")
+    room = lambda addition, what: fits(addition, of(f"current_{what}"), of(f"max_{what}"))
+    incoming = room(F.lit(1), "incoming_files") & room(of("largest_incoming_bytes"), "incoming_bytes")
+    return room(records, "objects") & room(records, "index_entries") & room(packs, "packs") & ((packs == 0) | incoming)
+
+
 def tier_convergent(other_same: Column, packs_before: Column, packs_after: Column, bytes_before: Column, bytes_after: Column, source_packs: Column, source_bytes: Column) -> Column:
     return other_same & (source_packs == TIER_PACKS) & (source_bytes > 0) & (packs_after - packs_before < source_packs) & (bytes_after - bytes_before <= source_bytes)
 
@@ -72,9 +83,10 @@ def duplicate_owners(entries: DataFrame, live: DataFrame) -> DataFrame:
 def size_tiers(packs: DataFrame) -> DataFrame:
     """class, tier, pack_id: by class of the packs (class, pack_id, size), the first four of the lowest tier that has four.
 
-    A tier holds packs of one power of two. Only counts by tier, then packs of the chosen tiers, are ranked.
+    A tier holds packs of one power of two, smaller than a quarter of their class's target. Only counts by tier, then packs of the chosen tiers, are ranked.
     """
-    small = packs.filter(F.col("size") * TIER_PACKS < DATA_PACK_TARGET).withColumn("tier", F.length(F.bin("size")) - 1)
+    target = F.when(F.col("class") == "metadata", METADATA_PACK_TARGET).otherwise(DATA_PACK_TARGET)
+    small = packs.filter(F.col("size") * TIER_PACKS < target).withColumn("tier", F.length(F.bin("size")) - 1)
     chosen = small.groupBy("class", "tier").count().filter(F.col("count") >= TIER_PACKS).groupBy("class").agg(F.min("tier").alias("tier"))
     firsts = small.join(chosen, ["class", "tier"]).withColumn("k", F.row_number().over(Window.partitionBy("class", "tier").orderBy("pack_id")))
     return firsts.filter(F.col("k") <= TIER_PACKS).select("class", "tier", "pack_id")
@@ -121,6 +133,23 @@ def reachable(roots: DataFrame, entries: DataFrame, parts: DataFrame | None = No
     return out
 
 
+def closures(contents: DataFrame, edges: DataFrame, sizes: DataFrame, most: int = 10) -> DataFrame:
+    """content_id, objects, bytes: how many objects each content (content_id) needs, itself included, and what they take.
+
+    edges: parent_id, child_id of recipes and deltas; sizes: logical_id, length. An object counts once a content; deeper than ``most`` is
+    an error.
+    """
+    level = written(contents.select("content_id", F.col("content_id").alias("logical_id")).distinct(), "closure")
+    out = level
+    for _ in range(most + 1):
+        step = level.join(edges, level.logical_id == edges.parent_id).select("content_id", F.col("child_id").alias("logical_id")).distinct()
+        level = written(step.join(out, ["content_id", "logical_id"], "left_anti"), "closure")
+        if level.isEmpty():
+            return out.join(sizes, "logical_id").groupBy("content_id").agg(F.count("*").alias("objects"), F.sum("length").alias("bytes"))
+        out = out.unionByName(level)
+    raise ValueError("a closure is too deep")
+
+
 def index_entries(entries: DataFrame) -> DataFrame:
     """logical_id, pack_ordinal, ordinal, offset, length: where each record's frame lies; frames follow the header in id order.
 

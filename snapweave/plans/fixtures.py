@@ -12,19 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _files(spark, d: str, where: str, oid: str) -> DataFrame:
     docs = table(spark, d, "documents").filter(where)
-    return docs.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit("regular").alias("kind"), F.expr(oid).alias("oid"), F.lit(None).cast("string").alias("target"))
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit("regular").alias("kind"), F.expr(oid).alias("oid"), F.lit(None).cast("string").alias("target"))
 
 
 def saved(spark, d: str) -> DataFrame:
-    return _files(spark, d, "doc_id % 19 <> 7", "sha2(text, 256)")
+    return _files(spark, d, "doc_id % 19 <> 7", "sha2(text, 256)").drop("doc_id")
 
 
 def current(spark, d: str) -> DataFrame:
-    return _files(spark, d, "doc_id % 17 <> 3", "case when doc_id % 13 = 5 then sha2(concat(text, '#edit'), 256) else sha2(text, 256) end")
+    return _files(spark, d, "doc_id % 17 <> 3", "case when doc_id % 13 = 5 then sha2(concat(text, '#edit'), 256) else sha2(text, 256) end").drop("doc_id")
+
+
+def respelled(spark, d: str) -> DataFrame:
+    """current(), with some directories in other letters."""
+    parts = F.split("path", "/")
+    first, second = F.element_at(parts, 1), F.element_at(parts, 2)
+    odd = F.concat_ws("/", F.when(F.col("path") < F.lit("n"), F.upper(first)).otherwise(first), F.when(second == "de", "DE").otherwise(second), F.element_at(parts, 3))
+    return current(spark, d).withColumn("path", odd)
 
 
 def excluded(spark, d: str, remainder: int = 9) -> DataFrame:
-    some = _files(spark, d, f"doc_id % 23 = {remainder}", "null").select("path", "kind")
+    some = _files(spark, d, "true", "null").select(F.when(F.col("doc_id") % 23 == remainder, F.col("path")).otherwise(F.concat(F.lit("ignored/"), "path")).alias("path"), "kind")
     return some.unionByName(table(spark, d, "documents").select(F.col("source").alias("path"), F.lit("directory").alias("kind")).distinct())
 
 
@@ -71,8 +79,10 @@ def edges(spark, d: str) -> DataFrame:
 SQL = {
     "saved": "select source || '/' || lang || '/' || doc_id || '.txt' as path, sha256(text) as oid from documents where doc_id % 19 <> 7",
     "current": "select source || '/' || lang || '/' || doc_id || '.txt' as path, case when doc_id % 13 = 5 then sha256(text || '#edit') else sha256(text) end as oid from documents where doc_id % 17 <> 3",
-    "excluded": "select source || '/' || lang || '/' || doc_id || '.txt' as path, 'regular' as kind from documents where doc_id % 23 = 9 union select distinct source, 'directory' from documents",
-    "expected": "select source || '/' || lang || '/' || doc_id || '.txt' as path, 'regular' as kind from documents where doc_id % 23 = 10 union select distinct source, 'directory' from documents",
+    "excluded": "select case when doc_id % 23 = 9 then '' else 'ignored/' end || source || '/' || lang || '/' || doc_id || '.txt' as path, 'regular' as kind from documents union select distinct source, 'directory' from documents",
+    "expected": "select case when doc_id % 23 = 10 then '' else 'ignored/' end || source || '/' || lang || '/' || doc_id || '.txt' as path, 'regular' as kind from documents union select distinct source, 'directory' from documents",
+    "respelled": """select case when path < 'n' then upper(string_split(path, '/')[1]) else string_split(path, '/')[1] end || '/' || case when string_split(path, '/')[2] = 'de' then 'DE' else string_split(path, '/')[2] end
+        || '/' || string_split(path, '/')[3] as path, oid from current""",
     "numbered": "select user_id as session_id, event_id as entry_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as ord from events",
     "entry": """select a.session_id, a.entry_id, b.entry_id as parent_id, a.ord, a.event_type,
         case a.event_type when 'error' then 'label' when 'purchase' then 'compaction' when 'view' then 'custom_message' else 'message' end as type
@@ -91,7 +101,7 @@ SQL = {
     "closure": "select session_id, entry_id, entry_id as ancestor_id, cast(0 as bigint) as depth from graph union all select c.session_id, c.entry_id, g.stable_parent_id, c.depth + 1 from closure c join graph g on g.session_id = c.session_id and g.entry_id = c.ancestor_id where g.stable_parent_id is not null",
     "nearest": "select c.session_id, c.entry_id, arg_min(c.ancestor_id, c.depth) filter (s.tree_oid is not null) as found_at, arg_min(s.tree_oid, c.depth) filter (s.tree_oid is not null) as tree_oid from closure c left join slot s on s.session_id = c.session_id and s.entry_id = c.ancestor_id group by all",
 }
-NEEDS = {"entry": ["numbered"], "landing": ["entry"], "up": ["entry"], "graph": ["up", "entry"], "closure": ["graph"], "nearest": ["closure", "slot"]}
+NEEDS = {"respelled": ["current"], "entry": ["numbered"], "landing": ["entry"], "up": ["entry"], "graph": ["up", "entry"], "closure": ["graph"], "nearest": ["closure", "slot"]}
 
 
 def sql(body: str, *names: str) -> str:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.tables import new_folder, written
-from ..operators import chunks, compaction, drift, formats, history, manifest, planning, sessions, slots, storage, trees
-from ..sources import objects, packfile
+from ..operators import chunks, compaction, drift, formats, history, manifest, metadata, planning, sessions, slots, storage, trees
+from ..sources import listing, objects, packfile, scan
 from ..streaming import observer
 from . import fixtures as fx
 
@@ -77,16 +78,39 @@ def diff_apply_order(spark, d):
 
 @query(
     """select count(*) filter (c.path is null) as created, count(*) filter (s.path is null) as deleted, count(*) filter (s.oid <> c.oid) as modified, count(*) filter (s.oid = c.oid) as unchanged,
-    count(*) filter (s.oid is distinct from c.oid) > 0 as has_changes from current c full join saved s on s.path = c.path""",
+    cast(0 as bigint) as renamed, count(*) filter (s.oid is distinct from c.oid) as actions, count(*) filter (s.oid is distinct from c.oid) > 0 as has_changes from current c full join saved s on s.path = c.path""",
     "saved", "current",
 )
 def diff_summary(spark, d):
     return drift.summary(fx.current(spark, d), fx.saved(spark, d))
 
 
-@query(f"select case action when 'created' then '+ ' when 'deleted' then '- ' else '~ ' end || path as line from ({PLAN})", "saved", "current")
+RENAMES = f"""select min(h.path) as from_path, w.path as path from ({DIRS.format('saved')}) w join ({DIRS.format('respelled')}) h on lower(w.path) = lower(h.path) and string_split(w.path, '/')[-1] <> string_split(h.path, '/')[-1]
+    where w.path not in ({DIRS.format('respelled')}) group by w.path"""
+
+
+@query(RENAMES, "saved", "respelled")
+def diff_renames(spark, d):
+    return drift.renames(fx.respelled(spark, d), fx.saved(spark, d))
+
+
+@query(
+    f"""select r, row_number() over (partition by r order by path) as ord, case r when 0 then '- ' || path when 1 then '~ ' || path when 2 then '> ' || from_path || ' \u2192 ' || path else '+ ' || path end as line
+    from (select case action when 'deleted' then 0 when 'modified' then 1 else 3 end as r, path, null as from_path from ({PLAN.replace('from current', 'from respelled')}) union all select 2, path, from_path from ({RENAMES}))""",
+    "saved", "respelled",
+)
 def diff_preview(spark, d):
-    return drift.preview(fx.current(spark, d), fx.saved(spark, d))
+    return drift.preview(fx.respelled(spark, d), fx.saved(spark, d)).select(F.col("r").cast("long").alias("r"), F.col("ord").cast("long").alias("ord"), "line")
+
+
+@query(
+    """select w.path, h.path as current_path, 'spelling' as by from saved w join respelled h on lower(w.path) = lower(h.path) where w.path not in (select path from respelled)
+    union all select w.path, h.path, 'identity' from saved w join respelled h on w.oid = h.oid where w.path not in (select path from respelled) and lower(w.path) not in (select lower(path) from respelled)""",
+    "saved", "respelled",
+)
+def diff_aliases(spark, d):
+    of = lambda df: df.select("path", F.col("oid").alias("identity"))
+    return drift.aliases(of(fx.respelled(spark, d)), of(fx.saved(spark, d)))
 
 
 @query("select path, oid, 'first' as side from (from saved except all from current) union all select path, oid, 'second' from (from current except all from saved)", "saved", "current")
@@ -348,9 +372,53 @@ def session_identity(spark, d):
     return slots.match_identity(c.select(F.col("c_custkey").alias("session_id"), F.expr("concat('file-', case when c_custkey % 5 = 0 then c_custkey + 1 else c_custkey end)").alias("session_file")), registry)
 
 
-@query("select 'outside-graph' as rule, session_id, entry_id from slot anti join graph using (session_id, entry_id)", "graph", "slot")
+@query(
+    """with s as (select session_id, case when entry_id % 60 = 0 then entry_id + 100000000 else entry_id end as entry_id, case when entry_id % 70 = 0 then null else tree_oid end as tree_oid, capture_state from slot
+      union all select session_id, entry_id, tree_oid, capture_state from slot where entry_id % 50 = 1)
+    select 'duplicate' as rule, session_id, entry_id from s group by all having count(*) > 1 union all select 'open-without-tree', session_id, entry_id from s where capture_state = 'open' and tree_oid is null
+    union all select distinct 'outside-graph', session_id, entry_id from s anti join graph using (session_id, entry_id)""".replace("with s", "select * from (with s", 1) + ")",
+    "graph", "slot",
+)
 def slot_violations(spark, d):
-    return slots.violations(fx.slots(spark, d), graph(spark, d))
+    s = fx.slots(spark, d)
+    odd = s.withColumn("tree_oid", F.expr("case when entry_id % 70 = 0 then null else tree_oid end")).withColumn("entry_id", F.expr("case when entry_id % 60 = 0 then entry_id + 100000000 else entry_id end"))
+    return slots.violations(odd.unionByName(s.filter("entry_id % 50 = 1")), graph(spark, d))
+
+
+@query("select tree_oid from (select distinct tree_oid from slot where tree_oid is not null) order by tree_oid", "slot")
+def gc_roots_bounded(spark, d):
+    return planning.roots(fx.slots(spark, d), 1_000_000)
+
+
+@query("select session_id, entry_id, case when entry_id % 5 = 0 then sha256('up-' || entry_id) else tree_oid end as tree_oid, case when entry_id % 5 = 0 then 'open' else capture_state end as capture_state from slot", "slot")
+def slot_upsert(spark, d):
+    s = fx.slots(spark, d)
+    changes = s.filter("entry_id % 5 = 0").select("session_id", "entry_id", F.expr("sha2(concat('up-', entry_id), 256)").alias("tree_oid"), F.lit("open").alias("capture_state"))
+    return slots.upsert(s, changes)
+
+
+@query("select c_custkey as session_id, 'verified' as state, c_custkey % 4 = 0 as capture_barrier from customer")
+def registry_barriers(spark, d):
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"))
+    return metadata.with_barrier(c.withColumn("state", F.lit("verified")), c.filter("session_id % 4 = 0"))
+
+
+@query("select c_custkey as session_id, c_custkey in (select session_id from slot) as has_slot, c_custkey % 4 = 0 as has_barrier from customer", "slot")
+def registry_orphans(spark, d):
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"))
+    return metadata.orphans(c, fx.slots(spark, d), c.filter("session_id % 4 = 0"))
+
+
+@query("select ps as device, inode, min(path) as path from (select l_suppkey % 7 as ps, l_partkey % 50 as inode, 'w/' || l_orderkey as path from lineitem) group by all")
+def lock_order(spark, d):
+    rows = fx.table(spark, d, "lineitem").selectExpr("l_suppkey % 7 as device", "l_partkey % 50 as inode", "concat('w/', l_orderkey) as path")
+    return metadata.lock_order(rows)
+
+
+@query("select c_custkey as id, 'CREATE TABLE t' || c_custkey || '(a TEXT,b INT)' as sql from customer")
+def schema_texts(spark, d):
+    c = fx.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), metadata.normalized(F.concat(F.lit(" CREATE  TABLE\n t"), "c_custkey", F.lit(" ( a TEXT ,  b\tINT )\n"))).alias("sql"))
 
 
 # packs and maintenance
@@ -358,7 +426,7 @@ def slot_violations(spark, d):
 
 @query("select distinct tree_oid from slot where tree_oid is not null", "slot")
 def gc_roots(spark, d):
-    return fx.slots(spark, d).filter("tree_oid is not null").select("tree_oid").distinct().orderBy("tree_oid")
+    return planning.roots(fx.slots(spark, d))
 
 
 ROOTS = "select sha256('tree-' || o_orderkey) as tree_id from orders where o_orderstatus = 'O'"
@@ -389,14 +457,17 @@ def gc_duplicate_owner(spark, d):
     return storage.duplicate_owners(fx.pack_entries(spark, d), fx.live(spark, d))
 
 
+SMALL = "select case when l_suppkey % 2 = 0 then 'data' else 'metadata' end as class, sha256('tier-' || l_suppkey || '-' || l_linenumber || '-' || l_returnflag) as pack_id, cast(sum(l_quantity) as bigint) * 300 as size from lineitem group by l_suppkey, l_linenumber, l_returnflag"
+
+
 @query(
-    f"""select class, tier, pack_id from (select *, min(tier) filter (n >= 4) over () as lowest, row_number() over (partition by tier order by pack_id) as k from
-      (select 'data' as class, pack_id, length(bin(live_b)) - 1 as tier, count(*) over (partition by length(bin(live_b))) as n from ({CLASSES}) where class = 'live' and live_b * 4 < 33554432)) where tier = lowest and k <= 4""",
-    "pack_entry",
+    f"""select class, tier, pack_id from (select *, min(tier) filter (n >= 4) over (partition by class) as lowest, row_number() over (partition by class, tier order by pack_id) as k from
+      (select *, length(bin(size)) - 1 as tier, count(*) over (partition by class, length(bin(size))) as n from ({SMALL}) where size * 4 < case class when 'data' then 33554432 else 4194304 end)) where tier = lowest and k <= 4"""
 )
 def gc_size_tiers(spark, d):
-    whole = classes(spark, d).filter("class = 'live'").select(F.lit("data").alias("class"), "pack_id", F.col("live_b").alias("size"))
-    return storage.size_tiers(whole).select("class", F.col("tier").cast("long").alias("tier"), "pack_id")
+    own = fx.table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg((F.sum("l_quantity").cast("long") * 300).alias("size"))
+    packs = own.select(F.expr("case when l_suppkey % 2 = 0 then 'data' else 'metadata' end").alias("class"), F.expr("sha2(concat('tier-', l_suppkey, '-', l_linenumber, '-', l_returnflag), 256)").alias("pack_id"), "size")
+    return storage.size_tiers(packs).select("class", F.col("tier").cast("long").alias("tier"), "pack_id")
 
 
 def occurrences(spark, d) -> DataFrame:
@@ -501,25 +572,149 @@ def rewrite_gate(spark, d):
     return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), storage.rewrite_worthwhile(F.expr("o_orderkey % 20000"), F.expr("o_custkey * 13 % 30000")).alias("useful"))
 
 
-@query("select l_orderkey as id, l_linenumber as line, a >= 0 and c >= 0 and m >= c and a <= m - c as fits from (select l_orderkey, l_linenumber, l_partkey % 50 - 1 as a, l_suppkey % 40 as c, l_partkey % 70 as m from lineitem)")
+#: The 13 values, by name.
+CAPACITY = {
+    "new_records": "l_partkey % 6 - 1", "new_packs": "l_suppkey % 3", "largest_incoming_bytes": "l_orderkey % 50", "current_objects": "l_partkey % 11", "current_index_entries": "l_suppkey % 11",
+    "current_packs": "l_linenumber % 4", "current_incoming_files": "l_orderkey % 2", "current_incoming_bytes": "l_partkey % 30", "max_objects": "13 + l_suppkey % 2", "max_index_entries": "14", "max_packs": "5",
+    "max_incoming_files": "1", "max_incoming_bytes": "60 + l_orderkey % 9",
+}
+ROOM = "({0} >= 0 and current_{1} >= 0 and max_{1} >= current_{1} and {0} <= max_{1} - current_{1})"
+
+
+@query(
+    f"""select l_orderkey as id, l_linenumber as line, {ROOM.format('new_records', 'objects')} and {ROOM.format('new_records', 'index_entries')} and {ROOM.format('new_packs', 'packs')}
+      and (new_packs = 0 or {ROOM.format('1', 'incoming_files')} and {ROOM.format('largest_incoming_bytes', 'incoming_bytes')}) as fits
+    from (select l_orderkey, l_linenumber, {', '.join(f'{v} as {k}' for k, v in CAPACITY.items())} from lineitem)"""
+)
 def capacity_fence(spark, d):
+    rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.expr(v).alias(k) for k, v in CAPACITY.items()))
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), storage.additive_capacity().alias("fits"))
+
+
+@query(
+    """select l_orderkey as id, l_linenumber as line, l_linenumber % 5 > 0 and sp = 4 and sb > 0 and pa - pb < sp and ba - bb <= sb as convergent from (select l_orderkey, l_linenumber, l_partkey % 3 as pb, l_partkey % 3 + l_suppkey % 6 as pa,
+      l_orderkey % 1000 as bb, l_orderkey % 1000 + l_partkey % 90 as ba, 3 + l_linenumber % 2 as sp, l_suppkey % 70 as sb from lineitem)"""
+)
+def tier_convergence(spark, d):
     rows = fx.table(spark, d, "lineitem")
-    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), storage.fits(F.expr("l_partkey % 50 - 1"), F.expr("l_suppkey % 40"), F.expr("l_partkey % 70")).alias("fits"))
+    e = F.expr
+    ok = storage.tier_convergent(e("l_linenumber % 5 > 0"), e("l_partkey % 3"), e("l_partkey % 3 + l_suppkey % 6"), e("l_orderkey % 1000"), e("l_orderkey % 1000 + l_partkey % 90"), e("3 + l_linenumber % 2"), e("l_suppkey % 70"))
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), ok.alias("convergent"))
+
+
+@query("select c_custkey as id, case when c_custkey % 3 = 0 then 'legacy-unattested' when c_custkey % 5 <> 1 then 'version-mismatch' else 'none' end as risk from customer")
+def replay_risks(spark, d):
+    recorded = F.expr("case when c_custkey % 3 > 0 then concat('git version ', c_custkey % 5) end")
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), planning.replay_risk(recorded, F.lit("git version 1")).alias("risk"))
+
+
+@query("select c_custkey as id, c_custkey % 4 > 0 and c_custkey % 50 + case c_custkey % 4 when 1 then 10 when 2 then 30 else 60 end <= 70 as due from customer")
+def maintenance_due(spark, d):
+    c = fx.table(spark, d, "customer")
+    interval = F.expr("case c_custkey % 4 when 0 then 0 when 1 then 10 when 2 then 30 else 60 end")
+    return c.select(F.col("c_custkey").alias("id"), sessions.due(F.lit(70), F.expr("nullif(c_custkey % 50, 0)"), interval).alias("due"))
+
+
+@query("select scope, cast(count(distinct path) as bigint) as sources, cast(any_value(total) as bigint) as bytes, min(seq) filter (run > 30000 or n > 20) as first_over from (select *, last_value(run) over (partition by scope order by seq rows between unbounded preceding and unbounded following) as total from (select *, sum(b - coalesce(p, 0)) over (partition by scope order by seq) as run, sum((p is null)::int) over (partition by scope order by seq) as n from (select *, lag(b) over (partition by scope, path order by seq) as p from (select o_custkey as scope, o_orderkey as seq, 'd' || (o_orderkey % 7) as path, o_orderkey * 13 % 9000 as b from orders)))) group by scope")
+def policy_budgets(spark, d):
+    changes = fx.table(spark, d, "orders").selectExpr("o_custkey as scope", "o_orderkey as seq", "concat('d', o_orderkey % 7) as path", "o_orderkey * 13 % 9000 as bytes")
+    return planning.policy_budget(changes, 20, 30_000)
+
+
+@query(
+    """select 'cached' as side, pack_id, logical_id, length from (select pack_id, logical_id, case when pack_id < '3' then length + 1 else length end as length from pack_entry where logical_id > '1' except all select pack_id, logical_id, length from pack_entry)
+    union all select 'footers', pack_id, logical_id, length from (select pack_id, logical_id, length from pack_entry except all select pack_id, logical_id, case when pack_id < '3' then length + 1 else length end from pack_entry where logical_id > '1')""",
+    "pack_entry",
+)
+def index_differences(spark, d):
+    own = fx.pack_entries(spark, d).select("pack_id", "logical_id", "length")
+    cached = own.filter("logical_id > '1'").withColumn("length", F.expr("case when pack_id < '3' then length + 1 else length end"))
+    return planning.index_differences(cached, own)
+
+
+@query(
+    """with n as (select pack_id, logical_id, row_number() over (partition by pack_id order by logical_id) - 1 as o from pack_entry)
+    select a.pack_id, a.logical_id, b.logical_id as base_id from n a left join n b on a.pack_id = b.pack_id and b.o = a.o - (1 + a.o % 5) where a.o % 3 = 0""".replace("with n", "select * from (with n", 1) + ")",
+    "pack_entry",
+)
+def delta_bases(spark, d):
+    own = fx.pack_entries(spark, d).withColumn("ordinal", F.row_number().over(Window.partitionBy("pack_id").orderBy("logical_id")) - 1)
+    return planning.delta_chain(own.withColumn("back", F.expr("case when ordinal % 3 = 0 then 1 + ordinal % 5 end")))
+
+
+@query("select logical_id as target_id, arg_min(pack_id, struct_pack(l := length, p := pack_id)) as base_id, min(length) as payload_bytes from pack_entry where length % 128 = 0 group by logical_id", "pack_entry")
+def gc_best_bases(spark, d):
+    tried = fx.pack_entries(spark, d).select(F.col("logical_id").alias("target_id"), F.col("pack_id").alias("base_id"), F.expr("case when length % 128 = 0 then length end").alias("payload_bytes"))
+    return compaction.best_bases(tried)
+
+
+@query("select content_id, cast(count(*) as bigint) as objects, cast(sum(length) as bigint) as bytes from (select distinct content_id, x from (select tree_id as content_id, blob_id as x from edge union all select tree_id, tree_id from edge)) join (select logical_id, min(length) as length from pack_entry group by all union all select distinct tree_id, 7 from edge) on x = logical_id group by content_id", "edge", "pack_entry")
+def gc_closures(spark, d):
+    e = fx.edges(spark, d)
+    sizes = fx.pack_entries(spark, d).groupBy("logical_id").agg(F.min("length").alias("length")).unionByName(e.select(F.col("tree_id").alias("logical_id"), F.lit(7).cast("long").alias("length")).distinct())
+    return storage.closures(e.select(F.col("tree_id").alias("content_id")), e.select(F.col("tree_id").alias("parent_id"), F.col("blob_id").alias("child_id")).distinct(), sizes)
+
+
+@query("select tree_id, rule from (select tree_id, unnest([case when lost > 0 then 'missing-blob' end, case when bytes > 30000 then 'over-quota' end, case when n > 6 then 'too-many-entries' end]) as rule from (select tree_id, count(*) as n, sum(length) as bytes, count(*) filter (length is null) as lost from edge left join (select logical_id, min(length) as length from pack_entry where logical_id > '2' group by all) on logical_id = blob_id group by tree_id)) where rule is not null", "edge", "pack_entry")
+def import_preflight(spark, d):
+    sizes = fx.pack_entries(spark, d).filter("logical_id > '2'").groupBy(F.col("logical_id").alias("blob_id")).agg(F.min("length").alias("length"))
+    return manifest.import_preflight(fx.edges(spark, d).select("tree_id", "blob_id"), sizes, 30_000, 6)
+
+
+#: Sequential admission in SQL: one row at a time, in order of key.
+ADMITTED = """k as (select *, row_number() over (partition by class order by key) as i from ({0})),
+    run as (select class, key, i, n <= {1} as ok, case when n <= {1} then {1} - n else {1} end as room from k where i = 1
+      union all select k.class, k.key, k.i, k.n <= run.room, case when k.n <= run.room then run.room - k.n else run.room end from run join k on k.class = run.class and k.i = run.i + 1)"""
+SUPPLIERS = "select 'c' || (s_nationkey % 3) as class, sha256(cast(s_suppkey as varchar)) as key, cast(s_suppkey * 37 % 1000 as bigint) as n from supplier"
 
 
-@query()
+@query("with recursive " + ADMITTED.format(SUPPLIERS, 4000) + " select class, key from run where ok")
 def gc_budget_admission(spark, d):
-    sizes = fx.pack_entries(spark, d).groupBy("pack_id").agg(F.sum("length").alias("decoded_length"))
-    return storage.admit_within_budget(sizes.select(F.lit("data").alias("class"), F.col("pack_id").alias("key"), "decoded_length"), 32 << 20)
+    rows = fx.table(spark, d, "supplier").selectExpr("concat('c', s_nationkey % 3) as class", "sha2(cast(s_suppkey as string), 256) as key", "s_suppkey * 37 % 1000 as decoded_length")
+    return storage.admit_within_budget(rows, 4000)
 
 
-# content kernels: no SQL twins; golden vectors are in tests
+# content kernels
 
 
-@query()
+#: The chunks of 1 MiB of bytes from a linear congruential generator.
+LCG_LENGTHS = (94469, 70941, 70712, 89051, 37196, 71364, 74862, 67831, 66913, 72733, 86376, 130609, 17352, 85242, 12925)
+
+
+def generated(spark, d, contents: int) -> DataFrame:
+    """content_id, ord, piece: the generator's bytes in pieces of 64 KiB, as often as there are nations, the first byte of each dropped by turns."""
+
+    def run(batches):
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                x, out = 0x12345678, bytearray()
+                for _ in range(1 << 20):
+                    x = (x * 1664525 + 1013904223) & 0xFFFFFFFF
+                    out.append(x >> 24)
+                step = 65_536 + key * 1000
+                parts = [bytes(out[a : a + step]) for a in range(0, len(out), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([str(key)] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["content_id", "ord", "piece"])
+
+    few = fx.table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("k")).limit(contents)
+    return few.repartition(contents).mapInArrow(run, "content_id string, ord long, piece binary")
+
+
+@query(f"select cast(r_regionkey as varchar) as content_id, cast(i - 1 as bigint) as ord, cast([{', '.join(map(str, LCG_LENGTHS))}][i] as bigint) as length from region, range(1, {len(LCG_LENGTHS) + 1}) t(i)")
 def content_chunks(spark, d):
-    docs = fx.table(spark, d, "documents")
-    return chunks.chunk(docs.select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content")))
+    """The published vector, whatever the pieces in which the content comes."""
+    return chunks.chunk_pieces(written(generated(spark, d, 5), "pieces")).select("content_id", "ord", "length")
+
+
+@query("select cast(doc_id as varchar) as content_id, case when text is null then 0 else cast(strlen(text) as bigint) end as bytes, 0 as gaps, sha256(text) as oid from documents where strlen(text) > 0")
+def content_chunks_cover(spark, d):
+    """Chunks of every document: they follow one another, cover it, and joined they have its digest."""
+    docs = fx.table(spark, d, "documents").filter(F.octet_length("text") > 0).select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content"))
+    cut_ = chunks.chunk(docs).join(docs, "content_id")
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("content_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sound = cut_.withColumn("gap", before != F.col("offset")).withColumn("piece", F.expr("substring(content, int(offset) + 1, int(length))"))
+    oids = chunks.digests(sound)
+    sums = sound.groupBy("content_id").agg(F.sum("length").alias("bytes"), F.count_if(F.col("gap") | (F.sha2("piece", 256) != F.col("chunk_id"))).cast("int").alias("gaps"))
+    return sums.join(oids.select("content_id", "oid"), "content_id")
 
 
 def long_chunks(spark, d) -> DataFrame:
@@ -546,16 +741,56 @@ def recipe_round_trip(spark, d):
     return planning.flatten_recipes(made.filter("level = -1").select("content_id", F.col("recipe_id").alias("node_id")), edges).withColumn("ord", F.col("ord").cast("long"))
 
 
-@query()
-def content_deltas(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    base = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("content").alias("base"))
-    return chunks.deltas(docs.join(base, "doc_id").select(F.col("doc_id").cast("string").alias("content_id"), "base", F.col("content").alias("target")))
+EDITED = "select doc_id, text as base, substr(text, 1, cast(length(text) // 3 as bigint)) || '#' || doc_id || '#' || substr(text, cast(length(text) // 3 + 2 as bigint)) as target from documents where length(text) > 10"
 
 
-@query()
+@query(f"select cast(doc_id as varchar) as content_id, sha256(target) as oid, strlen(target) as length from ({EDITED}) where strlen(target) <= 262144 and strlen(base) <= 262144")
+def content_deltas(spark, d):
+    """Every document with one character changed, as a delta against the document, applied again."""
+    n = F.char_length("text")
+    third = F.floor(n / 3).cast("int")
+    docs = fx.table(spark, d, "documents").filter(n > 10)
+    target = F.concat(F.substring("text", F.lit(1), third), F.lit("#"), F.col("doc_id").cast("string"), F.lit("#"), F.substring("text", third + 2, n))
+    pairs = docs.select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("base"), target.cast("binary").alias("target"))
+    made = chunks.deltas(pairs).join(pairs, "content_id")
+    again = F.concat(F.expr("substring(base, 1, int(prefix))"), F.expr("substring(target, int(prefix) + 1, int(added))"), F.expr("substring(base, octet_length(base) - int(suffix) + 1, int(suffix))"))
+    return made.select("content_id", F.sha2(again, 256).alias("oid"), F.octet_length(again).cast("long").alias("length"))
+
+
+@query("select cast(doc_id as varchar) as content_id, strlen(text) <= 64 as small, true as sound from documents where text is not null")
 def content_payloads(spark, d):
-    return chunks.payloads(fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content")))
+    """Payloads are raw where they are small, and no longer than the content less what compression must save."""
+    docs = fx.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").cast("binary").alias("content"))
+    both = chunks.payloads(docs).join(docs.select("content_id", F.octet_length("content").cast("long").alias("n")), "content_id")
+    raw = (F.col("encoding") == "raw") & (F.col("length") == F.col("n"))
+    packed = (F.col("encoding") == "zstd-v1") & storage.compression_useful(F.col("n"), F.col("length")) & (F.col("n") > 64)
+    return both.select("content_id", (F.col("n") <= 64).alias("small"), (raw | packed).alias("sound"))
+
+
+@query("select sha256(cast(o_orderkey as varchar)) as content_id, case when n > 65536 and c >= 2 then 'chunked' else 'full' end as representation from (select o_orderkey, cast(o_orderkey as bigint) * 17 as n, ceil(o_orderkey * 17 / 70000.0) as c from orders)")
+def content_representations(spark, d):
+    o = fx.table(spark, d, "orders").withColumn("n", F.col("o_orderkey").cast("long") * 17)
+    return o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_id"), objects.representation(F.col("n"), F.ceil(F.col("n") / 70_000)).alias("representation"))
+
+
+@query("select case k when 1 then 'few-chunks' when 2 then 'chunk-size' else 'length' end as rule, content_id from (select sha256(cast(o_orderkey as varchar)) as content_id, o_orderkey % 9 as k from orders) where k between 1 and 3")
+def recipe_problems(spark, d):
+    """Chunk lists of which some have one chunk, a chunk below the minimum, or another length."""
+    o = fx.table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_id"), (F.col("o_orderkey") % 9).alias("k"))
+    each = o.withColumn("ord", F.explode(F.expr("sequence(0L, if(k = 1, 0L, 3L))"))).withColumn("length", F.expr("if(k = 2 and ord = 1, 16383L, 20000L)"))
+    sums = each.groupBy("content_id").agg((F.sum("length") + F.max(F.expr("if(k = 3, 1, 0)"))).alias("decoded_length"))
+    return chunks.recipe_problems(each, sums)
+
+
+@query("select content_id, cast(count(*) as bigint) as chunks, cast(sum(l) as bigint) as decoded_length from (select cast(r_regionkey as varchar) as content_id, unnest([" + ", ".join(map(str, LCG_LENGTHS)) + "]) as l from region) group by content_id")
+def gc_large_converted(spark, d):
+    """Large contents as chunks and recipes; the recipes' roots say how many chunks and bytes there are."""
+    whole = written(generated(spark, d, 5), "pieces").groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("ord", "piece"))).alias("x"))
+    glued = whole.select("content_id", F.aggregate("x", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["piece"])).alias("content"))
+    named = written(glued.select(F.sha2(F.concat("content_id", F.lit("-content")), 256).alias("id"), "content_id", "content"), "large")
+    _, recipes, _ = compaction.convert_large(named.select(F.col("id").alias("content_id"), "content"))
+    roots = recipes.filter("level = -1").select(F.col("content_id").alias("id"), "chunks", "decoded_length")
+    return roots.join(named.select("id", "content_id"), "id").select("content_id", "chunks", "decoded_length")
 
 
 def saved_entries(spark, d) -> DataFrame:
@@ -577,9 +812,31 @@ def tree_nodes(spark, d):
 # an append-only log, read as a stream
 
 
-@query("select session_id, count(*) as entries, max(ord) as last_ord, arg_max(entry_id, ord) as leaf_id, cast(0 as bigint) as violations from entry group by session_id", "entry")
+@query(
+    f"""with b as ({BROKEN}), n as (select *, row_number() over (partition by session_id order by ord, entry_id) - 1 as place from b), p as (select session_id, entry_id as parent_id, min(ord) as parent_ord from b group by all),
+    v as (select session_id, count(*) as broken from (select session_id, entry_id, 'd' as rule from b group by all having count(*) > 1 union all
+      select distinct b.session_id, b.entry_id, case when p.parent_ord is null then 'u' else 'f' end from b left join p using (session_id, parent_id) where b.parent_id is not null and (p.parent_ord is null or p.parent_ord >= b.ord)) group by session_id)
+    select session_id, count(*) as entries, max(ord) as last_ord, arg_max(entry_id, ord) as leaf_id, cast(count(*) filter (ord <> place) + any_value(coalesce(broken, 0)) as bigint) as violations from n left join v using (session_id) group by session_id""".replace("with b", "select * from (with b", 1) + ")",
+    "entry",
+)
 def observed_sessions(spark, d):
-    return observer.observe_batch(fx.entries(spark, d))
+    e = fx.entries(spark, d)
+    parent = F.expr("case when entry_id % 97 = 0 then entry_id + 100000000 when entry_id % 89 = 0 then entry_id else parent_id end")
+    return observer.observe_batch(e.withColumn("parent_id", parent).unionByName(e.filter("entry_id % 101 = 0")))
+
+
+@query(
+    """with o as (select * from entry where case session_id % 5 when 0 then ord < 4 when 4 then false else true end), n as (select session_id, entry_id, ord, type, parent_id from entry where session_id % 7 <> 3),
+    j as (select coalesce(o.session_id, n.session_id) as session_id, o.entry_id as a, n.entry_id as b, coalesce(o.session_id % 3 = 1 and o.ord = 2, false) as changed from o full join n on o.session_id = n.session_id and o.ord = n.ord)
+    select session_id, case when count(b) = 0 then 'gone' when count(a) = 0 then 'new' when bool_or(changed) or count(*) filter (a is not null and b is null) > 0 then 're-read' when count(b) > count(a) then 'appended' else 'unchanged' end as outcome,
+      cast(case when count(b) = 0 then 0 when count(a) = 0 then count(b) when bool_or(changed) then count(b) else count(b) - count(a) end as bigint) as added from j group by session_id""".replace("with o", "select * from (with o", 1) + ")",
+    "entry",
+)
+def session_reobservation(spark, d):
+    """Logs seen before, some of them in part, some with another third entry; some logs are new and some are gone."""
+    e = fx.entries(spark, d)
+    before = e.filter("case session_id % 5 when 0 then ord < 4 when 4 then false else true end").withColumn("type", F.expr("case when session_id % 3 = 1 and ord = 2 then 'other' else type end"))
+    return observer.reobserve(before, e.filter("session_id % 7 <> 3"))
 
 
 # judgements on sessions
@@ -591,16 +848,16 @@ def session_landings(spark, d):
 
 
 @query(
-    """select g.session_id, a.entry_id as ancestor_id, g.entry_id as descendant_id, a.type <> 'label' and a.ord < 6 and f.first is not distinct from a.entry_id as natural
+    """select g.session_id, a.entry_id as ancestor_id, g.entry_id as descendant_id, a.type <> 'label' and a.ord < 6 and f.first is not distinct from a.entry_id and g.ord >= 6 as natural
     from graph g join entry a on a.session_id = g.session_id and a.ord = g.entry_id % 9
     left join (select c.session_id, c.entry_id, arg_min(c.ancestor_id, c.depth) as first from closure c join graph o on o.session_id = c.session_id and o.entry_id = c.ancestor_id where o.ord < 6 group by all) f
-      on f.session_id = g.session_id and f.entry_id = g.entry_id where g.ord >= 6""",
+      on f.session_id = g.session_id and f.entry_id = g.entry_id""",
     "closure",
 )
 def session_descent(spark, d):
     e = fx.entries(spark, d)
     above = e.select("session_id", F.col("ord").alias("at"), F.col("entry_id").alias("ancestor_id"))
-    claims = graph(spark, d).filter("ord >= 6").select("session_id", F.col("entry_id").alias("descendant_id"), F.expr("entry_id % 9").alias("at")).join(above, ["session_id", "at"])
+    claims = graph(spark, d).select("session_id", F.col("entry_id").alias("descendant_id"), F.expr("entry_id % 9").alias("at")).join(above, ["session_id", "at"])
     return sessions.natural_descent(e.filter("ord < 6"), e, claims.drop("at"))
 
 
@@ -668,7 +925,7 @@ SAVED = "select sha256('blob-' || p_partkey || '-0') as base_key, sha256('blob-'
 
 
 @query(
-    f"""with a as (select distinct pack_id, logical_id as key, l from (select pack_id, logical_id, sum(length) over (partition by pack_id) as l from pack_entry) where pack_id < '5'),
+    f"""with a as (select distinct pack_id, logical_id as key, l from (select pack_id, logical_id, sum(length) over (partition by pack_id) as l from pack_entry)),
     x as (select a.pack_id, target_key, saved from ({SAVED}) s join a on a.key = base_key where saved > 0 and target_key not in (select key from a)
       union select a.pack_id, target_key, saved from ({SAVED}) s join a on a.key = target_key where saved > 0 and base_key not in (select key from a))
     select pack_id, cast(coalesce(sum(saved), 0) as bigint) as saved, coalesce(sum(saved), 0) > 0 and any_value(l) <= 4 * coalesce(sum(saved), 0) as kept
@@ -676,33 +933,56 @@ SAVED = "select sha256('blob-' || p_partkey || '-0') as base_key, sha256('blob-'
     "pack_entry",
 )
 def gc_rewrite_savings(spark, d):
-    own = fx.pack_entries(spark, d).filter("pack_id < '5'")
+    own = fx.pack_entries(spark, d)
     deltas = fx.table(spark, d, "part").select(F.expr("sha2(concat('blob-', p_partkey, '-0'), 256)").alias("base_key"), F.expr("sha2(concat('blob-', p_partkey, '-1'), 256)").alias("target_key"), F.expr("cast(p_size as long) * 100 - 500").alias("saved"))
     return compaction.rewrite_savings(own.groupBy("pack_id").agg(F.sum("length").alias("size")), own.select("pack_id", F.col("logical_id").alias("key")).distinct(), deltas)
 
 
-@query(
-    """select 'data' as class, pack_id from (select pack_id, row_number() over (order by size, pack_id) as k from (select pack_id, sum(length) as size from pack_entry group by all) where size <= 4 * greatest(128, (100000 * 35 + 99) // 100)) where k = 1""",
-    "pack_entry",
-)
+CLASSED = "select case when pack_id < '8' then 'data' else 'metadata' end as class, pack_id, cast(sum(length) as bigint) as size from pack_entry group by all"
+
+
+@query(f"select class, arg_min(pack_id, struct_pack(s := size, p := pack_id)) as pack_id from ({CLASSED}) where size <= 4 * greatest(128, (case class when 'data' then 10000000 else 20000000 end * 35 + 99) // 100) group by class", "pack_entry")
 def gc_opportunistic_source(spark, d):
-    packs = fx.pack_entries(spark, d).groupBy(F.lit("data").alias("class"), "pack_id").agg(F.sum("length").alias("size"))
-    return compaction.opportunistic_source(packs, spark.createDataFrame([("data", 100_000)], "class string, target long"))
+    return compaction.opportunistic_source(classed(spark, d), spark.createDataFrame([("data", 10_000_000), ("metadata", 20_000_000)], "class string, target long"))
+
+
+def classed(spark, d) -> DataFrame:
+    own = fx.pack_entries(spark, d)
+    return own.groupBy(F.expr("case when pack_id < '8' then 'data' else 'metadata' end").alias("class"), "pack_id").agg(F.sum("length").alias("size"))
+
 
+KEYED = "select 'all' as class, sha256(cast(s_suppkey as varchar)) as key, cast(s_suppkey * 37 % 1000 + s_suppkey % 2 as bigint) as n from supplier"
 
-@query()
+
+@query(
+    "with recursive " + ADMITTED.format(KEYED, 9000) + """ select 'key' as kind, key as id from run where ok
+    union all select 'pack', 'p' || (s_suppkey % 9) from supplier join run on key = sha256(cast(s_suppkey as varchar)) group by s_suppkey % 9 having bool_and(ok)"""
+)
 def gc_decoded_bound(spark, d):
-    own = fx.pack_entries(spark, d).select("pack_id", F.col("logical_id").alias("key"), "decoded_length")
-    kept, whole = compaction.bound_decoded(own, compaction.decoded_lengths(own, own))
+    own = fx.table(spark, d, "supplier").selectExpr("concat('p', s_suppkey % 9) as pack_id", "sha2(cast(s_suppkey as string), 256) as key", "s_suppkey * 37 % 1000 as low", "s_suppkey * 37 % 1000 + s_suppkey % 2 as high")
+    copies = [own.select("key", F.col(c).alias("decoded_length")) for c in ("low", "high")]
+    kept, whole = compaction.bound_decoded(own.select("pack_id", "key"), compaction.decoded_lengths(own, *copies), 9000)
     return kept.select(F.lit("key").alias("kind"), F.col("key").alias("id")).unionByName(whole.select(F.lit("pack").alias("kind"), F.col("pack_id").alias("id")))
 
 
-@query()
+#: Units in order of key, a new batch where the next would pass 5000; a part with the first key of its unit's.
+UNITS = "select class, lead as key, cast(sum(n) as bigint) as n from led group by all"
+
+
+@query(
+    f"""with recursive led as (select 'c' || (s_nationkey % 2) as class, sha256(cast(s_suppkey as varchar)) as key, sha256(cast(case when s_suppkey % 10 = 3 and s_suppkey > 20 then s_suppkey - 20 else s_suppkey end as varchar)) as lead0,
+        cast(s_suppkey * 37 % 1000 as bigint) as n, s_nationkey from supplier),
+      same as (select l.* exclude lead0, case when b.class is not null and b.class = l.class then lead0 else l.key end as lead from led l left join (select key as k, class from led) b on b.k = lead0),
+      k as (select *, row_number() over (partition by class order by key) as i from (select class, lead as key, cast(sum(n) as bigint) as n from same group by all)),
+      run as (select class, key, i, cast(0 as bigint) as batch, n as size from k where i = 1
+        union all select k.class, k.key, k.i, case when run.size + k.n > 5000 then run.batch + 1 else run.batch end, case when run.size + k.n > 5000 then k.n else run.size + k.n end from run join k on k.class = run.class and k.i = run.i + 1)
+    select same.class, same.key, run.batch from same join run on run.class = same.class and run.key = same.lead"""
+)
 def gc_plan(spark, d):
-    records = fx.pack_entries(spark, d).groupBy(F.lit("data").alias("class"), F.col("logical_id").alias("key")).agg(F.min("length").alias("length"))
-    pairs = fx.table(spark, d, "part").select(F.expr("sha2(concat('blob-', p_partkey, '-1'), 256)").alias("target_id"), F.expr("sha2(concat('blob-', p_partkey, '-0'), 256)").alias("base_id"))
-    both = pairs.join(records.select(F.col("key").alias("target_id")), "target_id", "left_semi").join(records.select(F.col("key").alias("base_id")), "base_id", "left_semi")
-    return compaction.plan(records, both, 256 << 10)[0]
+    own = fx.table(spark, d, "supplier").selectExpr("s_suppkey", "concat('c', s_nationkey % 2) as class", "sha2(cast(s_suppkey as string), 256) as key", "s_suppkey * 37 % 1000 as length")
+    pairs = own.filter("s_suppkey % 10 = 3 and s_suppkey > 20").select("class", F.col("key").alias("target_id"), F.expr("sha2(cast(s_suppkey - 20 as string), 256)").alias("base_id"))
+    same = pairs.join(own.select("class", F.col("key").alias("base_id")), ["class", "base_id"], "left_semi")
+    return compaction.plan(own.select("class", "key", "length"), same.select("target_id", "base_id"), 5000)[0]
 
 
 # stored records and trees
@@ -754,6 +1034,73 @@ def tree_walk(spark, d):
     return entries.select("path", F.col("blob_oid").alias("oid"), F.lit(problems.count()).alias("problems"))
 
 
+FILES = "select source || '/' || lang || '/' || doc_id || case when doc_id % 29 = 3 then '.md' else '.txt' end as path, sha256(coalesce(text, '')) as oid, cast(strlen(coalesce(text, '')) as bigint) as byte_length from documents"
+
+
+def workspace(spark, d) -> str:
+    """A folder with every document as a file; some names are hidden ones."""
+    home = new_folder(spark, "workspace")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
+    name = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.expr("case when doc_id % 29 = 3 then '.md' else '.txt' end")))
+
+    def run(batches):
+        store, base = listing.store_of(home)
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written(fx.table(spark, d, "documents").select(name.alias("path"), text).mapInArrow(run, "n long"), "files")
+    return home
+
+
+@query(f"select path, case when byte_length > 20000 then 'too-large' else 'regular' end as kind, case when byte_length <= 20000 then oid end as oid, case when byte_length <= 20000 then byte_length end as byte_length from ({FILES})")
+def workspace_scan(spark, d):
+    """Every document written as a file; the folder walked, and files up to 20,000 bytes digested."""
+    entries, problems, _ = scan.scan(spark, workspace(spark, d), 20_000)
+    none = F.lit(None)
+    return entries.select("path", "kind", "oid", "byte_length").unionByName(problems.select("path", "kind", none.cast("string").alias("oid"), none.cast("long").alias("byte_length")))
+
+
+@query(f"with p as (select path, 'too-large' as kind from ({FILES}) where byte_length > 5000) select count(*) as problems, (select string_agg(path, ',' order by path) from (select path from p order by path limit 3)) as first, greatest(count(*) - 3, 0) as more from p")
+def scan_summary(spark, d):
+    docs = fx.table(spark, d, "documents")
+    name = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.expr("case when doc_id % 29 = 3 then '.md' else '.txt' end")))
+    problems = docs.filter(F.octet_length("text") > 5000).select(name.alias("path"), F.lit("too-large").alias("kind"))
+    return scan.summarize(problems).select("problems", F.array_join(F.transform("examples", lambda e: e["path"]), ",").alias("first"), "more")
+
+
+@query("select blob_oid, strlen(text) as length from (select distinct s.oid as blob_oid from saved s left join current c on s.path = c.path where c.path is null or c.oid is distinct from s.oid) join (select distinct sha256(text) as o, text from documents) on o = blob_oid", "saved", "current")
+def staged_blobs(spark, d):
+    """The blobs that a restore needs, staged outside of the workspace and the store."""
+    contents = fx.table(spark, d, "documents").select(F.sha2("text", 256).alias("logical_id"), F.col("text").cast("binary").alias("content")).dropDuplicates(["logical_id"])
+    needed = drift.required_blobs(fx.current(spark, d), fx.saved(spark, d))
+    return objects.stage(needed, contents, new_folder(spark, "scratch"), "/work/space", "/work/store").select("blob_oid", F.octet_length("content").cast("long").alias("length"))
+
+
+@query("select path, octet_length(encode(path)) as bytes, lower(path) as folded, row_number() over (order by path) as ord from (select distinct source || '/' || lang as path from documents)")
+def path_orders(spark, d):
+    p = fx.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path")).distinct()
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(paths.utf16_key(F.col("path"))))
+    return p.select("path", F.octet_length("path").cast("long").alias("bytes"), paths.git_key(F.col("path"), F.lit(True)).alias("folded"), place.cast("long").alias("ord"))
+
+
+@query("select c_custkey as id, case when c_custkey % 4 = 0 then null else '/stores/' || sha256('/home/' || c_name) end as path from customer")
+def store_paths(spark, d):
+    workspace_ = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("/home//"), "c_name")).otherwise(F.concat(F.lit("/home/"), "c_name"))
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), paths.store_path(F.lit("/stores/"), workspace_).alias("path"))
+
+
+@query("select c_custkey as id, c_custkey % 3 = 0 or c_custkey % 3 = 1 and c_custkey % 2 = 0 as at_or_below, c_custkey % 5 > 0 as oid from customer")
+def path_predicates(spark, d):
+    c = fx.table(spark, d, "customer")
+    path = F.expr("case c_custkey % 3 when 0 then 'a/b' when 1 then if(c_custkey % 2 = 0, 'a/b/c', 'a/bc') else 'a' end")
+    name = F.expr("case when c_custkey % 5 > 0 then sha2(c_name, 256) else upper(sha2(concat(c_name, 'f'), 256)) || 'g' end")
+    return c.select(F.col("c_custkey").alias("id"), paths.at_or_below(path, F.lit("a/b")).alias("at_or_below"), paths.is_oid(name).alias("oid"))
+
+
 LF = "chr(10)"
 #: A tree of two files and its documents, as SQL text; p is the second path, f the format.
 FILE = """'{{"path":"{0}","type":"regular","blobOid":"' || sha256({1}) || '","recreationMode":420}}'"""

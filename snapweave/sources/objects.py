@@ -187,6 +187,19 @@ def resolve(wanted: DataFrame, *sources: DataFrame) -> DataFrame:
     return wanted.join(first, ["kind", "logical_id"], "left").select("kind", "logical_id", "f.source", "f.content")
 
 
+def stage(required: DataFrame, contents: DataFrame, folder: str, *roots: str) -> DataFrame:
+    """Write required blobs (blob_oid) from contents (logical_id, content) to a scratch folder outside of the roots (the workspace, the
+    store), and read them back: blob_oid, content. One that is missing or not the bytes of its oid is an error."""
+    inside = [r for r in roots if f"{folder.rstrip('/')}/".startswith(f"{r.rstrip('/')}/")]
+    if inside:
+        raise ValueError(f"the scratch folder lies in {inside[0]}")
+    both = required.select("blob_oid").distinct().join(contents.select(F.col("logical_id").alias("blob_oid"), "content"), "blob_oid", "left")
+    sound = F.sha2("content", 256) == F.col("blob_oid")
+    failed = F.raise_error(F.concat(F.lit("no intact blob "), F.col("blob_oid"))).cast("binary")
+    both.select("blob_oid", F.when(F.coalesce(sound, F.lit(False)), F.col("content")).otherwise(failed).alias("content")).write.parquet(folder)
+    return required.sparkSession.read.parquet(folder)
+
+
 def locate(wanted: DataFrame, index: DataFrame, footers: DataFrame) -> DataFrame:
     """wanted (logical_id) with pack_id, offset, length and hinted: where the index (logical_id, pack_id, offset, length) says, if the
     footers (the same columns) agree; else the first place in the footers; null where there is none."""

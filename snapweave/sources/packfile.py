@@ -337,12 +337,15 @@ def pack(records: DataFrame) -> DataFrame:
     return records.select("batch", *Record._fields).groupBy("batch").applyInArrow(run, "pack_id string, class string, data binary")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """pack_id and the record of every record of the packs in folder; a damaged pack fails the read."""
+def read(spark: SparkSession, folder: str, verify=None) -> DataFrame:
+    """pack_id and the record of every record of the packs in folder; a damaged pack fails the read, and so does a record that
+    verify(record), a handler that the caller may give, refuses."""
 
     def run(batches):
         for batch in batches:
             rows = [(name, *r) for d in batch.column(0).to_pylist() for name, _, found in [decode(d)] for r in found]
+            if verify is not None and not all(verify(Record(*r[1:])) for r in rows):
+                raise ValueError("a record is refused")
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["pack_id", *Record._fields])
 

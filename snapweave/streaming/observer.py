@@ -2,7 +2,7 @@
 
 A log may only grow: an entry that comes before what was seen, a second entry of the same place or id, or a parent that does
 not come before its child is a violation that is counted against its session; a stream never merges it, as a watermark would.
-What was seen is not compared again: a log rewritten at places already read goes unnoticed.
+Batches of whole logs are compared with what was seen before; a stream carries only what is new and compares nothing again.
 """
 
 from __future__ import annotations
@@ -30,6 +30,28 @@ def observe_batch(entries: DataFrame) -> DataFrame:
     return found.join(broken, "session_id", "left").select("session_id", "entries", "last_ord", "leaf_id", violations)
 
 
+def reobserve(before: DataFrame, now: DataFrame) -> DataFrame:
+    """session_id, outcome, added: how logs (session_id, entry_id, parent_id, ord, type) that were seen before are to be read again.
+
+    A log whose seen part is still its beginning, entry by entry, is unchanged or appended (only the added entries are new); one that is
+    not, or that breaks a rule itself, is read again as a whole; one that was not seen is new, and one that is no more is gone.
+    """
+    what = F.struct("entry_id", "parent_id", "type")
+    old = before.select("session_id", "ord", what.alias("was"))
+    new = now.select("session_id", "ord", what.alias("is"))
+    both = old.join(new, ["session_id", "ord"], "full_outer")
+    per = both.groupBy("session_id").agg(
+        F.count("was").alias("seen"), F.count("is").alias("there"), F.count_if(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("is"))).alias("other"), F.max(F.when(F.col("was").isNotNull(), F.col("ord"))).alias("last"),
+        F.min(F.when(F.col("was").isNull(), F.col("ord"))).alias("first_new"),
+    )
+    broken = history.violations(now).select("session_id").distinct().withColumn("broken", F.lit(True))
+    met = per.join(broken, "session_id", "left")
+    diverged = (F.col("other") > 0) | (F.col("first_new") < F.col("last")) | F.col("broken").isNotNull()
+    outcome = F.when(F.col("there") == 0, "gone").when(F.col("seen") == 0, "new").when(F.coalesce(diverged, F.lit(False)), "re-read").when(F.col("there") > F.col("seen"), "appended").otherwise("unchanged")
+    added = F.when(outcome == "appended", F.col("there") - F.col("seen")).when(outcome.isin("new", "re-read"), F.col("there")).otherwise(0)
+    return met.select("session_id", outcome.alias("outcome"), added.cast("long").alias("added"))
+
+
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     entries, last, leaf, bad, ids = state.get if state.exists else (0, -1, -1, 0, [])
     seen = dict.fromkeys(map(int, ids))
