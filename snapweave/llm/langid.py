@@ -118,8 +118,8 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
     return langs, prototypes
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """keep, lang_pred and score (the cosine, 0 where negative)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], inside: int | None = None) -> DataFrame:
+    """keep, lang_pred and score (the cosine, 0 where negative). inside: the text is that field of the only kept column, a struct."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
@@ -128,7 +128,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
         encoder = Encoder()
         for batch in batches:
             pred, score = [], []
-            for _, vectors, lettered in encoder.batches(batch.column("_t").to_pylist()):
+            texts = batch.column("_t") if inside is None else batch.column(0).field(inside)
+            for _, vectors, lettered in encoder.batches(texts.to_pylist()):
                 cosine = vectors @ prototypes.T if langs else np.zeros((len(vectors), 0))
                 for k, ok in enumerate(lettered):
                     best = int(cosine[k].argmax()) if ok and langs else -1
@@ -136,7 +137,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                     score.append(float(min(1.0, max(0.0, cosine[k][best]))) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_t")).mapInArrow(run, schema)
+    return docs.select(*keep, *([F.col("text").alias("_t")] if inside is None else [])).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -153,5 +154,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
     model = learn(docs.filter(~held).select("doc_id", "lang", "text"))
     if not model[0]:
         return docs
-    rows = docs.select(whole_row(docs), "text")
-    return predict(rows, model, ["row"]).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return predict(docs.select(whole_row(docs)), model, ["row"], docs.columns.index("text")).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
