@@ -183,7 +183,8 @@ def entry_projection(spark, d):
 
 
 def graph(spark, d) -> DataFrame:
-    return history.stable_graph(fx.entries(spark, d))
+    """The stable graph of all sessions, written once, since most queries read it several times."""
+    return written(history.stable_graph(fx.entries(spark, d)), "graph")
 
 
 @query("select session_id, entry_id, stable_parent_id, ord from graph", "graph")
