@@ -719,14 +719,15 @@ def content_chunks_cover(spark, d):
 
 
 def long_chunks(spark, d) -> DataFrame:
-    """Chunks as of contents of 97 bytes an order key, each of 20,000 bytes but the last."""
-    o = fx.table(spark, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_id"), (F.col("o_orderkey").cast("long") * 97 + 70_000).alias("n"))
+    """Chunks as of a content for each supplier, of up to 20 MB, each chunk of 20,000 bytes but the last."""
+    o = fx.table(spark, d, "supplier").select(F.sha2(F.col("s_suppkey").cast("string"), 256).alias("content_id"), F.expr("cast(s_suppkey * 7919 % 1000 as long) * 20011 + 70000").alias("n"))
     each = o.select("content_id", "n", F.explode(F.expr("sequence(0L, (n - 1) div 20000)")).alias("ord"))
     return each.select("content_id", "ord", F.least(F.lit(20_000).cast("long"), F.col("n") - F.col("ord") * 20_000).alias("length"), F.sha2(F.concat("content_id", F.lit("-"), F.col("ord").cast("string")), 256).alias("chunk_id"))
 
 
-RECIPES = """select sha256(cast(o_orderkey as varchar)) as content_id, cast(c as bigint) as chunks, n as decoded_length, cast(case when c > 768 then 3 else 2 end as integer) as depth,
-    cast(1 + ceil(c / 768.0) + (c > 768)::int as bigint) as nodes from (select o_orderkey, cast(o_orderkey as bigint) * 97 + 70000 as n, ceil((cast(o_orderkey as bigint) * 97 + 70000) / 20000.0) as c from orders)"""
+LONG = "select sha256(cast(s_suppkey as varchar)) as content_id, n, ceil(n / 20000.0) as c from (select s_suppkey, cast(s_suppkey * 7919 % 1000 as bigint) * 20011 + 70000 as n from supplier)"
+RECIPES = f"""select content_id, cast(c as bigint) as chunks, n as decoded_length, cast(case when c > 768 then 3 else 2 end as integer) as depth,
+    cast(case when c > 768 then 4 else 2 end as bigint) as nodes from ({LONG})"""
 
 
 @query(RECIPES)
@@ -734,7 +735,7 @@ def content_recipes(spark, d):
     return chunks.recipe_objects(long_chunks(spark, d)).filter("level = -1").select("content_id", "chunks", "decoded_length", "depth", "nodes")
 
 
-@query("select content_id, o as ord, sha256(content_id || '-' || o) as chunk_id from (select sha256(cast(o_orderkey as varchar)) as content_id, unnest(range(cast(ceil((cast(o_orderkey as bigint) * 97 + 70000) / 20000.0) as bigint))) as o from orders)")
+@query(f"select content_id, o as ord, sha256(content_id || '-' || o) as chunk_id from (select content_id, unnest(range(cast(c as bigint))) as o from ({LONG}))")
 def recipe_round_trip(spark, d):
     """Recipe objects written, read as references, and flattened to their chunks in order."""
     made = written(chunks.recipe_objects(long_chunks(spark, d)), "recipes")
