@@ -159,9 +159,38 @@ def collect(entries: DataFrame, objects: DataFrame, read_roots, reach, publish,
     return cycle(entries, objects, read_roots, reach, publish, F.lit(now_ms - grace_ms))
 
 
-def cycle(entries: DataFrame, objects: DataFrame, read_roots, reach, publish, expired: Column, budget: int = DECODED_BUDGET) -> DataFrame:
-    """A whole pass: mark, select, bound, plan, publish, mark again, sweep. One row of counters.
+def pack_class(kind: Column) -> Column:
+    return F.when(kind == "content", "data").otherwise("metadata")
 
+
+def with_tiers(entries: DataFrame, classes: DataFrame, records: DataFrame, whole: DataFrame, kept: DataFrame, used_bytes: int, budget: int, target: int) -> tuple[DataFrame, DataFrame]:
+    """records (class, key, length) and whole (pack_id) with the packs of one size tier of each pack class that are fully live and whose
+    rewriting converges: fewer packs and no more bytes than before. A trial plan tells."""
+    key = F.concat_ws(":", "kind", "logical_id").alias("key")
+    sizes = entries.join(classes.filter("class = 'live'").select("pack_id"), "pack_id", "left_semi").groupBy("pack_id", pack_class(F.col("kind")).alias("class")).agg(F.sum("length").alias("size"))
+    chosen = written(storage.size_tiers(sizes.join(whole, "pack_id", "left_anti")).join(sizes.select("pack_id", "size"), "pack_id"), "tiers")
+    none = records.select(F.col("key").alias("target_id"), F.col("key").alias("base_id")).limit(0)
+    for name in ("data", "metadata"):
+        packs = chosen.filter(F.col("class") == name)
+        source_packs, source_bytes = packs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        if source_packs < storage.TIER_PACKS:
+            continue
+        group = written(entries.join(packs.select("pack_id"), "pack_id", "left_semi").select("pack_id", key, "kind", "length", "decoded_length"), "tier")
+        more = extend_with_tier(kept, group, used_bytes, budget).join(kept, "key", "left_anti")
+        added = group.join(more, "key", "left_semi").groupBy(F.col("kind").alias("class"), "key").agg(F.min("length").alias("length"))
+        both = written(records.unionByName(added), "records")
+        count = lambda r: plan_metrics(plan(r, none, target)[0], r).agg(F.coalesce(F.sum("packs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        (packs_before, bytes_before), (packs_after, bytes_after) = count(records), count(both)
+        values = [F.lit(x) for x in (True, packs_before, packs_after, bytes_before, bytes_after, source_packs, source_bytes)]
+        if not added.isEmpty() and both.sparkSession.range(1).select(storage.tier_convergent(*values)).first()[0]:
+            records, whole, kept = both, written(whole.unionByName(packs.select("pack_id")), "whole"), kept.unionByName(more)
+    return records, whole
+
+
+def cycle(entries: DataFrame, objects: DataFrame, read_roots, reach, publish, expired: Column, budget: int = DECODED_BUDGET, bases: DataFrame | None = None, target: int = storage.DATA_PACK_TARGET) -> DataFrame:
+    """A whole pass: mark, select, bound, extend by size tiers, plan, publish, mark again, sweep. One row of counters.
+
+    bases (target_id, base_id: keys), if given, are the deltas that the plan makes, as far as both ends are rewritten.
     entries: pack_id, kind, logical_id, length, decoded_length. objects: object_id, temporary, modified. read_roots() gives the
     roots (tree_oid), reach(roots) what lives (kind, logical_id), publish(placed, records) writes the new packs; expired tells the
     moment before which dead objects go. Roots are read three times, and nothing is swept unless they held still.
@@ -174,8 +203,11 @@ def cycle(entries: DataFrame, objects: DataFrame, read_roots, reach, publish, ex
     required = chosen.select("pack_id", key).distinct()
     kept, whole = bound_decoded(required, decoded_lengths(required, entries.select(key, "decoded_length")), budget)
     records = chosen.join(whole, "pack_id", "left_semi").select(F.col("kind").alias("class"), key, "length").groupBy("class", "key").agg(F.min("length").alias("length"))
-    none = records.select(F.col("key").alias("target_id"), F.col("key").alias("base_id")).limit(0)
-    placed, _ = plan(records, none)
+    used = entries.select(key, "decoded_length").join(kept, "key", "left_semi").groupBy("key").agg(F.max("decoded_length").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    records, whole = with_tiers(entries, classes, written(records, "records"), written(whole, "whole"), written(kept, "kept"), used, budget, target)
+    asked = bases if bases is not None else records.select(F.col("key").alias("target_id"), F.col("key").alias("base_id")).limit(0)
+    ends = [records.select(F.col("key").alias(c)) for c in ("target_id", "base_id")]
+    placed, _ = plan(records, asked.join(ends[0], "target_id", "left_semi").join(ends[1], "base_id", "left_semi"), target)
     publish(placed, records)
     second = read_roots()
     again = reach(second)

@@ -7,7 +7,7 @@ rounds as the number of entries allows run in a cycle, which is an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,30 +85,30 @@ def ancestry(graph: DataFrame) -> DataFrame:
     return closure
 
 
-def above(graph: DataFrame, leaves: DataFrame) -> DataFrame:
-    """session_id, entry_id of leaves (the same columns) and all their ancestors, each once."""
+def above(graph: DataFrame, leaves: DataFrame, ups: Iterable[DataFrame] | None = None) -> DataFrame:
+    """session_id, entry_id of leaves (the same columns) and all their ancestors, each once. ups: jumps(graph), if they are there."""
     found = written(leaves.select("session_id", "entry_id").distinct(), "above")
-    for jump in jumps(graph):
+    for jump in jumps(graph) if ups is None else ups:
         more = found.join(jump, ["session_id", "entry_id"]).select("session_id", F.col("to").alias("entry_id"))
         found = written(found.unionByName(more).distinct(), "above")
     return found
 
 
-def depths(graph: DataFrame) -> DataFrame:
+def depths(graph: DataFrame, ups: Iterable[DataFrame] | None = None) -> DataFrame:
     """session_id, entry_id, depth: how many ancestors each entry has."""
     depth = graph.select("session_id", "entry_id", F.col("stable_parent_id").isNotNull().cast("long").alias("depth"))
     depth = written(depth, "depth")
-    for jump in jumps(graph):
+    for jump in jumps(graph) if ups is None else ups:
         far = depth.select("session_id", F.col("entry_id").alias("to"), F.col("depth").alias("more"))
         both = depth.join(jump, ["session_id", "entry_id"], "left").join(far, ["session_id", "to"], "left")
         depth = written(both.select("session_id", "entry_id", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth")
     return depth
 
 
-def reach_up(graph: DataFrame, asked: DataFrame) -> DataFrame:
+def reach_up(graph: DataFrame, asked: DataFrame, ups: Iterable[DataFrame] | None = None) -> DataFrame:
     """session_id, entry_id, steps, reached for asked (session_id, entry_id, steps): the entry so many steps above, or null."""
     at = written(asked.select("session_id", "entry_id", "steps").distinct().withColumn("reached", F.col("entry_id")).withColumn("left", F.col("steps")), "reach")
-    for jump in jumps(graph):
+    for jump in jumps(graph) if ups is None else ups:
         on = jump.select("session_id", F.col("entry_id").alias("reached"), F.col("to").alias("next"))
         odd = F.col("left") % 2 == 1
         moved = at.join(on, ["session_id", "reached"], "left")
@@ -172,7 +172,8 @@ def navigation(moves: DataFrame, graph: DataFrame, slots: DataFrame, resolved: D
     as they differ in depth is the source, and the nearest slot at or above it is no deeper than the source.
     """
     keys = ["session_id", "target_id"]
-    deep = written(depths(graph), "depth")
+    ups = list(jumps(graph))
+    deep = depths(graph, ups)
     marks = slots.select("session_id", "entry_id", F.lit("slot").alias("tree_oid"))
     nearest = nearest_checkpoint(graph, marks).select("session_id", F.col("entry_id").alias("target_id"), F.col("found_at").alias("entry_id"))
     nearest = nearest.join(deep, ["session_id", "entry_id"]).select(*keys, F.col("depth").alias("slot_depth"))
@@ -181,7 +182,7 @@ def navigation(moves: DataFrame, graph: DataFrame, slots: DataFrame, resolved: D
     found = resolved.filter("tree_oid is not null").select("session_id", F.col("entry_id").alias("target_id"), F.lit(True).alias("found"))
     met = moves.join(of("source_id", "source_depth"), ["session_id", "source_id"], "left").join(of("target_id", "target_depth"), keys, "left")
     met = written(met.withColumn("steps", F.col("target_depth") - F.col("source_depth")), "moves")
-    up = reach_up(graph, met.filter("steps >= 0").select("session_id", F.col("target_id").alias("entry_id"), "steps")).withColumnRenamed("entry_id", "target_id")
+    up = reach_up(graph, met.filter("steps >= 0").select("session_id", F.col("target_id").alias("entry_id"), "steps"), ups).withColumnRenamed("entry_id", "target_id")
     both = met.join(up, [*keys, "steps"], "left").join(nearest, keys, "left").join(shut, keys, "left").join(found, keys, "left")
     has = F.coalesce("found", F.lit(False))
     inherits = (F.col("reached") == F.col("source_id")) & (F.col("slot_depth").isNull() | (F.col("slot_depth") <= F.col("source_depth")))

@@ -240,3 +240,22 @@ def test_large_contents_are_converted(spark):
     assert bad.isEmpty() and b"".join(at[r.chunk_id] for r in flat) == data
     with pytest.raises(ValueError):
         compaction.collect(None, None, None, None, None, 5, -1)
+
+
+def test_cycle_rewrites_a_size_tier(spark):
+    df = spark.createDataFrame
+    packs = [(f"p{k}", "content", f"c{k}", 100 + k, 100 + k) for k in range(6)] + [("big", "content", "z", 5000, 5000), ("half", "content", "x", 10, 10), ("half", "content", "dead", 30, 30)]
+    entries = df(packs, "pack_id string, kind string, logical_id string, length long, decoded_length long")
+    objects_ = df([("none", False, 9)], "object_id string, temporary boolean, modified long")
+    live = df([("t", i) for _, _, i, _, _ in packs if i != "dead"], "tree_oid string, logical_id string")
+    reach = lambda roots: live.join(roots, "tree_oid", "left_semi").select(F.lit("content").alias("kind"), "logical_id")
+    wrote = []
+    run = lambda **x: compaction.cycle(entries, objects_, lambda: df([("t",)], "tree_oid string"), reach, lambda placed, _: wrote.append({r.key: r.batch for r in placed.collect()}), F.lit(5), **x).first()
+    told = run()
+    # the partial pack's live record, and the first four packs of the lowest tier that has four
+    assert wrote[-1] == {f"content:{i}": 0 for i in ("x", "c0", "c1", "c2", "c3")} and told.rewritten_packs == 5
+    assert run(budget=200).rewritten_packs == 1 and wrote[-1] == {"content:x": 0}  # the tier does not fit
+    assert run(target=50).rewritten_packs == 1  # rewriting would not make fewer packs
+    bases = df([("content:c3", "content:c0"), ("content:c1", "content:gone")], "target_id string, base_id string")
+    run(bases=bases, target=250)
+    assert wrote[-1]["content:c3"] == wrote[-1]["content:c0"]
