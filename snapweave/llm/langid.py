@@ -2,7 +2,8 @@
 
 Each letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) its letters' vectors, the first rotated by
 two places and the second by one; a text's vector bundles (adds) those of all its trigrams; a language's prototype bundles the
-unit vectors of its training texts. A text gets the language whose prototype has the largest cosine.
+unit vectors of its training texts. A text gets the language whose prototype has the largest cosine. Two random vectors have a cosine of
+about 1 / sqrt(DIM); a text of some length that is no more like any prototype than three times that is in no language that was learned.
 
 Null texts and texts without letters are ``und`` with score 0. Ties go to the language that is first by code point. Where no
 labelled text exists, everything is ``und``. Texts of any length are read whole; repeated rows are predicted alike; other
@@ -29,6 +30,8 @@ TRAIN_DOCS = 5000
 #: A model has a row for each language and goes to every task; more labels than this are an error.
 MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
+#: Trigrams from which on a text's profile can be told from chance, and how many deviations of chance its cosine must pass.
+TOLD_FROM, DEVIATIONS = 30, 3.0
 
 
 class Encoder:
@@ -52,7 +55,7 @@ class Encoder:
         return np.unique((symbol[:-2] * (SYMBOLS + 1) + symbol[1:-1]) * (SYMBOLS + 1) + symbol[2:], return_counts=True)
 
     def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of each text, and whether it has letters."""
+        """The unit vector of each text, and how many trigrams it has; none if it has no letters."""
         grams = [self.trigrams(t or "") for t in texts]
         codes, where = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
         out = np.zeros((len(texts), self.dim), np.float32)
@@ -66,10 +69,10 @@ class Encoder:
                 dense[row[own], where[own] - i] = count[own]
                 out += dense @ bound.astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.maximum(norm, 1e-9), np.array([len(g[0]) > 0 for g in grams], bool)
+        return out / np.maximum(norm, 1e-9), np.array([g[1].sum() for g in grams], np.int64)
 
     def batches(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Start, vectors and letter flags of runs of at most 64 texts or about 500,000 characters."""
+        """Start, vectors and numbers of trigrams of runs of at most 64 texts or about 500,000 characters."""
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t or "")
@@ -119,23 +122,24 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str],
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], inside: int | None = None) -> DataFrame:
-    """keep, lang_pred and score (the cosine, 0 where negative). inside: the text is that field of the only kept column, a struct."""
+    """keep, lang_pred, score (the cosine, 0 where negative) and grams, the number of trigrams. inside: the text is that field of the only kept column, a struct."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("grams", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prototypes = sent.value
         encoder = Encoder()
         for batch in batches:
-            pred, score = [], []
+            pred, score, grams = [], [], []
             texts = batch.column("_t") if inside is None else batch.column(0).field(inside)
-            for _, vectors, lettered in encoder.batches(texts.to_pylist()):
+            for _, vectors, sizes in encoder.batches(texts.to_pylist()):
                 cosine = vectors @ prototypes.T if langs else np.zeros((len(vectors), 0))
-                for k, ok in enumerate(lettered):
-                    best = int(cosine[k].argmax()) if ok and langs else -1
+                grams += sizes.tolist()
+                for k, size in enumerate(sizes):
+                    best = int(cosine[k].argmax()) if size and langs else -1
                     pred.append(langs[best] if best >= 0 else UNKNOWN)
                     score.append(float(min(1.0, max(0.0, cosine[k][best]))) if best >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(grams, pa.int64())], names=[*keep, "lang_pred", "score", "grams"])
 
     return docs.select(*keep, *([F.col("text").alias("_t")] if inside is None else [])).mapInArrow(run, schema)
 
@@ -149,9 +153,14 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; the columns of docs. Where no language can be learned, all documents."""
+    """The documents whose language can be told; the columns of docs. Where no language can be learned, all documents.
+
+    Texts without letters go, and those of TOLD_FROM trigrams or more whose profile is no nearer to any language than chance. Shorter
+    ones, of which a profile says little, stay.
+    """
     held = id_remainder(F.col("doc_id"), 5) == 0
     model = learn(docs.filter(~held).select("doc_id", "lang", "text"))
     if not model[0]:
         return docs
-    return predict(docs.select(whole_row(docs)), model, ["row"], docs.columns.index("text")).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    told = (F.col("grams") < TOLD_FROM) | (F.col("score") > DEVIATIONS / DIM**0.5)
+    return predict(docs.select(whole_row(docs)), model, ["row"], docs.columns.index("text")).filter(told & (F.col("lang_pred") != UNKNOWN)).select("row.*")

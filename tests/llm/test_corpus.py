@@ -104,7 +104,8 @@ def test_language_id(docs, empty):
     assert langid.identify(empty).count() == 0
     kept = langid.keep_known(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows())
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    assert collections.Counter(r[0] for r in rows() if any(c.isalpha() for c in r[1] or "")) - ids == {64: 1}  # of several scripts
     assert langid.keep_known(empty).columns == docs.columns
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
@@ -114,13 +115,29 @@ def test_trigram_vectors_bind_and_bundle():
     encoder = langid.Encoder(dim=64)
     codes, counts = encoder.trigrams("Abab, ab!")
     assert counts.sum() == 7  # of " abab ab "
-    vectors, lettered = encoder.vectors(["abab ab", "1 2", None])
+    vectors, sizes = encoder.vectors(["abab ab", "1 2", None])
     want = np.zeros(64)
     symbols = [0, *(ord(c) % langid.SYMBOLS + 1 if c != " " else 0 for c in "abab ab"), 0]
     for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
         want += encoder.items[0][a].astype(int) * encoder.items[1][b] * encoder.items[2][c]
     assert np.allclose(vectors[0], want / np.linalg.norm(want), atol=1e-5)
-    assert lettered.tolist() == [True, False, False]
+    assert sizes.tolist() == [7, 0, 0]
+
+
+def test_texts_of_no_learned_language_go(spark, docs):
+    rng = random.Random(31)
+    odd = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(60)) for letters in ("абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρ", "日本語文字列検査用例")]
+    more = spark.createDataFrame([(1000 + k, t, None, "s0", len(t), 1.5, "r", "k", 7, "z", "f", 3, "q") for k, t in enumerate([*odd, "да", "ясно так"])], SCHEMA)
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(more)).collect() if r.doc_id is not None}
+    assert {1000, 1001, 1002}.isdisjoint(kept) and {1003, 1004} <= kept and set(range(60)) <= kept  # two words are too little to tell
+
+
+def test_training_rows_are_drawn_one_by_one(spark):
+    """Many rows of one id, or of none, all teach; the bound holds for them too."""
+    some = [((None, 8)[k % 2], f"the word number {k} of them all", "en") for k in range(3000)] + [(k, "das ist ein satz", "de") for k in range(40)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(4)
+    langs, prototypes = langid.learn(df, train_docs=500)
+    assert langs == ["de", "en"] and np.allclose(np.linalg.norm(prototypes, axis=1), 1, atol=1e-4)
 
 
 def test_separator_scan(spark, docs, empty):
