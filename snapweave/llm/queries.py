@@ -93,4 +93,17 @@ f as (select *, cast((n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_wo
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed, 'strict-2' as policy from f
 """
 
-ORACLES = {"op3_mixing": OP3_SQL, "op8_quality": OP8_SQL}
+OP7_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+a as (select distinct item_id, l, array_to_string(w[k:k + l - 1], ' ') as g from (select item_id, w, least(13, len(w)) as l, unnest(range(1, len(w) - least(13, len(w)) + 2)) as k from i where len(w) > 0)),
+b as (select rid, l, k, array_to_string(w[k:k + l - 1], ' ') as g from (select rid, w, l, unnest(range(1, len(w) - l + 2)) as k from d cross join (select distinct l from a) where len(w) >= l)),
+h as (select rid, k, l, item_id from b join a using (l, g)),
+c as (select rid, count(distinct k + o) as n_hit from h, range(0, 13) as r(o) where o < l group by rid),
+s as (select rid, list_sort(list(distinct cast(item_id as varchar)) filter (item_id is not null)) as ids from h group by rid),
+f as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256
+      from d left join c using (rid) left join s using (rid))
+select *, n_hit > 0 and 20 * n_hit >= n_words as contaminated from f
+"""
+
+ORACLES = {"op3_mixing": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_quality": OP8_SQL}
