@@ -1,6 +1,19 @@
 """A corpus pipeline: five stages of the snapweave.llm operators, from the raw documents to shards.
 
-Each stage reads what its predecessor kept and returns the columns of documents; the last adds old_shard and shard.
+Each stage reads what its predecessor kept and returns the columns of documents; the last adds old_shard and shard (in place of columns of
+these names).
+
+1. Language ID drops texts without letters, and long ones in no language that was learned; null and empty texts so go here. If there is
+   no label to learn from, all documents stay.
+2. Of each group of near-duplicates the document with the smallest doc_id stays (nulls last; rows that agree in all but other columns:
+   one of them), a document without words being near every other such one.
+3. Documents go of which a twentieth of the words or more lies in passages of the benchmark. An empty benchmark drops nothing.
+4. Documents are repeated, cut or left out so that sources meet their targets; a null source is one of its own; ties at a cut share
+   what is left there.
+5. Every document gets a shard; equal texts lie together, unless they exceed a shard.
+
+Null doc_ids and repeated rows are rows like others. Texts are taken whole, of any length. Columns with clashing names are carried inside
+one column. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
