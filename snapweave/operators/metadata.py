@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sqlite3
 from urllib.parse import quote
@@ -77,7 +78,10 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def inspect(path: str, session_id: str, session_file: str) -> str:
-    """What a database, read only, says of an identity: absent, exact, conflict, newer (a later version) or unrecognized."""
+    """What a database, read only, says of an identity: absent, exact, conflict, newer (a later version), unrecognized, or
+    recovery-required, where a journal beside it must be played back first, which a reader does not do."""
+    if os.path.exists(f"{path}-journal") and os.path.getsize(f"{path}-journal"):
+        return "recovery-required"
     db = _open(path)
     try:
         db.execute("begin")

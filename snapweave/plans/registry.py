@@ -1146,3 +1146,131 @@ def shown_paths(spark, d):
     c = fx.table(spark, d, "customer")
     raw = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("\\x")))
     return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"), trees.display_path(raw).alias("shown"))
+
+
+# further operators, a row for each of the tables' rows
+
+
+@query("select c_custkey as id, case when c_custkey % 5 = 0 then 'own' when c_custkey % 3 = 0 then 'all' else 'default' end || '-' || c_custkey as value from customer")
+def settings_overlay(spark, d):
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("name"))
+    layer = lambda tag, n: c.filter(F.col("name") % n == 0).select("name", F.concat(F.lit(tag), "name").alias("value"))
+    extra = spark.createDataFrame([(-1, "unknown")], "name long, value string")
+    return planning.overlay(layer("default-", 1), layer("all-", 3), layer("own-", 5).unionByName(extra)).select(F.col("name").alias("id"), "value")
+
+
+@query(
+    """select c_custkey as id, case c_custkey % 6 when 0 then true when 1 then true when 2 then c_custkey % 4 < 2 when 3 then true when 4 then false else c_custkey % 4 = 0 end as relevant from customer"""
+)
+def ignore_relevance(spark, d):
+    path = F.expr("case c_custkey % 6 when 0 then '.gitignore' when 1 then 'a/.gitignore' when 2 then 'ab/.gitignore' when 3 then 'a/b/.gitignore' when 4 then 'a/ignore' else 'x/.gitignore' end")
+    prefix = F.expr("case when c_custkey % 6 = 2 then if(c_custkey % 4 < 2, 'ab/c', 'a') when c_custkey % 6 = 5 then if(c_custkey % 4 = 0, '', 'a') else 'a' end")
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), trees.source_is_relevant(path, prefix).alias("relevant"))
+
+
+@query("select session_id, not bool_or(coalesce(ord = 2 and session_id % 4 = 0, false)) as extends from graph where ord < 5 group by session_id", "graph")
+def coordinates_extension(spark, d):
+    """The first coordinates of each session against the session, in some of which the third has another type."""
+    g = graph(spark, d).join(fx.entries(spark, d).select("session_id", "entry_id", "type", "role"), ["session_id", "entry_id"]).withColumnRenamed("ord", "pos")
+    now = g.withColumn("type", F.when((F.col("pos") == 2) & (F.col("session_id") % 4 == 0), "other").otherwise(F.col("type")))
+    return sessions.coordinates_extend(g.filter("pos < 5"), now)
+
+
+@query(
+    """, proven as (select session_id, entry_id from graph where stable_parent_id is null union all select g.session_id, g.entry_id from graph g join proven p on p.session_id = g.session_id and p.entry_id = g.stable_parent_id where g.entry_id % 13 <> 0)
+    select session_id + 1000000 as session_id, entry_id from proven""",
+    "graph",
+)
+def fork_proven(spark, d):
+    """A fork that has all of its source's coordinates, some below another parent: what hangs on those is not proven."""
+    g = graph(spark, d)
+    parent = F.expr("case when entry_id % 13 = 0 and stable_parent_id is not null then -1 else stable_parent_id end")
+    return planning.proven(g, g.select((F.col("session_id") + 1000000).alias("session_id"), F.col("session_id").alias("source_session"), "entry_id", parent.alias("stable_parent_id"), "ord"))
+
+
+BODY = f"(7 + {VARINT.format('r')} + case when r > 0 then b + r * {VARINT.format('b')} else 0 end)"
+
+
+@query(
+    f"""select id, cast({BODY} + 6 + {VARINT.format('r')} * 257 + r * (42 + {VARINT.format('greatest(0, r - 1)')} + {VARINT.format(BODY)} * 2) + 72 as bigint) as bound
+    from (select o_orderkey as id, cast(o_orderkey % 65536 as bigint) as r, cast(o_custkey as bigint) * 977 as b from orders)"""
+)
+def pack_size_bounds(spark, d):
+    o = fx.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), compaction.pack_bytes_bound((F.col("o_orderkey") % 65536).cast("long"), F.col("o_custkey").cast("long") * 977).alias("bound"))
+
+
+KIND = "case c_custkey % 6 when 0 then 'content' when 1 then 'recipe' when 2 then 'tree-root' when 3 then 'tree-node' when 4 then 'scope' else 'other' end"
+ENCODING = "case c_custkey % 5 when 0 then 'raw' when 1 then 'zstd-v1' when 2 then 'delta1' when 3 then 'chunked-v1' else 'lzma' end"
+
+
+@query(
+    f"""select id, case when kind = 'content' then 'data' when kind <> 'other' then 'metadata' end as class, kind <> 'other' and (encoding in ('raw', 'zstd-v1') or kind = 'content' and encoding <> 'lzma') as compatible
+    from (select c_custkey as id, {KIND} as kind, {ENCODING} as encoding from customer)"""
+)
+def record_kinds(spark, d):
+    kind, encoding = F.expr(KIND), F.expr(ENCODING)
+    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), objects.pack_class(kind).alias("class"), objects.compatible(kind, encoding).alias("compatible"))
+
+
+@query("select 'c' || (s_nationkey % 2) as class, count(*) as records, cast(sum(s_suppkey * 37 % 1000) as bigint) as bytes from supplier group by all")
+def gc_plan_metrics(spark, d):
+    own = fx.table(spark, d, "supplier").selectExpr("concat('c', s_nationkey % 2) as class", "sha2(cast(s_suppkey as string), 256) as key", "s_suppkey * 37 % 1000 as length")
+    none = own.select(F.col("key").alias("target_id"), F.col("key").alias("base_id")).limit(0)
+    return compaction.plan_metrics(compaction.plan(own, none, 5000)[0], own).select("class", "records", "bytes")
+
+
+@query(
+    """with k as (select distinct 'k' || (l_partkey % 40) as key from lineitem where l_suppkey % 2 = 0), g as (select 'k' || (l_partkey % 60) as key, max(100 + l_partkey % 60) as n from lineitem group by all)
+    select key from k union all select key from g where key not in (select key from k) and (select sum(n) from g where key not in (select key from k)) <= 8000"""
+)
+def gc_tier_extension(spark, d):
+    rows = fx.table(spark, d, "lineitem")
+    selected = rows.filter("l_suppkey % 2 = 0").select(F.expr("concat('k', l_partkey % 40)").alias("key")).distinct()
+    group = rows.select(F.expr("concat('p', l_suppkey)").alias("pack_id"), F.expr("concat('k', l_partkey % 60)").alias("key"), F.expr("100 + l_partkey % 60").alias("decoded_length"))
+    return compaction.extend_with_tier(selected, group, 2000, 10_000)
+
+
+@query("""select c_custkey as id, '{"b":' || c_custkey || ',"a":["x","é",null]}' || chr(10) as document from customer""")
+def canonical_documents(spark, d):
+    c = fx.table(spark, d, "customer")
+    loose = F.concat(F.lit('{ "b" : '), F.col("c_custkey").cast("string"), F.lit(',\t"a": ["x", "\\u00e9", null ]}  '))
+    return c.select(F.col("c_custkey").alias("id"), trees.canonical_json(loose).alias("document"))
+
+
+@query(
+    """select case c_custkey % 5 when 0 then 'not-archived' when 1 then 'other-content' else 'not-managed' end as rule, 'd' || c_custkey || '/.gitignore' as path from customer where c_custkey % 5 in (0, 1, 2)"""
+)
+def scope_bindings(spark, d):
+    """Ignore files in folders by customer: some not archived, some of other bytes, some archived only."""
+    c = fx.table(spark, d, "customer").withColumn("path", F.expr("concat('d', c_custkey, '/.gitignore')"))
+    oid = F.sha2("c_name", 256)
+    entries = c.filter("c_custkey % 5 <> 2").select("path", oid.alias("oid")).unionByName(c.select(F.concat(F.lit("f/"), "c_name").alias("path"), oid.alias("oid")))
+    return planning.scope_bindings(entries, c.filter("c_custkey % 5 <> 0").select("path", F.when(F.col("c_custkey") % 5 == 1, F.sha2(F.lit("x"), 256)).otherwise(oid).alias("oid")))
+
+
+@query(
+    """select case c_custkey % 7 when 0 then 'not-canonical' when 1 then 'not-a-source' else 'duplicate' end as rule, c_nationkey as scope,
+      'd' || c_custkey || case when c_custkey % 7 = 1 then '/ignore' else '/.gitignore' end as path from customer where c_custkey % 7 in (0, 1, 2)"""
+)
+def scope_problems(spark, d):
+    c = fx.table(spark, d, "customer")
+    path = F.concat(F.lit("d"), F.col("c_custkey").cast("string"), F.expr("if(c_custkey % 7 = 1, '/ignore', '/.gitignore')"))
+    coded = F.concat(F.base64(F.col("c_custkey").cast("string").cast("binary")), F.expr("if(c_custkey % 7 = 0, ' ', '')"))
+    rows = c.select(F.col("c_nationkey").alias("scope"), path.alias("path"), coded.alias("contents"), "c_custkey")
+    again = rows.filter("c_custkey % 7 = 2").withColumn("path", F.concat(F.lit("D"), F.substring("path", F.lit(2), F.char_length("path"))))
+    return trees.scope_problems(rows.unionByName(again).drop("c_custkey"))
+
+
+@query(
+    """with p as (select logical_id, pack_id, "offset", length from (select logical_id, pack_id, row_number() over (partition by pack_id order by logical_id) as "offset", length from pack_entry)),
+    w as (select logical_id, any_value(h) as hinted from (select logical_id, false as h from p union all select 'none-' || n_nationkey, false from nation) group by all)
+    select w.logical_id, min(struct_pack(p := p.pack_id, o := p."offset", l := p.length)).p as pack_id, coalesce(bool_or(p.pack_id < '8'), false) as hinted from w left join p using (logical_id) group by w.logical_id""".replace("with p", "select * from (with p", 1) + ")",
+    "pack_entry",
+)
+def located_records(spark, d):
+    """An index that knows the packs below 8, right for all of these, wrong for none; the rest is found in the footers."""
+    own = fx.pack_entries(spark, d).withColumn("offset", F.row_number().over(Window.partitionBy("pack_id").orderBy("logical_id")))
+    footers = own.select("logical_id", "pack_id", "offset", "length")
+    wanted = footers.select("logical_id").distinct().unionByName(fx.table(spark, d, "nation").select(F.expr("concat('none-', n_nationkey)").alias("logical_id")))
+    return objects.locate(wanted, footers.filter("pack_id < '8'"), footers).select("logical_id", "pack_id", "hinted")

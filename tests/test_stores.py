@@ -110,6 +110,8 @@ def test_metadata_databases(spark, tmp_path):
     db.execute("pragma user_version = 9")
     db.commit()
     assert metadata.inspect(path, "s", "f") == "newer"
+    (tmp_path / "meta.db-journal").write_bytes(b"x")
+    assert metadata.inspect(path, "s", "f") == "recovery-required"
     other = database(str(tmp_path / "other.db"), 2, {**metadata.TABLES, "session_registry": "create table session_registry(session_id text)"})
     assert metadata.schema_problems(other) == [("", "version"), ("session_registry", "other")]
     assert metadata.normalized_sql(" a  ( 'x ,  y' ,\n[b  c] ) ") == "a('x ,  y',[b  c])" and metadata.normalized_sql(None) == ""
