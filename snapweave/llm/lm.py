@@ -188,6 +188,13 @@ class Model:
         return out
 
 
+def model_of(state: dict) -> Model:
+    """A model from its attributes, which are what tasks are sent: a broadcast object would need the package there."""
+    model = Model.__new__(Model)
+    model.__dict__.update(state)
+    return model
+
+
 def summed(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """The sum of the rows of each symbol, 0 for padding."""
     symbols = symbols.astype(np.uint16)
@@ -266,8 +273,7 @@ class Tour:
     """One task's way through a round: its windows of a run of documents after another, in batches drawn at random without repeats."""
 
     def __init__(self, model: Model, turn: tuple, times: int, expected: float, seed: int):
-        self.model = Model.__new__(Model)
-        self.model.__dict__.update(model.__dict__)
+        self.model = model_of(model.__dict__)
         self.adam, self.turn, self.times, self.expected = Adam(self.model), turn, times, max(expected, 1.0)
         self.rng, self.seen = np.random.default_rng(seed), 0
 
@@ -375,10 +381,11 @@ def go_through(symbols: DataFrame, model: Model, n_symbols: int) -> list[int]:
     times, seen = times_through(n_symbols), []
     tasks = max(symbols.rdd.getNumPartitions(), 1)
     for turn in ROUNDS:
-        sent = symbols.sparkSession.sparkContext.broadcast((model, turn, times, n_symbols / STRIDE * (turn[1] - turn[0]) / 16 * times / tasks))
+        sent = symbols.sparkSession.sparkContext.broadcast((dict(model.__dict__), turn, times, n_symbols / STRIDE * (turn[1] - turn[0]) / 16 * times / tasks))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tour = Tour(*sent.value, 13)
+            state, *rest = sent.value
+            tour = Tour(model_of(state), *rest, 13)
             for batch in batches:
                 for _, docs in runs(batch, 0, 1 << 20):
                     tour.run([np.frombuffer(d, np.uint16) for d in docs])
@@ -544,12 +551,13 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     model = Model(id_counts(counts, path), n_docs)
     coded = cut(encoded(docs.select("doc_id", held.alias("held_out"), "text"), model, often, n_docs, scale, path), "symbols")
     learn(coded.filter("not held_out").select("doc"), model)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(dict(model.__dict__))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(sent.value)
         for batch in batches:
             for start, some in runs(batch, batch.num_columns - 1, 1 << 20):
-                got = sent.value.score([np.frombuffer(d, np.uint16) for d in some])
+                got = model.score([np.frombuffer(d, np.uint16) for d in some])
                 part = batch.slice(start, len(some))
                 score = (got + part.column("extra").to_numpy()) / math.log(10)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(score)], names=[*part.schema.names[:-2], "score"])
