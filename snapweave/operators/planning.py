@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.tables import written
 from .chunks import delta_bytes, simple_delta
 
 #: Fixed values of the planners.
@@ -110,6 +111,17 @@ def roots(slots: DataFrame, most: int | None = None) -> DataFrame:
     return (found if most is None else at_most(found, most)).orderBy("tree_oid")
 
 
+def root_pages(slots: DataFrame, most: int) -> DataFrame:
+    """page, tree_oid of all slots that have one, each once: page 0 has the first ``most`` in order, and what is over is on the pages
+    after it, each as large but the last. Roots are numbered in ranges, so no task holds them all."""
+    if most < 1:
+        raise ValueError("a page has a root at least")
+    ranges = written(slots.filter("tree_oid is not null").select("tree_oid").distinct().repartitionByRange("tree_oid").withColumn("part", F.spark_partition_id()), "roots")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ranges.join(F.broadcast(before), "part").select(F.expr(f"(before + row_number() over (partition by part order by tree_oid) - 1) div {most}").alias("page"), "tree_oid")
+
+
 def policy_budget(changes: DataFrame, most_sources: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
     """scope, sources, bytes, first_over of ignore sources that were set one after another (scope, seq, path, bytes): a path's later
     bytes replace its earlier ones. first_over is the first seq at which the number or the sum passed its limit, or null."""

@@ -388,7 +388,7 @@ def slot_violations(spark, d):
 
 @query("select tree_oid from (select distinct tree_oid from slot where tree_oid is not null) order by tree_oid", "slot")
 def gc_roots_bounded(spark, d):
-    return planning.roots(fx.slots(spark, d), 1_000_000)
+    return planning.root_pages(fx.slots(spark, d), 1_000_000).orderBy("page", "tree_oid").select("tree_oid")
 
 
 @query("select session_id, entry_id, case when entry_id % 5 = 0 then sha256('up-' || entry_id) else tree_oid end as tree_oid, case when entry_id % 5 = 0 then 'open' else capture_state end as capture_state from slot", "slot")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from snapweave.functions import paths
 from snapweave.operators import chunks, compaction, drift, formats, history, manifest, metadata, planning, storage
+from snapweave.plans import registry
 from snapweave.sources import objects, scope, settings
 from snapweave.streaming import observer
 
@@ -199,6 +200,19 @@ def test_budgets_preflight_and_closures(spark):
         planning.roots(slots, 1).collect()
 
 
+def test_roots_beyond_a_page(spark, tmp_path):
+    slots = spark.createDataFrame([(x,) for x in ["x", "y", "x", None, "a", "z", "b"]], "tree_oid string")
+    for most, want in ((1, [0, 1, 2, 3, 4]), (2, [0, 0, 1, 1, 2]), (5, [0] * 5), (6, [0] * 5)):
+        assert rows(planning.root_pages(slots, most)) == list(zip(want, "abxyz", strict=True))
+    assert planning.root_pages(slots.limit(0), 2).isEmpty()
+    with pytest.raises(ValueError, match="page"):
+        planning.root_pages(slots, 0)
+    events = spark.range(1_000_001).selectExpr("id as event_id", "id % 9 as user_id", "if(id = 3, 'signup', 'purchase') as event_type").union(spark.range(1_000_001, 1_000_004).selectExpr("id", "id", "'purchase'"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = [r[0] for r in registry.gc_roots_bounded(spark, str(tmp_path)).collect()]
+    assert len(got) == 1_000_003 and got == sorted({hashlib.sha256(str(i).encode()).hexdigest() for i in range(1_000_004) if i != 3})
+
+
 def test_staging(spark, tmp_path):
     needed = spark.createDataFrame([(oid("a"),), (oid("b"),), (oid("a"),)], "blob_oid string")
     held = spark.createDataFrame([(oid("a"), b"a"), (oid("b"), b"b"), (oid("c"), b"c")], "logical_id string, content binary")
