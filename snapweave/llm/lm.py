@@ -69,8 +69,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def word_encoder(path: str):
-    """A function from words to the ids of each with a blank before it, as bytes of unsigned 16-bit integers."""
+    """A function from words to the ids of each with a blank before it, as bytes of unsigned 16-bit integers.
+
+    Words are encoded together: the tokenizer parts a text before each blank, so only the first id of a word begins with one. Words with
+    white space of their own, which it could join with the blank, are encoded one by one."""
     import base64
+    import re
 
     import public_tokenizers
     import tiktoken
@@ -78,7 +82,23 @@ def word_encoder(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda words: [array("H", encode(" " + w.decode("utf-8", "replace"))).tobytes() for w in words]
+    blank, odd = np.zeros(max(ranks.values()) + 1, bool), re.compile(r"[^\S ]")
+    blank[[k for b, k in ranks.items() if b.startswith(b" ")]] = True
+
+    def run(words: list[bytes]) -> list[bytes]:
+        text = b" ".join(words).decode("utf-8", "replace")
+        if odd.search(text):
+            texts = [w.decode("utf-8", "replace") for w in words]
+            alone = [k for k, w in enumerate(texts) if odd.search(w)]
+            held = set(alone)
+            out = iter(run([w for k, w in enumerate(words) if k not in held]))
+            return [array("H", encode(" " + w)).tobytes() if k in held else next(out) for k, w in enumerate(texts)]
+        ids = np.array(encode(" " + text) if words else [], np.uint16)
+        edges = [*(2 * np.flatnonzero(blank[ids])).tolist(), 2 * len(ids)]
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    return run
 
 
 class Model:
@@ -128,7 +148,7 @@ class Model:
         ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
         ones[PAD] = 0
         q, k, v = (self.q * np.float32(1 / math.sqrt(DIM))).take(x[:, -STRIDE:], axis=0), self.k.take(x, axis=0), ones.take(x, axis=0)
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
         a += self.bias()[0]
         np.exp(a, out=a)
         return q, k, v, a, np.matmul(a, v)
@@ -148,15 +168,17 @@ class Model:
         before, own = x[:, -STRIDE:].reshape(-1)[real], h.take(real, axis=0)
         l1 = own @ self.u1
         l1 += self.b1.take(before, axis=0)
-        l2 = by_class.take(c * (SYMBOLS + 1) + before, axis=0)
+        l2, added = by_class.take(c * (SYMBOLS + 1) + before, axis=0), np.empty((len(real), MEMBERS), own.dtype)
         for j in range(CLASSES):
             a, b = edges[j : j + 2]
             if a < b:
-                l2[a:b] += own[a:b] @ self.u2[j].T
+                np.matmul(own[a:b], self.u2[j].T, out=added[a:b])
+        l2 += added
         return real, c, y[real] % MEMBERS, own, edges, l1, l2
 
-    def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (windows by WIDTH), targets and document numbers (windows by STRIDE; -1 beyond a document's end)."""
+    def laid(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Views of the inputs (WIDTH) and targets (STRIDE; -1 beyond a document's end) from every place on; where windows start, and
+        their document numbers. Only what is taken from the views is copied."""
         n = np.array([len(d) for d in docs])
         count = -(-n // STRIDE)
         lead = WIDTH - STRIDE
@@ -167,15 +189,21 @@ class Model:
         for o, d in zip((offset[:-1] + lead).tolist(), docs, strict=True):
             x[o], x[o + 1 : o + len(d)], y[o : o + len(d)] = END_SYMBOL, d[:-1], d
         doc = np.repeat(np.arange(len(docs)), count)
-        first = offset[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-        return x[first[:, None] + np.arange(WIDTH)], y[first[:, None] + lead + np.arange(STRIDE)], doc
+        first = (offset[:-1] - (np.cumsum(count) - count) * STRIDE)[doc] + np.arange(len(doc)) * STRIDE
+        view = np.lib.stride_tricks.sliding_window_view
+        return view(x, WIDTH), view(y[lead:], STRIDE), first, doc
+
+    def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (windows by WIDTH), targets and document numbers (windows by STRIDE)."""
+        xs, ys, first, doc = self.laid(docs)
+        return xs[first], ys[first], doc
 
     def score(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
         """The natural log probability of each document's symbols; each symbol counts in one window."""
         out, by_class, one = np.zeros(len(docs)), self.by_class(), np.ones(MEMBERS, np.float32)
-        xs, ys, doc = self.windows(docs)
-        for i in range(0, len(xs), chunk):
-            x, y = xs[i : i + chunk], ys[i : i + chunk].reshape(-1)
+        xs, ys, first, doc = self.laid(docs)
+        for i in range(0, len(first), chunk):
+            x, y = xs[first[i : i + chunk]], ys[first[i : i + chunk]].reshape(-1)
             h = self.attend(x)[-1].reshape(-1, DIM + 1)
             real, c, member, _, _, l1, l2 = self.heads(h[:, :DIM] / h[:, DIM:], x, y, by_class)
             at = np.arange(len(real))
@@ -196,13 +224,13 @@ def model_of(state: dict) -> Model:
 
 
 def summed(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The sum of the rows of each symbol, 0 for padding."""
+    """The sum of the 32-bit rows of each symbol, 0 for padding. Two columns are added at once, as parts of a complex number."""
     symbols = symbols.astype(np.uint16)
     order = np.argsort(symbols, kind="stable")
     found = symbols[order]
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     out = np.zeros((SYMBOLS + 1, rows.shape[1]), np.float32)
-    out[found[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    out[found[first]] = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
     out[PAD] = 0
     return out
 
@@ -215,58 +243,73 @@ class Adam:
         self.m1, self.m2 = ({n: np.zeros_like(getattr(model, n)) for n in WEIGHTS} for _ in range(2))
         self.by_class, self.far, self.one = model.by_class(), model.bias()[1], np.ones(MEMBERS, np.float32)
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """By weight, and the mean loss."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, measured: bool = True) -> tuple[dict[str, np.ndarray], float]:
+        """By weight, and the mean loss (0 if that isn't measured)."""
         model, n = self.model, len(x)
         q, k, v, p, h = model.attend(x)
-        padded = np.flatnonzero((x == PAD).any(axis=1))
+        padded = np.flatnonzero((x[:, 0] == PAD) | (x[:, -1] == PAD))  # padding is before a text's first symbol and after its last
         p[padded] *= (x[padded] != PAD)[:, None, :]
-        p /= h[:, :, DIM:]
-        h = (h[:, :, :DIM] / h[:, :, DIM:]).reshape(-1, DIM)
+        by_sum = 1 / h[:, :, DIM:]
+        p *= by_sum
+        h = (h[:, :, :DIM] * by_sum).reshape(-1, DIM)
         real, c, member, own, edges, l1, l2 = model.heads(h, x, y, self.by_class)
-        at, share = np.arange(len(real)), np.float32(1 / max(len(real), 1))
-        loss = -float((l1[at, c] + l2[at, member]).sum())
+        at, share, loss = np.arange(len(real)) * MEMBERS, np.float32(1 / max(len(real), 1)), 0.0
         for d, target in ((l1, c), (l2, member)):  # from logits to the gradient by them
+            flat, target = d.reshape(-1), at + target
+            if measured:
+                loss -= float(flat.take(target).sum(dtype=np.float64))
             np.exp(d, out=d)
             total = d @ self.one
-            loss += float(np.log(total).sum())
+            if measured:
+                loss += float(np.log(total).sum())
             d *= (share / total)[:, None]
-            d[at, target] -= share
+            flat[target] -= share
         grad = {"u1": own.T @ l1, "u2": np.zeros_like(model.u2)}
-        back = l1 @ model.u1.T
+        back, added = l1 @ model.u1.T, np.empty_like(own)
         for j in range(CLASSES):
             a, b = edges[j : j + 2]
             if a < b:
-                grad["u2"][j] = l2[a:b].T @ own[a:b]
-                back[a:b] += l2[a:b] @ model.u2[j]
-        dh = np.zeros((n * STRIDE, DIM), np.float32)
-        dh[real] = back
-        mean = np.einsum("ij,ij->i", dh, h).reshape(n, STRIDE, 1)
-        dh = dh.reshape(n, STRIDE, DIM)
-        ds = np.matmul(dh, v[:, :, :DIM].transpose(0, 2, 1))
-        ds -= mean
+                np.matmul(l2[a:b].T, own[a:b], out=grad["u2"][j])
+                np.matmul(l2[a:b], model.u2[j], out=added[a:b])
+        back += added
+        # the mean that a softmax takes off is one more column, as the values have a column of ones
+        dh = np.zeros((n * STRIDE, DIM + 1), np.float32)
+        dh[real, :DIM] = back
+        dh[real, DIM] = -np.einsum("ij,ij->i", back, own)
+        dh = dh.reshape(n, STRIDE, DIM + 1)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
         ds *= p
         by_distance = (np.ones(n, np.float32) @ ds.reshape(n, -1)).reshape(STRIDE, WIDTH)
         grad["r"] = np.bincount(self.far[self.far >= 0], weights=by_distance[self.far >= 0], minlength=WIDTH).astype(np.float32)
         both = np.empty((n, WIDTH, 2 * DIM), np.float32)
         np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, :DIM])
-        np.matmul(p.transpose(0, 2, 1), dh, out=both[:, :, DIM:])
+        np.matmul(p.transpose(0, 2, 1), dh[:, :, :DIM], out=both[:, :, DIM:])
         both = summed(both.reshape(-1, 2 * DIM), x.reshape(-1))
         grad["k"], grad["v"] = both[:, :DIM], both[:, DIM:]
-        grad["q"] = summed(np.matmul(ds, k).reshape(-1, DIM), x[:, -STRIDE:].reshape(-1)) * np.float32(1 / math.sqrt(DIM))
+        own = np.matmul(ds, k).astype(np.float32, copy=False)
+        grad["q"] = summed(own.reshape(-1, DIM), x[:, -STRIDE:].reshape(-1)) * np.float32(1 / math.sqrt(DIM))
         return grad, loss * float(share)
 
-    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
-        """The loss of the batch before the move."""
-        grad, loss = self.gradient(x, y)
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        grad, _ = self.gradient(x, y, measured=False)
         self.steps += 1
         model, m1, m2 = self.model, self.m1, self.m2
         length, width = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
         for n in WEIGHTS:
-            m1[n] += np.float32(0.1) * (grad[n] - m1[n])
-            m2[n] += np.float32(0.01) * (grad[n] ** 2 - m2[n])
-            setattr(model, n, getattr(model, n) - length * m1[n] / (np.sqrt(m2[n] * width) + np.float32(1e-8)))
-        return loss
+            g = grad[n]
+            t = g - m1[n]
+            t *= np.float32(0.1)
+            m1[n] += t
+            np.multiply(g, g, out=t)
+            t -= m2[n]
+            t *= np.float32(0.01)
+            m2[n] += t
+            np.multiply(m2[n], width, out=t)
+            np.sqrt(t, out=t)
+            t += np.float32(1e-8)
+            np.divide(m1[n], t, out=t)
+            t *= length
+            setattr(model, n, getattr(model, n) - t)
 
 
 class Tour:
@@ -279,9 +322,9 @@ class Tour:
 
     def run(self, docs: list[np.ndarray]) -> None:
         low, high, batch, first, last = self.turn
-        xs, ys, _ = self.model.windows(docs)
-        number = np.arange(len(xs)) % 16
-        own = np.flatnonzero((number >= low) & (number < high))
+        xs, ys, starts, _ = self.model.laid(docs)
+        number = np.arange(len(starts)) % 16
+        own = starts[(number >= low) & (number < high)]
         for _ in range(self.times):
             order = self.rng.permutation(own)
             for i in range(0, len(order), batch):
@@ -343,7 +386,7 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sums = word_encoder(path), np.zeros(IDS, np.int64)
         for batch in batches:
-            coded = encode(batch.column(0).to_pylist())
+            coded = encode(batch.column(0).to_numpy(zero_copy_only=False).tolist())
             times = np.repeat(batch.column(1).to_numpy(), np.fromiter(map(len, coded), np.int64, len(coded)) // 2)
             sums += np.bincount(np.frombuffer(b"".join(coded), np.uint16), weights=times, minlength=IDS).astype(np.int64)
         found = np.flatnonzero(sums)
@@ -506,7 +549,7 @@ def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int,
             for start, stop in parts_of(batch.column(2), 1 << 22):
                 words, size = split_words(batch.column(2).slice(start, stop - start))
                 words = words.dictionary_encode()
-                distinct = words.dictionary.cast(pa.binary()).to_pylist()
+                distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
                 end, n = len(distinct), len(size)  # the end is one more word
                 coded, sizes = coder.run(distinct)
                 coded, sizes = np.append(coded, np.uint16(END_ID)), np.append(sizes, 1)
