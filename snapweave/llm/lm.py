@@ -48,6 +48,8 @@ ROUNDS = ((0, 2, 128, 0.03, 0.03), (2, 6, 256, 0.025, 0.02), (6, 16, 256, 0.015,
 LEAST = 250_000
 #: Pieces in which the weights are averaged.
 PIECES = 32
+#: Logits are kept in powers of two, since those are found faster.
+LOG2E, LN2 = math.log2(math.e), math.log(2)
 WEIGHTS = ("q", "k", "v", "u1", "u2", "r")
 HEAVY, HEAVY_BYTES = 100_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
@@ -135,44 +137,47 @@ class Model:
         self.r = (-0.1 * np.arange(WIDTH)).astype(np.float32)  # by distance
 
     def bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """By query (of the last STRIDE) and key: the bias of their distance, and that distance (-1 where the key is ahead)."""
-        far = (WIDTH - STRIDE + np.arange(STRIDE))[:, None] - np.arange(WIDTH)[None]
+        """By key and query (of the last STRIDE): the exponential of the bias of their distance (0 where the key is ahead), and that
+        distance (-1 there)."""
+        far = (WIDTH - STRIDE + np.arange(STRIDE))[None] - np.arange(WIDTH)[:, None]
         seen = far >= 0
-        return np.where(seen, self.r[np.maximum(far, 0)], np.float32(-1e9)).astype(np.float32), np.where(seen, far, -1)
+        return np.where(seen, np.exp(self.r)[np.maximum(far, 0)], 0).astype(np.float32), np.where(seen, far, -1)
 
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Queries, keys, values with a column of ones (padding has zeros), exponentials, and their sums of values and ones.
+        """Queries, keys, values with a column of ones (padding has zeros), exponentials by key and query, and their sums of values
+        and ones. Queries are scaled, and give logits in powers of two.
 
         One product so gives sums and normalisers; padding takes no part in either.
         """
         ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
         ones[PAD] = 0
-        q, k, v = (self.q * np.float32(1 / math.sqrt(DIM))).take(x[:, -STRIDE:], axis=0), self.k.take(x, axis=0), ones.take(x, axis=0)
-        a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-        a += self.bias()[0]
-        np.exp(a, out=a)
-        return q, k, v, a, np.matmul(a, v)
+        q, k, v = (self.q * np.float32(LOG2E / math.sqrt(DIM))).take(x[:, -STRIDE:], axis=0), self.k.take(x, axis=0), ones.take(x, axis=0)
+        a = np.matmul(k, np.ascontiguousarray(q.transpose(0, 2, 1)))
+        np.exp2(a, out=a)
+        a *= self.bias()[0]
+        return q, k, v, a, np.matmul(a.transpose(0, 2, 1), v)
 
-    def by_class(self) -> np.ndarray:
-        """The direct path to members, a row for each class and symbol before."""
-        return np.ascontiguousarray(self.b2.transpose(1, 0, 2)).reshape(-1, MEMBERS)
+    def direct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The direct path to classes by the symbol before, and to members, a row for each class and symbol before; in powers of two."""
+        return self.b1 * np.float32(LOG2E), np.ascontiguousarray(self.b2.transpose(1, 0, 2)).reshape(-1, MEMBERS) * np.float32(LOG2E)
 
-    def heads(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, by_class: np.ndarray) -> tuple:
+    def heads(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, direct: tuple[np.ndarray, np.ndarray]) -> tuple:
         """For the targets that are real, in order of their class so that its weights meet them in runs: where they lie, class
-        and member, h, the edges of the runs, and the logits of all classes and of the members of their class."""
+        and member, h, the edges of the runs, and the logits of all classes and of the members of their class, in powers of two."""
         real = np.flatnonzero(y >= 0)
         c = (y[real] // MEMBERS).astype(np.uint8)
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
         real, c = real[order], c[order].astype(np.int64)
         before, own = x[:, -STRIDE:].reshape(-1)[real], h.take(real, axis=0)
-        l1 = own @ self.u1
-        l1 += self.b1.take(before, axis=0)
-        l2, added = by_class.take(c * (SYMBOLS + 1) + before, axis=0), np.empty((len(real), MEMBERS), own.dtype)
+        scaled = own * np.float32(LOG2E)
+        l1 = scaled @ self.u1
+        l1 += direct[0].take(before, axis=0)
+        l2, added = direct[1].take(c * (SYMBOLS + 1) + before, axis=0), np.empty((len(real), MEMBERS), own.dtype)
         for j in range(CLASSES):
             a, b = edges[j : j + 2]
             if a < b:
-                np.matmul(own[a:b], self.u2[j].T, out=added[a:b])
+                np.matmul(scaled[a:b], self.u2[j].T, out=added[a:b])
         l2 += added
         return real, c, y[real] % MEMBERS, own, edges, l1, l2
 
@@ -200,20 +205,20 @@ class Model:
 
     def score(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
         """The natural log probability of each document's symbols; each symbol counts in one window."""
-        out, by_class, one = np.zeros(len(docs)), self.by_class(), np.ones(MEMBERS, np.float32)
+        out, direct, one = np.zeros(len(docs)), self.direct(), np.ones(MEMBERS, np.float32)
         xs, ys, first, doc = self.laid(docs)
         for i in range(0, len(first), chunk):
             x, y = xs[first[i : i + chunk]], ys[first[i : i + chunk]].reshape(-1)
             h = self.attend(x)[-1].reshape(-1, DIM + 1)
-            real, c, member, _, _, l1, l2 = self.heads(h[:, :DIM] / h[:, DIM:], x, y, by_class)
-            at = np.arange(len(real))
-            got = l1[at, c] + l2[at, member]
-            np.exp(l1, out=l1)
-            np.exp(l2, out=l2)
-            got -= np.log(l1 @ one)
-            got -= np.log(l2 @ one)
+            real, c, member, _, _, l1, l2 = self.heads(h[:, :DIM] / h[:, DIM:], x, y, direct)
+            at = np.arange(len(real)) * MEMBERS
+            got = l1.reshape(-1).take(at + c) + l2.reshape(-1).take(at + member)
+            np.exp2(l1, out=l1)
+            np.exp2(l2, out=l2)
+            got -= np.log2(l1 @ one)
+            got -= np.log2(l2 @ one)
             out += np.bincount(doc[i + real // STRIDE], weights=got, minlength=len(docs))
-        return out
+        return out * LN2
 
 
 def model_of(state: dict) -> Model:
@@ -240,28 +245,28 @@ class Adam:
 
     def __init__(self, model: Model):
         self.model, self.steps = model, 0
-        self.m1, self.m2 = ({n: np.zeros_like(getattr(model, n)) for n in WEIGHTS} for _ in range(2))
-        self.by_class, self.far, self.one = model.by_class(), model.bias()[1], np.ones(MEMBERS, np.float32)
+        self.flat = np.concatenate([getattr(model, n).reshape(-1) for n in WEIGHTS])
+        self.m1, self.m2 = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.direct, self.far, self.one = model.direct(), model.bias()[1], np.ones(MEMBERS, np.float32)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, measured: bool = True) -> tuple[dict[str, np.ndarray], float]:
         """By weight, and the mean loss (0 if that isn't measured)."""
         model, n = self.model, len(x)
         q, k, v, p, h = model.attend(x)
         padded = np.flatnonzero((x[:, 0] == PAD) | (x[:, -1] == PAD))  # padding is before a text's first symbol and after its last
-        p[padded] *= (x[padded] != PAD)[:, None, :]
+        p[padded] *= (x[padded] != PAD)[:, :, None]
         by_sum = 1 / h[:, :, DIM:]
-        p *= by_sum
         h = (h[:, :, :DIM] * by_sum).reshape(-1, DIM)
-        real, c, member, own, edges, l1, l2 = model.heads(h, x, y, self.by_class)
+        real, c, member, own, edges, l1, l2 = model.heads(h, x, y, self.direct)
         at, share, loss = np.arange(len(real)) * MEMBERS, np.float32(1 / max(len(real), 1)), 0.0
         for d, target in ((l1, c), (l2, member)):  # from logits to the gradient by them
             flat, target = d.reshape(-1), at + target
             if measured:
                 loss -= float(flat.take(target).sum(dtype=np.float64))
-            np.exp(d, out=d)
+            np.exp2(d, out=d)
             total = d @ self.one
             if measured:
-                loss += float(np.log(total).sum())
+                loss += float(np.log2(total).sum())
             d *= (share / total)[:, None]
             flat[target] -= share
         grad = {"u1": own.T @ l1, "u2": np.zeros_like(model.u2)}
@@ -272,44 +277,46 @@ class Adam:
                 np.matmul(l2[a:b].T, own[a:b], out=grad["u2"][j])
                 np.matmul(l2[a:b], model.u2[j], out=added[a:b])
         back += added
-        # the mean that a softmax takes off is one more column, as the values have a column of ones
+        # the mean that a softmax takes off is one more column, as the values have a column of ones; what p lacks to sum to one is here too
         dh = np.zeros((n * STRIDE, DIM + 1), np.float32)
+        by_sum = by_sum.reshape(-1)[real]
+        back *= by_sum[:, None]
+        np.multiply(back, own, out=added)
+        dh[real, DIM] = added @ np.full(DIM, -1, np.float32)
         dh[real, :DIM] = back
-        dh[real, DIM] = -np.einsum("ij,ij->i", back, own)
         dh = dh.reshape(n, STRIDE, DIM + 1)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds = np.matmul(v, np.ascontiguousarray(dh.transpose(0, 2, 1)))
         ds *= p
-        by_distance = (np.ones(n, np.float32) @ ds.reshape(n, -1)).reshape(STRIDE, WIDTH)
+        by_distance = (np.ones(n, np.float32) @ ds.reshape(n, -1)).reshape(WIDTH, STRIDE)
         grad["r"] = np.bincount(self.far[self.far >= 0], weights=by_distance[self.far >= 0], minlength=WIDTH).astype(np.float32)
         both = np.empty((n, WIDTH, 2 * DIM), np.float32)
-        np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, :DIM])
-        np.matmul(p.transpose(0, 2, 1), dh[:, :, :DIM], out=both[:, :, DIM:])
+        np.matmul(ds, q, out=both[:, :, :DIM])
+        np.matmul(p, dh[:, :, :DIM], out=both[:, :, DIM:])
         both = summed(both.reshape(-1, 2 * DIM), x.reshape(-1))
-        grad["k"], grad["v"] = both[:, :DIM], both[:, DIM:]
-        own = np.matmul(ds, k).astype(np.float32, copy=False)
+        grad["k"], grad["v"] = both[:, :DIM] * np.float32(LN2), both[:, DIM:]
+        own = np.matmul(ds.transpose(0, 2, 1), k).astype(np.float32, copy=False)
         grad["q"] = summed(own.reshape(-1, DIM), x[:, -STRIDE:].reshape(-1)) * np.float32(1 / math.sqrt(DIM))
-        return grad, loss * float(share)
+        return grad, loss * LN2 * float(share)
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
         grad, _ = self.gradient(x, y, measured=False)
         self.steps += 1
-        model, m1, m2 = self.model, self.m1, self.m2
         length, width = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
-        for n in WEIGHTS:
-            g = grad[n]
-            t = g - m1[n]
-            t *= np.float32(0.1)
-            m1[n] += t
-            np.multiply(g, g, out=t)
-            t -= m2[n]
-            t *= np.float32(0.01)
-            m2[n] += t
-            np.multiply(m2[n], width, out=t)
-            np.sqrt(t, out=t)
-            t += np.float32(1e-8)
-            np.divide(m1[n], t, out=t)
-            t *= length
-            setattr(model, n, getattr(model, n) - t)
+        g, m1, m2 = np.concatenate([grad[n].reshape(-1) for n in WEIGHTS]), self.m1, self.m2
+        t = g - m1
+        t *= np.float32(0.1)
+        m1 += t
+        g *= g
+        g -= m2
+        g *= np.float32(0.01)
+        m2 += g
+        np.multiply(m2, width, out=t)
+        np.sqrt(t, out=t)
+        t += np.float32(1e-8)
+        np.divide(m1, t, out=t)
+        t *= length
+        self.flat -= t
+        set_weights(self.model, self.flat)
 
 
 class Tour:
@@ -333,14 +340,14 @@ class Tour:
                 self.seen += len(pick)
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([getattr(self.model, n).reshape(-1) for n in WEIGHTS])
+        return self.adam.flat
 
 
 def set_weights(model: Model, flat: np.ndarray) -> None:
     at = 0
     for n in WEIGHTS:
         old = getattr(model, n)
-        setattr(model, n, flat[at : at + old.size].astype(np.float32).reshape(old.shape))
+        setattr(model, n, flat[at : at + old.size].astype(np.float32, copy=False).reshape(old.shape))
         at += old.size
 
 
@@ -499,23 +506,14 @@ def heavy_words(counts: DataFrame, most: int = HEAVY) -> dict[bytes, int]:
     return {bytes(r[0]): r[1] for r in held.filter((F.col("lead") >= least) & (F.octet_length("word") <= HEAVY_BYTES)).select("word", "c").collect()}
 
 
-class Coder:
-    """What a task knows of words: ids, and their number; of frequent words it is given, of others kept for a while."""
-
-    def __init__(self, ids: dict[bytes, bytes], path: str):
-        self.encode = word_encoder(path)
-        self.given = ids
-        self.ids = dict(ids)
-
-    def run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and how many each has."""
-        ids = self.ids
-        if len(ids) > len(self.given) + CACHED:
-            ids = self.ids = dict(self.given)
-        new = [w for w in words if w not in ids]
-        ids.update(zip(new, self.encode(new), strict=True))
-        coded = list(map(ids.__getitem__, words))
-        return np.frombuffer(b"".join(coded), np.uint16), np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+def coded_words(words: list[bytes], encode, kept: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, one after another, and how many each has; those of words in kept are known, and new ones are put there."""
+    if len(kept) > CACHED:
+        kept.clear()
+    new = [w for w in words if w not in kept]
+    kept.update(zip(new, encode(new), strict=True))
+    coded = list(map(kept.__getitem__, words))
+    return np.frombuffer(b"".join(coded), np.uint16), np.fromiter(map(len, coded), np.int64, len(coded)) // 2
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -536,34 +534,39 @@ def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int,
     log probability of the ids given their symbols (extra). Words not in often are rare; n_docs ends are known.
 
     What is known of a word is found once for all its places in a run of texts."""
-    ids = dict(zip(often, word_encoder(path)(list(often)), strict=True))
-    sent = docs.sparkSession.sparkContext.broadcast((often, ids, model.symbol, model.extra))
+    place = {w: k for k, w in enumerate(often)}
+    ids, sizes = coded_words(list(often), word_encoder(path), {})
+    sent = docs.sparkSession.sparkContext.broadcast((place, np.array(list(often.values()), np.float64), ids, sizes, model.symbol, model.extra))
     schema = docs.select("doc_id", "held_out").schema
     schema = schema.add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer"))).add("extra", "double").add("doc", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, ids, symbol, extra = sent.value
-        coder = Coder(ids, path)
+        place, often, often_ids, often_sizes, symbol, extra = sent.value
+        encode, kept = word_encoder(path), {}
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start, stop in parts_of(batch.column(2), 1 << 22):
                 words, size = split_words(batch.column(2).slice(start, stop - start))
                 words = words.dictionary_encode()
                 distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-                end, n = len(distinct), len(size)  # the end is one more word
-                coded, sizes = coder.run(distinct)
-                coded, sizes = np.append(coded, np.uint16(END_ID)), np.append(sizes, 1)
-                count = np.append(np.fromiter(map(often.get, distinct, repeat(-1)), np.float64, end), n_docs)
+                # words by number: frequent ones, the rare ones of this run, and the end
+                number = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
+                new, n = np.flatnonzero(number < 0), len(size)
+                end = len(often) + len(new)
+                number[new] = np.arange(len(often), end)
+                coded, sizes = coded_words([distinct[k] for k in new.tolist()], encode, kept)
+                coded, sizes = np.concatenate((often_ids, coded, [np.uint16(END_ID)])), np.concatenate((often_sizes, sizes, [1]))
+                count = np.concatenate((often, np.full(len(new), -1.0), [n_docs]))
                 chance = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / scale), 0.0)
                 given = np.add.reduceat(extra[coded], np.cumsum(sizes) - sizes)
-                which = np.insert(words.indices.to_numpy().astype(np.int64), np.cumsum(size), end)
+                which = np.insert(number[words.indices.to_numpy()], np.cumsum(size), end)
                 size = size + 1
                 starts = np.cumsum(size) - size
                 spot = np.flatnonzero(count[which] < 0)
                 owner = np.searchsorted(starts, spot, "right") - 1
                 pairs, times = np.unique(owner * (end + 1) + which[spot], return_counts=True)
                 rare_n = np.bincount(pairs // (end + 1), minlength=n)
-                own = pa.StructArray.from_arrays([words.dictionary.cast(pa.binary()).take(pa.array(pairs % (end + 1))), pa.array(times, pa.int32())], names=["word", "n"])
+                own = pa.StructArray.from_arrays([words.dictionary.cast(pa.binary()).take(pa.array(new[pairs % (end + 1) - len(often)])), pa.array(times, pa.int32())], names=["word", "n"])
                 ends = np.cumsum(np.add.reduceat(sizes[which], starts))
                 found = {
                     "rid": pa.array(np.arange(row, row + n)),

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on a table with every odd row: nulls, empty and long texts, repeats, clashing names."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -772,6 +773,38 @@ def test_gradient_equals_differences():
             assert abs((up - down) / (2 * step) - grad[n][at]) <= 0.03 * abs(grad[n][at]) + 1e-5
 
 
+def test_words_are_encoded_together(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    calls, path = [], lm.vocabulary_path()
+    plain = tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or plain(self, text))
+    encode = lm.word_encoder(path)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    alone = tiktoken.Encoding("alone", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    for letters in ("abcé'’s12٣.,#<|>字ñ", "abé's1.\xa0\u2003\u3000\x85\x1c"):
+        for _ in range(60):
+            words = ["".join(rng.choices(letters, k=rng.randint(1, 8))).encode() for _ in range(rng.randint(0, 30))] + [b"\xff\xfea"]
+            assert encode(words) == [np.array(plain(alone, " " + w.decode("utf-8", "replace")), np.uint16).tobytes() for w in words]
+    calls.clear()
+    kept = {b"the": b"xy"}
+    ids, sizes = lm.coded_words([b"the", b"of", b"zebra", b"of"], encode, kept)
+    assert len(calls) == 1 and ids[:1].tobytes() == b"xy" and len(ids) == sizes.sum() and sizes[1] == sizes[3] and set(kept) == {b"the", b"of", b"zebra"}
+
+
+def test_windows_are_views_that_equal_slices():
+    model, docs = small_model()
+    xs, ys, first, doc = model.laid(docs)
+    assert not xs.flags.owndata and len(first) == sum(-(-len(d) // lm.STRIDE) for d in docs)
+    for at, d in zip(first, doc, strict=True):
+        k = (at - first[doc == d][0]) // lm.STRIDE * lm.STRIDE
+        before = [lm.PAD] * (lm.WIDTH - lm.STRIDE) + [lm.END_SYMBOL, *docs[d][:-1]] + [lm.PAD] * lm.STRIDE
+        assert xs[at].tolist() == before[k : k + lm.WIDTH] and ys[at].tolist() == [*docs[d], *[-1] * lm.STRIDE][k : k + lm.STRIDE]
+
+
 def test_every_symbol_sees_sixteen_before_it():
     model = lm.Model.__new__(lm.Model)
     xs, ys, _ = model.windows([np.arange(1, 101, dtype=np.int32)])
