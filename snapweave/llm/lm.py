@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +49,11 @@ LEAST = 250_000
 PIECES = 32
 #: Logits are kept in powers of two, since those are found faster.
 LOG2E, LN2 = math.log2(math.e), math.log(2)
+#: The distance of each key of a window from each query (of the last STRIDE), and where the key is not ahead.
+FAR = (WIDTH - STRIDE + np.arange(STRIDE))[None] - np.arange(WIDTH)[:, None]
+SEEN = FAR >= 0
+#: Targets whose logits are made at once.
+ROWS = 1024
 WEIGHTS = ("q", "k", "v", "u1", "u2", "r")
 HEAVY, HEAVY_BYTES = 100_000, 64
 END_SYMBOL, PAD = 0, SYMBOLS
@@ -70,8 +74,9 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def word_encoder(path: str):
-    """A function from words to the ids of each with a blank before it, as bytes of unsigned 16-bit integers.
+def flat_encoder(path: str):
+    """A function from words to the ids (unsigned 16-bit integers) of each with a blank before it, one word after another, and how many
+    each has.
 
     Words are encoded together: the tokenizer parts a text before each blank, so only the first id of a word begins with one. Words with
     white space of their own, which it could join with the blank, are encoded one by one."""
@@ -87,22 +92,32 @@ def word_encoder(path: str):
     blank, odd = np.zeros(max(ranks.values()) + 1, bool), re.compile(r"[^\S ]")
     blank[[k for b, k in ranks.items() if b.startswith(b" ")]] = True
 
-    def run(words: list[bytes]) -> list[bytes]:
+    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text = b" ".join(words).decode("utf-8", "replace")
         if odd.search(text):
             texts = [w.decode("utf-8", "replace") for w in words]
             alone = [k for k, w in enumerate(texts) if odd.search(w)]
             held = set(alone)
-            out = iter(run([w for k, w in enumerate(words) if k not in held]))
-            return [array("H", encode(" " + w)).tobytes() if k in held else next(out) for k, w in enumerate(texts)]
-        ids = np.array(encode(" " + text) if words else [], np.uint16)
-        edges = [*(2 * np.flatnonzero(blank[ids])).tolist(), 2 * len(ids)]
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            out = iter(split(*run([w for k, w in enumerate(words) if k not in held])))
+            coded = [array("H", encode(" " + w)).tobytes() if k in held else next(out) for k, w in enumerate(texts)]
+            return np.frombuffer(b"".join(coded), np.uint16), np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+        ids = np.frombuffer(array("H", encode(" " + text) if words else []), np.uint16)
+        return ids, np.diff(np.flatnonzero(blank[ids]), append=len(ids))
 
     return run
 
 
+def split(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    edges, flat = [0, *(2 * np.cumsum(sizes)).tolist()], ids.tobytes()
+    return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def word_encoder(path: str):
+    """A function from words to the ids of each, as flat_encoder() has them, in bytes."""
+    encode = flat_encoder(path)
+    return lambda words: split(*encode(words))
+
+
 class Model:
     """symbol and extra by id: its symbol, and the log probability of the id among those that share it."""
 
@@ -136,50 +151,65 @@ class Model:
         self.u1, self.u2 = table(DIM, CLASSES, s=0.05), table(CLASSES, MEMBERS, DIM, s=0.05)
         self.r = (-0.1 * np.arange(WIDTH)).astype(np.float32)  # by distance
 
-    def bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """By key and query (of the last STRIDE): the exponential of the bias of their distance (0 where the key is ahead), and that
-        distance (-1 there)."""
-        far = (WIDTH - STRIDE + np.arange(STRIDE))[None] - np.arange(WIDTH)[:, None]
-        seen = far >= 0
-        return np.where(seen, np.exp(self.r)[np.maximum(far, 0)], 0).astype(np.float32), np.where(seen, far, -1)
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """What attend() reads: by symbol queries (scaled, so that logits are in powers of two), keys and values with a column of ones
+        (padding has zeros); and by key and query (of the last STRIDE) the exponential of the bias of their distance, 0 where the key is ahead."""
+        ones = np.ones((SYMBOLS + 1, DIM + 1), self.v.dtype)
+        ones[:, :DIM] = self.v
+        ones[PAD] = 0
+        return self.q * np.float32(LOG2E / math.sqrt(DIM)), self.k, ones, (np.exp(self.r)[np.maximum(FAR, 0)] * SEEN).astype(np.float32)
 
-    def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Queries, keys, values with a column of ones (padding has zeros), exponentials by key and query, and their sums of values
-        and ones. Queries are scaled, and give logits in powers of two.
+    def attend(self, x: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Queries, keys, values with a column of ones, exponentials by key and query, and their sums of values and ones.
 
         One product so gives sums and normalisers; padding takes no part in either.
         """
-        ones = np.concatenate((self.v, np.ones((SYMBOLS + 1, 1), np.float32)), axis=1)
-        ones[PAD] = 0
-        q, k, v = (self.q * np.float32(LOG2E / math.sqrt(DIM))).take(x[:, -STRIDE:], axis=0), self.k.take(x, axis=0), ones.take(x, axis=0)
+        q, k, v = tables[0].take(x[:, -STRIDE:], axis=0), tables[1].take(x, axis=0), tables[2].take(x, axis=0)
         a = np.matmul(k, np.ascontiguousarray(q.transpose(0, 2, 1)))
         np.exp2(a, out=a)
-        a *= self.bias()[0]
+        a *= tables[3]
         return q, k, v, a, np.matmul(a.transpose(0, 2, 1), v)
 
+    def maps(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.u1, np.ascontiguousarray(self.u2.transpose(0, 2, 1))
+
     def direct(self) -> tuple[np.ndarray, np.ndarray]:
         """The direct path to classes by the symbol before, and to members, a row for each class and symbol before; in powers of two."""
         return self.b1 * np.float32(LOG2E), np.ascontiguousarray(self.b2.transpose(1, 0, 2)).reshape(-1, MEMBERS) * np.float32(LOG2E)
 
-    def heads(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, direct: tuple[np.ndarray, np.ndarray]) -> tuple:
-        """For the targets that are real, in order of their class so that its weights meet them in runs: where they lie, class
-        and member, h, the edges of the runs, and the logits of all classes and of the members of their class, in powers of two."""
-        real = np.flatnonzero(y >= 0)
-        c = (y[real] // MEMBERS).astype(np.uint8)
+    def heads(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, direct: tuple[np.ndarray, np.ndarray], maps: tuple) -> tuple:
+        """For the targets that are real, in order of their class so that its weights meet them in runs: all places in that order (those
+        that are not real come last), 1 / normaliser, h, and one stretch of whole classes after another, of about ROWS targets (so that what
+        is made of them stays in the cache): from where to where, runs (class, from, to, in the stretch), class, member, and the logits of
+        all classes and of the members of their class, in powers of two. h has sums and normalisers; maps are maps()."""
+        c = (y // MEMBERS).astype(np.uint8)  # 255 where there is no target
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
-        real, c = real[order], c[order].astype(np.int64)
-        before, own = x[:, -STRIDE:].reshape(-1)[real], h.take(real, axis=0)
-        scaled = own * np.float32(LOG2E)
-        l1 = scaled @ self.u1
-        l1 += direct[0].take(before, axis=0)
-        l2, added = direct[1].take(c * (SYMBOLS + 1) + before, axis=0), np.empty((len(real), MEMBERS), own.dtype)
-        for j in range(CLASSES):
-            a, b = edges[j : j + 2]
-            if a < b:
-                np.matmul(scaled[a:b], self.u2[j].T, out=added[a:b])
-        l2 += added
-        return real, c, y[real] % MEMBERS, own, edges, l1, l2
+        n = edges[-1]
+        real = order[:n]
+        target, before, own = y.take(real), x[:, -STRIDE:].reshape(-1).take(real), h.take(real, axis=0)
+        by_sum = 1 / own[:, DIM:]
+        own = own[:, :DIM] * by_sum
+        c, member, scaled = target // MEMBERS, target % MEMBERS, own * np.float32(LOG2E)
+
+        def stretches() -> Iterator[tuple]:
+            s, some = 0, []
+            for j in range(CLASSES):
+                e = edges[j + 1]
+                if edges[j] < e:
+                    some.append((j, edges[j] - s, e - s))
+                if not some or (e - s < ROWS and e < n):
+                    continue
+                part, ahead, l2 = scaled[s:e], before[s:e], np.empty((e - s, MEMBERS), own.dtype)
+                l1 = part @ maps[0]
+                l1 += direct[0].take(ahead, axis=0)
+                for i, a, b in some:
+                    np.dot(part[a:b], maps[1][i], l2[a:b])
+                l2 += direct[1].take(c[s:e] * (SYMBOLS + 1) + ahead, axis=0)
+                yield s, e, some, c[s:e], member[s:e], l1, l2
+                s, some = e, []
+
+        return order, by_sum, own, stretches()
 
     def laid(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Views of the inputs (WIDTH) and targets (STRIDE; -1 beyond a document's end) from every place on; where windows start, and
@@ -206,18 +236,19 @@ class Model:
     def score(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
         """The natural log probability of each document's symbols; each symbol counts in one window."""
         out, direct, one = np.zeros(len(docs)), self.direct(), np.ones(MEMBERS, np.float32)
+        tables, maps = self.tables(), self.maps()
         xs, ys, first, doc = self.laid(docs)
         for i in range(0, len(first), chunk):
-            x, y = xs[first[i : i + chunk]], ys[first[i : i + chunk]].reshape(-1)
-            h = self.attend(x)[-1].reshape(-1, DIM + 1)
-            real, c, member, _, _, l1, l2 = self.heads(h[:, :DIM] / h[:, DIM:], x, y, direct)
-            at = np.arange(len(real)) * MEMBERS
-            got = l1.reshape(-1).take(at + c) + l2.reshape(-1).take(at + member)
-            np.exp2(l1, out=l1)
-            np.exp2(l2, out=l2)
-            got -= np.log2(l1 @ one)
-            got -= np.log2(l2 @ one)
-            out += np.bincount(doc[i + real // STRIDE], weights=got, minlength=len(docs))
+            x, y = xs[first[i : i + chunk]].astype(np.intp), ys[first[i : i + chunk]].reshape(-1)
+            h = self.attend(x, tables)[-1].reshape(-1, DIM + 1)
+            order, _, _, stretches = self.heads(h, x, y, direct, maps)
+            for s, e, _, c, member, l1, l2 in stretches:
+                at = np.arange(0, (e - s) * MEMBERS, MEMBERS)
+                got = l1.reshape(-1).take(at + c) + l2.reshape(-1).take(at + member)
+                np.exp2(l1, out=l1)
+                np.exp2(l2, out=l2)
+                got -= np.log2((l1 @ one) * (l2 @ one))
+                out += np.bincount(doc[i + order[s:e] // STRIDE], weights=got, minlength=len(docs))
         return out * LN2
 
 
@@ -229,13 +260,20 @@ def model_of(state: dict) -> Model:
 
 
 def summed(rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The sum of the 32-bit rows of each symbol, 0 for padding. Two columns are added at once, as parts of a complex number."""
-    symbols = symbols.astype(np.uint16)
-    order = np.argsort(symbols, kind="stable")
-    found = symbols[order]
+    """The sum of the 32-bit rows of each symbol, 0 for padding. Two columns are added at once, as parts of a complex number.
+
+    Symbols are sorted with their places below them in one integer, which is faster than to sort places by them."""
+    bits = max(1, (len(symbols) - 1).bit_length())
+    kind = np.uint32 if bits <= 21 else np.uint64
+    key = symbols.astype(kind)
+    key <<= kind(bits)
+    key |= np.arange(len(symbols), dtype=kind)
+    key.sort()
+    found = key >> kind(bits)
+    key &= kind((1 << bits) - 1)
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     out = np.zeros((SYMBOLS + 1, rows.shape[1]), np.float32)
-    out[found[first]] = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+    out[found[first]] = np.add.reduceat(rows.take(key, axis=0).view(np.complex64), first, axis=0).view(np.float32)
     out[PAD] = 0
     return out
 
@@ -247,48 +285,46 @@ class Adam:
         self.model, self.steps = model, 0
         self.flat = np.concatenate([getattr(model, n).reshape(-1) for n in WEIGHTS])
         self.m1, self.m2 = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        self.direct, self.far, self.one = model.direct(), model.bias()[1], np.ones(MEMBERS, np.float32)
+        self.direct, self.one = model.direct(), np.ones(MEMBERS, np.float32)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, measured: bool = True) -> tuple[dict[str, np.ndarray], float]:
         """By weight, and the mean loss (0 if that isn't measured)."""
-        model, n = self.model, len(x)
-        q, k, v, p, h = model.attend(x)
-        padded = np.flatnonzero((x[:, 0] == PAD) | (x[:, -1] == PAD))  # padding is before a text's first symbol and after its last
-        p[padded] *= (x[padded] != PAD)[:, :, None]
-        by_sum = 1 / h[:, :, DIM:]
-        h = (h[:, :, :DIM] * by_sum).reshape(-1, DIM)
-        real, c, member, own, edges, l1, l2 = model.heads(h, x, y, self.direct)
-        at, share, loss = np.arange(len(real)) * MEMBERS, np.float32(1 / max(len(real), 1)), 0.0
-        for d, target in ((l1, c), (l2, member)):  # from logits to the gradient by them
-            flat, target = d.reshape(-1), at + target
-            if measured:
-                loss -= float(flat.take(target).sum(dtype=np.float64))
-            np.exp2(d, out=d)
-            total = d @ self.one
-            if measured:
-                loss += float(np.log2(total).sum())
-            d *= (share / total)[:, None]
-            flat[target] -= share
-        grad = {"u1": own.T @ l1, "u2": np.zeros_like(model.u2)}
-        back, added = l1 @ model.u1.T, np.empty_like(own)
-        for j in range(CLASSES):
-            a, b = edges[j : j + 2]
-            if a < b:
-                np.matmul(l2[a:b].T, own[a:b], out=grad["u2"][j])
-                np.matmul(l2[a:b], model.u2[j], out=added[a:b])
-        back += added
+        model, n, x = self.model, len(x), x.astype(np.intp)
+        q, k, v, p, h = model.attend(x, model.tables())
+        maps = model.maps()
+        order, by_sum, own, stretches = model.heads(h.reshape(-1, DIM + 1), x, y, self.direct, maps)
+        share, loss, back_map = np.float32(1 / max(len(own), 1)), 0.0, np.ascontiguousarray(model.u1.T)
+        grad = {"u1": np.zeros_like(model.u1), "u2": np.zeros_like(model.u2)}
+        back = np.empty_like(own)
+        for s, e, runs_of_class, c, member, l1, l2 in stretches:
+            at, mine, to = np.arange(0, (e - s) * MEMBERS, MEMBERS), own[s:e], back[s:e]
+            for d, target in ((l1, at + c), (l2, at + member)):  # from logits to the gradient by them
+                flat = d.reshape(-1)
+                if measured:
+                    loss -= float(flat.take(target).sum(dtype=np.float64))
+                np.exp2(d, out=d)
+                total = d @ self.one
+                if measured:
+                    loss += float(np.log2(total).sum())
+                d *= (share / total)[:, None]
+                flat[target] -= share
+            grad["u1"] += mine.T @ l1
+            for j, a, b in runs_of_class:
+                np.dot(l2[a:b].T, mine[a:b], grad["u2"][j])
+                np.dot(l2[a:b], model.u2[j], to[a:b])
+            to += l1 @ back_map
         # the mean that a softmax takes off is one more column, as the values have a column of ones; what p lacks to sum to one is here too
-        dh = np.zeros((n * STRIDE, DIM + 1), np.float32)
-        by_sum = by_sum.reshape(-1)[real]
-        back *= by_sum[:, None]
-        np.multiply(back, own, out=added)
-        dh[real, DIM] = added @ np.full(DIM, -1, np.float32)
-        dh[real, :DIM] = back
-        dh = dh.reshape(n, STRIDE, DIM + 1)
-        ds = np.matmul(v, np.ascontiguousarray(dh.transpose(0, 2, 1)))
+        rows, place = np.zeros((n * STRIDE, DIM + 1), np.float32), np.empty(n * STRIDE, np.intp)
+        back *= by_sum
+        rows[: len(own), :DIM] = back
+        back *= own
+        rows[: len(own), DIM] = back @ np.full(DIM, -1, np.float32)
+        place[order] = np.arange(n * STRIDE)
+        dh = rows.take(place, axis=0).reshape(n, STRIDE, DIM + 1)
+        ds = np.matmul(v, np.ascontiguousarray(dh.transpose(0, 2, 1)))  # 0 for padding, as v is
         ds *= p
         by_distance = (np.ones(n, np.float32) @ ds.reshape(n, -1)).reshape(WIDTH, STRIDE)
-        grad["r"] = np.bincount(self.far[self.far >= 0], weights=by_distance[self.far >= 0], minlength=WIDTH).astype(np.float32)
+        grad["r"] = np.bincount(FAR[SEEN], weights=by_distance[SEEN], minlength=WIDTH).astype(np.float32)
         both = np.empty((n, WIDTH, 2 * DIM), np.float32)
         np.matmul(ds, q, out=both[:, :, :DIM])
         np.matmul(p, dh[:, :, :DIM], out=both[:, :, DIM:])
@@ -391,11 +427,10 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
     """How often each id occurs, from the counts of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sums = word_encoder(path), np.zeros(IDS, np.int64)
+        encode, sums = flat_encoder(path), np.zeros(IDS, np.int64)
         for batch in batches:
-            coded = encode(batch.column(0).to_numpy(zero_copy_only=False).tolist())
-            times = np.repeat(batch.column(1).to_numpy(), np.fromiter(map(len, coded), np.int64, len(coded)) // 2)
-            sums += np.bincount(np.frombuffer(b"".join(coded), np.uint16), weights=times, minlength=IDS).astype(np.int64)
+            coded, sizes = encode(batch.column(0).to_numpy(zero_copy_only=False).tolist())
+            sums += np.bincount(coded, weights=np.repeat(batch.column(1).to_numpy(), sizes), minlength=IDS).astype(np.int64)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["id", "c"])
 
@@ -534,27 +569,29 @@ def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int,
     log probability of the ids given their symbols (extra). Words not in often are rare; n_docs ends are known.
 
     What is known of a word is found once for all its places in a run of texts."""
-    place = {w: k for k, w in enumerate(often)}
     ids, sizes = coded_words(list(often), word_encoder(path), {})
-    sent = docs.sparkSession.sparkContext.broadcast((place, np.array(list(often.values()), np.float64), ids, sizes, model.symbol, model.extra))
+    sent = docs.sparkSession.sparkContext.broadcast((pa.array(often, pa.binary()), np.array(list(often.values()), np.float64), ids, sizes, model.symbol, model.extra))
     schema = docs.select("doc_id", "held_out").schema
     schema = schema.add("rid", "long").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", ArrayType(StructType().add("word", "binary").add("n", "integer"))).add("extra", "double").add("doc", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, often, often_ids, often_sizes, symbol, extra = sent.value
-        encode, kept = word_encoder(path), {}
+        import pyarrow.compute as pc
+
+        known, often, often_ids, often_sizes, symbol, extra = sent.value
+        encode = flat_encoder(path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start, stop in parts_of(batch.column(2), 1 << 22):
                 words, size = split_words(batch.column(2).slice(start, stop - start))
                 words = words.dictionary_encode()
-                distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+                distinct = words.dictionary.cast(pa.binary())
                 # words by number: frequent ones, the rare ones of this run, and the end
-                number = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
+                number = pc.fill_null(pc.index_in(distinct, known), -1).to_numpy().astype(np.int64)
                 new, n = np.flatnonzero(number < 0), len(size)
                 end = len(often) + len(new)
                 number[new] = np.arange(len(often), end)
-                coded, sizes = coded_words([distinct[k] for k in new.tolist()], encode, kept)
+                rare = distinct.take(pa.array(new))
+                coded, sizes = encode(rare.to_numpy(zero_copy_only=False).tolist())
                 coded, sizes = np.concatenate((often_ids, coded, [np.uint16(END_ID)])), np.concatenate((often_sizes, sizes, [1]))
                 count = np.concatenate((often, np.full(len(new), -1.0), [n_docs]))
                 chance = np.where(count >= 0, np.log10((np.maximum(count, 0) + 0.1) / scale), 0.0)
@@ -566,7 +603,7 @@ def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int,
                 owner = np.searchsorted(starts, spot, "right") - 1
                 pairs, times = np.unique(owner * (end + 1) + which[spot], return_counts=True)
                 rare_n = np.bincount(pairs // (end + 1), minlength=n)
-                own = pa.StructArray.from_arrays([words.dictionary.cast(pa.binary()).take(pa.array(new[pairs % (end + 1) - len(often)])), pa.array(times, pa.int32())], names=["word", "n"])
+                own = pa.StructArray.from_arrays([rare.take(pa.array(pairs % (end + 1) - len(often))), pa.array(times, pa.int32())], names=["word", "n"])
                 ends = np.cumsum(np.add.reduceat(sizes[which], starts))
                 found = {
                     "rid": pa.array(np.arange(row, row + n)),
@@ -583,6 +620,14 @@ def encoded(docs: DataFrame, model: Model, often: dict[bytes, int], n_docs: int,
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
+def rare_sums(coded: DataFrame, counts: DataFrame, scale: float) -> DataFrame:
+    """By rid, how many tokens are known rare words, and the unigram log probability of all rare words. A task hashes its part of the
+    counts, of which each word has one, so that the many occurrences need not be sorted."""
+    rare = coded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts.hint("shuffle_hash"), "word", "left")
+    c = F.coalesce("c", F.lit(0))
+    return rare.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + F.lit(0.1)) / F.lit(scale))).alias("plus"))
+
+
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     spark, path = docs.sparkSession, path or vocabulary_path()
@@ -610,10 +655,7 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     plain = coded.select("doc_id", "held_out", "rid", "n_tokens", "known", "base", "extra", "doc")
     scored = plain.mapInArrow(run, StructType(plain.schema.fields[:-2]).add("score", "double"))
-    rare = coded.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n").join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    more = rare.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + F.lit(0.1)) / F.lit(scale))).alias("plus"))
-    return scored.join(more, "rid", "left").select(
+    return scored.join(rare_sums(coded, counts, scale), "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), "score",
     )

@@ -795,6 +795,44 @@ def test_words_are_encoded_together(monkeypatch):
     assert len(calls) == 1 and ids[:1].tobytes() == b"xy" and len(ids) == sizes.sum() and sizes[1] == sizes[3] and set(kept) == {b"the", b"of", b"zebra"}
 
 
+def test_rare_words_are_not_sorted(spark, capsys):
+    counts = spark.createDataFrame([(b"zebra", 3), (b"yak", 1)], "word binary, c long")
+    coded = spark.createDataFrame([(1, [(b"zebra", 2), (b"gnu", 1)]), (2, [(b"gnu", 4)]), (3, [])], "rid long, rare array<struct<word:binary,n:int>>")
+    got = lm.rare_sums(coded, counts, 10.0)
+    p = lambda c: math.log10((c + 0.1) / 10)
+    want = {1: (2, 2 * p(3) + p(0)), 2: (0, 4 * p(0))}
+    assert {r.rid: (r.more, round(r.plus, 9)) for r in got.collect()} == {k: (n, round(x, 9)) for k, (n, x) in want.items()}
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_flat_ids_equal_those_of_words():
+    path = lm.vocabulary_path()
+    for words in ([], [b"the"], [b"the", b"a\xa0b".decode("latin-1").encode(), b"zebra", b"\xff\xfea", b"of"]):
+        ids, sizes = lm.flat_encoder(path)(words)
+        assert len(sizes) == len(words) and lm.split(ids, sizes) == lm.word_encoder(path)(words)
+
+
+def test_heads_go_through_whole_classes(monkeypatch):
+    model, docs = small_model()
+    xs, ys, _ = model.windows(docs)
+    y, want = ys.reshape(-1), None
+    for most in (1, 40, 100_000):
+        monkeypatch.setattr(lm, "ROWS", most)
+        h = model.attend(xs, model.tables())[-1].reshape(-1, lm.DIM + 1)
+        order, _, own, stretches = model.heads(h, xs, y, model.direct(), model.maps())
+        end, classes = 0, []
+        for s, e, some, c, member, l1, l2 in stretches:
+            assert s == end and e > s and l1.shape == l2.shape == (e - s, 32)
+            assert (c * lm.MEMBERS + member == y[order[s:e]]).all() and all((c[a:b] == j).all() for j, a, b in some) and sum(b - a for _, a, b in some) == e - s
+            end, classes = e, classes + [j for j, *_ in some]
+        assert end == len(own) == (y >= 0).sum() and classes == sorted(set(classes)) and (y[order[end:]] < 0).all()
+        grad, loss = lm.Adam(model).gradient(xs, y)
+        want = want or (grad, loss)
+        assert abs(loss - want[1]) < 1e-5 and all(np.allclose(grad[n], want[0][n], atol=1e-5) for n in lm.WEIGHTS)
+
+
 def test_windows_are_views_that_equal_slices():
     model, docs = small_model()
     xs, ys, first, doc = model.laid(docs)
